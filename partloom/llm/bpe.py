@@ -4,8 +4,7 @@ A byte pair that stands inside no vocabulary token can never be merged across, s
 Where a non-space character meets a space the pre-tokenizer cuts as well (none of its branches goes on from a non-space to
 a space, and its look-ahead only sees the white space that stays within the right fragment), so a text splits into
 fragments at every forced pair ending in a space; each is encoded alone and the ids are concatenated. Fragments repeat, so
-their ids are kept in a bounded cache; what isn't there is cut once more at the pre-tokenizer's and all other forced
-pairs' places and merged by rank.
+their ids are kept in a bounded cache; a fragment that isn't there is pre-tokenized and merged by rank on its own.
 
 Defined cases: null text is empty and has no ids; repeated rows each get their row; any length of text is encoded whole.
 """
@@ -19,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 
 from partloom.llm.common import arrow_rows
@@ -27,11 +27,9 @@ VOCAB = "byte_bpe_50k.json"
 #: Fragments a worker keeps; beyond it the cache starts anew.
 CACHE = 400_000
 #: The byte-level pre-tokenizer's pattern (fixed value of the vocabulary).
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space before a space, where no cut may be made.
 AWKWARD = regex.compile(r"[\x09-\x0d\x1c-\x1f] ")
-NEVER, ID_BITS = 1 << 60, 24
-ID_MASK = (1 << ID_BITS) - 1
 
 
 def _byte_chars() -> dict[str, int]:
@@ -50,17 +48,17 @@ class ForcedCutBPE:
         to_bytes = lambda s: bytes(raw[c] for c in s)
         self.token = {i: s.encode() if s in self.special else to_bytes(s) for s, i in spec["model"]["vocab"].items()} | {i: s.encode() for s, i in self.special.items()}
         ids = {b: i for i, b in self.token.items() if i not in self.special.values()}
-        self.byte_id = [ids[bytes([b])] for b in range(256)]
-        pairs = (x if isinstance(x, list) else x.split(" ") for x in spec["model"]["merges"])
-        self.rank: dict[tuple[int, int], int] = {}  # the rank, then the merged id in the low bits
-        for r, (a, b) in enumerate(pairs):
-            a, b = to_bytes(a), to_bytes(b)
-            self.rank[ids[a], ids[b]] = r << ID_BITS | ids[a + b]
+        # Priorities: the single bytes, then what each merge makes, in order.
+        order = [bytes([b]) for b in range(256)]
+        for pair in spec["model"]["merges"]:
+            x, y = pair if isinstance(pair, list) else pair.split(" ")
+            order.append(to_bytes(x + y))
+        self.core = tiktoken.Encoding("fragment", pat_str=SPLIT, mergeable_ranks={b: r for r, b in enumerate(order)}, special_tokens={})
+        self.id_of = np.array([ids[b] for b in order], "<u4")
         self.inside_set = {b[k : k + 2] for b in ids for k in range(len(b) - 1)}
         self.bytes_of = [self.token.get(i, b"") for i in range(max(self.token) + 1)]
         self.text_of = [str(i) for i in range(len(self.bytes_of))]
         self.cache: dict[str, bytes] = {}
-        self.words: dict[str, list[int]] = {}
         # Where a fragment may end: any character that is not white space and whose last byte forms a forced pair with a space.
         self.tied_last = {b[0] for b in self.inside_set if b[1] == 32}
         self.cut = regex.compile(r"(?<=[^\s\x1c-\x1f])(?= )")
@@ -80,52 +78,11 @@ class ForcedCutBPE:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
-    def merge(self, word: bytes) -> list[int]:
-        """BPE of one stretch without forced cuts: the lowest rank first, leftmost at ties."""
-        ids = [self.byte_id[b] for b in word]
-        get = self.rank.get
-        ranks = [get(p, NEVER) for p in zip(ids, ids[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == NEVER:
-                break
-            i = ranks.index(best)
-            ids[i : i + 2] = [best & ID_MASK]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), NEVER)
-            if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), NEVER)
-        return ids
-
-    def word_ids(self, word: str) -> list[int]:
-        """One pre-token, at its forced pairs."""
-        raw, lo, out = word.encode(), 0, []
-        inside = self.inside_set
-        for k in range(1, len(raw)):
-            if raw[k - 1 : k + 1] not in inside:
-                out += self.merge(raw[lo:k])
-                lo = k
-        return out + self.merge(raw[lo:])
-
-    def fragment_ids(self, fragment: str) -> list[int]:
-        out: list[int] = []
-        words = self.words
-        for word in SPLIT.findall(fragment):
-            got = words.get(word)
-            if got is None:
-                got = self.word_ids(word)
-                if len(words) >= CACHE:
-                    words.clear()
-                if len(word) <= 64:
-                    words[word] = got
-            out += got
-        return out
-
     def _packed(self, fragment: str) -> bytes:
+        """A fragment's ids as bytes, kept for the next time."""
+        got = self.id_of[self.core.encode_ordinary(fragment)].tobytes()
         if len(self.cache) >= CACHE:
             self.cache.clear()
-        got = np.asarray(self.fragment_ids(fragment), "<u4").tobytes()
         if len(fragment) <= 64:
             self.cache[fragment] = got
         return got
