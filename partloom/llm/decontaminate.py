@@ -67,10 +67,13 @@ def _windows(h: Column, keep_long, keep_short, lengths: list[int]) -> Column:
         return F.transform(F.filter(at, lambda j: keep_long(_least(g, j))) if keep_long else at, row)
 
     parts = [_let(F.transform(_places(size, GRAM), lambda i: _gram(h, i, GRAM)), long).cast(kind)]
-    for n in lengths:
-        row = lambda j, n=n: F.struct(j.alias("start"), F.lit(n).alias("n"), _gram(h, j, n).alias("print"), _gram(h, j, n).alias("whole"))
+
+    def short(n: int) -> Column:
         at = _places(size, n)
-        parts.append(F.transform(F.filter(at, lambda j, n=n: keep_short(_gram(h, j, n))) if keep_short else at, row).cast(kind))
+        row = lambda j: F.struct(j.alias("start"), F.lit(n).alias("n"), _gram(h, j, n).alias("print"), _gram(h, j, n).alias("whole"))
+        return F.transform(F.filter(at, lambda j: keep_short(_gram(h, j, n))) if keep_short else at, row).cast(kind)
+
+    parts += map(short, lengths)
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
