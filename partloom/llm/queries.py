@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partloom.llm import bpe, chat, decontaminate, langid, neardup, secrets, toxicity
+from partloom.llm import bpe, chat, decontaminate, langid, neardup, secrets, topk, toxicity
 from partloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,14 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op5_near_duplicates"] = neardup.ORACLE
 
 
+@query
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.digest(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op6_exact_topk"] = topk.ORACLE
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
