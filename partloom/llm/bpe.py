@@ -124,6 +124,18 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(arrow_rows(["doc_id", "text"], schema, step), "doc_id bigint, ids array<int>")
 
 
+def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids and whether decoding them gives the text back, of each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32())), ("restored", pa.bool_())])
+
+    def step(c: dict) -> dict:
+        bpe = encoder(path)
+        ids = [bpe.encode(t or "") for t in c["text"]]
+        return {"doc_id": c["doc_id"], "n_tokens": [len(x) for x in ids], "ids": [x.astype("i4") for x in ids], "restored": [bpe.decode(x.tolist()) == (t or "") for x, t in zip(ids, c["text"])]}
+
+    return docs.select("doc_id", "text").mapInArrow(arrow_rows(["doc_id", "text"], schema, step), "doc_id bigint, n_tokens bigint, ids array<int>, restored boolean")
+
+
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per row: number of ids, digest of the ids, digest of the text decoded from them."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])

@@ -140,6 +140,12 @@ def digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
     return o.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """The rows of docs that share no window with the benchmark."""
+    hit = stored(overlaps(docs, bench).where("n_hit > 0").select("doc_id").distinct(), "hit")
+    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+
+
 ORACLE = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import arrow_rows, crc_mod
+from partloom.llm.common import annotated, arrow_rows, crc_mod, fresh
 
 #: Letters of sample text a language is learned from; the bound of the model.
 SAMPLE_CHARS = 32_768
@@ -213,3 +213,11 @@ def digest(docs: DataFrame) -> DataFrame:
     held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
     found = identify(docs, samples(docs.where(~held)))
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose text has a language, as learned from docs itself; missing labels are filled in."""
+    shared = docs.sparkSession.sparkContext.broadcast(samples(docs))
+    name = fresh(docs, "lang_pred")
+    found = annotated(docs, [(name, "string", pa.string())], lambda texts: [_model(shared.value).predict(texts)[0]])
+    return found.where(F.col(name) != NONE).select(*[F.coalesce("lang", name).alias("lang") if c == "lang" else F.col(c) for c in docs.columns])

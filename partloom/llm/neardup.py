@@ -225,3 +225,12 @@ r AS (SELECT doc_id AS node, doc_id AS seen FROM d UNION SELECT r.node, e.v FROM
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, min(r.seen) AS component_id, d.doc_id = min(r.seen) AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.node = d.doc_id GROUP BY d.doc_id, n.n
 """
+
+
+def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one document of each group: that with the smallest id; of rows with equal ids one stays."""
+    groups = near_duplicates(docs, width, percent)
+    dropped = stored(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "dropped")
+    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    repeated = docs.select("doc_id").where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    return kept if repeated.isEmpty() else kept.where(F.col("doc_id").isNull()).unionByName(kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))

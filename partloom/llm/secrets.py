@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import arrow_rows
+from partloom.llm.common import annotated, arrow_rows
 
 # The base patterns and least lengths of the contract.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -144,3 +144,19 @@ def digest(docs: DataFrame) -> DataFrame:
     keyed = F.array_sort(F.transform(F.concat("base", "extra"), lambda x: F.struct(x["start"].alias("start"), rank[x["kind"]].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"))))
     return scan(docs, redacted=False).select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(told(F.col("base")), 256).alias("base_sha256"), told(keyed).alias("spans"))
 
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """docs with a mark in place of each secret, and n_chars of the new texts; clean rows stay as they are."""
+    fields = [("text", "string", pa.string())]
+
+    def step(texts: list[str | None]) -> list[list]:
+        out = []
+        for t in texts:
+            base = base_spans(t or "")
+            spans = base + linked(t or "", base)
+            out.append(redact(t, spans) if spans else t)
+        return [out]
+
+    found = annotated(docs, fields, step, replace=("text",))
+    return found.select(*[F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
