@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from partloom.llm import bpe, chat, decontaminate, langid, neardup, secrets, topk, toxicity
+from partloom.llm import bpe, chat, decontaminate, langid, lmscore, neardup, secrets, topk, toxicity
 from partloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
