@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from partloom.llm import bpe, chat, decontaminate, langid, lmscore, neardup, secrets, topk, toxicity
+from partloom.llm import bpe, chat, decontaminate, langid, lmscore, neardup, secrets, tokenbin, topk, toxicity
 from partloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op7_decontamination"] = decontaminate.ORACLE
 
 
+@query
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenbin.digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
