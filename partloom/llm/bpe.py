@@ -25,7 +25,7 @@ from partloom.llm.common import arrow_rows
 
 VOCAB = "byte_bpe_50k.json"
 #: Fragments a worker keeps; beyond it the cache starts anew.
-CACHE = 400_000
+CACHE = 250_000
 #: The byte-level pre-tokenizer's pattern (fixed value of the vocabulary).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: White space before a space, where no cut may be made.

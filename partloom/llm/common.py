@@ -15,10 +15,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts handed to one vectorised step hold about this many characters, so memory is bounded whatever a batch holds.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
+
+
+#: Most bytes that an Arrow batch of texts takes on its way to a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 from partloom.llm.common import annotated, arrow_rows, crc_mod, fresh
 
 #: Letters of sample text a language is learned from; the bound of the model.
-SAMPLE_CHARS = 32_768
+SAMPLE_CHARS = 24_576
 #: Labelled documents of a language that are drawn, by a hash of the id, to fill the sample.
 SAMPLE_DOCS = 96
 #: Characters that one document adds to a sample at most.
 DOC_CHARS = 1024
 #: Letters after which the parse begins anew.
 SEGMENT = 512
-LETTERS, SHARED = 120, 8
+LETTERS, SHARED = 64, 8
 NONE = "und"
 
 
@@ -94,7 +94,7 @@ def automaton(seq: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.full((len(step), size), -1, np.int64)
+    out = np.full((len(step), size), -1, np.int32)
     for s, d in enumerate(step):
         if d:
             out[s, list(d)] = list(d.values())
@@ -113,7 +113,10 @@ class Model:
             missing = t < 0
             # Where the match ends, the next phrase begins with the same letter; the low bit counts it.
             t = np.where(missing, np.maximum(t[0], 0)[None, :], t)
-            tables.append((((t + base) * size) << 1 | missing).astype(np.int32).ravel())
+            t += base
+            t *= 2 * size
+            t |= missing
+            tables.append(t.ravel())
             self.root.append(base * size)
             self.bits.append(math.log2(max(2, len(seq))))
             base += len(t)
