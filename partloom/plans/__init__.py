@@ -1 +1 @@
-
+"""Queries: what each one reads, the operators it applies, and its SQL twin."""
