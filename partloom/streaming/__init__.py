@@ -1 +1 @@
-
+"""Incremental runs over a stream of arriving drawings."""
