@@ -19,30 +19,28 @@ each; other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
-import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import crc_mod, slices, stored
+from partloom.llm.common import crc_mod, stored
 
 VOCAB = "piece_bpe_32k.model"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MARK = "▁"
-#: Characters of the texts of a block.
-BLOCK_CHARS = 16_000_000
+#: Characters of the words that are summed side by side, and how many of them.
+SHORT, BATCH = 40, 2048
+#: Bytes of the texts of a block, to the batch.
+BLOCK_BYTES = 32_000_000
 #: Weight of the prior, in counts, and the rank by which it falls by half.
 PRIOR, HALF = 300.0, 500.0
 #: Classes of training texts at most (the commonest labels; all others are one more), and what each takes from all together.
 CLASSES, SHARED = 8, 0.05
-UPPER = {c: c + 32 for c in range(65, 91)}
 
 
 class Lattice:
@@ -58,45 +56,104 @@ class Lattice:
         weight /= weight.sum(0)
         marked = np.array([p.startswith(MARK) for p in pieces])
         self.end = weight[marked].sum(0)
-        table = [tuple(w) for w in weight.tolist()]
-        starts = [tuple(w) for w in (weight / self.end).tolist()]
-        self.first = {p[1:]: w for p, w, m in zip(pieces, starts, marked) if m and MARK not in p[1:]}
-        self.next = {p: w for p, w, m in zip(pieces, table, marked) if not m and not sp_byte(p)}
-        self.byte = {int(p[3:5], 16): w for p, w in zip(pieces, table) if sp_byte(p)}
-        self.longest = max(map(len, self.next), default=1)
-        self.longest_first = max(map(len, self.first), default=1)
         self.classes = classes
-
-    def log_probabilities(self, word: str) -> list[float]:
-        """The natural logarithm of a word's probability in each class, over all segmentations."""
-        n, first, rest, longest = len(word), self.first, self.next, self.longest
-        sums: list[list[float] | None] = [None] * (n + 1)
-        for k in range(min(n, self.longest_first) + 1):
-            if (p := first.get(word[:k])) is not None:
-                sums[k] = list(p)
-        offset = 0.0
+        # Every beginning of a piece leads on; those that are pieces have a row of weights, others -1.
+        self.rows = np.concatenate([weight, weight / self.end])
+        self.first: dict[str, int] = {}
+        self.next: dict[str, int] = {}
+        for i, (p, m) in enumerate(zip(pieces, marked)):
+            if m and MARK in p[1:] or sp_byte(p):
+                continue
+            table, p, row = (self.first, p[1:], i + len(pieces)) if m else (self.next, p, i)
+            for k in range(1, len(p)):
+                table.setdefault(p[:k], -1)
+            table[p] = row
+        self.mark = self.first.pop("", -1)
+        byte = {int(p[3:5], 16): i for i, p in enumerate(pieces) if sp_byte(p)}
+        self.byte = [byte[k] for k in range(256)]
+
+    def arcs(self, word: str) -> list[tuple[int, int, int]]:
+        """begin, end and row of each piece that fits; a character without a piece is an arc with the row -1."""
+        out, n = [], len(word)
+        if self.mark >= 0:
+            out.append((-1, 0, self.mark))
+        for j in range(1, n + 1):
+            row = self.first.get(word[:j])
+            if row is None:
+                break
+            if row >= 0:
+                out.append((-1, j, row))
+        get = self.next.get
         for i in range(n):
-            at = sums[i]
-            if at is None:
+            for j in range(i + 1, n + 1):
+                row = get(word[i:j])
+                if row is None:
+                    break
+                if row >= 0:
+                    out.append((i, j, row))
+            if get(word[i], -1) < 0:
+                out.append((i, i + 1, -1))
+        return out
+
+    def _weight(self, word: str, arc: tuple[int, int, int]) -> np.ndarray:
+        if arc[2] >= 0:
+            return self.rows[arc[2]]
+        return np.prod(self.rows[[self.byte[b] for b in word[arc[0]].encode("utf-8", "surrogatepass")]], axis=0)
+
+    def long_word(self, word: str) -> np.ndarray:
+        """The recursion for one word of any length, in log space."""
+        back: dict[int, list[np.ndarray]] = {}
+        arcs: dict[int, list[tuple[int, int, int]]] = {}
+        for arc in self.arcs(word):
+            arcs.setdefault(arc[0], []).append(arc)
+        for i in range(-1, len(word)):
+            at = np.zeros(self.classes) if i < 0 else np.logaddexp.reduce(back.pop(i), axis=0) if i in back else None
+            for arc in arcs.get(i, ()) if at is not None else ():
+                back.setdefault(arc[1], []).append(at + np.log(self._weight(word, arc)))
+        return np.logaddexp.reduce(back[len(word)], axis=0) + np.log(self.end)
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """The natural logarithm of each word's probability in each class, over all segmentations.
+
+        Words of up to SHORT characters are summed side by side, position by position; their sums stay far from the least
+        number. Longer words go one by one.
+        """
+        out = np.zeros((len(words), self.classes))
+        owner: list[int] = []
+        found: list[tuple[int, int, int]] = []
+        odd: list[tuple[int, np.ndarray]] = []
+        for k, word in enumerate(words):
+            if len(word) > SHORT:
+                out[k] = self.long_word(word)
                 continue
-            if (top := max(at)) < 1e-100:
-                offset += math.log(top)
-                for j in range(i, min(n, i + longest) + 1):
-                    if (x := sums[j]) is not None:
-                        sums[j] = [v / top for v in x]
-                at = sums[i]
-            for j in range(i + 1, min(n, i + longest) + 1):
-                if (p := rest.get(word[i:j])) is not None:
-                    if (x := sums[j]) is None:
-                        sums[j] = [a * b for a, b in zip(at, p)]
-                    else:
-                        sums[j] = [v + a * b for v, a, b in zip(x, at, p)]
-            if word[i] not in rest:
-                x = at
-                for byte in word[i].encode("utf-8", "surrogatepass"):
-                    x = [a * b for a, b in zip(x, self.byte[byte])]
-                sums[i + 1] = x if sums[i + 1] is None else [v + a for v, a in zip(sums[i + 1], x)]
-        return [math.log(max(v * e, 5e-324)) + offset for v, e in zip(sums[n], self.end)]
+            arcs = self.arcs(word)
+            for x, arc in enumerate(arcs):
+                if arc[2] < 0:
+                    odd.append((len(found) + x, self._weight(word, arc)))
+            found += arcs
+            owner += [k] * len(arcs)
+        if not found:
+            return out
+        arc, owner = np.array(found), np.array(owner)
+        weight = self.rows[arc[:, 2]]
+        for k, w in odd:
+            weight[k] = w
+        order = np.argsort(arc[:, 1], kind="stable")
+        arc, own, weight = arc[order], owner[order], weight[order]
+        sums = np.zeros((SHORT + 2, len(words), self.classes))
+        sums[0] = 1  # position p is at p + 1; the begin at 0
+        cuts = np.searchsorted(arc[:, 1], np.arange(SHORT + 2))
+        for p in range(SHORT + 1):
+            lo, hi = cuts[p], cuts[p + 1]
+            if lo < hi:
+                w = own[lo:hi]
+                part = sums[arc[lo:hi, 0] + 1, w] * weight[lo:hi]
+                for k in range(self.classes):
+                    sums[p + 1, :, k] = np.bincount(w, part[:, k], len(words))
+        size = np.array([len(w) for w in words])
+        short = np.flatnonzero(size <= SHORT)
+        out[short] = np.log(np.maximum(sums[size[short] + 1, short], 5e-324)) + np.log(self.end)
+        return out
 
 
 def sp_byte(piece: str) -> bool:
@@ -113,62 +170,91 @@ def tokenizer(path: str | None = None) -> sentencepiece.SentencePieceProcessor:
     return _TOKENIZERS[path]
 
 
-WORDS = pa.schema([("word", pa.list_(pa.string())), ("trained", pa.list_(pa.list_(pa.int64())))])
-TEXTS = pa.schema([("doc_id", pa.int64()), ("class", pa.int32()), ("held", pa.bool_()), ("n_words", pa.int64()), ("ids", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
-BLOCKS = pa.schema([("block", pa.string()), ("at", pa.int64()), *WORDS, *TEXTS])
+WORDS = pa.schema([("word", pa.list_(pa.string())), ("uses", pa.list_(pa.list_(pa.int32())))])
+TEXTS = pa.schema([("doc_id", pa.int64()), ("class", pa.int32()), ("held", pa.bool_()), ("n_words", pa.int64()), ("ids", pa.binary()), ("times", pa.binary())])
+BLOCKS = pa.schema([("block", pa.int64()), ("at", pa.int64()), *WORDS, *TEXTS])
 #: Words in one row of a block.
 CHUNK = 16_384
 
 
+class _Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def pack(ids: np.ndarray, times: np.ndarray) -> tuple[bytes, bytes]:
+    """Indices in three bytes, counts in one; a count over 255 is several entries."""
+    many = np.flatnonzero(times > 255)
+    if len(many):
+        ids = np.concatenate([ids, np.repeat(ids[many], (times[many] - 1) // 255)])
+        rest = [np.full((n - 1) // 255, 255) for n in times[many]]
+        times = np.concatenate([np.where(times > 255, (times - 1) % 255 + 1, times), *rest])
+    return np.ascontiguousarray(ids.astype("<u4")[:, None].view(np.uint8)[:, :3]).tobytes(), times.astype(np.uint8).tobytes()
+
+
+def unpack(ids: bytes, times: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(ids, np.uint8).reshape(-1, 3).astype(np.int64)
+    return raw[:, 0] | raw[:, 1] << 8 | raw[:, 2] << 16, np.frombuffer(times, np.uint8)
+
+
 def _blocks(classes: int):
-    """For mapInArrow: rows of a block's distinct words with their training counts by class, and a row for each document with
-    indices into them."""
+    """For mapInArrow: rows of a block's distinct words, each with the pairs (class, training count) that it has, and a row
+    for each document with indices into them."""
 
-    def rows_of(name: str, n: int, given: dict[str, pa.Array]) -> pa.RecordBatch:
-        columns = {"block": pa.array([name] * n), **given}
+    def rows_of(name: int, n: int, given: dict[str, pa.Array]) -> pa.RecordBatch:
+        columns = {"block": pa.array([name] * n, pa.int64()), **given}
         return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in BLOCKS], schema=BLOCKS)
 
     def run(batches):
+        task, seq, size = TaskContext.get().partitionId(), 0, 0
+        number, trained = _Numbers(), np.zeros((classes, 1 << 16), np.int32)
+
+        def closed() -> pa.RecordBatch:
+            words = [w.decode() for w in number]
+            cuts = [*range(0, len(words), CHUNK), len(words)]
+            uses = trained[:, : len(words)]
+            i, k = np.nonzero(uses.T)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(i, minlength=len(words)))])
+            pairs = np.stack([k, uses[k, i]], 1).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(2 * ends, pa.int32()), pa.array(pairs, pa.int32()))
+            offsets = pa.array(cuts, pa.int32())
+            return rows_of((task << 32) + seq, len(cuts) - 1, {"at": pa.array(cuts[:-1], pa.int64()), "word": pa.ListArray.from_arrays(offsets, pa.array(words, pa.string())), "uses": pa.ListArray.from_arrays(offsets, lists)})
+
         for batch in batches:
-            ids, texts, held, kinds = (batch.column(c).to_pylist() for c in ("doc_id", "text", "held", "class"))
-            for lo, hi in slices([len(t or "") for t in texts], BLOCK_CHARS):
-                number: dict[str, int] = {}
-                trained: list[int] = []
-                fresh = [0] * classes
-                of: dict[str, list] = {f.name: [] for f in TEXTS}
-                name = f"{ids[lo]}-{ids[hi - 1]}-{hi - lo}-{hash_of(texts[lo:hi])}"
-                for doc, text, out, kind in zip(ids[lo:hi], texts[lo:hi], held[lo:hi], kinds[lo:hi]):
-                    text = text or ""
-                    count = Counter(WORD.findall(text.lower() if text.isascii() else text.translate(UPPER)))
-                    own = []
-                    for w, n in count.items():
-                        i = number.get(w)
-                        if i is None:
-                            i = number[w] = len(number)
-                            trained += fresh
-                        own.append(i)
-                        if not out:
-                            trained[i * classes + kind] += n
-                    for k, v in zip(TEXTS.names, (doc, kind, out, sum(count.values()), own, list(count.values()))):
-                        of[k].append(v)
-                yield rows_of(name, hi - lo, {f.name: pa.array(of[f.name], f.type) for f in TEXTS})
-                words = list(number)
-                cuts = [*range(0, len(words), CHUNK), len(words)]
-                if words:
-                    counts = pa.ListArray.from_arrays(pa.array(range(0, len(trained) + 1, classes), pa.int32()), pa.array(trained, pa.int64()))
-                    offsets = pa.array(cuts, pa.int32())
-                    yield rows_of(name, len(cuts) - 1, {"at": pa.array(cuts[:-1], pa.int64()), "word": pa.ListArray.from_arrays(offsets, pa.array(words, pa.string())), "trained": pa.ListArray.from_arrays(offsets, counts)})
+            of: dict[str, list] = {f.name: [] for f in TEXTS}
+            learned: list[list[np.ndarray]] = [[] for _ in range(classes)]
+            for doc, text, out, kind in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "held", "class"))):
+                raw = (text or "").encode().lower()  # of bytes: lower-cases A to Z only, and splits at ASCII white space only
+                ids = np.array([number[w] for w in raw.split()], np.int64)
+                own, times = np.unique(ids, return_counts=True)
+                if not out:
+                    learned[kind].append(ids)
+                for k, v in zip(TEXTS.names, (doc, kind, out, len(ids), *pack(own, times))):
+                    of[k].append(v)
+                size += len(raw)
+            if len(number) > trained.shape[1]:
+                trained = np.concatenate([trained, np.zeros((classes, max(trained.shape[1], len(number))), np.int32)], 1)
+            for k, parts in enumerate(learned):
+                if parts:
+                    used = np.bincount(np.concatenate(parts))
+                    trained[k, : len(used)] += used.astype(np.int32)
+            if of["doc_id"]:
+                yield rows_of((task << 32) + seq, len(of["doc_id"]), {f.name: pa.array(of[f.name], f.type) for f in TEXTS})
+            if size >= BLOCK_BYTES or len(number) >= 1 << 23:
+                if number:
+                    yield closed()
+                seq, size = seq + 1, 0
+                number.clear()
+                trained[:] = 0
+        if number:
+            yield closed()
 
     return run
 
 
-def hash_of(texts: list[str | None]) -> int:
-    h = 0
-    for t in texts:
-        h = zlib.crc32((t or "\0").encode(), h)
-    return h
-
-
 def _piece_counts(classes: int, path: str | None):
     """For mapInArrow: how often the vocabulary's segmentation of the distinct words of each class uses a piece."""
 
@@ -176,6 +262,8 @@ def _piece_counts(classes: int, path: str | None):
         sp, total = tokenizer(path), {}
         for b in batches:
             words, c = b.column("word").to_pylist(), b.column("c").to_pylist()
+            if not words:
+                continue
             for pieces, n in zip(sp.encode(words, out_type=str, num_threads=1), c):
                 on = [k for k in range(classes) if n[k]]
                 for p in pieces:
@@ -195,18 +283,22 @@ def _each(name: str, classes: int, of) -> list:
 
 def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Per row of doc_id, text, held and label: token counts, the base score and the model's log10 probability of the text."""
-    per = docs.where(~F.col("held")).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(CLASSES).collect()
-    classes = len(per) + 1
-    kind = F.lit(len(per))
+    per = docs.where(~F.col("held")).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(CLASSES + 1).collect()
+    per, classes = per[:CLASSES], max(1, min(len(per), CLASSES + 1))
+    kind = F.lit(classes - 1)
     for k, r in enumerate(per):
         kind = F.when(F.col("label").eqNullSafe(F.lit(r["label"])), k).otherwise(kind)
-    schema = "block string, at bigint, word array<string>, trained array<array<bigint>>, doc_id bigint, class int, held boolean, n_words bigint, ids array<int>, times array<int>"
+    schema = "block bigint, at bigint, word array<string>, uses array<array<int>>, doc_id bigint, class int, held boolean, n_words bigint, ids binary, times binary"
     found = stored(docs.select("doc_id", "text", "held", kind.alias("class")).mapInArrow(_blocks(classes), schema), "blocks")
     texts = found.where(F.col("at").isNull()).select(F.col("block").alias("of"), "doc_id", "class", "held", "n_words", "ids", "times")
-    pairs = found.where(F.col("at").isNotNull()).select("block", F.posexplode(F.arrays_zip("word", "trained")).alias("i", "w"), "at")
-    pairs = pairs.select("block", (F.col("at") + F.col("i")).cast("int").alias("i"), F.col("w.word").alias("word"), F.col("w.trained").alias("trained"))
-    summed = pairs.groupBy("word").agg(*[F.sum(F.get("trained", F.lit(k))).alias(f"c{k}") for k in range(classes)])
-    counts = stored(summed.select("word", F.array(*[f"c{k}" for k in range(classes)]).alias("c")), "words")
+    chunks = found.where(F.col("at").isNotNull())
+    each = chunks.select(F.explode(F.arrays_zip("word", "uses")).alias("w")).select(F.col("w.word").alias("word"), F.col("w.uses").alias("u"))
+    # A word has few classes as a rule: a row for its first, and one for each further one.
+    first = F.struct(F.coalesce(F.get("u", F.lit(0)), F.lit(0)).alias("k"), F.coalesce(F.get("u", F.lit(1)), F.lit(0)).alias("n"))
+    more = F.when(F.size("u") > 2, F.transform(F.sequence(F.lit(2), F.size("u") - 2, F.lit(2)), lambda i: F.struct(F.get("u", i).alias("k"), F.get("u", i + 1).alias("n"))))
+    used = each.select("word", F.explode(F.when(F.size("u") > 2, F.concat(F.array(first), more)).otherwise(F.array(first))).alias("x")).select("word", "x.k", "x.n")
+    sums = [F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(classes)]
+    counts = stored(used.groupBy("word").agg(*sums).select("word", F.array(*[f"c{k}" for k in range(classes)]).alias("c")), "words")
 
     n_docs = np.zeros(classes)
     for r in texts.where(~F.col("held")).groupBy("class").agg(F.count("*").alias("n")).collect():
@@ -223,39 +315,43 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     end = (total_docs + 0.5) / (train_tokens + 1)
     share = (n_docs + 0.5 / classes) / (total_docs + 0.5)
     total = math.log10(train_tokens + 0.1 * (distinct + 1))
-    weighed = pa.schema([("word", pa.string()), ("known", pa.bool_()), ("base", pa.float64()), ("lp", pa.list_(pa.float64()))])
+    weighed = pa.schema([("h", pa.int64()), ("c", pa.int64()), ("lp", pa.binary())])
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
     def weigh(batches):
         lattice = _lattice(shared.value, classes, path)
         for b in batches:
-            words = b.column("word").to_pylist()
-            if not words:
-                continue
-            c = np.array(b.column("c").to_pylist(), float)
-            c = np.concatenate([c, c.sum(1, keepdims=True)], 1)
-            sub = np.array([lattice.log_probabilities(w) for w in words])
-            sub = np.concatenate([sub, np.logaddexp.reduce(sub + np.log(share), axis=1)[:, None]], 1)
-            with np.errstate(divide="ignore"):
-                seen = np.log(np.where(n > 0, np.maximum(c - discount, 0) / np.maximum(n, 1), 0))
-            own = np.logaddexp(seen, sub + np.log(spread))
-            lp = np.logaddexp(own[:, :-1] + math.log(1 - SHARED), own[:, -1:] + math.log(SHARED)) + math.log(1 - end)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(c[:, -1] > 0), pa.array(np.log10(c[:, -1] + 0.1) - total), pa.array(list(lp / math.log(10)), pa.list_(pa.float64()))], schema=weighed)
-
-    weights = stored(counts.mapInArrow(weigh, "word string, known boolean, base double, lp array<double>"), "weights")
-    met = pairs.select("block", "i", "word").join(weights, "word").select("block", "i", "known", "base", *[F.get("lp", F.lit(k)).alias(f"lp{k}") for k in range(classes)])
+            for lo in range(0, b.num_rows, BATCH):
+                part = b.slice(lo, BATCH)
+                words, c = part.column("word").to_pylist(), np.array(part.column("c").to_pylist(), float)
+                c = np.concatenate([c, c.sum(1, keepdims=True)], 1)
+                sub = lattice.log_probabilities(words)
+                sub = np.concatenate([sub, np.logaddexp.reduce(sub + np.log(share), axis=1)[:, None]], 1)
+                with np.errstate(divide="ignore"):
+                    seen = np.log(np.where(n > 0, np.maximum(c - discount, 0) / np.maximum(n, 1), 0))
+                own = np.logaddexp(seen, sub + np.log(spread))
+                lp = np.logaddexp(own[:, :-1] + math.log(1 - SHARED), own[:, -1:] + math.log(SHARED)) + math.log(1 - end)
+                rows = [x.tobytes() for x in (lp / math.log(10)).astype("<f4")]
+                yield pa.RecordBatch.from_arrays([part.column("h"), pa.array(c[:, -1].astype(np.int64)), pa.array(rows, pa.binary())], schema=weighed)
+
+    # From here on 64-bit hashes stand for the words, as rows are many and only equality matters.
+    weights = stored(counts.select(F.xxhash64("word").alias("h"), "word", "c").mapInArrow(weigh, "h bigint, c bigint, lp binary"), "weights")
+    pairs = chunks.select("block", "at", F.posexplode("word").alias("i", "word")).select("block", (F.col("at") + F.col("i")).cast("int").alias("i"), F.xxhash64("word").alias("h"))
+    met = pairs.join(weights, "h").select("block", "i", "c", "lp")
     end_base = math.log10((total_docs + 0.1) / (train_tokens + 0.1 * (distinct + 1)))
     end_known = int(total_docs > 0)
-    names = [f"lp{k}" for k in range(classes)]
 
     def totals(words: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         size = int(words["i"].max()) + 1 if len(words) else 0
         table = np.zeros((size, classes + 2))
         if size:
-            table[words["i"].to_numpy()] = words[["known", "base", *names]].to_numpy(float)
+            c = words["c"].to_numpy(float)
+            lp = np.frombuffer(b"".join(words["lp"]), "<f4").reshape(-1, classes)
+            table[words["i"].to_numpy()] = np.concatenate([(c > 0)[:, None], (np.log10(c + 0.1) - total)[:, None], lp], 1)
         rows = []
         for i, t in zip(own["ids"], own["times"]):
-            x = np.asarray(t, float) @ table[np.asarray(i, np.int64)]
+            i, t = unpack(i, t)
+            x = t @ table[i]
             lp = x[2:] * math.log(10) + np.log(share)
             rows.append((round(x[0]) + end_known, x[1] + end_base, float(np.logaddexp.reduce(lp)) / math.log(10) + math.log10(end)))
         out = pd.DataFrame(rows, columns=["n_known", "base_score", "score"])
