@@ -35,7 +35,7 @@ def table_cells(c: Catalogue) -> DataFrame:
     e = c.bom_entries.where("method = 'table'").select("stem", "p", "ref").distinct()
     n = F.row_number().over(W.partitionBy("stem").orderBy("ref"))
     at = e.select("stem", F.lit(1).alias("page"), F.lit(0).alias("table_no"), (n + 1).alias("row_no"), F.array(F.lit("1"), "ref", F.lit("x")).alias("cells"))
-    heads = c.active.where("p % 6 <> 5").select("stem", F.lit(1).alias("page"), F.lit(0).alias("table_no"), (F.col("p") % 2).cast("int").alias("row_no"), F.array(F.lit("ITEM"), F.lit("Fermi No."), F.lit("NAME")).alias("cells"))
+    heads = c.active.where("p % 6 <> 5").select("stem", F.lit(1).alias("page"), F.lit(0).alias("table_no"), (F.col("p") % 2).cast("int").alias("row_no"), F.array(F.lit("ITEM"), F.lit("Site No."), F.lit("NAME")).alias("cells"))
     return at.unionByName(heads)
 
 
