@@ -106,20 +106,23 @@ class Model:
         """samples: language and text, in the order in which ties are decided."""
         self.langs = [lang for lang, _ in samples]
         self.alphabet = Alphabet([t for _, t in samples])
-        size, tables, self.root, self.bits, base = self.alphabet.size, [], [], [], 0
+        size, tables, self.begin, self.bits, base = self.alphabet.size, [], [], [], 0
         for _, text in samples:
             seq = self.alphabet.classes(text)[:SAMPLE_CHARS]
             t = automaton(seq.tolist(), size)
+            # Where the match ends, the next phrase begins with the same letter; the low bit counts it. The last row stands
+            # before a text and after a letter that the sample lacks, so whatever follows begins a phrase.
+            start = len(t)
+            t = np.concatenate([t, np.full((1, size), -1, np.int32)])
             missing = t < 0
-            # Where the match ends, the next phrase begins with the same letter; the low bit counts it.
-            t = np.where(missing, np.maximum(t[0], 0)[None, :], t)
+            t = np.where(missing, np.where(t[0] < 0, start, t[0])[None, :], t)
             t += base
             t *= 2 * size
             t |= missing
             tables.append(t.ravel())
-            self.root.append(base * size)
+            self.begin.append((base + start) * size)
             self.bits.append(math.log2(max(2, len(seq))))
-            base += len(t)
+            base += start + 1
         self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
 
     def phrases(self, seqs: list[np.ndarray]) -> np.ndarray:
@@ -136,8 +139,8 @@ class Model:
         padded = np.concatenate([flat, np.zeros(SEGMENT, flat.dtype)])
         grid = padded[begin[:, None] + np.arange(SEGMENT)].T.copy()
         active = np.searchsorted(-size, -np.arange(1, SEGMENT + 1), side="right")
-        state = np.repeat(np.array(self.root, np.int32)[:, None], lanes, 1)
-        ends = np.ones((len(self.langs), lanes), np.int32)
+        state = np.repeat(np.array(self.begin, np.int32)[:, None], lanes, 1)
+        ends = np.zeros((len(self.langs), lanes), np.int32)
         for t in range(int(size[0]) if lanes else 0):
             k = active[t]
             got = self.table.take(state[:, :k] + grid[t, :k])
