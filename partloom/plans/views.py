@@ -12,13 +12,27 @@ from partloom.sources.storage import stored
 
 
 class Views(Catalogue):
+    """The catalogue with its drawings and parts lists as tables, and what is derived from them."""
+
     @cached_property
-    def snaps(self) -> DataFrame:
-        return resolve.snap_refs(self.bom, self.active)
+    def active(self) -> DataFrame:
+        return stored(super().active, "active")
+
+    @cached_property
+    def bom_entries(self) -> DataFrame:
+        return stored(super().bom_entries, "entries")
+
+    @cached_property
+    def bom(self) -> DataFrame:
+        return stored(super().bom, "bom")
 
     @cached_property
     def repaired_bom(self) -> DataFrame:
-        return resolve.snapped(self.bom, self.snaps)
+        return stored(resolve.snapped(self.bom, self.snaps), "repaired")
+
+    @cached_property
+    def snaps(self) -> DataFrame:
+        return stored(resolve.snap_refs(self.bom, self.active), "snaps")
 
     @cached_property
     def edges(self) -> DataFrame:
@@ -27,7 +41,7 @@ class Views(Catalogue):
 
     @cached_property
     def tops(self) -> DataFrame:
-        return graph.roots_and_orphans(self.active, self.edges, self.repaired_bom)
+        return stored(graph.roots_and_orphans(self.active, self.edges, self.repaired_bom), "tops")
 
     @cached_property
     def roots(self) -> DataFrame:
@@ -46,5 +60,18 @@ class Views(Catalogue):
         return graph.planned_paths(self.edges, self.kept_roots)
 
 
+_OPEN: dict[tuple[str, str], Views] = {}
+
+
 def views(spark: SparkSession, sf_dir: str) -> Views:
-    return Views(spark, sf_dir)
+    """The views of a folder; kept, so that what several queries read is stored once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _OPEN:
+        _OPEN.clear()
+        _OPEN[key] = Views(spark, sf_dir)
+    return _OPEN[key]
+
+
+def forget() -> None:
+    """Lets the next query work everything out anew."""
+    _OPEN.clear()
