@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -14,6 +10,8 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partloom.sources.storage import shared_dir, stored  # noqa: F401  (the operators take them from here)
+
 #: Texts handed to one vectorised step hold about this many characters, so memory is bounded whatever a batch holds.
 SLICE_CHARS = 1_000_000
 
@@ -22,8 +20,13 @@ SLICE_CHARS = 1_000_000
 BATCH_BYTES = 4 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session, as texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -36,24 +39,6 @@ def crc_mod_py(doc_id: int, n: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % n
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set (single-machine tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="ckpt-")
-        atexit.register(shutil.rmtree, where, True)
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def stored(df: DataFrame, label: str = "t") -> DataFrame:
-    """df written as Parquet in the shared folder and read back: lineage ends there, and lost executors don't matter."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_rows(names: list[str], schema: pa.Schema, step: Callable[[dict[str, list]], dict[str, list]], text: str = "text"):
     """A mapInArrow function that applies step to column lists, in slices of bounded text."""
 
