@@ -163,3 +163,39 @@ def join_split_numbers(lines: DataFrame) -> DataFrame:
 def merged_events(events: DataFrame) -> DataFrame:
     """stem, pages (sorted) and seconds of OCR events, which may come in parts."""
     return events.groupBy("stem").agg(F.array_join(F.array_sort(F.collect_set("page")), ",").alias("pages"), F.sum("seconds").alias("seconds"))
+
+
+def _parsed(texts: list[str]) -> list[tuple[int | None, str, str | None]]:
+    """Entries of a page's lines: on one line, or with item, reference and description below each other; a line is used once."""
+    one = re.compile(r"([0-9]{1,4})\s+(F[0-9][0-9A-Za-z]*|FC[0-9]{1,8}[A-Za-z]?)(?:\s+(.*))?")
+    item, ref = re.compile(r"[0-9]{1,4}"), re.compile(r"F[0-9]{5,8}[A-Za-z]?|FC[0-9]{1,8}[A-Za-z]?")
+    label = re.compile(STOP)
+    out, i = [], 0
+    while i < len(texts):
+        if m := one.fullmatch(texts[i]):
+            out.append((int(m[1]), m[2], (m[3] or "").strip() or None))
+            i += 1
+        elif item.fullmatch(texts[i]) and i + 1 < len(texts) and ref.fullmatch(texts[i + 1]):
+            said = texts[i + 2] if i + 2 < len(texts) else ""
+            taken = bool(said) and not item.fullmatch(said) and not ref.fullmatch(said) and not one.fullmatch(said) and not label.match(said)
+            out.append((int(texts[i]), texts[i + 1], said if taken else None))
+            i += 3 if taken else 2
+        else:
+            i += 1
+    return out
+
+
+def page_entries(lines: DataFrame) -> DataFrame:
+    """stem, page, item, ref and description of every list row, in documents with a parts list.
+
+    Lines are consumed in order, so each page is gone through in turn; a page is one group.
+    """
+
+    def parse(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line_no")
+        found = _parsed([t for t in pdf["text"] if t])
+        out = pd.DataFrame(found, columns=["item", "ref", "description"]).astype({"item": "Int32"})
+        return out.assign(stem=pdf["stem"].iloc[0], page=pdf["page"].iloc[0])[["stem", "page", "item", "ref", "description"]]
+
+    listed = lines.join(has_parts_list(lines), "stem", "left_semi").select("stem", "page", "line_no", "text")
+    return listed.groupBy("stem", "page").applyInPandas(parse, "stem string, page int, item int, ref string, description string")

@@ -122,3 +122,8 @@ def split_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = t.select("stem", F.lit(1).alias("page"), F.lit(0).alias("line_no"), F.lit("F").alias("text"))
     second = t.select("stem", F.lit(1).alias("page"), F.lit(1).alias("line_no"), F.when(F.col("p") % 2 == 0, F.substring("base", 2, 20)).otherwise("x").alias("text"))
     return extract.join_split_numbers(first.unionByName(second)).select("stem", "text")
+
+
+@query(over("SELECT stem, CAST(1 AS INTEGER) AS page, CAST(n AS INTEGER) AS item, ref, description FROM numbered WHERE stem IN (SELECT stem FROM act WHERE p % 5 <> 0)", _LINES, graph=False))
+def page_bom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.page_entries(pages.page_lines(views(spark, sf_dir)))
