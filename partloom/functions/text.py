@@ -78,3 +78,39 @@ def iso_scale(width: Column, height: Column) -> Column:
     long = F.greatest(width, height)
     ratios = F.array(*[F.struct(F.abs(F.log(long / s)).alias("off"), F.lit(s).alias("side")) for s in sides])
     return F.array_min(ratios)["side"] / long
+
+
+# A full drawing number, and words that only point at other drawings.
+FULL_NUMBER = "^(F[0-9]{8}|FC[0-9]{7})$"
+POINTERS = ("AND", "OR", "&", "W/", "WITH", "PER", "SEE", "REF", "+")
+
+
+def ocr_number(word: Column) -> Column:
+    """A full drawing number from an OCR word: as it is, repaired, or with its F put back; null for fragments."""
+    up = F.upper(F.trim(word))
+    fixed = ocr_token(up)
+    return F.when(up.rlike(FULL_NUMBER), up).when(fixed.rlike(FULL_NUMBER), fixed).when(up.rlike("^[0-9]{8}$"), F.concat(F.lit("F"), up))
+
+
+def ocr_number_rank(word: Column) -> Column:
+    """0 for a number as it is, 1 for a repaired one, 2 for anything else."""
+    up = F.upper(F.trim(word))
+    return F.when(up.rlike(FULL_NUMBER), 0).when(F.coalesce(ocr_token(up).rlike(FULL_NUMBER), F.lit(False)), 1).otherwise(2)
+
+
+def names_a_part(description: Column) -> Column:
+    """Whether a description can name a part: two letters or digits at least, and no bare count."""
+    t = F.trim(F.coalesce(description, F.lit("")))
+    return (F.length(F.regexp_replace(t, "[^A-Za-z0-9]", "")) >= 2) & ~t.rlike("^[0-9]{1,3}$")
+
+
+def only_points(description: Column) -> Column:
+    """Whether a description holds nothing but drawing numbers and words that join them."""
+    rest = F.regexp_replace(F.upper(F.coalesce(description, F.lit(""))), r"\bFC?[0-9]{1,8}[A-Z]?\b", " ")
+    tokens = F.filter(F.transform(F.split(rest, r"\s+"), lambda w: F.regexp_replace(w, r"^[.,;:()]+|[.,;:()]+$", "")), lambda w: w != "")
+    return (F.size(tokens) > 0) & F.forall(tokens, lambda w: w.isin(*POINTERS))
+
+
+def name_is_whole(name: Column) -> Column:
+    """Whether a name read from a scan has three letters at least."""
+    return F.length(F.regexp_replace(F.coalesce(name, F.lit("")), "[^A-Za-z]", "")) >= 3

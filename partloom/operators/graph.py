@@ -130,3 +130,38 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
 
 def without_cycles(edges: DataFrame) -> DataFrame:
     return edges.select("parent", "child").where("parent <> child").distinct().join(stored(cycle_edges(edges), "back"), ["parent", "child"], "left_anti")
+
+
+def root_path_counts(edges: DataFrame, roots: DataFrame, depth: int = DEPTH_CAP) -> DataFrame:
+    """root, stem and copies: how often each drawing stands below each root, by sums over one level after another."""
+    e = stored(edges.select("parent", "child").distinct(), "edges")
+    level = stored(roots.select(F.col("stem").alias("root"), "stem").distinct().withColumn("copies", F.lit(1).cast(COUNT)), "level")
+    out = level
+    for _ in range(depth):
+        level = stored(level.join(e, level["stem"] == e["parent"]).groupBy("root", F.col("child").alias("stem")).agg(F.sum("copies").cast(COUNT).alias("copies")), "level")
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out.groupBy("root", "stem").agg(F.sum("copies").cast(COUNT).alias("copies"))
+
+
+def adopted_copies(counts: DataFrame, claims: DataFrame, files: DataFrame) -> DataFrame:
+    """root and adopted: files that adopting organized folders below a root copies.
+
+    counts: root, stem, copies; claims: stem, folder; files: folder, top, n. A top folder is moved by its first claimant, the
+    first root by name, so it is copied once less there.
+    """
+    j = counts.join(claims, "stem").join(files, "folder")
+    first = F.row_number().over(W.partitionBy("folder").orderBy("root", "stem")) == 1
+    times = F.col("copies") - F.when(F.col("top") & first, 1).otherwise(0)
+    return j.withColumn("adopted", times * F.col("n")).groupBy("root").agg(F.sum("adopted").cast(COUNT).alias("adopted"))
+
+
+def relationship_notes(edges: DataFrame, new: DataFrame, organized: DataFrame) -> DataFrame:
+    """stem, with_new and with_organized: relatives on either side of new drawings that have some on both."""
+    both = edges.select(F.col("parent").alias("stem"), F.col("child").alias("other")).union(edges.select("child", "parent"))
+    mine = new.select("stem").distinct()
+    held = organized.select("stem").distinct().join(mine, "stem", "left_anti")
+    near = both.join(mine, "stem", "left_semi")
+    side = lambda df, name: near.join(df.select(F.col("stem").alias("other")), "other", "left_semi").groupBy("stem").agg(F.array_join(F.array_sort(F.collect_set("other")), ",").alias(name))
+    return side(mine, "with_new").join(side(held, "with_organized"), "stem")

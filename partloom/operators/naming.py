@@ -101,3 +101,9 @@ def shortened_folders(placements: DataFrame, folders: DataFrame, target: str, li
 
     short = given.select("g", "path", "names").groupBy("g").applyInPandas(trim, "stem string, short string")
     return folders.join(stored(short, "short"), "stem", "left").select("stem", F.coalesce("short", "folder").alias("folder"))
+
+
+def merged_names(older: DataFrame, newer: DataFrame) -> DataFrame:
+    """stem and name from either table; the newer one wins where it has a name."""
+    j = older.select("stem", F.col("name").alias("old")).join(newer.select("stem", F.col("name").alias("new")), "stem", "full_outer")
+    return j.select("stem", F.coalesce(F.nullif("new", F.lit("")), "old").alias("name"))
