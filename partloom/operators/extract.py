@@ -199,3 +199,75 @@ def page_entries(lines: DataFrame) -> DataFrame:
 
     listed = lines.join(has_parts_list(lines), "stem", "left_semi").select("stem", "page", "line_no", "text")
     return listed.groupBy("stem", "page").applyInPandas(parse, "stem string, page int, item int, ref string, description string")
+
+
+# Captions of a title block.
+CAPTIONS = frozenset("USED ON|MATERIAL|SIZE|SCALE|DRAWING NUMBER|SHEET|REV|DRAWN|CHECKED|APPROVED|DATE|NAME|TITLE|NUMBER|NOTES|PROJECT|CATEGORY|GROUP|CAGE|CODE|TEMPLATE|VERSION|DESCRIPTION|REVISION|DOCUMENT|SIGNATURES|NEXT ASSY|DRAWING".split("|"))
+_LONE = re.compile(r"F[0-9]{1,8}[A-Za-z]?|FC[0-9]{1,8}[A-Za-z]?")
+_ITEM, _OF, _SIZE = re.compile(r"[0-9]{1,4}"), re.compile(r"(?i)1\s+OF\s*[0-9]+"), re.compile(r"[A-E]")
+
+
+def _above_run(texts: list[str], i: int) -> int:
+    """The line above the run of lone numbers that ends at i; -1 if the run begins the page."""
+    i -= 1
+    while i >= 0 and _LONE.fullmatch(texts[i]):
+        i -= 1
+    return i
+
+
+def in_title_block(texts: list[str], i: int) -> bool:
+    """Whether the lone number on line i belongs to the title block: a caption is next to it, or heads its run of numbers."""
+    at = lambda k: texts[k].upper() if 0 <= k < len(texts) else ""
+    if at(i - 1) in CAPTIONS or at(i + 1) in CAPTIONS or _OF.match(at(i + 1)):
+        return True
+    return any(k >= 0 and re.match(USED_ON, texts[k]) for k in (i - 2, _above_run(texts, i)))
+
+
+def in_list(texts: list[str], i: int) -> bool:
+    """Whether other rows of a list are near the lone number on line i, and no prose introduces it."""
+    head = _above_run(texts, i)
+    said = texts[head] if head >= 0 else ""
+    if said and not (_ITEM.fullmatch(said) or re.search(LIST_HEADER, said) or re.match(COLUMN_LABEL, said)):
+        return False
+    near = [texts[k] for k in range(max(0, i - 3), min(len(texts), i + 4)) if k != i]
+    return any(_LONE.match(t) or _ITEM.fullmatch(t) for t in near)
+
+
+def lone_numbers(lines: DataFrame) -> DataFrame:
+    """stem, page, line_no, ref, title_block and listed of numbers that have a line of their own."""
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("line_no")
+        texts = pdf["text"].tolist()
+        rows = [(s, p, n, t, in_title_block(texts, i), in_list(texts, i)) for i, (s, p, n, t) in enumerate(pdf[["stem", "page", "line_no", "text"]].itertuples(index=False)) if _LONE.fullmatch(t)]
+        return pd.DataFrame(rows, columns=["stem", "page", "line_no", "ref", "title_block", "listed"])
+
+    kept = lines.select("stem", "page", "line_no", "text").where("text <> ''")
+    return kept.groupBy("stem", "page").applyInPandas(judge, "stem string, page int, line_no int, ref string, title_block boolean, listed boolean")
+
+
+def list_anchor(words: DataFrame) -> DataFrame:
+    """stem, page, x and y of the list header: the label in whose row most other column labels stand, item counting three."""
+    heads = words.where(F.upper("text").isin("ITEM", "QTY", "PART", "NAME", "DESCRIPTION", "MATERIAL", OWNER))
+    own = heads.where(F.upper("text") == OWNER).select("stem", "page", "word_no", "x", "y")
+    others = heads.select("stem", "page", F.col("word_no").alias("w"), F.col("y").alias("oy"), (F.when(F.upper("text") == "ITEM", 3).otherwise(1)).alias("weight"))
+    j = own.join(others, ["stem", "page"], "left").where((F.col("w") != F.col("word_no")) & (F.abs(F.col("y") - F.col("oy")) <= Y_TOLERANCE))
+    scored = j.groupBy("stem", "page", "word_no", "x", "y").agg(F.sum("weight").alias("score"))
+    return scored.groupBy("stem", "page").agg(F.max_by(F.struct("x", "y", "score"), F.struct("score", -F.col("word_no"))).alias("b")).select("stem", "page", "b.*")
+
+
+def positional_entries(words: DataFrame) -> DataFrame:
+    """stem, page, item, ref and description from word positions: a row's number in the densest column, the item left of it,
+    the description right of it. Rows that begin with a caption are the title block's."""
+    rows = rows_by_y(words.select("stem", "page", "word_no", "x", "y", "text"))
+    numbers = rows.where(F.upper("text").rlike("^(F[0-9]{5,8}[A-Z]?|FC[0-9]{5,8}[A-Z]?)$"))
+    at = in_band(numbers, densest_band(numbers)).groupBy("stem", "page", "row_no").agg(F.min_by(F.struct(F.col("x").alias("nx"), F.upper("text").alias("ref")), "x").alias("n")).select("stem", "page", "row_no", "n.*")
+    j = rows.join(at, ["stem", "page", "row_no"])
+    left, right = F.col("x") < F.col("nx"), F.col("x") > F.col("nx")
+    g = j.groupBy("stem", "page", "row_no", "ref").agg(
+        F.max_by(F.when(left & F.col("text").rlike("^[0-9]{1,4}$"), F.col("text")), F.when(left & F.col("text").rlike("^[0-9]{1,4}$"), F.col("x"))).alias("item"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(right, F.struct("x", "text")))), lambda t: t["text"]), " ").alias("said"),
+        F.min_by(F.upper("text"), "x").alias("first"),
+    )
+    g = g.where(~F.col("first").isin(*sorted(CAPTIONS)))
+    return g.select("stem", "page", F.col("item").try_cast("int").alias("item"), "ref", F.nullif("said", F.lit("")).alias("description"))

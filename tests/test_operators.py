@@ -198,3 +198,19 @@ def test_ranking_ignores_order_and_repeats(spark):
     once = {r["stem"] for r in ranking.active(stems(spark, *KNOWN)).collect()}
     assert {r["stem"] for r in ranking.active(stems(spark, *names).repartition(7)).collect()} == once
     assert once | {r["stem"] for r in ranking.superseded(stems(spark, *names)).collect()} == set(KNOWN)
+
+
+def test_lone_numbers(spark):
+    texts = ["PARTS LIST", "1", "F10126106", "F10126107", "USED ON", "F10126108", "F10126109", "see also", "F10126110", "x"]
+    df = spark.createDataFrame([("s", 1, i, t) for i, t in enumerate(texts)], "stem string, page int, line_no int, text string")
+    got = {r["ref"]: (r["title_block"], r["listed"]) for r in extract.lone_numbers(df).collect()}
+    assert got == {"F10126106": (False, True), "F10126107": (True, True), "F10126108": (True, False), "F10126109": (True, False), "F10126110": (False, False)}
+
+
+def test_positions(spark):
+    rows = [(0, 10.0, 5.0, "ITEM"), (1, 50.0, 5.5, extract.OWNER), (2, 90.0, 5.0, "NAME"), (3, 50.0, 90.0, extract.OWNER), (4, 10.0, 15.0, "1"), (5, 50.0, 16.0, "F10126106"), (6, 90.0, 15.0, "PUMP"), (7, 120.0, 15.0, "RED"), (8, 52.0, 25.0, "F10126107"), (9, 200.0, 35.0, "F10126108"), (10, 5.0, 45.0, "SCALE"), (11, 51.0, 45.0, "F10126109")]
+    df = spark.createDataFrame([("s", 1, *r) for r in rows], "stem string, page int, word_no int, x double, y double, text string")
+    anchor = extract.list_anchor(df).first()
+    assert (anchor["x"], anchor["y"], anchor["score"]) == (50.0, 5.5, 4)
+    got = {(r["item"], r["ref"], r["description"]) for r in extract.positional_entries(df).collect()}
+    assert got == {(1, "F10126106", "PUMP RED"), (None, "F10126107", None)}
