@@ -21,7 +21,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from partloom.llm.common import arrow_rows
+from partloom.llm.common import arrow_rows, kept
 
 VOCAB = "byte_bpe_50k.json"
 #: Fragments a worker keeps; beyond it the cache starts anew.
@@ -102,15 +102,10 @@ class ForcedCutBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_LOADED: dict[str, ForcedCutBPE] = {}
-
-
 def encoder(path: str | None = None) -> ForcedCutBPE:
     """The encoder of this process; tables are built once."""
     path = path or public_tokenizers.path(VOCAB)
-    if path not in _LOADED:
-        _LOADED[path] = ForcedCutBPE(path)
-    return _LOADED[path]
+    return kept(("bpe", path), lambda: ForcedCutBPE(path))
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:

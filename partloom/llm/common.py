@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from partloom.sources.storage import shared_dir, stored  # noqa: F401  (the operators take them from here)
 
 #: Texts handed to one vectorised step hold about this many characters, so memory is bounded whatever a batch holds.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 500_000
 
 
 #: Most bytes that an Arrow batch of texts takes on its way to a Python worker.
@@ -30,6 +30,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_KEPT: dict = {}
+
+
+def kept(key: tuple, build: Callable):
+    """What build() makes, kept in this process until another operator needs its own: a worker holds one model at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; the fold key of the contracts."""
     return F.pmod(F.crc32(F.col(col).cast("string").cast("binary")), F.lit(n))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import annotated, arrow_rows, crc_mod, fresh
+from partloom.llm.common import annotated, arrow_rows, crc_mod, fresh, kept
 
 #: Letters of sample text a language is learned from; the bound of the model.
 SAMPLE_CHARS = 32_768
@@ -191,15 +191,9 @@ def samples(labelled: DataFrame, chars: int = SAMPLE_CHARS, docs: int = SAMPLE_D
     return [(lang, join(agreed[lang] or pool[lang])) for lang in order]
 
 
-_MODELS: dict[str, Model] = {}
-
-
 def _model(learned: list[tuple[str, str]]) -> Model:
     key = hashlib.sha256(repr(learned).encode("utf-8", "surrogatepass")).hexdigest()
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(learned)
-    return _MODELS[key]
+    return kept(("language", key), lambda: Model(learned))
 
 
 def identify(docs: DataFrame, learned: list[tuple[str, str]]) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import crc_mod, stored
+from partloom.llm.common import crc_mod, kept, stored
 
 VOCAB = "piece_bpe_32k.model"
 MARK = "▁"
@@ -160,14 +160,9 @@ def sp_byte(piece: str) -> bool:
     return len(piece) == 6 and piece.startswith("<0x") and piece.endswith(">")
 
 
-_TOKENIZERS: dict[str, sentencepiece.SentencePieceProcessor] = {}
-
-
 def tokenizer(path: str | None = None) -> sentencepiece.SentencePieceProcessor:
     path = path or public_tokenizers.path(VOCAB)
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = sentencepiece.SentencePieceProcessor(model_file=path)
-    return _TOKENIZERS[path]
+    return kept(("pieces", path), lambda: sentencepiece.SentencePieceProcessor(model_file=path))
 
 
 WORDS = pa.schema([("word", pa.list_(pa.string())), ("uses", pa.list_(pa.list_(pa.int32())))])
@@ -363,15 +358,9 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     return scored.withColumn("train_tokens", F.lit(train_tokens).cast("long"))
 
 
-_LATTICES: dict[int, Lattice] = {}
-
-
 def _lattice(pieces: dict[str, list[int]], classes: int, path: str | None) -> Lattice:
-    key = hash((path, classes, tuple((p, tuple(n)) for p, n in sorted(pieces.items()))))
-    if key not in _LATTICES:
-        _LATTICES.clear()
-        _LATTICES[key] = Lattice(pieces, classes, path)
-    return _LATTICES[key]
+    key = ("lattice", path, classes, hash(tuple((p, tuple(n)) for p, n in sorted(pieces.items()))))
+    return kept(key, lambda: Lattice(pieces, classes, path))
 
 
 def digest(docs: DataFrame) -> DataFrame:

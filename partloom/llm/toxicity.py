@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import arrow_rows, crc_mod, stored
+from partloom.llm.common import arrow_rows, crc_mod, kept, stored
 
 #: Labelled rows that are learned from, at most (in expectation); the bound of the model.
 SAMPLE_ROWS = 8192
@@ -172,15 +172,8 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model
     return Model(weights, slope, offset)
 
 
-_LEXICONS: dict[int, Lexicon] = {}
-
-
 def _lexicon(weights: dict[str, float]) -> Lexicon:
-    key = hash(tuple(weights.items()))
-    if key not in _LEXICONS:
-        _LEXICONS.clear()
-        _LEXICONS[key] = Lexicon(weights)
-    return _LEXICONS[key]
+    return kept(("toxicity", tuple(weights.items())), lambda: Lexicon(weights))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
