@@ -3,7 +3,8 @@
 Strong findings (base kinds) are reported wherever they stand. Weak parts (account names, endpoints, high-entropy words)
 say little alone; each is an interval on the text, widened to its scope, and is reported only if its scope meets that of a
 part that completes it: an identifier needs a secret, an endpoint needs a secret or an identifier with one, an entropy
-word needs an identifier or an endpoint. The interval join sorts both sides and sweeps once.
+word needs an identifier or an endpoint. The interval join sorts the ends of one side and looks up the other. Parts of any
+length are taken whole.
 
 Defined cases: null text is empty and has no spans; repeated rows each get their row; spans of one kind never overlap;
 extra columns are ignored.
@@ -30,9 +31,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_VALUE, LEAST_ACCESS = 6, 20
 
 KINDS = ("assign", "access", "hex", "account", "endpoint", "entropy")
-ACCOUNT = re.compile(r"""\b(?ai:user(?:name|_id)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,64})""")
-ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,256}|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?(?![\d.])")
-WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,128}(?![A-Za-z0-9+/_=-])")
+ACCOUNT = re.compile(r"""\b(?ai:user(?:name|_id)?|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]{3,})""")
+ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]{4,}|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{2,5})?(?![\d.])")
+WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")
 
 #: Characters on either side of a part in which its complement must lie.
 SCOPE = 160
@@ -63,19 +64,15 @@ def weak_parts(text: str) -> list[Span]:
     return found
 
 
-def meets(left: Iterable[Span], right: Iterable[Span], scope: int = SCOPE) -> set[Span]:
+def meets(left: Iterable[Span], right: list[Span], scope: int = SCOPE) -> set[Span]:
     """The left spans of which some right span lies within scope characters, without overlapping it."""
-    ends = sorted(right, key=lambda s: s[1])
-    starts = [s[1] for s in ends]
-    longest = max((e - s for _, s, e in ends), default=0)
-    out = set()
-    for span in left:
-        _, s, e = span
-        for other in ends[bisect_left(starts, s - scope - longest) : bisect_left(starts, e + scope + 1)]:
-            if other[2] >= s - scope and (other[2] <= s or other[1] >= e):
-                out.add(span)
-                break
-    return out
+    starts, ends = sorted(s for _, s, _ in right), sorted(e for _, _, e in right)
+
+    def near(s: int, e: int) -> bool:
+        i, j = bisect_left(starts, e), bisect_left(ends, s - scope)
+        return i < len(starts) and starts[i] <= e + scope or j < len(ends) and ends[j] <= s
+
+    return {span for span in left if near(span[1], span[2])}
 
 
 def linked(text: str, base: list[Span]) -> list[Span]:

@@ -248,6 +248,23 @@ def test_secrets_link_only_complements():
     assert secrets.redact(text, base + secrets.linked(text, base)) == "host [ENDPOINT] [ASSIGN]"
 
 
+def test_long_secrets_are_whole():
+    key, path = "aB3dE5fG7hJ9kL1mN2pQ" * 15, "x" * 300 + "?password1=q"
+    text = f"user: {'n' * 100} and {key} at https://h/{path} end"
+    spans = secrets.linked(text, [])
+    assert [(k, text[s:e]) for k, s, e in secrets.ordered(spans)] == [("account", f"user: {'n' * 100}"), ("entropy", key), ("endpoint", f"https://h/{path}")]
+    assert secrets.redact(text, spans) == "[ACCOUNT] and [ENTROPY] at [ENDPOINT] end"
+
+
+def test_meeting_spans_are_all_found():
+    draw = random.Random(8)
+    some = lambda: [("x", s, s + draw.choice([1, 3, 40])) for s in (draw.randrange(200) for _ in range(6))]
+    for _ in range(300):
+        left, right = some(), some()
+        want = {x for x in left if any(o[2] >= x[1] - 9 and o[1] <= x[2] + 9 and (o[2] <= x[1] or o[1] >= x[2]) for o in right)}
+        assert secrets.meets(left, right, 9) == want
+
+
 def test_pipeline_rows(spark, data, docs, rows):
     languages = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, langid.samples(docs)).collect()}
     items = {r["item_id"]: r["text"] for r in table(spark, data, "benchmark").collect()}
