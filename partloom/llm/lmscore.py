@@ -4,9 +4,11 @@ The pieces of an existing subword vocabulary get unigram weights for each class
 used in learning only): a prior from the vocabulary's own scores (its merge ranks), plus how often its segmentation uses a
 piece in the distinct words of the class. A word's probability is summed over all segmentations by a forward recursion, kept
 in range by a logarithmic offset; the first piece carries the word mark, and after each piece the word ends with the
-probability that a marked piece comes next, so these sum to 1 over all words. Counts of the training words are discounted
-by an absolute amount, and what that sets free is spread by the lattice; a share SHARED of each class is that of all
-classes together. The end of a text is a token of its own. A document's probability is the sum over the classes.
+probability that a marked piece comes next, so these sum to 1 over all words. The lattice is interpolated with whole words:
+counts of the training words are discounted by an absolute amount, and what that sets free is spread by the lattice, which
+is thus a back-off for words seen in training. Without whole words (an argument of score) the lattice alone is the
+probability, and its weights count the pieces of all training tokens. A share SHARED of each class is that of all classes
+together. The end of a text is a token of its own. A document's probability is the sum over the classes.
 
 Documents are cut into blocks. A block yields its distinct words and, for each document, indices into them, so that words
 (not tokens) meet the table of all words in a join, and each block is scored with its own words only.
@@ -250,8 +252,8 @@ def _blocks(classes: int):
     return run
 
 
-def _piece_counts(classes: int, path: str | None):
-    """For mapInArrow: how often the vocabulary's segmentation of the distinct words of each class uses a piece."""
+def _piece_counts(classes: int, path: str | None, tokens: bool):
+    """For mapInArrow: how often the vocabulary's segmentation of the distinct words (or all tokens) of each class uses a piece."""
 
     def count(batches):
         sp, total = tokenizer(path), {}
@@ -266,7 +268,7 @@ def _piece_counts(classes: int, path: str | None):
                     if x is None:
                         x = total[p] = [0] * classes
                     for k in on:
-                        x[k] += 1
+                        x[k] += n[k] if tokens else 1
         yield pa.RecordBatch.from_pydict({"piece": list(total), "n": list(total.values())}, schema=pa.schema([("piece", pa.string()), ("n", pa.list_(pa.int64()))]))
 
     return count
@@ -276,8 +278,11 @@ def _each(name: str, classes: int, of) -> list:
     return [of(F.get(name, F.lit(k))) for k in range(classes)]
 
 
-def score(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Per row of doc_id, text, held and label: token counts, the base score and the model's log10 probability of the text."""
+def score(docs: DataFrame, path: str | None = None, whole_words: bool = True) -> DataFrame:
+    """Per row of doc_id, text, held and label: token counts, the base score and the model's log10 probability of the text.
+
+    whole_words: whether counts of whole training words come before the lattice; without, the lattice alone scores.
+    """
     per = docs.where(~F.col("held")).groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(CLASSES + 1).collect()
     per, classes = per[:CLASSES], max(1, min(len(per), CLASSES + 1))
     kind = F.lit(classes - 1)
@@ -302,8 +307,9 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
     stats = counts.select(both.alias("c")).agg(F.array(*_each("c", classes + 1, lambda c: F.coalesce(F.sum(c), F.lit(0)))).alias("n"), *[F.array(*_each("c", classes + 1, lambda c, t=t: F.count(F.when(t(c), 1)))).alias(name) for name, t in (("v", lambda c: c > 0), ("n1", lambda c: c == 1), ("n2", lambda c: c == 2))]).first()
     n, v, n1, n2 = (np.array(stats[x], float) for x in ("n", "v", "n1", "n2"))
     discount = np.clip(np.where(n1 > 0, n1 / np.maximum(n1 + 2 * n2, 1), 0.5), 0.05, 0.95)
-    spread = np.where(n > 0, discount * v / np.maximum(n, 1), 1.0)
-    used = counts.mapInArrow(_piece_counts(classes, path), "piece string, n array<bigint>").groupBy("piece").agg(F.array(*_each("n", classes, F.sum)).alias("n"))
+    counted = n if whole_words else np.zeros_like(n)  # tokens that the counts of whole words rest on
+    spread = np.where(counted > 0, discount * v / np.maximum(counted, 1), 1.0)
+    used = counts.mapInArrow(_piece_counts(classes, path, not whole_words), "piece string, n array<bigint>").groupBy("piece").agg(F.array(*_each("n", classes, F.sum)).alias("n"))
     pieces = {r["piece"]: list(r["n"]) for r in used.collect()}  # one row for each piece of the vocabulary at most
 
     total_docs, train_tokens, distinct = n_docs.sum(), int(n[-1] + n_docs.sum()), int(v[-1] + (n_docs.sum() > 0))
@@ -323,7 +329,7 @@ def score(docs: DataFrame, path: str | None = None) -> DataFrame:
                 sub = lattice.log_probabilities(words)
                 sub = np.concatenate([sub, np.logaddexp.reduce(sub + np.log(share), axis=1)[:, None]], 1)
                 with np.errstate(divide="ignore"):
-                    seen = np.log(np.where(n > 0, np.maximum(c - discount, 0) / np.maximum(n, 1), 0))
+                    seen = np.log(np.where(counted > 0, np.maximum(c - discount, 0) / np.maximum(counted, 1), 0))
                 own = np.logaddexp(seen, sub + np.log(spread))
                 lp = np.logaddexp(own[:, :-1] + math.log(1 - SHARED), own[:, -1:] + math.log(SHARED)) + math.log(1 - end)
                 rows = [x.tobytes() for x in (lp / math.log(10)).astype("<f4")]

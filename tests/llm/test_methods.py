@@ -90,6 +90,21 @@ def test_lattice_sums_all_segmentations():
     assert np.isfinite(lattice.long_word("x" * 5000)).all()
 
 
+def test_lattice_alone_is_the_sum_over_segmentations(spark):
+    texts = [(1, "the hill the moon", False, "en"), (2, "la lune thhent.", False, "fr"), (3, "the lune zq", True, None)]
+    got = lmscore.score(spark.createDataFrame(texts, "doc_id bigint, text string, held boolean, label string"), whole_words=False).collect()
+    counts: dict = {}
+    for k, words in enumerate((texts[0][1].split(), texts[1][1].split())):
+        for p in itertools.chain(*lmscore.tokenizer().encode(words, out_type=str)):
+            counts.setdefault(p, [0, 0])[k] += 1
+    lattice, end = lmscore.Lattice(counts, 2), 2.5 / (9 + 1)  # two ends among nine training tokens
+    for r in got:
+        each = np.exp(lattice.log_probabilities(texts[r["doc_id"] - 1][1].split()))
+        each = (1 - lmscore.SHARED) * each + lmscore.SHARED * each.mean(1, keepdims=True)
+        want = math.log10((np.prod(each * (1 - end), axis=0) / 2).sum() * end)
+        assert math.isclose(r["score"], want, rel_tol=1e-5)
+
+
 def test_counts_pack():
     ids, times = lmscore.unpack(*lmscore.pack(np.array([5, 70_000, 3]), np.array([1, 1000, 255])))
     assert {int(i): int(times[ids == i].sum()) for i in ids} == {5: 1, 70_000: 1000, 3: 255}
