@@ -37,6 +37,8 @@ VOCAB = "piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of the words that are summed side by side, and how many of them.
 SHORT, BATCH = 40, 2048
+#: A sum below it may have lost terms to the least number, and is made again in log space.
+LEAST_SUM = 1e-280
 #: Bytes of the texts of a block, to the batch.
 BLOCK_BYTES = 32_000_000
 #: Weight of the prior, in counts, and the rank by which it falls by half.
@@ -117,8 +119,8 @@ class Lattice:
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         """The natural logarithm of each word's probability in each class, over all segmentations.
 
-        Words of up to SHORT characters are summed side by side, position by position; their sums stay far from the least
-        number. Longer words go one by one.
+        Words of up to SHORT characters are summed side by side, position by position. Longer words, and those whose sum
+        comes near the least number in some class, go one by one in log space.
         """
         out = np.zeros((len(words), self.classes))
         owner: list[int] = []
@@ -154,7 +156,10 @@ class Lattice:
                     sums[p + 1, :, k] = np.bincount(w, part[:, k], len(words))
         size = np.array([len(w) for w in words])
         short = np.flatnonzero(size <= SHORT)
-        out[short] = np.log(np.maximum(sums[size[short] + 1, short], 5e-324)) + np.log(self.end)
+        ends = sums[size[short] + 1, short]
+        out[short] = np.log(np.maximum(ends, LEAST_SUM)) + np.log(self.end)
+        for k in short[(ends < LEAST_SUM).any(1)]:
+            out[k] = self.long_word(words[k])
         return out
 
 

@@ -90,6 +90,14 @@ def test_lattice_sums_all_segmentations():
     assert np.isfinite(lattice.long_word("x" * 5000)).all()
 
 
+def test_words_of_unseen_scripts_do_not_underflow():
+    lattice = lmscore.Lattice({"▁the": [10**11, 3]}, 2)
+    words = ["the", "ж" * 40, "漢字" * 20, "ሀለሐመ" * 5, "ж" * 41]
+    got = lattice.log_probabilities(words)
+    assert np.allclose(got, [lattice.long_word(w) for w in words])
+    assert got[2, 0] < math.log(5e-324) and got[4, 0] < got[1, 0] < got[0, 0]
+
+
 def test_lattice_alone_is_the_sum_over_segmentations(spark):
     texts = [(1, "the hill the moon", False, "en"), (2, "la lune thhent.", False, "fr"), (3, "the lune zq", True, None)]
     got = lmscore.score(spark.createDataFrame(texts, "doc_id bigint, text string, held boolean, label string"), whole_words=False).collect()
