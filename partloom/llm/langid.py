@@ -168,6 +168,10 @@ class Model:
         return langs, scores
 
 
+def has_letter(text: str) -> bool:
+    return any(c.isalpha() for c in text.lower())
+
+
 def samples(labelled: DataFrame, chars: int = SAMPLE_CHARS, docs: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
     """For each label a bounded sample: of about `docs` documents drawn by a hash of the id, up to DOC_CHARS of each.
 
@@ -216,8 +220,16 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text has a language, as learned from docs itself; missing labels are filled in."""
-    shared = docs.sparkSession.sparkContext.broadcast(samples(docs))
+    """The rows of docs whose text has a letter; missing labels are filled in with the language learned from docs itself.
+
+    No text with a letter is rejected, whatever its cost. Where no row has a label, nothing is learned and labels stay null.
+    """
+    learned = samples(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(learned)
     name = fresh(docs, "lang_pred")
-    found = annotated(docs, [(name, "string", pa.string())], lambda texts: [_model(shared.value).predict(texts)[0]])
-    return found.where(F.col(name) != NONE).select(*[F.coalesce("lang", name).alias("lang") if c == "lang" else F.col(c) for c in docs.columns])
+    if learned:
+        step = lambda texts: [_model(shared.value).predict(texts)[0]]
+    else:
+        step = lambda texts: [[None if has_letter(t or "") else NONE for t in texts]]
+    found = annotated(docs, [(name, "string", pa.string())], step)
+    return found.where(~F.col(name).eqNullSafe(F.lit(NONE))).select(*[F.coalesce("lang", name).alias("lang") if c == "lang" else F.col(c) for c in docs.columns])

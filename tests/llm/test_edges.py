@@ -80,6 +80,12 @@ def test_texts_without_letters_have_no_language(docs):
     assert {r["lang_pred"] for r in unlabelled} == {"und"}
 
 
+def test_unlabelled_documents_are_accepted(docs):
+    got = langid.accepted(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 6, 7, 8, 8, 9, 10, 11] and {r["lang"] for r in got} == {None}
+    assert [r["doc_id"] for r in langid.accepted(docs.where("doc_id = 5 or doc_id = 9")).collect()] == [9]
+
+
 def test_null_and_empty_texts_are_alike(docs, bench):
     got = {r["doc_id"]: r for r in lmscore.digest(docs).collect()}
     assert got[2]["n_tokens"] == got[3]["n_tokens"] == got[4]["n_tokens"] == 1
