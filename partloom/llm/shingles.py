@@ -38,19 +38,23 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every word of the texts, and each text's number of words."""
+def word_spans(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased bytes of all texts, begin, end and hash of every word in them, and each text's number of words."""
     raw = [(t or "").encode() for t in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    data = _LOWER[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
     begin = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
-    space = _SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data]]).view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
     up, down = _powers(len(data))
     with np.errstate(over="ignore"):
-        total = np.concatenate([[U(0)], np.cumsum((_LOWER[data].astype(U) + U(1)) * up)])
+        total = np.concatenate([[U(0)], np.cumsum((data.astype(U) + U(1)) * up)])
         h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
-    counts = np.diff(np.searchsorted(starts, begin))
+    return data, starts, ends, h, np.diff(np.searchsorted(starts, begin))
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every word of the texts, and each text's number of words."""
+    *_, h, counts = word_spans(texts)
     return h, counts
 
 

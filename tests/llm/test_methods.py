@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -75,47 +76,89 @@ def test_phrases_are_longest_matches():
         assert model.phrases([model.alphabet.classes(text)])[0, 0] == count
 
 
+def plain_log_probability(lattice, word):
+    """One place after another, in log space, for each class."""
+    begin, end, row, odd = [], [], [], {}
+    lattice.arcs(word, 0, begin, end, row, odd)
+    weight = [lattice.by_bytes(list(odd)[r - len(lattice.rows)]) if r >= len(lattice.rows) else lattice.rows[r] for r in row]
+    at = {0: np.zeros(lattice.classes)}
+    for p in range(1, len(word) + 2):
+        into = [at[b] + w for b, e, w in zip(begin, end, weight) if e == p and b in at]
+        if into:
+            at[p] = np.logaddexp.reduce(into)
+    return at[len(word) + 1] + lattice.end
+
+
+def uses(counts):
+    """counts by piece as rows of the vocabulary."""
+    sp = lmscore.tokenizer()
+    out = np.zeros((sp.get_piece_size(), 2), np.int64)
+    for piece, n in counts.items():
+        out[sp.piece_to_id(piece)] = n
+    return out
+
+
 def test_lattice_sums_all_segmentations():
-    lattice = lmscore.Lattice({}, 2)
+    lattice = lmscore.Lattice(uses({}))
     for word in ("a", "thhent.", "éß漢x", "foo,bar", "the"):
-        arcs: dict = {}
-        for a in lattice.arcs(word):
-            arcs.setdefault(a[0], []).append(a)
+        begin, end, row, odd = [], [], [], {}
+        lattice.arcs(word, 0, begin, end, row, odd)
+        leads: dict = {}
+        for b, e, r in zip(begin, end, row):
+            w = lattice.by_bytes(list(odd)[r - len(lattice.rows)]) if r >= len(lattice.rows) else lattice.rows[r]
+            leads.setdefault(b, []).append((e, np.exp(w)))
 
-        def total(i, word=word, arcs=arcs):
-            return np.ones(2) if i == len(word) else sum((lattice._weight(word, a) * total(a[1]) for a in arcs.get(i, [])), np.zeros(2))
+        def total(i, word=word, leads=leads):
+            return np.ones(2) if i == len(word) + 1 else sum((w * total(e) for e, w in leads.get(i, [])), np.zeros(2))
 
-        want = np.log(total(-1) * lattice.end)
-        assert np.allclose(lattice.log_probabilities([word])[0], want) and np.allclose(lattice.long_word(word), want)
-    assert np.isfinite(lattice.long_word("x" * 5000)).all()
+        want = np.log(total(0)) + lattice.end
+        assert np.allclose(lattice.log_probabilities([word])[0], want, rtol=1e-12)
 
 
-def test_words_of_unseen_scripts_do_not_underflow():
-    lattice = lmscore.Lattice({"▁the": [10**11, 3]}, 2)
-    words = ["the", "ж" * 40, "漢字" * 20, "ሀለሐመ" * 5, "ж" * 41]
+def test_words_of_any_length_and_script_are_summed_in_log_space():
+    lattice = lmscore.Lattice(uses({"▁the": [10**11, 3]}))
+    parts = ["the", "ж", "漢字", "ሀለሐመ", "🙂", "𐍈", "x", "é"]
+    words = [(p * 200)[:n] for p in parts for n in (1, 2, 24, 39, 40, 41, 120, 200)] + ["the漢𐍈жx" * 12, "a"]
     got = lattice.log_probabilities(words)
-    assert np.allclose(got, [lattice.long_word(w) for w in words])
-    assert got[2, 0] < math.log(5e-324) and got[4, 0] < got[1, 0] < got[0, 0]
+    for w, row in zip(words, got):
+        assert np.allclose(row, plain_log_probability(lattice, w), rtol=1e-9, atol=0)
+    assert got[words.index("𐍈" * 24)].max() < math.log(5e-324)  # far below the least number
+    assert np.isfinite(lattice.log_probabilities(["x" * 50_000])).all()
 
 
-def test_lattice_alone_is_the_sum_over_segmentations(spark):
+def test_scores_are_sums_over_segmentations(spark):
     texts = [(1, "the hill the moon", False, "en"), (2, "la lune thhent.", False, "fr"), (3, "the lune zq", True, None)]
-    got = lmscore.score(spark.createDataFrame(texts, "doc_id bigint, text string, held boolean, label string"), whole_words=False).collect()
-    counts: dict = {}
-    for k, words in enumerate((texts[0][1].split(), texts[1][1].split())):
-        for p in itertools.chain(*lmscore.tokenizer().encode(words, out_type=str)):
-            counts.setdefault(p, [0, 0])[k] += 1
-    lattice, end = lmscore.Lattice(counts, 2), 2.5 / (9 + 1)  # two ends among nine training tokens
-    for r in got:
-        each = np.exp(lattice.log_probabilities(texts[r["doc_id"] - 1][1].split()))
-        each = (1 - lmscore.SHARED) * each + lmscore.SHARED * each.mean(1, keepdims=True)
-        want = math.log10((np.prod(each * (1 - end), axis=0) / 2).sum() * end)
-        assert math.isclose(r["score"], want, rel_tol=1e-5)
+    df = spark.createDataFrame(texts, "doc_id bigint, text string, held boolean, label string")
+    end, tokens = 2.5 / (9 + 1), 9  # two ends among nine training tokens
+    training = [texts[0][1].split(), texts[1][1].split()]
+    for whole in (False, True):
+        counts: dict = {}
+        for k, words in enumerate(training):
+            for p in itertools.chain(*lmscore.tokenizer().encode(sorted(set(words)) if whole else words, out_type=str)):
+                counts.setdefault(p, [0, 0])[k] += 1
+        lattice = lmscore.Lattice(uses(counts))
+        c = [Counter(words) for words in training]
+        c.append(c[0] + c[1])
+        n = [sum(x.values()) for x in c]
+        cut = [np.clip(n1 / (n1 + 2 * n2), 0.05, 0.95) for x in c for n1, n2 in [(sum(v == k for v in x.values()) for k in (1, 2))]]
+        for r in lmscore.score(df, whole_words=whole).collect():
+            words = texts[r["doc_id"] - 1][1].split()
+            sub = np.exp(lattice.log_probabilities(words))
+            own = np.concatenate([sub, sub.mean(1, keepdims=True)], 1)
+            alone = own[:, 2]
+            if whole:
+                own = np.array([[max(c[k][w] - cut[k], 0) / n[k] + cut[k] * len(c[k]) / n[k] * own[i, k] for k in range(3)] for i, w in enumerate(words)])
+            each = (1 - lmscore.SHARED) * own[:, :2] + lmscore.SHARED * own[:, 2:]
+            assert math.isclose(r["score"], math.log10((np.prod(each * (1 - end), axis=0) / 2).sum() * end), rel_tol=1e-6)
+            assert math.isclose(r["lattice_score"], math.log10(np.prod(alone * (1 - end)) * end), rel_tol=1e-6)
+            assert r["train_tokens"] == tokens
 
 
 def test_counts_pack():
-    ids, times = lmscore.unpack(*lmscore.pack(np.array([5, 70_000, 3]), np.array([1, 1000, 255])))
-    assert {int(i): int(times[ids == i].sum()) for i in ids} == {5: 1, 70_000: 1000, 3: 255}
+    for big in (70_000, 1 << 25):
+        ids, times = lmscore.pack(np.array([0, 0, 2]), np.array([5, big, 3]), np.array([1, 1000, 255]), 3)
+        got = [lmscore.unpack(i, t) for i, t in zip(ids.to_pylist(), times.to_pylist())]
+        assert [{int(i): int(t[ids == i].sum()) for i in ids} for ids, t in got] == [{5: 1, big: 1000}, {}, {3: 255}]
 
 
 def test_base_scores(docs, rows):
@@ -128,7 +171,7 @@ def test_base_scores(docs, rows):
         want = sum(math.log10((count[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in tokens)
         assert math.isclose(r["base_score"], want, rel_tol=1e-9)
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(count[w] > 0 for w in tokens), total)
-    assert all(r["score"] < 0 for r in got)
+    assert all(r["score"] < 0 and r["lattice_score"] < 0 for r in got)
 
 
 def test_neighbours_are_all_found(spark, docs, rows):
