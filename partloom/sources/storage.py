@@ -3,25 +3,55 @@
 from __future__ import annotations
 
 import atexit
-import shutil
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of this process's sessions, with what deletes them.
+_OWN: dict[str, tuple] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where none is set (single-machine runs)."""
+    """This application's folder in the session's spark.checkpoint.dir.
+
+    Where none is set, a temporary folder serves a session on one machine; on a cluster, whose machines don't share it, that
+    is an error. The application's folder is deleted by clean(), and at the end of the process.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         where = tempfile.mkdtemp(prefix="ckpt-")
-        atexit.register(shutil.rmtree, where, True)
         spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    own = f"{where}/partloom-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        _OWN[own] = (spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration())
+    return own
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes what the session's operators have stored; results that aren't written yet must not be needed any more."""
+    _delete(shared_dir(spark))
+
+
+def _delete(path: str) -> None:
+    jvm, conf = _OWN.pop(path)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+@atexit.register
+def _clean_all() -> None:
+    for path in list(_OWN):
+        with contextlib.suppress(Exception):  # the session's JVM may be gone
+            _delete(path)
 
 
 def stored(df: DataFrame, label: str = "t") -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage ends there, and lost executors don't matter."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,14 +5,19 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+LEFT = "import __spark_entry__ as e; q = e.queries(); assert 'roots' in q and not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
 
 
-def test_the_rest_stands_alone(tmp_path):
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_the_rest_stands_alone(tmp_path, gone):
     to = tmp_path / "repo"
-    shutil.copytree(ROOT, to, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'roots' in q and not any(n.startswith('op') and n[2].isdigit() or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=to, check=True, timeout=120, env=os.environ | {"PYTHONPATH": str(to)})
+    shutil.copytree(ROOT, to, ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
+    env = os.environ | {"PYTHONPATH": str(to)}
+    subprocess.run([sys.executable, "-c", LEFT], cwd=to, check=True, timeout=120, env=env)
+    subprocess.run([sys.executable, "-m", "pytest", "tests", "--collect-only", "-q"], cwd=to, check=True, timeout=120, env=env, stdout=subprocess.DEVNULL)
 
 
 def test_nothing_else_imports_it():
