@@ -1,35 +1,43 @@
 """Byte-level BPE by forced-boundary splitting.
 
-A byte pair that stands inside no vocabulary token can never be merged across, so a cut between its bytes is certain.
-Where a non-space character meets a space the pre-tokenizer cuts as well (none of its branches goes on from a non-space to
-a space, and its look-ahead only sees the white space that stays within the right fragment), so a text splits into
-fragments at every forced pair ending in a space; each is encoded alone and the ids are concatenated. Fragments repeat, so
-their ids are kept in a bounded cache; a fragment that isn't there is pre-tokenized and merged by rank on its own.
+A byte pair that stands inside no vocabulary token is never merged across, so merging alone never needs both its sides. The
+pre-tokenizer must not see the cut either: it goes on from any place without looking back, and looks ahead only in white
+space and after an apostrophe. So a cut between two characters is certain if their bytes are such a pair, the left one is
+no white space, and no apostrophe that could begin a contraction is set free or torn from it. A text is cut at every such
+place, the fragments are encoded independently by the tokenizers library, and their ids are concatenated. Most fragments
+come again and again: a slice of texts is cut, hashed and numbered in arrays, and only fragments that the worker hasn't met
+go to the library. A 64-bit hash stands for a fragment of up to LONGEST bytes; longer ones are encoded where they stand.
 
-Defined cases: null text is empty and has no ids; repeated rows each get their row; any length of text is encoded whole.
+Defined cases: null text is empty and has no ids; special tokens' strings become their ids, as in the library; repeated
+rows each get their row, and a null doc_id keeps its row; texts of any length are encoded whole, in pieces that end at
+certain cuts; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
+import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 
 from partloom.llm.common import arrow_rows, kept
+from partloom.llm.shingles import hashed
 
 VOCAB = "byte_bpe_50k.json"
-#: Fragments a worker keeps; beyond it the cache starts anew.
-CACHE = 250_000
-#: The byte-level pre-tokenizer's pattern (fixed value of the vocabulary).
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: White space before a space, where no cut may be made.
-AWKWARD = regex.compile(r"[\x09-\x0d\x1c-\x1f] ")
+#: Fragments a worker keeps, and the most bytes of one; beyond CACHE it starts anew.
+CACHE, LONGEST = 500_000, 64
+#: Bytes that are cut and numbered together.
+PIECE = 1 << 20
+# Letters with which the pre-tokenizer's contractions go on after the apostrophe ('s 't 're 've 'm 'll 'd).
+CONTRACTED = "strvmld"
+#: The last bytes of characters that are white space, and what stands before them.
+WIDE_SPACES = ((b"\xc2", (0x85, 0xA0)), (b"\xe1\x9a", (0x80,)), (b"\xe1\xa0", (0x8E,)), (b"\xe2\x80", (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), (b"\xe2\x81", (0x9F,)), (b"\xe3\x80", (0x80,)))
+SPACES = frozenset((*range(0x09, 0x0E), *range(0x1C, 0x20), 0x20))
 
 
 def _byte_chars() -> dict[str, int]:
@@ -39,67 +47,213 @@ def _byte_chars() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, begin and length of each."""
+    size = np.array([len(t) for t in texts], np.int64)
+    return np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, size
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of every range, one after another."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class ForcedCutBPE:
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.library = Tokenizer.from_file(path)
+        self.library.no_padding()
+        self.library.no_truncation()
         raw = _byte_chars()
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        to_bytes = lambda s: bytes(raw[c] for c in s)
-        self.token = {i: s.encode() if s in self.special else to_bytes(s) for s, i in spec["model"]["vocab"].items()} | {i: s.encode() for s, i in self.special.items()}
-        ids = {b: i for i, b in self.token.items() if i not in self.special.values()}
-        # Priorities: the single bytes, then what each merge makes, in order.
-        order = [bytes([b]) for b in range(256)]
-        for pair in spec["model"]["merges"]:
-            x, y = pair if isinstance(pair, list) else pair.split(" ")
-            order.append(to_bytes(x + y))
-        self.core = tiktoken.Encoding("fragment", pat_str=SPLIT, mergeable_ranks={b: r for r, b in enumerate(order)}, special_tokens={})
-        self.id_of = np.array([ids[b] for b in order], "<u4")
-        self.inside_set = {b[k : k + 2] for b in ids for k in range(len(b) - 1)}
-        self.bytes_of = [self.token.get(i, b"") for i in range(max(self.token) + 1)]
-        self.text_of = [str(i) for i in range(len(self.bytes_of))]
-        self.cache: dict[str, bytes] = {}
-        # Where a fragment may end: any character that is not white space and whose last byte forms a forced pair with a space.
-        self.tied_last = {b[0] for b in self.inside_set if b[1] == 32}
-        self.cut = regex.compile(r"(?<=[^\s\x1c-\x1f])(?= )")
-        self.added = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        token = {i: bytes(raw[c] for c in s) for s, i in spec["model"]["vocab"].items() if s not in special} | {i: s.encode() for s, i in special.items()}
+        self.inside_set = {b[k : k + 2] for i, b in token.items() if i not in special.values() for k in range(len(b) - 1)}
+        every = [token.get(i, b"") for i in range(max(token) + 1)]
+        self.bytes_of, self.digits_of = _table(every), _table([b"%d," % i for i in range(len(every))])
+        self.special = regex.compile(b"|".join(regex.escape(s.encode()) for s in sorted(special, key=len, reverse=True))) if special else None
+        self.certain = self._certain().ravel()
+        self._forget()
+
+    def _certain(self) -> np.ndarray:
+        """Whether a character that ends with byte a and one that begins with byte b are certainly cut apart, as far as two bytes tell."""
+        ok = np.ones((256, 256), bool)
+        for pair in self.inside_set:
+            ok[pair[0], pair[1]] = False
+        ok[:, 0x80:0xC0] = False  # inside a character
+        ok[sorted(SPACES)] = False
+        ok[ord("'"), [ord(c) for c in CONTRACTED]] = False
+        for pair in ("re", "ve", "ll"):
+            ok[ord(pair[0]), ord(pair[1])] = False
+        plain = [a for a in range(128) if chr(a).isalnum()]
+        ok[[a for a in range(256) if a not in plain], ord("'")] = False  # signs take a following apostrophe into their run
+        return ok
+
+    def _forget(self) -> None:
+        self.number: dict[int, int] = {}
+        self.begin, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
+
+    def cuts(self, data: np.ndarray) -> np.ndarray:
+        """Marks the places before bytes of a text at which it is cut; special tokens stand alone."""
+        cut = np.zeros(len(data) + 1, bool)
+        cut[1:-1] = self.certain[(data[:-1].astype(np.uint16) << 8) | data[1:]]
+        if len(data) and data.max() >= 0x80:
+            for lead, last in WIDE_SPACES:
+                at = np.flatnonzero(np.isin(data, last))
+                at = at[at >= len(lead)]
+                for k, b in enumerate(lead):
+                    at = at[data[at - len(lead) + k] == b]
+                cut[at + 1] = False
+        if self.special is not None:
+            for m in self.special.finditer(data.tobytes()):
+                cut[m.start() + 1 : m.end()] = False
+                cut[[m.start(), m.end()]] = True
+        cut[[0, -1]] = True
+        return cut
 
     def fragments(self, text: str) -> list[str]:
-        """The text at its certain cuts before spaces."""
-        if min(self.tied_last, default=128) < 128 or "  " in text or not text.isascii() or AWKWARD.search(text):
-            out, lo = [], 0
-            for m in self.cut.finditer(text):
-                at = m.start()
-                if text[at - 1].isascii() or text[at - 1].encode()[-1] not in self.tied_last:
-                    out.append(text[lo:at])
-                    lo = at
-            out.append(text[lo:])
-            return out
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
-    def _packed(self, fragment: str) -> bytes:
-        """A fragment's ids as bytes, kept for the next time."""
-        got = self.id_of[self.core.encode_ordinary(fragment)].tobytes()
-        if len(self.cache) >= CACHE:
-            self.cache.clear()
-        if len(fragment) <= 64:
-            self.cache[fragment] = got
-        return got
+        raw = text.encode()
+        at = np.flatnonzero(self.cuts(np.frombuffer(raw, np.uint8))).tolist() if raw else []
+        return [raw[a:b].decode() for a, b in zip(at, at[1:])]
+
+    def _pieces(self, raw: bytes):
+        """A long text in pieces of about PIECE bytes that end at certain cuts, before a space after a letter or digit."""
+        while len(raw) > 2 * PIECE:
+            for m in regex.finditer(rb"(?<=[0-9A-Za-z])(?= )", raw, pos=PIECE):
+                if self.certain[raw[m.start() - 1] << 8 | 0x20]:
+                    yield raw[: m.start()]
+                    raw = raw[m.start() :]
+                    break
+            else:
+                break
+        yield raw
+
+    def _learn(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of fragments, one after another, and how many each has.
+
+        Fragments that begin with a space and end with a letter or digit are certainly apart from each other, so they go to
+        the library as one text; its ids' bytes tell where each ends.
+        """
+        data = np.frombuffer(raw, np.uint8)
+        last = data[ends - 1]
+        joined = (data[starts] == 0x20) & ((last >= 0x30) & (last <= 0x39) | (last >= 0x41) & (last <= 0x5A) | (last >= 0x61) & (last <= 0x7A)) & self.certain[(last.astype(np.int64) << 8) | 0x20]
+        own, alone = np.flatnonzero(joined), np.flatnonzero(~joined)
+        count = np.zeros(len(starts), np.int64)
+        parts: list[np.ndarray] = []
+        if len(own):
+            size = ends[own] - starts[own]
+            text = data[_spread(starts[own], size)].tobytes().decode()
+            got = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            reach = np.searchsorted(np.cumsum(self.bytes_of[2][got]), np.cumsum(size), side="left") + 1
+            count[own] = np.diff(reach, prepend=0)
+            parts.append(got)
+        for e in self.library.encode_batch_fast([raw[a:b].decode() for a, b in zip(starts[alone].tolist(), ends[alone].tolist())], add_special_tokens=False) if len(alone) else ():
+            parts.append(np.array(e.ids, np.uint32))
+        count[alone] = [len(p) for p in parts[len(parts) - len(alone) :]]
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        order = np.concatenate([own, alone])
+        where = np.empty(len(order), np.int64)
+        where[order] = np.cumsum(count[order]) - count[order]
+        return ids[_spread(where, count)], count
+
+    def _kept(self, raw: bytes, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The numbers under which fragments are kept; those not met before are learned."""
+        if len(self.number) + len(h) > CACHE:
+            self._forget()
+        keys = h.tolist()
+        get = self.number.get
+        at = np.array([get(k, -1) for k in keys], np.int64)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            ids, count = self._learn(raw, starts[new], ends[new])
+            base, total = len(self.number), len(self.number) + len(new)
+            if total > len(self.begin):
+                self.begin, self.size = (np.concatenate([x, np.zeros(total, np.int64)]) for x in (self.begin, self.size))
+            if self.used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(self.used + len(ids), np.uint32)])
+            self.begin[base:total], self.size[base:total] = self.used + np.cumsum(count) - count, count
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            at[new] = np.arange(base, total)
+            self.number.update(zip((keys[k] for k in new.tolist()), range(base, total)))
+        return at
+
+    def encode_many(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        pieces, owner = [], []
+        for k, t in enumerate(texts):
+            for p in self._pieces((t or "").encode()):
+                if p:
+                    pieces.append(p)
+                    owner.append(k)
+        got, counts, lo = [], np.zeros(len(texts), np.int64), 0
+        while lo < len(pieces):
+            hi, size = lo + 1, len(pieces[lo])
+            while hi < len(pieces) and size + len(pieces[hi]) <= PIECE:
+                size += len(pieces[hi])
+                hi += 1
+            ids, n = self._encode(pieces[lo:hi])
+            got.append(ids)
+            np.add.at(counts, owner[lo:hi], n)
+            lo = hi
+        return np.concatenate(got) if got else np.zeros(0, np.uint32), counts
+
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        raw = b"".join(pieces)
+        data = np.frombuffer(raw, np.uint8)
+        bounds = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
+        # Texts meet without anything between them: special strings across their bounds are none, so each is cut alone.
+        cut = self.cuts(data) if self.special is None or not self.special.search(raw) else np.concatenate([*(self.cuts(np.frombuffer(p, np.uint8))[:-1] for p in pieces), [True]])
+        cut[bounds] = True
+        places = np.flatnonzero(cut)
+        starts, ends = places[:-1], places[1:]
+        h = hashed(data, starts, ends)
+        long = np.flatnonzero(ends - starts > LONGEST)
+        number = np.zeros(len(starts), np.int64)
+        brief = np.flatnonzero(ends - starts <= LONGEST)
+        own, first, inverse = np.unique(h[brief], return_index=True, return_inverse=True)
+        number[brief] = self._kept(raw, own, starts[brief[first]], ends[brief[first]])[inverse]
+        begin, size, store = self.begin[number], self.size[number], self.ids
+        if len(long):
+            ids, count = self._learn(raw, starts[long], ends[long])
+            store = np.concatenate([self.ids[: self.used], ids])
+            begin[long], size[long] = self.used + np.cumsum(count) - count, count
+        total = np.concatenate([[0], np.cumsum(size)])
+        return store[_spread(begin, size)], np.diff(total[np.searchsorted(starts, bounds)])
 
     def encode(self, text: str) -> np.ndarray:
-        parts = self.added.split(text) if self.added and any(s in text for s in self.special) else [text]
-        got: list[bytes] = []
-        for part in parts:
-            if part in self.special:
-                got.append(np.uint32(self.special[part]).tobytes())
-            elif part:
-                cache, packed = self.cache, self._packed
-                got += [cache.get(f) or packed(f) for f in self.fragments(part)]
-        return np.frombuffer(b"".join(got), "<u4")
+        return self.encode_many([text])[0]
+
+    def decode_many(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The bytes that the ids of each text stand for, in UTF-8; broken characters become marks."""
+        return [b.decode("utf-8", "replace").encode() for b in _rendered(self.bytes_of, ids, counts)]
+
+    def decode(self, ids) -> str:
+        return self.decode_many(np.asarray(ids, np.int64), np.array([len(ids)]))[0].decode()
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+    def decimals(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The decimal ids of each text, joined by commas."""
+        return [b[:-1] for b in _rendered(self.digits_of, ids, counts)]
+
+
+def _rendered(table: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, counts: np.ndarray):
+    """The table's bytes of each text's ids, for some texts at a time."""
+    data, begin, size = table
+    ends = np.cumsum(counts)
+    lo = 0
+    while lo < len(counts):
+        first = int(ends[lo] - counts[lo])
+        hi = max(lo + 1, int(np.searchsorted(ends, first + PIECE // 2, side="right")))
+        own = ids[first : ends[hi - 1]]
+        made = data[_spread(begin[own], size[own])].tobytes()
+        at = np.concatenate([[0], np.cumsum(size[own])])[np.concatenate([[0], ends[lo:hi] - first])].tolist()
+        yield from (made[a:b] for a, b in zip(at, at[1:]))
+        lo = hi
 
 
 def encoder(path: str | None = None) -> ForcedCutBPE:
@@ -108,13 +262,16 @@ def encoder(path: str | None = None) -> ForcedCutBPE:
     return kept(("bpe", path), lambda: ForcedCutBPE(path))
 
 
+def _lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids.astype(np.int32)))
+
+
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and ids of every row's whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def step(c: dict) -> dict:
-        bpe = encoder(path)
-        return {"doc_id": c["doc_id"], "ids": [bpe.encode(t or "").astype("i4") for t in c["text"]]}
+        return {"doc_id": c["doc_id"], "ids": _lists(*encoder(path).encode_many(c["text"]))}
 
     return docs.select("doc_id", "text").mapInArrow(arrow_rows(["doc_id", "text"], schema, step), "doc_id bigint, ids array<int>")
 
@@ -125,8 +282,9 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def step(c: dict) -> dict:
         bpe = encoder(path)
-        ids = [bpe.encode(t or "") for t in c["text"]]
-        return {"doc_id": c["doc_id"], "n_tokens": [len(x) for x in ids], "ids": [x.astype("i4") for x in ids], "restored": [bpe.decode(x.tolist()) == (t or "") for x, t in zip(ids, c["text"])]}
+        ids, counts = bpe.encode_many(c["text"])
+        back = bpe.decode_many(ids, counts)
+        return {"doc_id": c["doc_id"], "n_tokens": counts, "ids": _lists(ids, counts), "restored": [b == (t or "").encode() for b, t in zip(back, c["text"])]}
 
     return docs.select("doc_id", "text").mapInArrow(arrow_rows(["doc_id", "text"], schema, step), "doc_id bigint, n_tokens bigint, ids array<int>, restored boolean")
 
@@ -137,12 +295,8 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def step(c: dict) -> dict:
         bpe = encoder(path)
-        out: dict[str, list] = {"doc_id": c["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-        for t in c["text"]:
-            ids = bpe.encode(t or "").tolist()
-            out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(",".join(map(bpe.text_of.__getitem__, ids)).encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-        return out
+        ids, counts = bpe.encode_many(c["text"])
+        digest = lambda parts: [hashlib.sha256(x).hexdigest() for x in parts]
+        return {"doc_id": c["doc_id"], "n_tokens": counts, "ids_sha256": digest(bpe.decimals(ids, counts)), "decoded_sha256": digest(bpe.decode_many(ids, counts))}
 
     return docs.select("doc_id", "text").mapInArrow(arrow_rows(["doc_id", "text"], schema, step), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -60,7 +60,7 @@ def arrow_rows(names: list[str], schema: pa.Schema, step: Callable[[dict[str, li
                 continue
             for lo, hi in slices(pa.compute.fill_null(pa.compute.utf8_length(cols[text]), 0).to_pylist() if text in cols else [1] * batch.num_rows):
                 out = step({n: c.slice(lo, hi - lo).to_pylist() for n, c in cols.items()})
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
+                yield pa.RecordBatch.from_arrays([x if isinstance(x := out[f.name], pa.Array) else pa.array(x, f.type) for f in schema], schema=schema)
 
     return run
 

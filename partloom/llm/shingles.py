@@ -38,6 +38,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of every range of bytes."""
+    up, down = _powers(len(data) + 1)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([[U(0)], np.cumsum((data.astype(U) + U(1)) * up[:-1])])
+        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+
+
 def word_spans(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The lower-cased bytes of all texts, begin, end and hash of every word in them, and each text's number of words."""
     raw = [(t or "").encode() for t in texts]
@@ -45,10 +53,7 @@ def word_spans(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     begin = np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
     edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[data]]).view(np.int8)))
     starts, ends = edge[0::2], edge[1::2]
-    up, down = _powers(len(data))
-    with np.errstate(over="ignore"):
-        total = np.concatenate([[U(0)], np.cumsum((data.astype(U) + U(1)) * up)])
-        h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U) * U(0xD6E8FEB86659FD93))
+    h = hashed(data, starts, ends)
     return data, starts, ends, h, np.diff(np.searchsorted(starts, begin))
 
 
