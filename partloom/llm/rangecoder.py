@@ -1,15 +1,21 @@
-"""An adaptive context-mixing binary range coder for token ids, over many blocks side by side.
+"""An adaptive context-mixing range coder for token ids, over many blocks side by side.
 
-A sequence of ids is cut into blocks of BLOCK ids; each starts from a fresh model and has its own code and checksum. Block k
+A sequence of ids is cut into blocks of BLOCK ids; each starts from a fresh model and has its own code and checksums. Block k
 is lane k of the arrays below, and all lanes take a step together, so one array operation serves them all.
 
-Model of a lane. The id that followed the last two ids (order 2) and the id that followed the last one (order 1) are two
-predictions, each with a confidence; a table of the ids seen so far (order 0) is the third. A flag says whether the order-2
-prediction holds, and if not, one whether the order-1 prediction does, and then one whether order 0 has the id. The chance
-of each mixes an adaptive estimate by the order's own confidence with one by both confidences and whether they agree. If
-order 0 has the id, its place is coded bit by bit, each bit with a mix of an estimate by its place in the tree and one that
-also depends on the last id; an id that the block hasn't seen is stored as it is, beside the code. Weights of a mix move
-toward whichever was nearer. All arithmetic is in integers, so that any machine decodes what another one encoded.
+Model of a lane. The id that followed the last two ids (order 2) and the one that followed the last id (order 1) are two
+predictions, each with a confidence. One decision of three ways tells whether the first holds, the second, or neither. Its
+chances mix an estimate by both confidences and whether the predictions agree with one by the last id, and the mix's weight
+moves toward whichever was nearer. Where neither holds, the id is coded by its order-0 distribution, which covers every id:
+its upper 5 bits, the next 6 given these, and the last 5 given a hash of the others, each by cumulative frequencies that
+move toward what was seen. Every id goes through the arithmetic coder; none is stored beside it.
+
+The coder narrows an interval of 48 bits. When it is shorter than 2^32 its upper 16 bits are written; where they still
+differ between its ends, it is first cut at the next multiple of 2^32, so no carry ever reaches what is written. All of it
+is integer arithmetic (a quotient is taken in floats whose precision gives the integer one), so that any machine decodes
+what another one encoded.
+
+Defined cases: no ids make a frame without blocks; ids below 0 or from 2^29 on raise ValueError, as do damaged frames.
 """
 
 from __future__ import annotations
@@ -19,183 +25,251 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TKB1"
+MAGIC = b"TKB2"
 BLOCK = 2048
-#: Blocks that are coded side by side; bounds the memory of the tables.
-LANES = 2048
-SLOTS, SEEN_BITS, NODES = 2048, 9, 4096
-SEEN = 1 << SEEN_BITS
+#: Blocks that are coded side by side; bounds the memory of the tables (about 25 kB a block).
+LANES = 4096
+#: Predictions kept for each order; contexts of the chances by the last id; rows of the last level's frequencies.
+SLOTS, RECENT, ROWS = 512, 256, 256
+#: Frequencies add up to 2^BITS; those of a symbol move by 2^-RATE of the way and are 2^RATE / 2^BITS at least.
+BITS, RATE = 15, 4
+ONE = 1 << BITS
+#: Symbols of the three levels of an id; ESCAPE stands for ids beyond the first level, whose bits follow as they are.
+FIRST, SECOND, THIRD = 32, 64, 32
+ESCAPE, LIMIT = FIRST - 1, 1 << 29
+M32, M48 = (1 << 32) - 1, (1 << 48) - 1
 I = np.int64
 
 
-class _Bits:
-    """The lanes' intervals. Subclasses take a bit from the caller or from the code."""
+def _targets(n: int) -> np.ndarray:
+    """The cumulative frequencies that symbol s of n moves toward, by s."""
+    i = np.arange(n)
+    return np.where(i[None, :] <= i[:, None], i << RATE, ONE - ((n - i) << RATE)).astype(np.int16)
+
+
+TARGETS = {n: _targets(n) for n in (FIRST, SECOND)}
+
+
+def _part(rows: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where symbol s of each row begins, and its frequency."""
+    n = rows.shape[1]
+    at = np.arange(0, n * len(s), n) + s
+    flat, more = rows.ravel(), s + 1 < n
+    start = flat.take(at).astype(I)
+    end = flat.take(at + more).astype(I)
+    return start, np.where(more, end, ONE) - start
+
+
+def _true(marks: np.ndarray) -> np.ndarray:
+    """How many of each row's marks are set; the rows hold a multiple of 8, at most 255."""
+    eight = marks.view(np.uint64)
+    total = eight[:, 0].copy()
+    for k in range(1, eight.shape[1]):
+        total += eight[:, k]
+    return ((total * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(I)
+
+
+class _Interval:
+    """The lanes' intervals. Subclasses take symbols from the caller or from the code."""
 
     def __init__(self, lanes: int):
-        self.low, self.high, self.size = np.zeros(lanes, I), np.full(lanes, 0xFFFFFFFF, I), np.zeros(lanes, I)
+        self.low, self.range = np.zeros(lanes, I), np.full(lanes, 1 << 48, I)
+        self.size = np.zeros(lanes, I)
 
     def some(self, lanes: np.ndarray) -> None:
         """The lanes of the following decisions, until done()."""
-        self.lanes, self.x, self.y = lanes, self.low[lanes], self.high[lanes]
+        self.lanes, self.x, self.y = lanes, self.low[lanes], self.range[lanes]
 
     def done(self) -> None:
-        self.low[self.lanes], self.high[self.lanes] = self.x, self.y
-
-    def narrow(self, chance: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        """One decision; chance: of a one, in 65536ths."""
-        x, y = self.x, self.y
-        mid = x + (((y - x) * chance) >> 16)
-        if bit is None:
-            bit = self.code[self.lanes] <= mid
-        self.y = y = np.where(bit, mid, y)
-        self.x = x = np.where(bit, x, mid + 1)
-        out = np.flatnonzero((x ^ y) < 0x1000000)
+        self.low[self.lanes], self.range[self.lanes] = self.x, self.y
+
+    def narrow(self, start: np.ndarray, width: np.ndarray) -> None:
+        """To the part of the interval that begins at start and is width long, in shares of what self.r is one of."""
+        step = self.r * start
+        self.x += step
+        self.y = self.r * width
+        self.skip(step)
+        out = np.flatnonzero(self.y <= M32)
         while len(out):
-            u, v = x[out], y[out]
-            self.shift(self.lanes[out], v >> 24)
-            x[out] = u = (u << 8) & 0xFFFFFFFF
-            y[out] = v = ((v << 8) & 0xFFFFFFFF) | 0xFF
-            out = out[(u ^ v) < 0x1000000]
-        return bit
+            low, length = self.x[out], self.y[out]
+            apart = (low ^ (low + length - 1)) > M32
+            length = np.where(apart, -low & M32, length) << 16
+            self.shift(out, low >> 32)
+            self.x[out], self.y[out] = (low << 16) & M48, length
+            out = out[length <= M32]
 
 
-class _Writer(_Bits):
+class _Writer(_Interval):
     def __init__(self, lanes: int):
         super().__init__(lanes)
-        self.bytes = np.zeros((lanes, 3 * BLOCK), np.uint8)
-        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.words = np.zeros((lanes, BLOCK + 8), np.uint16)
+
+    def skip(self, step: np.ndarray) -> None:
+        pass
+
+    def shift(self, at: np.ndarray, word: np.ndarray) -> None:
+        lanes = self.lanes[at]
+        size = self.size[lanes]
+        if size.max() >= self.words.shape[1]:
+            self.words = np.concatenate([self.words, np.zeros_like(self.words)], 1)
+        self.words[lanes, size] = word
+        self.size[lanes] = size + 1
+
+    def ways(self, a: np.ndarray, b: np.ndarray, way: np.ndarray) -> np.ndarray:
+        self.r = self.y >> BITS
+        self.narrow(np.where(way == 0, 0, np.where(way == 1, a, a + b)), np.where(way == 0, a, np.where(way == 1, b, ONE - a - b)))
+        return way
+
+    def symbol(self, rows: np.ndarray, s: np.ndarray) -> np.ndarray:
+        self.r = self.y >> BITS
+        self.narrow(*_part(rows, s))
+        return s
+
+    def flat(self, bits: int, value: np.ndarray) -> np.ndarray:
+        self.r = self.y >> bits
+        self.narrow(value, np.ones_like(value))
+        return value
 
-    def shift(self, lanes: np.ndarray, byte: np.ndarray) -> None:
-        at = self.size[lanes]
-        if len(at) and at.max() >= self.bytes.shape[1]:
-            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)], 1)
-        self.bytes[lanes, at] = byte
-        self.size[lanes] = at + 1
+    def codes(self) -> list[bytes]:
+        """Each lane's code: the words written, and the three that hold where its interval begins."""
+        self.some(np.arange(len(self.low)))
+        for k in (32, 16, 0):
+            self.shift(self.lanes, (self.low >> k) & 0xFFFF)
+        return [w[:n].astype("<u2").tobytes() for w, n in zip(self.words, self.size)]
 
-    def unseen(self, lanes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        self.new.append((lanes, ids))
-        return ids
 
-    def codes(self) -> list[bytes]:
-        """Each lane's code: the number of its unseen ids, these, and the bytes of its interval."""
-        for k in (24, 16, 8, 0):
-            self.shift(np.arange(len(self.size)), (self.low >> k) & 0xFF)
-        lanes = np.concatenate([x for x, _ in self.new]) if self.new else np.zeros(0, I)
-        ids = np.concatenate([x for _, x in self.new]) if self.new else np.zeros(0, I)
-        order = np.argsort(lanes, kind="stable")
-        raw, count = ids[order].astype("<u2"), np.bincount(lanes, minlength=len(self.size))
-        ends = np.cumsum(count)
-        return [struct.pack("<H", c) + raw[e - c : e].tobytes() + b[:n].tobytes() for c, e, b, n in zip(count, ends, self.bytes, self.size)]
-
-
-class _Reader(_Bits):
+class _Reader(_Interval):
     def __init__(self, codes: list[bytes]):
         super().__init__(len(codes))
-        counts = [struct.unpack_from("<H", c)[0] for c in codes]
-        self.new = np.zeros((len(codes), max(counts, default=0) + 1), I)
-        self.used = np.zeros(len(codes), I)
-        longest = max(len(c) - 2 - 2 * k for c, k in zip(codes, counts)) + 8
-        self.bytes = np.zeros((len(codes), longest), np.uint8)
-        for row, new, c, k in zip(self.bytes, self.new, codes, counts):
-            new[:k] = np.frombuffer(c, "<u2", k, 2)
-            row[: len(c) - 2 - 2 * k] = np.frombuffer(c, np.uint8, -1, 2 + 2 * k)
-        self.size[:] = 4
-        self.code = (self.bytes[:, :4].astype(I) << np.array([24, 16, 8, 0])).sum(1)
-
-    def shift(self, lanes: np.ndarray, byte: np.ndarray) -> None:
-        at = self.size[lanes]
-        self.code[lanes] = ((self.code[lanes] << 8) & 0xFFFFFFFF) | self.bytes[lanes, np.minimum(at, self.bytes.shape[1] - 1)]
-        self.size[lanes] = at + 1
-
-    def unseen(self, lanes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        at = self.used[lanes]
-        self.used[lanes] = at + 1
-        return self.new[lanes, at]
-
-
-class _Estimates:
-    """Two tables of adaptive chances for each lane, and the weight of the first against the second."""
-
-    def __init__(self, lanes: int, slots: int):
-        self.slots = slots
-        self.first, self.second = (np.full(lanes * slots, 32768, np.uint16) for _ in range(2))
-        self.weight = np.full(lanes, 32, I)
+        self.words = np.zeros((len(codes), max(map(len, codes)) // 2 + 4), np.uint16)
+        for row, c in zip(self.words, codes):
+            row[: len(c) // 2] = np.frombuffer(c, "<u2")
+        self.size[:] = 3
+        self.offset = (self.words[:, :3].astype(I) << np.array([32, 16, 0])).sum(1)
+
+    def some(self, lanes: np.ndarray) -> None:
+        super().some(lanes)
+        self.z = self.offset[lanes]
+
+    def done(self) -> None:
+        super().done()
+        self.offset[self.lanes] = self.z
+
+    def skip(self, step: np.ndarray) -> None:
+        self.z -= step
+
+    def shift(self, at: np.ndarray, word: np.ndarray) -> None:
+        lanes = self.lanes[at]
+        size = self.size[lanes]
+        self.z[at] = (self.z[at] << 16) | self.words[lanes, np.minimum(size, self.words.shape[1] - 1)]
+        self.size[lanes] = size + 1
+
+    def _place(self, bits: int) -> np.ndarray:
+        """Where the code stands in the interval, in shares; damaged codes may stand beyond it."""
+        self.r = self.y >> bits
+        return np.clip((self.z / self.r).astype(I), 0, (1 << bits) - 1)
+
+    def ways(self, a: np.ndarray, b: np.ndarray, way: None) -> np.ndarray:
+        at = self._place(BITS)
+        way = (at >= a).astype(I) + (at >= a + b)
+        self.narrow(np.where(way == 0, 0, np.where(way == 1, a, a + b)), np.where(way == 0, a, np.where(way == 1, b, ONE - a - b)))
+        return way
+
+    def symbol(self, rows: np.ndarray, s: None) -> np.ndarray:
+        at = self._place(BITS).astype(np.int16)
+        s = _true(rows <= at[:, None]) - 1
+        self.narrow(*_part(rows, s))
+        return s
+
+    def flat(self, bits: int, value: None) -> np.ndarray:
+        value = self._place(bits)
+        self.narrow(value, np.ones_like(value))
+        return value
 
-    def decide(self, bits: _Bits, a: np.ndarray, b: np.ndarray, bit: np.ndarray | None, weight: np.ndarray | None = None) -> np.ndarray:
-        """One decision at places a and b of the tables; without weights both count alike."""
-        p, q = self.first[a].astype(I), self.second[b].astype(I)
-        chance = (p + q) >> 1 if weight is None else (p * weight + q * (64 - weight)) >> 6
-        bit = bits.narrow(chance, bit)
-        target = bit * 65471 + 32  # chances stay within 32 and 65503
-        dp, dq = target - p, target - q
-        self.first[a] = p + (dp >> 4)
-        self.second[b] = q + (dq >> 4)
-        if weight is not None:
-            weight += np.where(np.abs(dp) <= np.abs(dq), 1, -1)
-            np.clip(weight, 2, 62, out=weight)
-        return bit
+
+def _toward(p: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Chances that have moved toward what happened; they stay within 32 and ONE - 64."""
+    return p + (((ONE - 79) * hit + 47 - p) >> RATE)
 
 
 class _Model:
     def __init__(self, lanes: int):
-        self.ids = [np.zeros(lanes * SLOTS, np.uint16) for _ in range(2)]  # predictions of order 2 and 1
-        self.sure = [np.zeros(lanes * SLOTS, np.uint8) for _ in range(2)]
-        self.seen = np.full(lanes * SEEN, -1, np.int32)  # order 0
+        self.two, self.one = (np.zeros(lanes * SLOTS, np.int32) for _ in range(2))  # id << 2 | confidence
+        self.by_sure, self.by_last = (np.full((2, lanes * n), ONE // 2, np.int16) for n in (32, RECENT))
+        self.weight = np.full(lanes, 32, I)
+        level = lambda rows, n: np.tile((np.arange(n) * (ONE // n)).astype(np.int16), (rows, 1))
+        self.first, self.second, self.third = level(lanes, FIRST), level(lanes * FIRST, SECOND), level(lanes * ROWS, THIRD)
         self.last, self.before = np.zeros(lanes, I), np.zeros(lanes, I)
-        self.flags = [_Estimates(lanes, 32) for _ in range(3)]
-        self.tree = _Estimates(lanes, NODES)
-
-    def _flag(self, k: int, bits: _Bits, lanes: np.ndarray, own: np.ndarray, joint: np.ndarray, bit: np.ndarray | None) -> np.ndarray:
-        flag, base = self.flags[k], lanes * 32
-        weight = flag.weight[lanes]
-        bits.some(lanes)
-        bit = flag.decide(bits, base + own, base + joint, bit, weight)
-        bits.done()
-        flag.weight[lanes] = weight
-        return bit
-
-    def step(self, bits: _Bits, count: int, ids: np.ndarray | None) -> np.ndarray:
+
+    @staticmethod
+    def _symbol(coder: _Interval, table: np.ndarray, at: np.ndarray, s: np.ndarray | None) -> np.ndarray:
+        rows = table.take(at, axis=0)
+        s = coder.symbol(rows, s)
+        move = TARGETS[rows.shape[1]].take(s, axis=0)
+        move -= rows
+        move >>= RATE
+        rows += move
+        table[at] = rows
+        return s
+
+    def _unforeseen(self, coder: _Interval, lanes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
+        """Ids by their order-0 distribution."""
+        of = lambda k, m, top: None if ids is None else np.minimum((ids >> k) & m, top)
+        coder.some(lanes)
+        a = self._symbol(coder, self.first, lanes, None if ids is None else np.minimum(ids >> 11, ESCAPE))
+        b = self._symbol(coder, self.second, lanes * FIRST + a, of(5, SECOND - 1, SECOND))
+        head = (a << 6) | b
+        c = self._symbol(coder, self.third, lanes * ROWS + (((head * 40503) >> 6) & (ROWS - 1)), of(0, THIRD - 1, THIRD))
+        got = (head << 5) | c
+        coder.done()
+        far = np.flatnonzero(a == ESCAPE)
+        if len(far):  # the lower 11 bits are coded; the others follow
+            coder.some(lanes[far])
+            rest = coder.flat(15, None if ids is None else ids[far] >> 11 & 0x7FFF)
+            rest |= coder.flat(3, None if ids is None else ids[far] >> 26) << 15
+            coder.done()
+            got[far] = (got[far] & 0x7FF) | rest << 11
+        return got
+
+    def step(self, coder: _Interval, count: int, ids: np.ndarray | None) -> np.ndarray:
         """Codes the next id of each of the first `count` lanes, or decodes it where ids is None."""
         lanes = np.arange(count)
         last, before = self.last[:count], self.before[:count]
-        two = lanes * SLOTS + (((last * 40503 + before * 30011) >> 4) & (SLOTS - 1))
-        one = lanes * SLOTS + (((last * 40503) >> 3) & (SLOTS - 1))
-        p2, p1 = self.ids[0][two].astype(I), self.ids[1][one].astype(I)
-        s2, s1 = self.sure[0][two].astype(I), self.sure[1][one].astype(I)
-        joint = s2 + 4 * s1 + 16 * (p1 == p2)
-        hit = self._flag(0, bits, lanes, s2, joint, None if ids is None else ids == p2)
-        got = np.where(hit, p2, 0)
-        rest = np.flatnonzero(~hit)
-        # Where both orders predict the same id, order 1 has nothing to add.
-        ask = rest[p1[rest] != p2[rest]]
-        if len(ask):
-            known = np.zeros(count, bool)
-            known[ask] = self._flag(1, bits, ask, s1[ask], joint[ask], None if ids is None else ids[ask] == p1[ask])
-            got = np.where(known, p1, got)
-            rest = rest[~known[rest]]
+        key = last * 40503
+        two = lanes * SLOTS + (((key + before * 30011) >> 4) & (SLOTS - 1))
+        one = lanes * SLOTS + ((key >> 3) & (SLOTS - 1))
+        t2, t1 = self.two.take(two), self.one.take(one)
+        p2, p1, s2, s1 = t2 >> 2, t1 >> 2, t2 & 3, t1 & 3
+        differ = p1 != p2
+        sure = lanes * 32 + (s2 + 4 * s1 + 16 * differ)
+        recent = lanes * RECENT + ((key >> 5) & (RECENT - 1))
+        weight = self.weight[:count]
+        a1, b1 = self.by_sure[0].take(sure).astype(I), self.by_sure[1].take(sure).astype(I)
+        a2, b2 = self.by_last[0].take(recent).astype(I), self.by_last[1].take(recent).astype(I)
+        other = 64 - weight
+        a = (a1 * weight + a2 * other) >> 6
+        # Where both orders predict the same id, the second way is none.
+        b = np.maximum(((ONE - a) * ((b1 * weight + b2 * other) >> 6)) >> BITS, 1) * differ
+        way = None if ids is None else np.where(ids == p2, 0, np.where(differ & (ids == p1), 1, 2))
+        coder.some(lanes)
+        way = coder.ways(a, b, way)
+        coder.done()
+        hit, second = way == 0, way == 1
+        got = np.where(hit, p2, p1).astype(I)
+        rest = np.flatnonzero(way == 2)
         if len(rest):
-            own = None if ids is None else ids[rest]
-            slot = None if own is None else ((own * 40503) >> 5) & (SEEN - 1)
-            has = self._flag(2, bits, rest, s1[rest], joint[rest], None if own is None else self.seen[rest * SEEN + slot] == own)
-            new = rest[~has]
-            if len(new):
-                got[new] = fresh = bits.unseen(new, None if own is None else own[~has])
-                self.seen[new * SEEN + (((fresh * 40503) >> 5) & (SEEN - 1))] = fresh
-            rest = rest[has]
-            if len(rest):
-                slot = None if own is None else slot[has]
-                node, context, base = np.ones(len(rest), I), last[rest] * 40503, rest * NODES
-                bits.some(rest)
-                for k in range(SEEN_BITS - 1, -1, -1):
-                    bit = self.tree.decide(bits, base + node, base + (((node * 25717 + context) >> 2) & (NODES - 1)), None if own is None else (slot >> k) & 1 == 1)
-                    node = 2 * node + bit
-                bits.done()
-                got[rest] = self.seen[rest * SEEN + (node & (SEEN - 1))]
-        for table, sure, at, p, s in ((self.ids[0], self.sure[0], two, p2, s2), (self.ids[1], self.sure[1], one, p1, s1)):
-            same = p == got
+            got[rest] = self._unforeseen(coder, rest, None if ids is None else ids[rest])
+
+        target = hit * ONE
+        weight += np.where(np.abs(target - a1) <= np.abs(target - a2), 1, -1)
+        np.clip(weight, 4, 60, out=weight)
+        self.by_sure[0][sure], self.by_last[0][recent] = _toward(a1, hit), _toward(a2, hit)
+        asked = np.flatnonzero(differ & ~hit)
+        u, v, w = sure[asked], recent[asked], second[asked]
+        self.by_sure[1][u], self.by_last[1][v] = _toward(b1[asked], w), _toward(b2[asked], w)
+        for table, at, old, p, s in ((self.two, two, t2, p2, s2), (self.one, one, t1, p1, s1)):
             # A prediction that fails loses its confidence first and its place next.
-            table[at] = np.where(same | (s > 0), p, got)
-            sure[at] = np.where(same, np.minimum(s + 1, 3), np.maximum(s - 1, 0))
+            table[at] = np.where(got == p, old + (s < 3), np.where(s > 0, old - 1, got << 2))
         self.before[:count], self.last[:count] = last.copy(), got
         return got
 
@@ -204,33 +278,43 @@ def _sizes(n: int) -> np.ndarray:
     return np.minimum(BLOCK, n - BLOCK * np.arange(-(-n // BLOCK)))
 
 
+def _groups(blocks: int):
+    """Ranges of blocks that are coded together, of like size."""
+    n = -(-blocks // LANES)
+    cuts = [blocks * k // n for k in range(n + 1)] if n else [0]
+    return zip(cuts, cuts[1:])
+
+
 def encode(ids: np.ndarray) -> bytes:
     """A frame: magic, number of ids, then for each block the size and crc32 of its code and of its ids, then the codes."""
-    if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
-        raise ValueError("ids must fit in 16 bits")
-    ids = np.asarray(ids, np.int64)
-    sizes, codes, sums = _sizes(len(ids)), [], []
-    padded = np.concatenate([ids, np.zeros(-len(ids) % BLOCK, I)]).reshape(-1, BLOCK)
-    for lo in range(0, len(sizes), LANES):
-        own, size = padded[lo : lo + LANES].T.copy(), sizes[lo : lo + LANES]
-        model, bits = _Model(len(size)), _Writer(len(size))
+    ids = np.asarray(ids)
+    if len(ids) and (ids.min() < 0 or ids.max() >= LIMIT):
+        raise ValueError("ids must fit in 29 bits")
+    raw, sizes, codes = ids.astype("<u4"), _sizes(len(ids)), []
+    for lo, hi in _groups(len(sizes)):
+        size = sizes[lo:hi]
+        own = np.zeros((hi - lo) * BLOCK, I)
+        part = raw[lo * BLOCK : hi * BLOCK]
+        own[: len(part)] = part
+        steps = np.ascontiguousarray(own.reshape(-1, BLOCK).T)
+        model, coder = _Model(len(size)), _Writer(len(size))
         for t in range(int(size.max())):
             count = len(size) if t < size[-1] else len(size) - 1  # only the last block can be short
-            model.step(bits, count, own[t, :count])
-        codes += bits.codes()
-    raw = ids.astype("<u4")
-    for k, c in enumerate(codes):
-        sums.append(struct.pack("<III", len(c), zlib.crc32(c), zlib.crc32(raw[k * BLOCK : (k + 1) * BLOCK].tobytes())))
-    return MAGIC + struct.pack("<QI", len(ids), BLOCK) + b"".join(sums) + b"".join(codes)
+            model.step(coder, count, steps[t, :count])
+        codes += coder.codes()
+    heads = [struct.pack("<III", len(c), zlib.crc32(c), zlib.crc32(raw[k * BLOCK : (k + 1) * BLOCK].tobytes())) for k, c in enumerate(codes)]
+    return MAGIC + struct.pack("<QI", len(ids), BLOCK) + b"".join(heads) + b"".join(codes)
 
 
 def decode(frame: bytes) -> np.ndarray:
     """The ids of a frame; a block whose code or ids don't have their checksum raises ValueError."""
-    if frame[:4] != MAGIC:
+    if frame[:4] != MAGIC or len(frame) < 16:
         raise ValueError("not a frame of token ids")
     n, block = struct.unpack_from("<QI", frame, 4)
     if block != BLOCK:
         raise ValueError(f"blocks of {block} ids")
+    if len(frame) < 16 + 12 * -(-n // BLOCK):
+        raise ValueError("the frame is cut short")
     sizes = _sizes(n)
     heads = [struct.unpack_from("<III", frame, 16 + 12 * k) for k in range(len(sizes))]
     at, codes = 16 + 12 * len(sizes), []
@@ -239,16 +323,16 @@ def decode(frame: bytes) -> np.ndarray:
         at += size
         if zlib.crc32(codes[-1]) != crc or len(codes[-1]) != size:
             raise ValueError(f"block {len(codes) - 1} is damaged")
-    out = np.zeros((len(sizes), BLOCK), I)
-    for lo in range(0, len(sizes), LANES):
-        size = sizes[lo : lo + LANES]
-        model, bits = _Model(len(size)), _Reader(codes[lo : lo + LANES])
-        rows = np.zeros((BLOCK, len(size)), I)
+    out = np.zeros(len(sizes) * BLOCK, "<u4")
+    for lo, hi in _groups(len(sizes)):
+        size = sizes[lo:hi]
+        model, coder = _Model(len(size)), _Reader(codes[lo:hi])
+        rows = np.zeros((BLOCK, len(size)), "<u4")
         for t in range(int(size.max())):
             count = len(size) if t < size[-1] else len(size) - 1
-            rows[t, :count] = model.step(bits, count, None)
-        out[lo : lo + LANES] = rows.T
-    ids = out.ravel()[:n].astype("<u4")
+            rows[t, :count] = model.step(coder, count, None)
+        out[lo * BLOCK : hi * BLOCK] = rows.T.ravel()
+    ids = out[:n]
     for k, (_, _, crc) in enumerate(heads):
         if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].tobytes()) != crc:
             raise ValueError(f"the ids of block {k} don't have their checksum")

@@ -1,13 +1,14 @@
 """Token ids in files: documents in order of their ids, as frames of range-coded blocks.
 
 Documents are dealt into ranges of doc_id and sorted; each task encodes its documents one after another and closes a frame
-when it holds FRAME_IDS ids, so a frame has whole documents. A frame (see rangecoder) is a row of a Parquet table: the table
+when it holds FRAME_IDS ids or more, so a frame has whole documents. A frame (see rangecoder) is a row of a Parquet table: the table
 gives commit, listing and reading by any store, and the frame's bytes are the format. Its document table (ids and counts)
 stands beside the code. Reading decodes every frame, checks the checksums and works out where each document starts from the
 frames before it: sums of a range's frames by a window over that range, sums of ranges on the driver (one number each).
 
 Defined cases: null and empty texts have the end id only; a null id comes first; rows with equal ids follow each other in
-the order of their texts, each as a document; other columns are ignored; an empty table makes no frames.
+the order of their texts' hashes, each as a document; texts of any length are one document in one frame; other columns are
+ignored; an empty table makes no frames; ids that don't add up, and damaged frames, raise ValueError.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from partloom.llm import rangecoder
 from partloom.llm.bpe import encoder
-from partloom.llm.common import shared_dir
+from partloom.llm.common import shared_dir, slices
 
 FRAME_IDS = 1 << 22
 END_ID = 0
@@ -35,30 +36,34 @@ def frames(docs: DataFrame, path: str | None = None) -> DataFrame:
     """The frames of docs, in ranges of doc_id."""
 
     def run(batches):
-        bpe, seq, ids, docs_in, part = encoder(path), 0, [], [], 0
-        end = np.array([END_ID], "<u4")
+        bpe, seq, ids, docs_in, counts, total, part = encoder(path), 0, [], [], [], 0, 0
 
         def closed():
             frame = rangecoder.encode(np.concatenate(ids))
-            columns = [[part], [seq], [[d for d, _ in docs_in]], [[n for _, n in docs_in]], [frame]]
+            columns = [[part], [seq], [docs_in], [np.concatenate(counts)], [frame]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FRAME)], schema=FRAME)
 
-        total = 0
         for b in batches:
-            for doc, text, part in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "part"))):  # noqa: B007
-                got = bpe.encode(text or "")
-                ids += [got, end]
-                docs_in.append((doc, len(got) + 1))
-                total += len(got) + 1
+            part = b.column("part")[0].as_py() if b.num_rows else part
+            for lo, hi in slices(b.column("size").to_pylist()):
+                own = b.slice(lo, hi - lo)
+                got, n = bpe.encode_many(own.column("text").to_pylist())
+                ids.append(np.insert(got, np.cumsum(n), END_ID))
+                counts.append(n + 1)
+                docs_in += own.column("doc_id").to_pylist()
+                total += len(ids[-1])
                 if total >= FRAME_IDS:
                     yield closed()
-                    seq, ids, docs_in, total = seq + 1, [], [], 0
+                    seq, ids, docs_in, counts, total = seq + 1, [], [], [], 0
         if docs_in:
             yield closed()
 
+    # Rows of one id may be many, so ranges end within them: by the hash of their texts.
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return dealt.select("doc_id", "text", F.spark_partition_id().alias("part")).mapInArrow(run, SCHEMA)
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    dealt = keyed.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h")
+    size = F.coalesce(F.length("text"), F.lit(0)).alias("size")
+    return dealt.select("doc_id", "text", size, F.spark_partition_id().alias("part")).mapInArrow(run, SCHEMA)
 
 
 def write(docs: DataFrame, to: str, path: str | None = None) -> None:

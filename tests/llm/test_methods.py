@@ -44,13 +44,33 @@ def test_bpe_is_the_library(rows, library):
         assert own.decode(ids) == library.decode(ids, skip_special_tokens=False) == t
 
 
-def test_cuts_are_forced():
+def test_cuts_are_certain(library):
     own = bpe.encoder()
-    for text in ("one two  three\n four　 five\xa0 six", "a 'b' c"):
+    draw = random.Random(8)
+    letters = [*"abrevlstd'  '!\n.1éß漢字🙂\xa0\u2003\u3000\x1c,Жя", "'re", "'ll", "'s", "<|endoftext|>", "  "]
+    texts = ["one two  three\n four\u3000 five\xa0 six", "a 'b' c", "x!'s y''ve"] + ["".join(draw.choice(letters) for _ in range(draw.randint(2, 12))) for _ in range(3000)]
+    for text in texts:
         parts = own.fragments(text)
         assert "".join(parts) == text
+        assert sum((library.encode(p, add_special_tokens=False).ids for p in parts), []) == library.encode(text, add_special_tokens=False).ids
         for left, right in itertools.pairwise(parts):
-            assert left.encode()[-1:] + right.encode()[:1] not in own.inside_set
+            special = "<|endoftext|>" in (left, right)
+            assert special or left.encode()[-1:] + right.encode()[:1] not in own.inside_set
+    assert own.fragments("It, and (so) 12b") == ["It", ",", " and", " (", "so", ")", " 12", "b"]
+    assert {"漢", "字"} <= set(own.fragments("漢字 a"))
+
+
+def test_long_texts_and_a_full_cache(library, monkeypatch):
+    monkeypatch.setattr(bpe, "PIECE", 64)
+    monkeypatch.setattr(bpe, "CACHE", 300)
+    own = bpe.ForcedCutBPE(public_tokenizers.path(bpe.VOCAB))
+    draw = random.Random(9)
+    texts = [" ".join("".join(draw.choice("abcdeé1") for _ in range(draw.choice((3, 5, 90)))) for _ in range(60)) for _ in range(40)] + ["", None, "x" * 500]
+    ids, counts = own.encode_many(texts)
+    ends = np.cumsum(counts)
+    assert [ids[e - c : e].tolist() for e, c in zip(ends, counts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert own.decode_many(ids, counts) == [(t or "").encode() for t in texts]
+    assert own.decimals(ids, counts)[0].decode() == ",".join(map(str, ids[: counts[0]]))
 
 
 def test_language_of_held_out_rows(docs, rows):
@@ -226,7 +246,7 @@ def test_windows_of_items(spark, broadcast, monkeypatch):
 def test_range_coder_round_trips():
     draw = np.random.default_rng(1)
     for n in (0, 1, 2, 2047, 2048, 2049, 5000):
-        for ids in (draw.integers(0, 65536, n), draw.integers(0, 5, n), np.zeros(n, int)):
+        for ids in (draw.integers(0, 65536, n), draw.integers(0, 1 << 29, n), draw.integers(0, 5, n), np.zeros(n, int)):
             frame = rangecoder.encode(ids)
             assert (rangecoder.decode(frame) == ids).all()
     ids = draw.integers(0, 300, 6000)
@@ -235,6 +255,22 @@ def test_range_coder_round_trips():
     for at in (3, 20, len(frame) // 2, len(frame) - 1):
         with pytest.raises(ValueError):
             rangecoder.decode(frame[:at] + bytes([frame[at] ^ 1]) + frame[at + 1 :])
+    for cut in (8, 30, len(frame) - 1):
+        with pytest.raises(ValueError):
+            rangecoder.decode(frame[:cut])
+    for bad in (-1, 1 << 29):
+        with pytest.raises(ValueError):
+            rangecoder.encode(np.array([bad]))
+
+
+def test_ids_take_less_than_raw_words(rows, monkeypatch):
+    ids, _ = bpe.encoder().encode_many([r["text"] for r in rows.values()])
+    frame = rangecoder.encode(ids)
+    assert len(frame) < 1.4 * len(ids)  # raw 16-bit words take 2 bytes an id
+    flat = rangecoder.encode(np.random.default_rng(3).integers(0, 50_257, 20_000))
+    assert len(flat) < 2.4 * 20_000
+    monkeypatch.setattr(rangecoder, "LANES", 3)  # blocks are independent of those beside them
+    assert rangecoder.encode(ids) == frame and (rangecoder.decode(frame) == ids).all()
 
 
 def test_token_files(docs, rows, library, monkeypatch, tmp_path):
