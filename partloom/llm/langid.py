@@ -1,74 +1,65 @@
 """Language identification by cross-parsing entropy.
 
 For each learned language a suffix automaton holds every substring of a bounded sample of its labelled text. A text is
-parsed greedily into longest matches against each automaton; a language in whose sample n letters were read pays log2(n)
-bits a phrase, and the language with the fewest bits wins. The parse begins anew every SEGMENT letters, for all languages
-alike, so that many segments step through the automata side by side in arrays; every segment of every text is parsed.
+parsed greedily into longest matches against each automaton, from its first letter to its last, and the language that needs
+the fewest phrases wins; a phrase costs the same in every language, so a small sample can only make it dearer. Texts are
+parsed side by side in segments of SEGMENT letters. A segment's phrases depend on where the one before it ends, so each
+parse goes on into the next segment until both are in the same state, and what lies before that place is counted anew; a
+text in which they don't meet within a segment is parsed letter by letter. The counts are thus those of one parse.
 
-Letters are lower-cased, and any run of other characters counts as one space. Code points beyond the LETTERS commonest of
-the sample share hashed classes.
+Letters are lower-cased, and any run of other characters counts as one space. Each automaton has a class for every letter of
+its own sample; a letter that the sample lacks is a phrase of its own.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; with one learned language the score is 1, with
-none every text is `und`; ties go to the language with more labelled rows, then by name; null labels are not learned from;
-repeated rows each get their row; other columns are ignored.
+none every text is `und`; ties go to the language with more labelled rows, then by name; null labels are not learned from,
+nor are labels whose drawn texts have no letter; a null doc_id keeps its row and is drawn like any other; repeated rows each
+get their row; texts of any length are parsed whole; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from partloom.llm.common import annotated, arrow_rows, crc_mod, fresh, kept
 
 #: Letters of sample text a language is learned from; the bound of the model.
 SAMPLE_CHARS = 32_768
-#: Labelled documents of a language that are drawn, by a hash of the id, to fill the sample.
+#: Labelled documents of a language that are drawn, by a hash, to fill the sample.
 SAMPLE_DOCS = 96
-#: Characters that one document adds to a sample at most.
+#: Characters that one drawn document adds to a sample: a window at a place that the hash decides.
 DOC_CHARS = 1024
-#: Letters after which the parse begins anew.
+#: Letters that are parsed side by side.
 SEGMENT = 512
-LETTERS, SHARED = 64, 8
+#: Classes up to which an automaton's transitions are a dense table; beyond it they are hashed.
+DENSE = 160
 NONE = "und"
 
-
-class Alphabet:
-    """Maps code points to classes: 0 a break, then the commonest letters, then hashed classes."""
-
-    def __init__(self, texts: list[str]):
-        count = Counter(c for t in texts for c in t if c.isalpha())
-        common = sorted(count, key=lambda c: (-count[c], c))[:LETTERS]
-        self.size = 1 + len(common) + SHARED
-        self.of = np.zeros(0x110000, np.uint8)
-        letters = _letters()
-        self.of[letters] = 1 + len(common) + letters % SHARED
-        self.of[[ord(c) for c in common]] = np.arange(1, len(common) + 1)
-
-    def classes(self, text: str) -> np.ndarray:
-        """The classes of a text's letters, each run of other characters as one 0."""
-        a = self.of[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")]
-        keep = np.ones(len(a), bool)
-        keep[1:] = (a[1:] != 0) | (a[:-1] != 0)
-        return a[keep]
-
-
 _LETTERS: list[np.ndarray] = []
 
 
-def _letters() -> np.ndarray:
+def _is_letter() -> np.ndarray:
     if not _LETTERS:
-        _LETTERS.append(np.array([c for c in range(0x110000) if chr(c).isalpha()], np.int64))
+        _LETTERS.append(np.array([chr(c).isalpha() for c in range(0x110000)]))
     return _LETTERS[0]
 
 
-def automaton(seq: list[int], size: int) -> np.ndarray:
-    """Dense transitions of the suffix automaton of seq; -1 where there is none. State 0 is the root."""
+def letters(text: str) -> np.ndarray:
+    """The code points of a text's letters, each run of other characters as one 0."""
+    a = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int32)
+    a = np.where(_is_letter()[a], a, 0)
+    keep = np.ones(len(a), bool)
+    keep[1:] = (a[1:] != 0) | (a[:-1] != 0)
+    return a[keep]
+
+
+def automaton(seq: list[int]) -> list[dict[int, int]]:
+    """The transitions of each state of the suffix automaton of seq. State 0 is the root."""
     step, link, length = [{}], [-1], [0]
     last = 0
     for c in seq:
@@ -94,36 +85,98 @@ def automaton(seq: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    out = np.full((len(step), size), -1, np.int32)
-    for s, d in enumerate(step):
-        if d:
-            out[s, list(d)] = list(d.values())
-    return out
+    return step
+
+
+class _Dense:
+    """An automaton as a table of next states by state and class; the low bit tells that a phrase ends before the letter."""
+
+    def __init__(self, step: list[dict[int, int]], size: int):
+        t = np.full((len(step) + 1, size), -1, np.int32)
+        for s, d in enumerate(step):
+            if d:
+                t[s, list(d)] = list(d.values())
+        # Where the match ends, the next phrase begins with the same letter. The last row stands before a text and after a
+        # letter that the sample lacks, so whatever follows begins a phrase.
+        self.begin = len(step)
+        missing = t < 0
+        t = np.where(missing, np.where(t[0] < 0, self.begin, t[0])[None, :], t)
+        self.size, self.table = size, ((t << 1) | missing).ravel()
+
+    def next(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        return self.table.take(state * self.size + letter)
+
+    def count(self, seq: np.ndarray) -> int:
+        """The phrases of one sequence, letter by letter."""
+        state, total = self.begin, 0
+        for c in seq.tolist():
+            got = int(self.table[state * self.size + c])
+            total += got & 1
+            state = got >> 1
+        return total
+
+
+class _Hashed:
+    """The same for large alphabets: transitions in an open hash table."""
+
+    def __init__(self, step: list[dict[int, int]], size: int):
+        self.begin, self.size = len(step), size
+        self.root = np.full(size, self.begin << 1 | 1, np.int64)
+        for c, to in step[0].items():
+            self.root[c] = to << 1 | 1
+        pairs = [(s * size + c, to << 1) for s, d in enumerate(step) for c, to in d.items()]
+        bits = max(4, (4 * len(pairs)).bit_length())
+        self.shift = 64 - bits
+        self.key, self.to = np.full((1 << bits) + len(pairs) + 1, -1, np.int64), np.zeros((1 << bits) + len(pairs) + 1, np.int32)
+        for slot, (k, to) in zip(self._slot(np.array([k for k, _ in pairs], np.int64)).tolist(), pairs):
+            while self.key[slot] >= 0:
+                slot += 1
+            self.key[slot], self.to[slot] = k, to
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    def next(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.size + letter
+        slot = self._slot(key)
+        found = self.key.take(slot)
+        while len(more := np.flatnonzero((found != key) & (found >= 0))):
+            slot[more] += 1
+            found[more] = self.key.take(slot[more])
+        return np.where(found == key, self.to.take(slot), self.root.take(letter))
+
+    def count(self, seq: np.ndarray) -> int:
+        state, total = np.array([self.begin]), 0
+        for k in range(len(seq)):
+            got = self.next(state, seq[k : k + 1])
+            total += int(got[0]) & 1
+            state = got >> 1
+        return total
 
 
 class Model:
     def __init__(self, samples: list[tuple[str, str]]):
-        """samples: language and text, in the order in which ties are decided."""
-        self.langs = [lang for lang, _ in samples]
-        self.alphabet = Alphabet([t for _, t in samples])
-        size, tables, self.begin, self.bits, base = self.alphabet.size, [], [], [], 0
-        for _, text in samples:
-            seq = self.alphabet.classes(text)[:SAMPLE_CHARS]
-            t = automaton(seq.tolist(), size)
-            # Where the match ends, the next phrase begins with the same letter; the low bit counts it. The last row stands
-            # before a text and after a letter that the sample lacks, so whatever follows begins a phrase.
-            start = len(t)
-            t = np.concatenate([t, np.full((1, size), -1, np.int32)])
-            missing = t < 0
-            t = np.where(missing, np.where(t[0] < 0, start, t[0])[None, :], t)
-            t += base
-            t *= 2 * size
-            t |= missing
-            tables.append(t.ravel())
-            self.begin.append((base + start) * size)
-            self.bits.append(math.log2(max(2, len(seq))))
-            base += start + 1
-        self.table = np.concatenate(tables) if tables else np.zeros(0, np.int32)
+        """samples: language and text, in the order in which ties are decided; those without a letter are left out."""
+        seqs = [(lang, letters(text)[:SAMPLE_CHARS]) for lang, text in samples]
+        seqs = [(lang, seq) for lang, seq in seqs if seq.any()]
+        self.langs = [lang for lang, _ in seqs]
+        # Classes over all samples, the last for letters that none has, and of these the classes of each language.
+        self.known = np.unique(np.concatenate([seq for _, seq in seqs])) if seqs else np.zeros(0, np.int32)
+        self.of = np.full(0x110000, len(self.known), np.int32)
+        self.of[self.known] = np.arange(len(self.known))
+        self.own, self.machines = [], []
+        for _, seq in seqs:
+            mine = np.unique(seq)
+            own = np.zeros(len(self.known) + 1, np.int64)  # 0: a letter that this sample lacks
+            own[np.searchsorted(self.known, mine)] = np.arange(1, len(mine) + 1)
+            step = automaton((np.searchsorted(mine, seq) + 1).tolist())
+            self.own.append(own)
+            self.machines.append((_Dense if len(mine) < DENSE else _Hashed)(step, len(mine) + 1))
+
+    def classes(self, text: str) -> np.ndarray:
+        """The classes of a text's letters."""
+        return self.of[letters(text)]
 
     def phrases(self, seqs: list[np.ndarray]) -> np.ndarray:
         """Phrases of each sequence in each language."""
@@ -133,33 +186,63 @@ class Model:
         first = np.concatenate([[0], np.cumsum([len(s) for s in seqs])[:-1]])
         begin = np.concatenate([f + SEGMENT * np.arange(n) for f, n in zip(first, sizes)])
         size = np.minimum(SEGMENT, np.repeat(first + [len(s) for s in seqs], sizes) - begin)
+        follows = np.concatenate([[False], owner[1:] == owner[:-1]]) if len(owner) else np.zeros(0, bool)
         order = np.argsort(-size, kind="stable")
-        owner, begin, size = owner[order], begin[order], size[order]
-        lanes = len(order)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
         padded = np.concatenate([flat, np.zeros(SEGMENT, flat.dtype)])
-        grid = padded[begin[:, None] + np.arange(SEGMENT)].T.copy()
-        active = np.searchsorted(-size, -np.arange(1, SEGMENT + 1), side="right")
-        state = np.repeat(np.array(self.begin, np.int32)[:, None], lanes, 1)
-        ends = np.zeros((len(self.langs), lanes), np.int32)
-        for t in range(int(size[0]) if lanes else 0):
-            k = active[t]
-            got = self.table.take(state[:, :k] + grid[t, :k])
-            ends[:, :k] += got & 1
-            state[:, :k] = got >> 1
+        grid = padded[begin[order][:, None] + np.arange(SEGMENT)].T.copy()
+        active = np.searchsorted(-size[order], -np.arange(1, SEGMENT + 1), side="right")
+        steps = int(size.max()) if len(size) else 0
+        # Lanes whose segment follows another one, and the lanes of those.
+        later = np.flatnonzero(follows)
+        lane, before = place[later], place[later - 1]
         out = np.zeros((len(seqs), len(self.langs)), np.int64)
-        for i in range(len(self.langs)):
-            out[:, i] = np.bincount(owner, ends[i], len(seqs))
+        for i, machine in enumerate(self.machines):
+            letter = self.own[i][grid]
+            state = np.full(len(order), machine.begin, np.int64)
+            ends = np.zeros(len(order), np.int64)
+            states, marks = np.zeros((SEGMENT, len(order)), np.int32), np.zeros((SEGMENT, len(order)), np.int8)
+            for t in range(steps):
+                k = active[t]
+                got = machine.next(state[:k], letter[t, :k])
+                marks[t, :k] = got & 1
+                state[:k] = states[t, :k] = got >> 1
+            ends += marks.sum(0, dtype=np.int64)
+            apart = self._go_on(machine, letter, state, states, marks, ends, lane, before, size[order])
+            out[:, i] = np.bincount(owner, ends[place], len(seqs))
+            for k in np.unique(owner[later[apart]]):
+                out[k, i] = machine.count(self.own[i][seqs[k]])
         return out
 
+    @staticmethod
+    def _go_on(machine, letter, state, states, marks, ends, lane, before, size) -> np.ndarray:
+        """Corrects ends of segments by the parses that come into them; returns which whole segments of `lane` they go through
+        without meeting the fresh parse."""
+        on, met = np.arange(len(lane)), np.zeros(len(lane), bool)
+        now = state[before]
+        for t in range(SEGMENT):
+            on = on[size[lane[on]] > t]
+            if not len(on):
+                break
+            at = lane[on]
+            got = machine.next(now[on], letter[t, at])
+            ends[at] += (got & 1) - marks[t, at]
+            now[on] = got >> 1
+            same = now[on] == states[t, at]
+            met[on[same]] = True
+            on = on[~same]
+        return np.flatnonzero(~met & (size[lane] == SEGMENT))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [NONE] * len(texts), [0.0] * len(texts)
         if not self.langs:
             return langs, scores
-        seqs = [self.alphabet.classes(t or "") for t in texts]
+        seqs = [letters(t or "") for t in texts]
         known = [i for i, s in enumerate(seqs) if s.any()]
         if not known:
             return langs, scores
-        cost = self.phrases([seqs[i] for i in known]) * np.array(self.bits)
+        cost = self.phrases([self.of[seqs[i]] for i in known])
         best = cost.argmin(1)
         for i, row, b in zip(known, cost, best):
             other = np.delete(row, b)
@@ -173,26 +256,36 @@ def has_letter(text: str) -> bool:
 
 
 def samples(labelled: DataFrame, chars: int = SAMPLE_CHARS, docs: int = SAMPLE_DOCS) -> list[tuple[str, str]]:
-    """For each label a bounded sample: of about `docs` documents drawn by a hash of the id, up to DOC_CHARS of each.
+    """For each label a bounded sample: of about `docs` documents drawn by a hash, a window of DOC_CHARS each, 4 * docs at most.
 
-    Labels can be wrong, so a first model is learned from all that was drawn, and documents that it takes for another
-    language are left out of the second, unless that leaves a language with none.
+    Labels can be wrong, so each half of what was drawn is judged by models of the other half, and documents that these take
+    for another language are left out, unless that leaves a language with none.
     """
     kept = labelled.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in kept.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1 << 20, -(-(docs << 20) // n)))).otherwise(share)
-    drawn = kept.withColumn("h", F.xxhash64("doc_id")).where(F.pmod("h", F.lit(1 << 20)) < share)
-    rows = sorted(drawn.select("lang", "h", F.substring("text", 1, DOC_CHARS).alias("text")).collect(), key=lambda r: (r["h"], r["text"]))
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1 << 20, -(-(docs << 20) // n)))]), F.col("lang"))
+    drawn = kept.withColumn("h", F.xxhash64("doc_id", "text")).where(F.pmod("h", F.lit(1 << 20)) < share)
+    begin = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - DOC_CHARS, F.lit(0)) + 1).cast("int") + 1
+    drawn = drawn.select("lang", "h", F.substring("text", begin, DOC_CHARS).alias("text"))
+    # Repeated rows have one hash and may be many; a language needs no more than so many of them.
+    few = F.row_number().over(W.partitionBy("lang").orderBy("h", "text")) <= 4 * docs
+    rows = sorted(drawn.withColumn("few", few).where("few").select("lang", "h", "text").collect(), key=lambda r: (r["h"], r["text"]))
     order = sorted(counts, key=lambda x: (-counts[x], x))
-    pool = {lang: [r["text"] for r in rows if r["lang"] == lang] for lang in order}
+    pool: dict[str, list[str]] = {lang: [] for lang in order}
+    for r in rows:
+        pool[r["lang"]].append(r["text"])
     join = lambda texts: " ".join(texts)[: 2 * chars]
-    first = Model([(lang, join(pool[lang])) for lang in order])
-    agreed = {lang: [t for t, p in zip(own, first.predict(own)[0]) if p == lang] for lang, own in pool.items()}
-    return [(lang, join(agreed[lang] or pool[lang])) for lang in order]
+    agreed: dict[str, list[tuple[int, str]]] = {lang: [] for lang in order}
+    for half in (0, 1):
+        other = Model([(lang, join(pool[lang][1 - half :: 2])) for lang in order])
+        for lang in order:
+            own = pool[lang][half::2]
+            found = other.predict(own)[0] if lang in other.langs else [lang] * len(own)
+            agreed[lang] += [(2 * k + half, t) for k, (t, p) in enumerate(zip(own, found)) if p == lang]
+    found = [(lang, join([t for _, t in sorted(agreed[lang])] or pool[lang])) for lang in order]
+    return [(lang, text) for lang, text in found if has_letter(text)]
 
 
 def _model(learned: list[tuple[str, str]]) -> Model:

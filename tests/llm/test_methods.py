@@ -80,20 +80,77 @@ def test_language_of_held_out_rows(docs, rows):
     assert np.mean([rows[r["doc_id"]]["lang"] == r["lang_pred"] for r in held]) > 0.95
 
 
-def test_phrases_are_longest_matches():
-    sample = "abracadabra arbadacarba"
-    model = langid.Model([("x", sample)])
+def plain_phrases(text, sample):
+    """Longest matches, one after another, among all substrings of the sample."""
+    text, sample = ("".join(chr(c) if c else " " for c in langid.letters(t)) for t in (text, sample))
+    sample = sample[: langid.SAMPLE_CHARS]
+    at = count = 0
+    while at < len(text):
+        n = 1
+        while at + n < len(text) and text[at : at + n + 1] in sample:
+            n += 1
+        at, count = at + n, count + 1
+    return count
+
+
+@pytest.mark.parametrize("dense", [200, 0])
+def test_phrases_are_longest_matches(monkeypatch, dense):
+    monkeypatch.setattr(langid, "DENSE", dense)
+    monkeypatch.setattr(langid, "SEGMENT", 16)
+    given = [("x", "abracadabra arbadacarba"), ("y", "xyz qqqqq"), ("z", "".join(map(chr, range(0x4E00, 0x4F00))) + " 一丁一")]
+    model = langid.Model(given)
     draw = random.Random(3)
-    for _ in range(200):
-        text = "".join(draw.choice("abcdr q") for _ in range(draw.randint(1, 40)))
-        text = " ".join(text.split()) or "a"
-        at = count = 0
-        while at < len(text):
-            n = 1
-            while at + n < len(text) and text[at : at + n + 1] in sample:
-                n += 1
-            at, count = at + n, count + 1
-        assert model.phrases([model.alphabet.classes(text)])[0, 0] == count
+    texts = ["".join(draw.choice(["abcdr q", "q", "ab q", "一丁七丂 a"][k % 4]) for _ in range(draw.randint(1, 150))) for k in range(400)]
+    texts = [t for t in texts if t.strip()] + ["q" * 333, "ab" * 200]
+    got = model.phrases([model.classes(t) for t in texts])
+    assert got.tolist() == [[plain_phrases(t, s) for _, s in given] for t in texts]
+
+
+def test_language_id_is_the_plain_rule(docs, rows):
+    learned = langid.samples(docs.where("not (" + "pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <=> 2)"))
+    langs = [lang for lang, _ in learned]
+    few = sorted(rows)[::9]
+    want = {}
+    for i in few:
+        text = (rows[i]["text"] or "")[:3000]
+        cost = [plain_phrases(text, s) for _, s in learned]
+        want[i] = langs[int(np.argmin(cost))] if langid.has_letter(text) else "und"
+    short = docs.where(F.col("doc_id").isin(few)).select("doc_id", F.substring("text", 1, 3000).alias("text"))
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.identify(short, learned).collect()} == want
+
+
+def test_small_samples_do_not_win():
+    english = "the quick brown fox jumps over the lazy dog and then it sleeps in the warm sun all day long " * 4
+    model = langid.Model([("en", english), ("xx", "ok"), ("nn", "123 --"), ("zz", "")])
+    assert model.langs == ["en", "xx"]
+    got, scores = model.predict(["The dog sleeps in the sun", "brown foxes jump", "ok", "123"])
+    assert got == ["en", "en", "xx", "und"] and scores[3] == 0
+
+
+def test_scripts_of_many_letters():
+    draw = random.Random(6)
+    han = [chr(0x4E00 + k) for k in range(1500)]
+
+    def language(seed, letters, words):
+        own = random.Random(seed)
+        return ["".join(own.choice(letters) for _ in range(own.randint(1, 4))) for _ in range(words)]
+
+    tongues = {f"h{k}": language(k, han, 3000) for k in (1, 2)} | {f"a{k}": language(10 + k, "abcdefghijklmnopqrstuvwxyz", 1500) for k in range(4)}
+    say = lambda lang, n: " ".join(draw.choice(tongues[lang]) for _ in range(n))
+    model = langid.Model([(lang, say(lang, 12_000)) for lang in tongues])
+    assert {type(m).__name__ for m in model.machines} == {"_Dense", "_Hashed"}
+    truth = [lang for lang in tongues for _ in range(50)]
+    got, _ = model.predict([say(lang, 25) for lang in truth])
+    assert np.mean([a == b for a, b in zip(truth, got)]) > 0.98
+
+
+def test_wrong_labels_are_left_out(spark):
+    rows = [(i, " ".join(random.Random(i).choice(("lune", "colline", "regarde", "tapis", "moulin")) for _ in range(60)), "fr") for i in range(40)]
+    rows += [(100 + i, " ".join(random.Random(i).choice(("hill", "moon", "looked", "carpet", "thought")) for _ in range(60)), "en") for i in range(40)]
+    rows += [(200, rows[50][1] + " x", "fr"), (201, "!!! 12", "qq")]
+    got = dict(langid.samples(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")))
+    assert "moon" not in got["fr"] and "lune" in got["fr"]
+    assert sorted(got) == ["en", "fr"]
 
 
 def plain_log_probability(lattice, word):
