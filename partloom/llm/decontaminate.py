@@ -6,8 +6,9 @@ met: documents keep the windows whose fingerprint is one of the benchmark's (fir
 ever lets too much pass), and these hits are extended to the whole span by joining on the hash of all its words. Items of
 fewer than SPAN words are one window, met by the hash of all their words.
 
-Defined cases: null and empty texts have no words; items without words meet nothing; repeated documents each get their row
-and repeated items count once by id; other columns are ignored; ties between equal gram hashes don't matter, as the
+Defined cases: null and empty texts have no words; items without words meet nothing; every row gets its row, whatever its
+id, null ids included; repeated items count once by id, and an item with a null id is hit but not listed; texts of any
+length are cut whole; empty tables meet nothing; other columns are ignored; ties between equal gram hashes don't matter, as the
 fingerprint is the hash and not a place.
 """
 
@@ -18,7 +19,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import stored
+from partloom.llm.common import fresh, stored
 
 SPAN = 10
 GRAM = 5
@@ -141,9 +142,12 @@ def digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """The rows of docs that share no window with the benchmark."""
-    hit = stored(overlaps(docs, bench).where("n_hit > 0").select("doc_id").distinct(), "hit")
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that share no window with the benchmark. Their texts alone decide: rows are told by a hash of the text
+    and its length, whatever their ids; a null text shares nothing."""
+    h, size = fresh(docs, "h"), fresh(docs, "size")
+    texts = docs.where(F.col("text").isNotNull()).select(F.struct(F.xxhash64("text").alias("h"), F.length("text").alias("size")).alias("doc_id"), "text")
+    hit = stored(overlaps(texts, bench).where("n_hit > 0").select(F.col("doc_id.h").alias(h), F.col("doc_id.size").alias(size)).distinct(), "hit")
+    return docs.join(hit, (F.xxhash64("text") == F.col(h)) & (F.length("text") == F.col(size)), "left_anti").select(*docs.columns)
 
 
 ORACLE = r"""

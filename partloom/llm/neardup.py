@@ -4,13 +4,18 @@ Every text becomes its set of word shingles and K MinHash coordinates. Texts wit
 Classes are posted under each (coordinate, value) pair. A pair of sets as similar as asked agrees on at least `least` of the
 K coordinates (but for odds of MISS), so it agrees on one of any K - least + 1 of them: each class keeps that many of its
 rarest values as its prefix, and values that no other class has, which are the rarest, need no posting at all; a class
-with a prefix of such values is left out. Classes that share a posting, directly or in turns, form a cluster, and the pairs of a
-cluster are compared in blocks of bounded size: collisions of signatures are counted, pairs with at least `least` are
-retained, and these are confirmed on full sets. Of the links of a block a spanning forest is kept, which loses no
-connection. Groups are the connected components of the links.
+with a prefix of such values is left out.
+
+Pairs that meet in a posting are merged, skipping pairs that links already connect: groups are connected components, so
+these can add nothing. Long postings begin with rounds in which each member meets one pivot of its posting only; what the
+rounds connect need not meet again. Then short postings give their pairs by a join, and long ones are split into tiles of
+bounded size, in which the members outside the posting's largest component meet all others. The collisions of each pair
+are counted on the whole signatures, pairs with at least `least` are retained, and these are confirmed on full sets.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; a text of fewer words than a shingle has,
-but not none, is one shingle; rows with equal ids are one document, with every row kept in the result; columns other than
+but not none, is one shingle; rows are told apart by themselves and not by their id, so rows with equal ids can be in
+different groups, and a row with a null id is in its group like any other, whose component_id is the smallest id that is not
+null (null if there is none); repeated rows are all in the result; texts of any length are used whole; columns other than
 doc_id and text are ignored; an empty table gives an empty result.
 """
 
@@ -18,25 +23,26 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partloom.llm.common import arrow_rows, stored
+from partloom.llm.common import arrow_rows, fresh, stored
 from partloom.llm.components import components
 from partloom.llm.shingles import minhash, shingles
 
 K = 64
 #: Odds that two sets just similar enough agree on fewer coordinates than are asked for.
 MISS = 1e-6
-#: Classes in a block; a task compares two blocks at most.
-BLOCK = 1024
-#: Shared shingles compared at once, which bounds a task's memory.
-COLUMNS = 4096
-#: Bits of the filter of documents whose sets are needed; a fuller filter passes more, none fewer.
-FILTER_BITS = 1 << 22
+#: Members up to which a posting gives all its pairs by a join, and members on a side of a longer one's tile.
+SHORT, TILE = 64, 1024
+#: A round of pivots is worth its passes while it leaves at most this share of the tiles' pairs.
+WORTH = 0.7
+#: Bits of the filter of texts whose sets are needed: so many for each, and at most; a fuller filter passes more, none fewer.
+BITS_EACH, MOST_BITS = 16, 1 << 27
 
 
 def least_matches(percent: int, k: int = K, miss: float = MISS) -> int:
@@ -50,20 +56,23 @@ def least_matches(percent: int, k: int = K, miss: float = MISS) -> int:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (digest of the set; null if empty) and the K coordinates of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.list_(pa.int64()))])
+    """doc_id, h (hash of the text), n_shingles, set_key (digest of the set; null if empty) and the K coordinates of each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.list_(pa.int32()))])
 
     def step(c: dict) -> dict:
         sets = shingles(c["text"], width)
-        sig = minhash(sets, K).astype(np.int64)
-        return {"doc_id": c["doc_id"], "n_shingles": [len(s) for s in sets], "set_key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], "sig": list(sig)}
+        sig = minhash(sets, K).view(np.int32)
+        ends = np.arange(0, K * (len(sets) + 1), K, dtype=np.int32)
+        key = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+        return {"doc_id": c["doc_id"], "h": c["h"], "n_shingles": [len(s) for s in sets], "set_key": key, "sig": pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel()))}
 
-    return docs.select("doc_id", "text").mapInArrow(arrow_rows(["doc_id", "text"], schema, step), "doc_id bigint, n_shingles bigint, set_key binary, sig array<bigint>")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    return hashed.mapInArrow(arrow_rows(["doc_id", "text", "h"], schema, step), "doc_id bigint, h bigint, n_shingles bigint, set_key binary, sig array<int>")
 
 
 def prefixes(classes: DataFrame, least: int) -> DataFrame:
     """node and key of every posting in a prefix that another class shares."""
-    posted = classes.select(F.col("doc_id").alias("node"), F.posexplode("sig").alias("k", "value")).select("node", (F.col("value") * K + F.col("k")).alias("key"))
+    posted = classes.select("node", F.posexplode("sig").alias("k", "value")).select("node", (F.col("value").cast("long") * K + F.col("k")).alias("key"))
     shared = stored(posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     met = posted.join(shared, "key")
     own = met.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("met"))
@@ -72,147 +81,157 @@ def prefixes(classes: DataFrame, least: int) -> DataFrame:
     return own.where(room > 0).select("node", F.explode(F.slice("met", F.lit(1), room)).alias("p")).select("node", "p.key")
 
 
-def clusters(postings: DataFrame) -> DataFrame:
-    """node and cluster: what shares postings, directly or in turns."""
-    p = stored(postings, "postings")
-    first = stored(p.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "firsts")
-    return components(p.join(first, "key").select(F.col("node").alias("u"), F.col("first").alias("v")))
-
-
-def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of the ids' hashes, of fixed size."""
-    slot = F.pmod(F.xxhash64("node"), F.lit(bits))
-    cells = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("v")).toPandas()
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of hashes, of bounded size."""
+    n, bits = hashes.count(), 1 << 16
+    while bits < min(BITS_EACH * n, MOST_BITS):
+        bits <<= 1
+    slot = F.pmod(F.xxhash64("h"), F.lit(bits))
+    cells = hashes.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("v")).toPandas()
     out = np.zeros(bits // 32, np.uint32)
     out[cells["cell"].to_numpy(np.int64)] = cells["v"].to_numpy(np.int64).astype(np.uint32)
     return out
 
 
-def _sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, cluster and sorted shingle hashes of the given nodes, from their texts."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(nodes))
-    schema = pa.schema([("node", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """node, sig and sorted shingle hashes of the given nodes (node, h, set_key, sig), from their texts."""
+    cells = _filter(nodes.select("h"))
+    bits = docs.sparkSession.sparkContext.broadcast(cells)  # MOST_BITS at most
+    schema = pa.schema([("h", pa.int64()), ("set_key", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def step(c: dict) -> dict:
-        n, cells = len(bits.value) * 32, bits.value
-        slot = [h % n if h is not None else 0 for h in c["h"]]
-        on = [i for i, s in enumerate(slot) if c["h"][i] is not None and cells[s >> 5] >> (s & 31) & 1]
+        slot = np.array(c["slot"], np.int64)
+        on = np.flatnonzero(bits.value[slot >> 5] >> (slot & 31).astype(np.uint32) & 1).tolist()
         sets = shingles([c["text"][i] for i in on], width)
-        return {"node": [c["node"][i] for i in on], "shingles": [s.view(np.int64) for s in sets]}
-
-    hashed = docs.select(F.col("doc_id").alias("node"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("h"))
-    found = hashed.mapInArrow(arrow_rows(["node", "text", "h"], schema, step), "node bigint, shingles array<bigint>")
-    return found.join(nodes, "node")
-
-
-def _exact(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of sets a (rows) and b (columns), in pieces of COLUMNS shared elements."""
-    values = np.concatenate([*a, *b])
-    owner = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in (*a, *b)])
-    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
-    common = count > 1
-    number = np.cumsum(common) - 1
-    keep = common[column]
-    owner, column = owner[keep], number[column[keep]]
-    out = np.zeros((len(a), len(b)), np.float32)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    total = int(column[-1]) + 1 if len(column) else 0
-    for lo in range(0, total, COLUMNS):
-        i, j = np.searchsorted(column, (lo, lo + COLUMNS))
-        x = np.zeros((len(a) + len(b), min(COLUMNS, total - lo)), np.float32)
-        x[owner[i:j], column[i:j] - lo] = 1
-        out += x[: len(a)] @ x[len(a) :].T
-    return out
+        key = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+        return {"h": [c["h"][i] for i in on], "set_key": key, "shingles": [s.view(np.int64) for s in sets]}
 
+    h = F.xxhash64("text")
+    hashed = docs.select("text", h.alias("h"), F.pmod(F.xxhash64(h), F.lit(len(cells) * 32)).alias("slot"))
+    found = hashed.mapInArrow(arrow_rows(["text", "h", "slot"], schema, step), "h bigint, set_key binary, shingles array<bigint>")
+    return found.join(nodes, ["h", "set_key"]).dropDuplicates(["node"]).select("node", "sig", "shingles")
 
-def links(nodes: list[int], sets: list[np.ndarray], sides: np.ndarray, least: int, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that are similar enough; with two sides, of the pairs across them.
 
-    sides: 0 or 1 by node; all equal where a block meets itself.
-    """
-    left, right = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-    alone = not len(left) or not len(right)
-    if alone:
-        left = right = np.arange(len(nodes))
-    sig = minhash(sets, K)
-    hits = np.zeros((len(left), len(right)), np.uint8)
-    for k in range(K):
-        hits += sig[left, k][:, None] == sig[right, k][None, :]
-    wanted = hits >= least
-    if alone:
-        wanted &= np.tri(len(left), k=-1, dtype=bool).T
-    rows, cols = np.flatnonzero(wanted.any(1)), np.flatnonzero(wanted.any(0))
-    if not len(rows):
-        return []
-    both = _exact([sets[left[i]] for i in rows], [sets[right[j]] for j in cols])
-    size = np.array([len(s) for s in sets], np.float64)
-    near = wanted[np.ix_(rows, cols)] & (100 * both >= percent * (size[left[rows]][:, None] + size[right[cols]][None, :] - both))
-    root = list(range(len(nodes)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(near)):
-        x, y = int(left[rows[i]]), int(right[cols[j]])
-        if (p := find(x)) != (q := find(y)):
-            root[p] = q
-            out.append((nodes[x], nodes[y]))
-    return out
+def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """node, key and component, which is the node itself as long as nothing is linked with it."""
+    if labels is None:
+        return postings.withColumn("component", F.col("node"))
+    return postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
 
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
 
-def confirmed(docs: DataFrame, clustered: DataFrame, width: int, percent: int, least: int, block: int = BLOCK) -> DataFrame:
-    """u and v of links that connect the same nodes as all pairs of a cluster that are similar enough do."""
-    sizes = stored(clustered.groupBy("component").agg(F.count("*").alias("n")), "sizes")
-    small = F.col("n") <= block
-    total = sizes.agg(F.coalesce(F.sum(F.when(small, F.col("n"))), F.lit(0)).alias("n")).first()["n"]
-    bins = max(1, -(-total // block))
-    nodes = clustered.join(sizes, "component").select("node", F.col("component").alias("cluster"), F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    nodes = nodes.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    nodes = stored(nodes, "nodes")
-    sets = stored(_sets_of(docs, nodes.select("node", "cluster", "blocks", "block"), width).dropDuplicates(["node"]), "sets")
 
-    # Task keys: clusters of one block go together into bins; of others, each pair of blocks is a task.
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    pairs: Column = F.transform(other, lambda o: F.struct(F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
-    tasks = sets.select("node", "cluster", "shingles", "blocks", "block", F.explode(pairs).alias("p"))
-    one = F.col("blocks") == 1
-    key = F.when(one, F.pmod(F.xxhash64("cluster"), F.lit(bins))).otherwise(F.xxhash64("cluster", "p.i", "p.j"))
-    tasks = tasks.select(key.alias("task"), "cluster", F.col("p.i").alias("i"), F.col("p.j").alias("j"), (F.col("block") != F.col("p.i")).cast("int").alias("side"), "node", "shingles")
+def pivot_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """Each member and the pivot of its posting, unless they are connected. A hash decides, the same one for all postings, so
+    postings of the same members have the same pivot and give the same pairs."""
+    pivots = members.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("pivot"), F.col("component").alias("of")), F.xxhash64("node", F.lit(turn))).alias("p")).select("key", "p.*")
+    return members.join(pivots, "key").where("component <> of").select(*_pair("node", "pivot")).distinct()
 
-    def compare(pdf):
-        import pandas as pd
 
-        found = []
-        for _, g in pdf.groupby(["cluster", "i", "j"], sort=False):
-            if len(g) > 1:
-                g = g.sort_values("node")
-                found += links(g["node"].tolist(), [np.asarray(s).view(np.uint64) for s in g["shingles"]], g["side"].to_numpy(), least, percent)
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+def short_pairs(members: DataFrame) -> DataFrame:
+    """All pairs of a posting that aren't connected; each posting has SHORT members at most."""
+    a = members.select("key", F.col("node").alias("a"), F.col("component").alias("x"))
+    b = members.select("key", F.col("node").alias("b"), F.col("component").alias("y"))
+    return a.join(b, "key").where("a < b and x <> y").select(*_pair("a", "b")).distinct()
 
-    return tasks.groupBy("task").applyInPandas(compare, "u bigint, v bigint")
+
+def tile_pairs(members: DataFrame, sigs: DataFrame, least: int, tile: int = TILE) -> DataFrame:
+    """The pairs of long postings that aren't connected and agree on `least` coordinates.
+
+    One side of the tiles are all members, the other those outside the posting's largest component, which alone are copied
+    to more than a few tiles.
+    """
+    size = members.groupBy("key", "component").agg(F.count("*").alias("n"))
+    per = size.groupBy("key").agg(F.sum("n").alias("all"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"))
+    per = stored(per.select("key", "main", F.ceil(F.col("all") / tile).cast("int").alias("rows"), F.ceil((F.col("all") - F.col("most")) / tile).cast("int").alias("cols")), "tiles")
+    m = members.join(sigs, "node").join(per, "key").where("cols > 0")
+    spread = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    i, j = F.pmod(F.xxhash64("node"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("cols")).cast("int")
+    every = m.select("key", "node", "component", "sig", F.lit(0).alias("side"), i.alias("i"), F.explode(spread("cols")).alias("j"))
+    rest = m.where("component <> main").select("key", "node", "component", "sig", F.lit(1).alias("side"), F.explode(spread("rows")).alias("i"), j.alias("j"))
+    tiles = every.unionByName(rest)
+
+    def meet(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        node, of = table.column("node").to_numpy(), table.column("component").to_numpy()
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, K)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        hits = np.zeros((len(left), len(right)), np.uint8)
+        for k in range(K):
+            hits += sig[left, k][:, None] == sig[right, k][None, :]
+        x, y = np.nonzero((hits >= least) & (of[left][:, None] != of[right][None, :]))
+        a, b = node[left[x]], node[right[y]]
+        return pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b)})
+
+    return tiles.groupBy("key", "i", "j").applyInArrow(meet, "u bigint, v bigint").distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
+    """The pairs u and v that agree on `least` coordinates and are as similar as asked."""
+    side = lambda end: sets.select(F.col("node").alias(end), F.col("sig").alias(f"sig_{end}"), F.col("shingles").alias(f"set_{end}"))
+    hits = F.aggregate(F.zip_with("sig_u", "sig_v", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+    both = F.size(F.array_intersect("set_u", "set_v"))
+    met = pairs.join(side("u"), "u").join(side("v"), "v").where(hits >= least)
+    return met.where(100 * both >= percent * (F.size("set_u") + F.size("set_v") - both)).select("u", "v")
+
+
+def linked(postings: DataFrame, sets: DataFrame, percent: int, least: int, short: int = SHORT, tile: int = TILE) -> DataFrame:
+    """node and component of all nodes that links connect."""
+    sizes = stored(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    links: list[DataFrame] = []
+    labels: DataFrame | None = None
+    together = lambda: stored(components(reduce(DataFrame.unionByName, links)), "labels")
+    long = postings.join(sizes.where(F.col("n") > short).select("key"), "key")
+    if not sizes.where(F.col("n") > short).isEmpty():
+        long, turn, before = stored(long, "long"), 0, math.inf
+        while True:
+            # Pairs that tiles would have to meet: members outside a posting's largest component, each with all members.
+            of = _labelled(long, labels).groupBy("key", "component").agg(F.count("*").alias("n"))
+            left = of.groupBy("key").agg(((F.sum("n") - F.max("n")) * F.sum("n")).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+            if not left or left > WORTH * before:
+                break
+            before = left
+            found = stored(confirmed(stored(pivot_pairs(_labelled(long, labels), turn), "pairs"), sets, percent, least), "links")
+            links.append(found)
+            labels, turn = together(), turn + 1
+        pairs = tile_pairs(_labelled(long, labels), sets.select("node", "sig"), least, tile)
+        links.append(stored(confirmed(stored(pairs, "pairs"), sets, percent, least), "links"))
+        labels = together()
+    rest = postings.join(sizes.where(F.col("n") <= short).select("key"), "key")
+    pairs = stored(short_pairs(_labelled(rest, labels)), "pairs")
+    links.append(stored(confirmed(pairs, sets, percent, least), "links"))
+    return together()
+
+
+def row_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Per row: doc_id, h (hash of the text), n_shingles, group (null without shingles), and the group's smallest id and the
+    text hash that stands with it."""
+    docs = docs.select("doc_id", "text")
+    least = least_matches(percent)
+    sigs = stored(signatures(docs, width).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    classes = stored(sigs.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("row").alias("node"), F.min(first).alias("first")), "classes")
+    one = sigs.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "h", "set_key", "sig")
+    postings = stored(prefixes(one, least), "postings")
+    sets = stored(sets_of(docs, one.join(postings.select("node").distinct(), "node", "left_semi"), width), "sets")
+    labels = linked(postings, sets, percent, least)
+    groups = classes.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    best = groups.groupBy("group").agg(F.min("first").alias("best"))
+    groups = stored(groups.select("set_key", "group").join(best, "group").select("set_key", "group", F.col("best.doc_id").alias("least_id"), F.col("best.h").alias("least_h")), "groups")
+    return sigs.select("doc_id", "h", "n_shingles", "set_key").join(groups, "set_key", "left").drop("set_key")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row: doc_id, n_shingles and component_id, the smallest id among the documents it is linked with, in turns."""
-    docs = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    least = least_matches(percent)
-    sigs = stored(signatures(docs, width), "signatures")
-    classes = stored(sigs.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("first")), "classes")
-    one = sigs.join(classes, (sigs["doc_id"] == classes["first"]) & (sigs["set_key"] == classes["set_key"]), "left_semi")
-    clustered = clusters(prefixes(one.select("doc_id", "sig"), least))
-    found = components(confirmed(docs, clustered, width, percent, least))
-    groups = classes.join(found, classes["first"] == found["node"], "left").select("set_key", F.coalesce("component", "first").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles", "set_key").join(stored(groups, "groups"), "set_key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    rows = row_groups(docs, width, percent)
+    return rows.select("doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns: three-word shingles, similarity of 0.85 or more."""
-    return near_duplicates(docs, 3, 85).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    """The contract's columns: three-word shingles, similarity of 0.85 or more; a row with a null id isn't kept."""
+    return near_duplicates(docs, 3, 85).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 ORACLE = r"""
@@ -228,9 +247,22 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.node = d.doc_id GROUP BY d
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group: that with the smallest id; of rows with equal ids one stays."""
-    groups = near_duplicates(docs, width, percent)
-    dropped = stored(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "dropped")
-    kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.select("doc_id").where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    return kept if repeated.isEmpty() else kept.where(F.col("doc_id").isNull()).unionByName(kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]))
+    """docs with one row of each group: that with the smallest id, then by a hash of the text, then any of equal rows.
+
+    Rows without shingles are in no group and stay. A row is told by its id and a hash of its text.
+    """
+    h = fresh(docs, "h")
+    rows = row_groups(docs, width, percent).where(F.col("group").isNotNull())
+    stays = F.col("doc_id").eqNullSafe(F.col("least_id")) & (F.col("h") == F.col("least_h"))
+    rows = stored(rows.groupBy("doc_id", F.col("h").alias(h)).agg(F.bool_or(stays).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "repeated")
+    here = docs.withColumn(h, F.xxhash64("text"))
+
+    def among(table: DataFrame, how: str) -> DataFrame:
+        t = table.select(F.col("doc_id").alias("_id"), F.col(h).alias("_h"))
+        return here.join(t, here["doc_id"].eqNullSafe(t["_id"]) & (here[h] == t["_h"]), how)
+
+    kept = among(rows, "left_anti").select(*docs.columns)
+    again = rows.where("stays")
+    if again.isEmpty():
+        return kept
+    return kept.unionByName(among(again, "left_semi").dropDuplicates(["doc_id", h]).select(*docs.columns))

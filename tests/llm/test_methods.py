@@ -269,16 +269,35 @@ def test_neighbours_are_all_found(spark, docs, rows):
         assert all(r["n_shingles"] == len(sets[r["doc_id"]]) for r in got)
 
 
-def test_blocks_of_a_cluster_lose_no_link(spark):
+@pytest.mark.parametrize(("short", "tile"), [(64, 1024), (3, 8), (1, 1024)])
+def test_long_postings_lose_no_link(spark, monkeypatch, short, tile):
+    monkeypatch.setattr(neardup, "SHORT", short)
+    draw = random.Random(12)
     base = [f"w{k}" for k in range(60)]
     texts = {k: " ".join(w if j != k % 60 else f"z{k}" for j, w in enumerate(base)) for k in range(90)}
+    # A frame that many texts share without being alike, and a chain whose ends are not.
+    texts |= {100 + k: " ".join([*base[:45], *(f"y{k}x{j}" for j in range(20))]) for k in range(20)}
+    texts |= {200 + k: " ".join(f"c{j}" for j in range(4 * k, 4 * k + 90)) for k in range(12)}
+    order = sorted(texts, key=lambda i: draw.random())
     want, _ = brute.near_groups(texts, 3, 85)
-    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
-    least = neardup.least_matches(85)
-    sigs = neardup.signatures(df, 3)
-    clustered = neardup.clusters(neardup.prefixes(sigs, least))
-    found = neardup.components(neardup.confirmed(df, clustered, 3, 85, least, block=16)).collect()
-    assert {r["node"]: r["component"] for r in found} == {k: v for k, v in want.items() if sum(x == v for x in want.values()) > 1}
+    df = spark.createDataFrame([(i, texts[i]) for i in order], "doc_id bigint, text string")
+    linked = neardup.linked
+    monkeypatch.setattr(neardup, "linked", lambda p, s, percent, least: linked(p, s, percent, least, short, tile))
+    got = neardup.near_duplicates(df, 3, 85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_rows_are_told_apart_by_themselves(spark):
+    a = " ".join(f"w{k}" for k in range(60))
+    near, other = a + " x", " ".join(f"v{k}" for k in range(60))
+    rows = [(7, other, 1), (7, a, 2), (None, near, 3), (3, a, 4), (None, other + " y", 5), (9, None, 6), (9, None, 7), (None, "q r s t u v", 8), (3, a, 9), (None, None, 10)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, h int")
+    got = sorted((r["doc_id"] or 0, r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in neardup.digest(df).collect())
+    assert got == sorted([(7, 58, 7, True), (7, 58, 3, False), (0, 59, 3, False), (3, 58, 3, True), (0, 59, 7, False), (9, 0, 9, True), (9, 0, 9, True), (0, 4, 0, False), (3, 58, 3, True), (0, 0, 0, False)])
+    kept = sorted(r["h"] for r in neardup.representatives(df).collect())
+    assert kept in ([1, 4, 6, 7, 8, 10], [1, 6, 7, 8, 9, 10])
+    bench = spark.createDataFrame([(1, " ".join(other.split()[5:20]))], "item_id bigint, text string")
+    assert sorted(r["h"] for r in decontaminate.clean(df, bench).collect()) == [2, 3, 4, 6, 7, 8, 9, 10]
 
 
 def test_shingle_hashes_agree_with_words():
