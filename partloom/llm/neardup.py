@@ -8,9 +8,10 @@ with a prefix of such values is left out.
 
 Pairs that meet in a posting are merged, skipping pairs that links already connect: groups are connected components, so
 these can add nothing. Long postings begin with rounds in which each member meets one pivot of its posting only; what the
-rounds connect need not meet again. Then short postings give their pairs by a join, and long ones are split into tiles of
-bounded size, in which the members outside the posting's largest component meet all others. The collisions of each pair
-are counted on the whole signatures, pairs with at least `least` are retained, and these are confirmed on full sets.
+rounds connect need not meet again. Then long postings are split into tiles of bounded size, in which the members outside
+the posting's largest component meet all others, and short ones give their pairs by a join. The collisions of each pair
+are counted on the whole signatures, pairs with at least `least` are retained, and these are confirmed on full sets; of a
+tile's links a forest is kept, which connects the same.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; a text of fewer words than a shingle has,
 but not none, is one shingle; rows are told apart by themselves and not by their id, so rows with equal ids can be in
@@ -37,8 +38,10 @@ from partloom.llm.shingles import minhash, shingles
 K = 64
 #: Odds that two sets just similar enough agree on fewer coordinates than are asked for.
 MISS = 1e-6
-#: Members up to which a posting gives all its pairs by a join, and members on a side of a longer one's tile.
-SHORT, TILE = 64, 1024
+#: Members up to which a posting gives all its pairs by a join, and shingles on a side of a longer one's tile.
+SHORT, TILE = 64, 1 << 17
+#: Shared shingles compared at once, which bounds a tile's memory.
+COLUMNS = 4096
 #: A round of pivots is worth its passes while it leaves at most this share of the tiles' pairs.
 WORTH = 0.7
 #: Bits of the filter of texts whose sets are needed: so many for each, and at most; a fuller filter passes more, none fewer.
@@ -56,18 +59,18 @@ def least_matches(percent: int, k: int = K, miss: float = MISS) -> int:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, h (hash of the text), n_shingles, set_key (digest of the set; null if empty) and the K coordinates of each row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.list_(pa.int32()))])
+    """doc_id, h (hash of the text), at (hash of both), n_shingles, set_key (digest of the set; null if empty) and the K coordinates of each row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("at", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("sig", pa.list_(pa.int32()))])
 
     def step(c: dict) -> dict:
         sets = shingles(c["text"], width)
         sig = minhash(sets, K).view(np.int32)
         ends = np.arange(0, K * (len(sets) + 1), K, dtype=np.int32)
         key = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        return {"doc_id": c["doc_id"], "h": c["h"], "n_shingles": [len(s) for s in sets], "set_key": key, "sig": pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel()))}
+        return {"doc_id": c["doc_id"], "h": c["h"], "at": c["at"], "n_shingles": [len(s) for s in sets], "set_key": key, "sig": pa.ListArray.from_arrays(pa.array(ends), pa.array(sig.ravel()))}
 
-    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    return hashed.mapInArrow(arrow_rows(["doc_id", "text", "h"], schema, step), "doc_id bigint, h bigint, n_shingles bigint, set_key binary, sig array<int>")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), _at())
+    return hashed.mapInArrow(arrow_rows(["doc_id", "text", "h", "at"], schema, step), "doc_id bigint, h bigint, at bigint, n_shingles bigint, set_key binary, sig array<int>")
 
 
 def prefixes(classes: DataFrame, least: int) -> DataFrame:
@@ -81,35 +84,42 @@ def prefixes(classes: DataFrame, least: int) -> DataFrame:
     return own.where(room > 0).select("node", F.explode(F.slice("met", F.lit(1), room)).alias("p")).select("node", "p.key")
 
 
-def _filter(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of hashes, of bounded size."""
-    n, bits = hashes.count(), 1 << 16
+def _filter(keys: DataFrame) -> np.ndarray:
+    """A bitmap of keys, of bounded size."""
+    n, bits = keys.count(), 1 << 16
     while bits < min(BITS_EACH * n, MOST_BITS):
         bits <<= 1
-    slot = F.pmod(F.xxhash64("h"), F.lit(bits))
-    cells = hashes.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("v")).toPandas()
+    slot = F.pmod(F.xxhash64("at"), F.lit(bits))
+    cells = keys.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 as int))")).alias("v")).toPandas()
     out = np.zeros(bits // 32, np.uint32)
     out[cells["cell"].to_numpy(np.int64)] = cells["v"].to_numpy(np.int64).astype(np.uint32)
     return out
 
 
 def sets_of(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node, sig and sorted shingle hashes of the given nodes (node, h, set_key, sig), from their texts."""
-    cells = _filter(nodes.select("h"))
+    """node, sig and sorted shingle hashes of the given nodes (node, at, set_key, sig), from their texts."""
+    cells = _filter(nodes.select("at"))
     bits = docs.sparkSession.sparkContext.broadcast(cells)  # MOST_BITS at most
-    schema = pa.schema([("h", pa.int64()), ("set_key", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("at", pa.int64()), ("set_key", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def step(c: dict) -> dict:
         slot = np.array(c["slot"], np.int64)
-        on = np.flatnonzero(bits.value[slot >> 5] >> (slot & 31).astype(np.uint32) & 1).tolist()
+        on = np.flatnonzero(bits.value[slot >> 5] >> (slot & 31).astype(np.uint32) & 1)
+        on = on[np.unique(np.array(c["at"], np.int64)[on], return_index=True)[1]].tolist()
         sets = shingles([c["text"][i] for i in on], width)
         key = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-        return {"h": [c["h"][i] for i in on], "set_key": key, "shingles": [s.view(np.int64) for s in sets]}
+        return {"at": [c["at"][i] for i in on], "set_key": key, "shingles": [s.view(np.int64) for s in sets]}
 
-    h = F.xxhash64("text")
-    hashed = docs.select("text", h.alias("h"), F.pmod(F.xxhash64(h), F.lit(len(cells) * 32)).alias("slot"))
-    found = hashed.mapInArrow(arrow_rows(["text", "h", "slot"], schema, step), "h bigint, set_key binary, shingles array<bigint>")
-    return found.join(nodes, ["h", "set_key"]).dropDuplicates(["node"]).select("node", "sig", "shingles")
+    hashed = docs.select("text", _at(), F.pmod(F.xxhash64(_at()), F.lit(len(cells) * 32)).alias("slot"))
+    found = hashed.mapInArrow(arrow_rows(["text", "at", "slot"], schema, step), "at bigint, set_key binary, shingles array<bigint>")
+    sets = stored(found.join(nodes, ["at", "set_key"]).select("node", "sig", "shingles"), "sets")
+    # Only rows that are equal in id and text give a node's set more than once.
+    return sets if sets.count() == nodes.count() else stored(sets.dropDuplicates(["node"]), "sets")
+
+
+def _at() -> Column:
+    """What tells rows apart that differ in id or text."""
+    return F.xxhash64("doc_id", "text").alias("at")
 
 
 def _labelled(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -137,35 +147,92 @@ def short_pairs(members: DataFrame) -> DataFrame:
     return a.join(b, "key").where("a < b and x <> y").select(*_pair("a", "b")).distinct()
 
 
-def tile_pairs(members: DataFrame, sigs: DataFrame, least: int, tile: int = TILE) -> DataFrame:
-    """The pairs of long postings that aren't connected and agree on `least` coordinates.
+def _common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sets a (rows) and b (columns), in pieces of COLUMNS shared elements."""
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(s) for s in (*a, *b)])
+    _, column, count = np.unique(np.concatenate([*a, *b]), return_inverse=True, return_counts=True)
+    shared = count > 1
+    keep = shared[column]
+    owner, column = owner[keep], (np.cumsum(shared) - 1)[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(a), len(b)), np.float32)
+    total = int(column[-1]) + 1 if len(column) else 0
+    for lo in range(0, total, COLUMNS):
+        i, j = np.searchsorted(column, (lo, lo + COLUMNS))
+        x = np.zeros((len(a) + len(b), min(COLUMNS, total - lo)), np.float32)
+        x[owner[i:j], column[i:j] - lo] = 1
+        out += x[: len(a)] @ x[len(a) :].T
+    return out
+
+
+def _forest(pairs, component: np.ndarray) -> list[tuple[int, int]]:
+    """Of pairs of members, those that connect components not yet connected."""
+    root = {c: c for c in component.tolist()}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for x, y in pairs:
+        if (p := find(int(component[x]))) != (q := find(int(component[y]))):
+            root[p] = q
+            out.append((x, y))
+    return out
+
+
+def tile_links(members: DataFrame, sets: DataFrame, percent: int, least: int, tile: int = TILE) -> DataFrame:
+    """Links u and v that connect what the links between members of each long posting do.
 
     One side of the tiles are all members, the other those outside the posting's largest component, which alone are copied
-    to more than a few tiles.
+    to more than a few tiles. A tile has about `tile` shingles on a side, or a single member. Its members' collisions are
+    counted, and pairs that reach `least` are confirmed on the sets there and then, in the first posting that they share.
     """
-    size = members.groupBy("key", "component").agg(F.count("*").alias("n"))
-    per = size.groupBy("key").agg(F.sum("n").alias("all"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"))
-    per = stored(per.select("key", "main", F.ceil(F.col("all") / tile).cast("int").alias("rows"), F.ceil((F.col("all") - F.col("most")) / tile).cast("int").alias("cols")), "tiles")
-    m = members.join(sigs, "node").join(per, "key").where("cols > 0")
-    spread = lambda of: F.sequence(F.lit(0), F.col(of) - 1)
+    m = members.join(sets.withColumn("size", F.size("shingles")), "node")
+    per = m.groupBy("key", "component").agg(F.sum("size").alias("n"))
+    per = per.groupBy("key").agg(F.sum("n").alias("all"), F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"))
+    per = stored(per.select("key", "main", F.ceil(F.col("all") / tile).cast("int").alias("rows"), F.ceil((F.col("all") - F.col("most")) / tile).cast("int").alias("cols")).where("cols > 0"), "tiles")
+    keys = members.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # of a prefix, so few
+    m = stored(m.join(per, "key").join(keys, "node"), "members")
+    spread = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     i, j = F.pmod(F.xxhash64("node"), F.col("rows")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("cols")).cast("int")
-    every = m.select("key", "node", "component", "sig", F.lit(0).alias("side"), i.alias("i"), F.explode(spread("cols")).alias("j"))
-    rest = m.where("component <> main").select("key", "node", "component", "sig", F.lit(1).alias("side"), F.explode(spread("rows")).alias("i"), j.alias("j"))
-    tiles = every.unionByName(rest)
+    what = ["key", "node", "component", "keys", "sig", "shingles"]
+    every = m.select(*what, F.lit(0).alias("side"), i.alias("i"), spread("cols").alias("j"))
+    rest = m.where("component <> main").select(*what, F.lit(1).alias("side"), spread("rows").alias("i"), j.alias("j"))
 
     def meet(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
-        node, of = table.column("node").to_numpy(), table.column("component").to_numpy()
+        side, node, of = (table.column(c).to_numpy() for c in ("side", "node", "component"))
         sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, K)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         hits = np.zeros((len(left), len(right)), np.uint8)
         for k in range(K):
             hits += sig[left, k][:, None] == sig[right, k][None, :]
-        x, y = np.nonzero((hits >= least) & (of[left][:, None] != of[right][None, :]))
-        a, b = node[left[x]], node[right[y]]
+        wanted = (hits >= least) & (of[left][:, None] != of[right][None, :])
+        rows, cols = np.flatnonzero(wanted.any(1)), np.flatnonzero(wanted.any(0))
+        links: list[tuple[int, int]] = []
+        if len(rows):
+            left, right, wanted = left[rows], right[cols], wanted[np.ix_(rows, cols)]
+            key = table.column("key")[0].as_py()
+            # Pairs that share an earlier posting meet there.
+            earlier = [{x for x in table.column("keys")[int(k)].as_py() if x < key} for k in (*left, *right)]
+            number = {x: n for n, x in enumerate(set().union(*earlier))}
+            has = np.zeros((len(earlier), max(1, len(number))), np.float32)
+            for k, own in enumerate(earlier):
+                has[k, [number[x] for x in own]] = 1
+            wanted &= has[: len(left)] @ has[len(left) :].T == 0
+            shingle = table.column("shingles").combine_chunks()
+            sets = [shingle[int(k)].values.to_numpy() for k in (*left, *right)]
+            if wanted.any():
+                size = np.array([len(s) for s in sets], np.float64)
+                both = _common(sets[: len(left)], sets[len(left) :])
+                near = wanted & (100 * both >= percent * (size[: len(left)][:, None] + size[len(left) :][None, :] - both))
+                links = _forest(((left[x], right[y]) for x, y in zip(*np.nonzero(near))), of)
+        a, b = (np.array([node[pair[k]] for pair in links], np.int64) for k in (0, 1))
         return pa.table({"u": np.minimum(a, b), "v": np.maximum(a, b)})
 
-    return tiles.groupBy("key", "i", "j").applyInArrow(meet, "u bigint, v bigint").distinct()
+    return every.unionByName(rest).groupBy("key", "i", "j").applyInArrow(meet, "u bigint, v bigint").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, least: int) -> DataFrame:
@@ -196,8 +263,7 @@ def linked(postings: DataFrame, sets: DataFrame, percent: int, least: int, short
             found = stored(confirmed(stored(pivot_pairs(_labelled(long, labels), turn), "pairs"), sets, percent, least), "links")
             links.append(found)
             labels, turn = together(), turn + 1
-        pairs = tile_pairs(_labelled(long, labels), sets.select("node", "sig"), least, tile)
-        links.append(stored(confirmed(stored(pairs, "pairs"), sets, percent, least), "links"))
+        links.append(stored(tile_links(_labelled(long, labels), sets, percent, least, tile), "links"))
         labels = together()
     rest = postings.join(sizes.where(F.col("n") <= short).select("key"), "key")
     pairs = stored(short_pairs(_labelled(rest, labels)), "pairs")
@@ -213,9 +279,9 @@ def row_groups(docs: DataFrame, width: int, percent: int) -> DataFrame:
     sigs = stored(signatures(docs, width).withColumn("row", F.monotonically_increasing_id()), "signatures")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     classes = stored(sigs.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("row").alias("node"), F.min(first).alias("first")), "classes")
-    one = sigs.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "h", "set_key", "sig")
+    one = sigs.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "at", "set_key", "sig")
     postings = stored(prefixes(one, least), "postings")
-    sets = stored(sets_of(docs, one.join(postings.select("node").distinct(), "node", "left_semi"), width), "sets")
+    sets = sets_of(docs, stored(one.join(postings.select("node").distinct(), "node", "left_semi"), "nodes"), width)
     labels = linked(postings, sets, percent, least)
     groups = classes.join(labels, "node", "left").withColumn("group", F.coalesce("component", "node"))
     best = groups.groupBy("group").agg(F.min("first").alias("best"))

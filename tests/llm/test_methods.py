@@ -269,7 +269,7 @@ def test_neighbours_are_all_found(spark, docs, rows):
         assert all(r["n_shingles"] == len(sets[r["doc_id"]]) for r in got)
 
 
-@pytest.mark.parametrize(("short", "tile"), [(64, 1024), (3, 8), (1, 1024)])
+@pytest.mark.parametrize(("short", "tile"), [(64, 1 << 17), (3, 500), (1, 1 << 17)])
 def test_long_postings_lose_no_link(spark, monkeypatch, short, tile):
     monkeypatch.setattr(neardup, "SHORT", short)
     draw = random.Random(12)
