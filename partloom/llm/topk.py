@@ -2,12 +2,15 @@
 
 Vectors are dealt into shards by a hash of the id. In each shard a tree halves the points at the median of the widest side
 of their tight bounding box. A query goes through the nodes in the order of the largest inner product that their boxes
-allow and stops when that is below its k-th best so far. Each query first meets its own shard; its k-th best score there is
-what it takes to the others. Queries travel in blocks, so a task holds one shard and one block.
-
-Defined cases: vectors that are null, or hold null or non-finite components, take no part; vectors of other lengths than the
-query's are no candidates; rows with the query's own id are none either; ties go to the smaller id, and repeated rows count
-each; scores are exact while their sums stay below 2^53.
+allow and stops when that is below its k-th best so far. Shards are met in waves: each query first meets its own shard, then
+a part of the others, then the rest, and takes the k-th best score of all waves before along. A task reads a shard's points,
+builds its trees once and lets the queries pass by in batches, so it holds one shard and one batch however many queries
+there are, and a shard's points move once a wave.
+
+Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do those with a null id;
+vectors of other lengths than the query's are no candidates; rows with the query's own id are none either; ties go to the
+smaller id, and repeated rows count each; empty vectors find nothing; an empty table gives an empty result; other columns are
+ignored; scores are exact while their sums stay below 2^53.
 """
 
 from __future__ import annotations
@@ -15,14 +18,16 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from partloom.llm.common import stored
 
-SHARD_ROWS, QUERY_ROWS, LEAF = 8_192, 2_048, 128
+SHARD_ROWS, LEAF = 8_192, 128
+#: The second wave meets one in so many shards, the third the others.
+PART = 4
 
 
 class KDTree:
@@ -87,44 +92,89 @@ def whole_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").isNotNull()).where(fine).select("vec_id", F.transform(x, lambda e: F.floor(e * 256).cast("double")).alias("v"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+FOUND = pa.schema([("query_id", pa.int64()), ("copy", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
+def _by_length(vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each length, the places of its vectors and these as a matrix."""
+    flat, ends = vectors.flatten().to_numpy(), np.concatenate([[0], np.cumsum(vectors.value_lengths().to_numpy())])
+    size = np.diff(ends)
+    out = {}
+    for dim in np.unique(size).tolist():
+        at = np.flatnonzero(size == dim)
+        out[dim] = (at, flat[ends[at][:, None] + np.arange(dim)])
+    return out
+
+
+def _passing(k: int):
+    """For mapInArrow, over rows in order of shard and kind: points (kind 0) make trees, queries (kind 1) go through them."""
+
+    def run(batches):
+        shard, points, trees = None, [], None
+        for batch in batches:
+            of, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+            cuts = np.flatnonzero(np.diff(of) | np.diff(kind)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)]):
+                if lo == hi:
+                    continue
+                rows = batch.slice(lo, hi - lo)
+                if of[lo] != shard:
+                    shard, points, trees = of[lo], [], None
+                if kind[lo] == 0:
+                    points.append((rows.column("vec_id"), rows.column("v")))
+                    continue
+                if trees is None:
+                    trees = {}
+                    if points:
+                        ids = pa.concat_arrays([x for x, _ in points]).to_numpy()
+                        trees = {dim: KDTree(m, ids[at]) for dim, (at, m) in _by_length(pa.concat_arrays([v for _, v in points])).items() if dim}
+                        points = []
+                yield _search(trees, rows, k)
+
+    return run
+
+
+def _search(trees: dict[int, KDTree], rows: pa.RecordBatch, k: int) -> pa.RecordBatch:
+    own, copy, floor = (rows.column(c).to_numpy() for c in ("vec_id", "copy", "floor"))
+    out: list[tuple[int, int, int, float]] = []
+    for dim, (at, asked) in _by_length(rows.column("v")).items():
+        if (tree := trees.get(dim)) is not None:
+            for lo in range(0, len(at), 256):
+                part = at[lo : lo + 256]
+                for x, query, bound in zip(part, asked[lo : lo + 256], tree.bounds(asked[lo : lo + 256])):
+                    out += [(own[x], copy[x], i, score) for score, i in tree.search(query, own[x], k, bound, floor[x])]
+    columns = zip(*out) if out else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND)], schema=FOUND)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best among all other rows of vec_id and v."""
-    held = stored(vectors.select("vec_id", "v", F.size("v").alias("dim")), "vectors")
-    count = held.agg(F.count("*").alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
-    shards, blocks = max(1, -(-count["n"] // shard_rows)), max(1, -(-count["q"] // query_rows))
-    shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
-    points = held.withColumn("shard", shard)
-    queries = points.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
-    queries = queries.withColumn("copy", F.monotonically_increasing_id())
-    found = "query_id bigint, copy bigint, vec_id bigint, score double"
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int, float]] = []
-        for dim, q in right.groupby("dim"):
-            p = left[left["dim"] == dim]
-            if not len(p) or not dim:
-                continue
-            tree = KDTree(np.stack(p["v"].to_numpy()), p["vec_id"].to_numpy())
-            asked = np.stack(q["v"].to_numpy())
-            bounds = tree.bounds(asked)
-            for row, own, copy, bound, floor in zip(asked, q["vec_id"], q["copy"], bounds, q["floor"]):
-                out += [(own, copy, i, s) for s, i in tree.search(row, own, k, bound, floor)]
-        return pd.DataFrame(out, columns=["query_id", "copy", "vec_id", "score"]).astype({"query_id": "int64", "copy": "int64", "vec_id": "int64", "score": "float64"})
-
-    def against(asked: DataFrame) -> DataFrame:
-        """asked: queries with the shard and block they are to meet."""
-        dealt = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-        return dealt.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInPandas(search, found)
-
-    queries = stored(queries, "queries")
-    home = stored(against(queries.withColumn("floor", F.lit(float("-inf")))), "home")
-    kth = home.groupBy(F.col("query_id").alias("vec_id"), "copy").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k)
-    rest = queries.join(kth.select("vec_id", "copy", "kth"), ["vec_id", "copy"], "left").withColumnRenamed("shard", "home")
-    rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"))).where("shard <> home")
-    rest = rest.withColumn("floor", F.coalesce("kth", F.lit(float("-inf"))))
-    everything = home.unionByName(against(rest)) if shards > 1 else home
+    shards = max(1, -(-vectors.count() // shard_rows))
+    points = stored(vectors.select("vec_id", "v").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")), "vectors")
+    queries = stored(points.where(is_query).withColumn("copy", F.monotonically_increasing_id()).withColumnRenamed("shard", "home"), "queries")
     best = W.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
-    return everything.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
+    unknown = F.lit(float("-inf"))
+
+    def against(asked: DataFrame, some: Column) -> DataFrame:
+        """asked: queries with the shards they are to meet and their floor; some: which shards these are."""
+        nothing = F.lit(0).cast("long").alias("copy"), unknown.alias("floor")
+        rows = points.where(some).select("shard", F.lit(0).alias("kind"), "vec_id", "v", *nothing)
+        rows = rows.unionByName(asked.select("shard", F.lit(1).alias("kind"), "vec_id", "v", "copy", "floor"))
+        return rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_passing(k), "query_id bigint, copy bigint, vec_id bigint, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    found = against(queries.select(F.col("home").alias("shard"), "vec_id", "v", "copy", unknown.alias("floor")), F.lit(True))
+    cut = -(-shards // PART)
+    for begin, end in ((0, cut), (cut, shards)) if shards > 1 else ():
+        found = stored(ranked(found), "best")
+        floor = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "copy", F.col("score").alias("kth"))
+        rest = queries.join(floor, ["vec_id", "copy"], "left").withColumn("floor", F.coalesce("kth", unknown))
+        rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(begin), F.lit(end - 1)))).where("shard <> home")
+        more = against(rest, F.col("shard").between(begin, end - 1))
+        found = found.drop("rank").unionByName(more)
+    return ranked(found).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 
 def digest(embeddings: DataFrame) -> DataFrame:

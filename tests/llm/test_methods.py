@@ -366,7 +366,7 @@ def test_best_first_search_is_exact(spark):
     v = draw.integers(-3, 4, (400, 6))
     df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id bigint, v array<double>")
     got: dict = {}
-    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_rows=90, query_rows=3).collect():
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, 5, shard_rows=90).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     for q in range(0, 400, 50):
         best = sorted((-int(v[q] @ v[i]), i) for i in range(400) if i != q)[:5]
