@@ -3,11 +3,12 @@
 Strong findings (base kinds) are reported wherever they stand. Weak parts (account names, endpoints, high-entropy words)
 say little alone; each is an interval on the text, widened to its scope, and is reported only if its scope meets that of a
 part that completes it: an identifier needs a secret, an endpoint needs a secret or an identifier with one, an entropy
-word needs an identifier or an endpoint. The interval join sorts the ends of one side and looks up the other. Parts of any
-length are taken whole.
+word needs an identifier or an endpoint. The interval join sorts the ends of one side and looks up the other, so it takes
+n log n steps. A weak part that overlaps a base span is no part. Parts of any length are taken whole.
 
-Defined cases: null text is empty and has no spans; repeated rows each get their row; spans of one kind never overlap;
-extra columns are ignored.
+Defined cases: null text is empty and has no spans; repeated rows each get their row, and a null doc_id keeps its row; spans
+of one kind never overlap; texts of any length are scanned whole; other columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -81,11 +83,12 @@ def linked(text: str, base: list[Span]) -> list[Span]:
     if not weak:
         return []
     taken = sorted((s, e) for _, s, e in base)
-    begins = [s for s, _ in taken]
+    begins, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
 
     def free(span: Span) -> bool:
+        """Whether no base span that begins before the span's end reaches into it."""
         i = bisect_left(begins, span[2])
-        return all(e <= span[1] for _, e in taken[max(0, i - 3) : i])
+        return not i or reach[i - 1] <= span[1]
 
     weak = [x for x in weak if free(x)]
     of = {k: [x for x in weak if x[0] == k] for k in KINDS[3:]}

@@ -1,22 +1,24 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick over folded text.
 
-Folding lower-cases, maps look-alike letters of other scripts and digit or sign substitutions to the Latin letters they
-stand for, and turns every other character into a space. Lexicon entries are words or beginnings of words whose documents
+Folding lower-cases, drops accents and invisible characters, maps look-alike letters of other scripts and digit or sign
+substitutions to the Latin letters they stand for, and turns every other character into a space. Lexicon entries are words or beginnings of words whose documents
 are labelled toxic far more often than others; their weights are log odds. Words inside an exception phrase don't count.
 A document's density is the weight of its matches over its words, so long texts need more than short ones; a logistic
 curve, fitted to the same sample, makes it a probability.
 
-The lexicon and the curve are learned from at most about SAMPLE_ROWS labelled rows, drawn by a hash of the id.
+The lexicon and the curve are learned from at most about SAMPLE_ROWS labelled rows, drawn by a hash of the id. An entry
+stands in a share of the toxic rows, so there are at most the features of a toxic row, on average, over that share.
 
 Defined cases: null texts are empty; an empty text has density 0 and gets that probability; several labels of one document
 count as the largest; without labels of both kinds the score is the share of toxic labels (0 without any); repeated rows
-each get their row; other columns are ignored.
+each get their row, and rows with a null doc_id, which no label can have; texts of any length are matched whole; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import unicodedata
 
 import ahocorasick
 import numpy as np
@@ -28,29 +30,30 @@ from partloom.llm.common import arrow_rows, crc_mod, kept, stored
 
 #: Labelled rows that are learned from, at most (in expectation); the bound of the model.
 SAMPLE_ROWS = 8192
-#: Entries of the lexicon at most; the strongest are kept.
-ENTRIES = 512
-#: Lengths of word beginnings that may become entries, and of whole words at most.
-PREFIXES, LONGEST = range(4, 9), 32
+#: Lengths of word beginnings that may become entries; whole words may at any length.
+PREFIXES = range(4, 9)
 #: An entry stands in so many toxic documents of the sample at least, and in this share of them.
 LEAST_TOXIC, LEAST_SHARE, LEAST_ODDS, LEAST_G2 = 4, 0.02, 2.0, 12.0
 
 # Letters of other scripts and signs that are read as Latin letters.
 LOOKALIKES = dict(zip("асеорхуіјѕԁһкмтвнαορτυνικχеοΑΒΕΖΗΙΚΜΝΟΡΤΥΧАВЕКМНОРСТХУІ", "aceopxyijsdhkmtbhaoptuvikxeoabezhikmnoptyxabekmhopctxyi"))
 SIGNS = dict(zip("013457@$!8", "oieastasib"))
-# Phrases in which a word of abuse is used otherwise.
+# Phrases in which a word of abuse is used otherwise, unless the caller gives others.
 EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "scum layer", "pond scum", "sore loser", "stupid question", "class clown")
 
 
 class _Fold(dict):
     def __missing__(self, code: int) -> str:
         c = chr(code)
-        c = LOOKALIKES.get(c) or SIGNS.get(c) or c
-        if 0xFF01 <= code <= 0xFF5E:
-            c = chr(code - 0xFEE0)
-        c = c.lower()
-        self[code] = c = c if c.isalpha() else " "
-        return c
+        if unicodedata.category(c) in ("Mn", "Me", "Cf"):  # marks on letters, and characters that can't be seen
+            folded = ""
+        else:
+            whole = LOOKALIKES.get(c) or SIGNS.get(c) or c
+            parts = (x for x in unicodedata.normalize("NFKD", whole) if not unicodedata.combining(x))
+            letters = "".join(LOOKALIKES.get(x) or SIGNS.get(x) or x for x in parts).lower()
+            folded = "".join(x if x.isalpha() else " " for x in letters) or " "
+        self[code] = folded
+        return folded
 
 
 _FOLD = _Fold()
@@ -66,16 +69,15 @@ def features(folded: str) -> set[str]:
     out = set()
     for w in set(folded.split()):
         out.update(" " + w[:k] for k in PREFIXES if k <= len(w))
-        if len(w) <= LONGEST:
-            out.add(f" {w} ")
+        out.add(f" {w} ")
     return out
 
 
 class Lexicon:
-    def __init__(self, weights: dict[str, float]):
+    def __init__(self, weights: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
         self.machine = ahocorasick.Automaton()
-        for phrase in EXCEPTIONS:
-            self.machine.add_word(f" {phrase} ", (len(phrase) + 2, None))
+        for phrase in map(fold, exceptions):
+            self.machine.add_word(phrase, (len(phrase), None))
         for entry, w in weights.items():
             self.machine.add_word(entry, (len(entry), w))
         self.machine.make_automaton()
@@ -126,15 +128,15 @@ def entries(counts: list[tuple[str, int, int]], n_toxic: int, n_clean: int) -> d
     strong = {f: g for f, g in strong.items() if g >= LEAST_G2}
     # A longer entry goes where a beginning of it is one already, unless that one is much the weaker.
     out = {f: g for f, g in strong.items() if not any(odds[b] >= odds[f] - 1.5 for k in range(5, len(f)) if (b := f[:k]) in strong)}
-    return {f: odds[f] for f in sorted(out, key=lambda f: (-out[f], f))[:ENTRIES]}
+    return {f: odds[f] for f in sorted(out, key=lambda f: (-out[f], f))}
 
 
 class Model:
-    def __init__(self, weights: dict[str, float], slope: float, offset: float, flat: float | None = None):
-        self.weights, self.slope, self.offset, self.flat = weights, slope, offset, flat
+    def __init__(self, weights: dict[str, float], slope: float, offset: float, flat: float | None = None, exceptions: tuple[str, ...] = EXCEPTIONS):
+        self.weights, self.slope, self.offset, self.flat, self.exceptions = weights, slope, offset, flat, exceptions
 
 
-def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
     """A model of labels.toxic, from about `bound` labelled rows of docs."""
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     total = known.count()
@@ -145,7 +147,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
-        return Model({}, 0.0, 0.0, n_toxic / max(1, n_toxic + n_clean))
+        return Model({}, 0.0, 0.0, n_toxic / max(1, n_toxic + n_clean), exceptions)
 
     def count(batches):
         seen: dict[str, list[int]] = {}
@@ -158,33 +160,33 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_ROWS) -> Model
 
     counts = rows.mapInArrow(count, "f string, clean bigint, toxic bigint").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
-    kept = counts.where((F.col("toxic") >= LEAST_TOXIC) & (odds >= LEAST_ODDS)).orderBy(F.desc("toxic"), "f").limit(64 * ENTRIES)
+    kept = counts.where((F.col("toxic") >= max(LEAST_TOXIC, LEAST_SHARE * n_toxic)) & (odds >= LEAST_ODDS))
     weights = entries([(r["f"], r["toxic"], r["clean"]) for r in kept.collect()], n_toxic, n_clean)
 
     schema = pa.schema([("x", pa.float64()), ("toxic", pa.int32())])
 
     def densities(c: dict) -> dict:
-        lexicon = _lexicon(weights)
+        lexicon = _lexicon(weights, exceptions)
         return {"x": [lexicon.density(t or "") for t in c["text"]], "toxic": c["toxic"]}
 
     seen = rows.mapInArrow(arrow_rows(["text", "toxic"], schema, densities), "x double, toxic int").toPandas()
     slope, offset = logistic(_curve(seen["x"].to_numpy()), seen["toxic"].to_numpy(float))
-    return Model(weights, slope, offset)
+    return Model(weights, slope, offset, None, exceptions)
 
 
-def _lexicon(weights: dict[str, float]) -> Lexicon:
-    return kept(("toxicity", tuple(weights.items())), lambda: Lexicon(weights))
+def _lexicon(weights: dict[str, float], exceptions: tuple[str, ...]) -> Lexicon:
+    return kept(("toxicity", tuple(weights.items()), exceptions), lambda: Lexicon(weights, exceptions))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and the probability of label 1 of every row's whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
-    weights, slope, offset, flat = model.weights, model.slope, model.offset, model.flat
+    weights, slope, offset, flat, exceptions = model.weights, model.slope, model.offset, model.flat, model.exceptions
 
     def step(c: dict) -> dict:
         if flat is not None:
             return {"doc_id": c["doc_id"], "score": [float(flat)] * len(c["doc_id"])}
-        lexicon = _lexicon(weights)
+        lexicon = _lexicon(weights, exceptions)
         x = np.array([lexicon.density(t or "") for t in c["text"]])
         return {"doc_id": c["doc_id"], "score": 1 / (1 + np.exp(-(slope * _curve(x) + offset)))}
 

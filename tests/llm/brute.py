@@ -67,3 +67,31 @@ def pipeline(rows, benchmark, languages):
     kept = {i: t for i, t in kept.items() if group[i] == i}
     kept = {i: t for i, t in kept.items() if not hits(t, benchmark)[1]}
     return {i: secrets.redact(t, (b := secrets.base_spans(t)) + secrets.linked(t, b)) for i, t in kept.items()}
+
+
+def linked(text: str, base: list) -> set:
+    """The weak parts that something completes, by looking at all pairs."""
+    weak = [w for w in secrets.weak_parts(text) if all(e <= w[1] or s >= w[2] for _, s, e in base)]
+    near = lambda a, b: (a[2] <= b[1] <= a[2] + secrets.SCOPE) or (b[2] <= a[1] <= b[2] + secrets.SCOPE)
+    some = lambda kinds, spans: [x for x in spans if x[0] in kinds]
+    ids = some(("account",), weak) + some(("access",), base)
+    words = [w for w in some(("entropy",), weak) if any(near(w, x) for x in ids + some(("endpoint",), weak))]
+    strong = some(("assign", "hex"), base) + words
+    out = set(words) | {w for w in some(("account",), weak) if any(near(w, x) for x in strong)}
+    return out | {w for w in some(("endpoint",), weak) if any(near(w, x) for x in strong + some(("access",), base))}
+
+
+def density(text: str, weights: dict, exceptions: tuple) -> float:
+    """Weight of the words that an entry begins, by looking at every word and entry."""
+    from partloom.llm import toxicity
+
+    folded = toxicity.fold(text or "")
+    # The space after a phrase is the one before the next word, which isn't spared.
+    spared = [(k, k + len(x) - 1) for x in map(toxicity.fold, exceptions) for k in range(len(folded)) if folded.startswith(x, k)]
+    total = 0.0
+    for m in re.finditer(" (?=[^ ])", folded):
+        at = m.start()
+        best = max((w for e, w in weights.items() if folded.startswith(e, at)), default=0.0)
+        if not any(a <= at < b for a, b in spared):
+            total += best
+    return total / (folded.count(" ") + 1)

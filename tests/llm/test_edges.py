@@ -20,7 +20,11 @@ ROWS = [
     (9, "the cat sat on the mat and looked at the moon over the hill", None, None, 59),
     (10, "漢字 かな \u0000 🙂 é   \x1c <|endoftext|> Ⅷ İ", "ja", "d", 30),
     (11, 'token = "1a19e9019a7ceca6f2adb7b9e012196032067fe2"', "en", "a", 50),
+    (11, "another text stands under the id of the one before it", "en", "a", 53),
+    (None, "la lune regarde le tapis et le chat sur la colline", "fr", "b", 50),
+    (None, None, None, None, None),
 ]
+KEY = lambda i: (i is None, i or 0)
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
@@ -57,7 +61,7 @@ def digests(docs, bench, labels):
 @pytest.mark.parametrize("name", ["op1", "op2", "op3", "op5", "op7", "op8", "op9", "op10"])
 def test_each_row_gets_its_row(docs, bench, labels, name):
     rows = digests(docs, bench, labels)[name](docs).collect()
-    assert sorted(r["doc_id"] for r in rows) == sorted(r[0] for r in ROWS)
+    assert sorted((r["doc_id"] for r in rows), key=KEY) == sorted((r[0] for r in ROWS), key=KEY)
     same = [r for r in rows if r["doc_id"] == 8]
     assert {k: v for k, v in same[0].asDict().items() if k != "start"} == {k: v for k, v in same[1].asDict().items() if k != "start"}
 
@@ -82,7 +86,7 @@ def test_texts_without_letters_have_no_language(docs):
 
 def test_unlabelled_documents_are_accepted(docs):
     got = langid.accepted(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
-    assert sorted(r["doc_id"] for r in got) == [1, 6, 7, 8, 8, 9, 10, 11] and {r["lang"] for r in got} == {None}
+    assert sorted((r["doc_id"] for r in got), key=KEY) == [1, 6, 7, 8, 8, 9, 10, 11, 11, None] and {r["lang"] for r in got} == {None}
     assert [r["doc_id"] for r in langid.accepted(docs.where("doc_id = 5 or doc_id = 9")).collect()] == [9]
 
 
@@ -123,10 +127,12 @@ def test_pipeline_stages_keep_columns_and_clean_rows(spark, docs, bench, tmp_pat
         assert at.columns == docs.columns
         at = at.cache()
     kept = {r["doc_id"]: r for r in at.collect()}
-    assert sorted(r["doc_id"] for r in at.collect()) == [6, 7, 8, 10, 11]
+    assert sorted((r["doc_id"] for r in at.collect()), key=KEY) == [6, 7, 8, 10, 11, 11, None]
+    kept |= {r["text"][:5]: r for r in at.collect() if r["doc_id"] == 11}
     assert kept[6]["text"] == LONG and kept[7]["lang"] in ("en", "fr", "la", "ja")
-    assert "1a19" not in kept[11]["text"] and kept[11]["n_chars"] == len(kept[11]["text"])
+    assert all("1a19" not in r["text"] for r in kept.values())
+    assert kept["anoth"]["n_chars"] == 53 and kept["[ASSI"]["n_chars"] == len(kept["[ASSI"]["text"])
     last = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path)).collect()
-    assert all(r["restored"] for r in last) and len(last) == len(kept)
+    assert all(r["restored"] for r in last) and len(last) == 7
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []

@@ -451,3 +451,44 @@ def test_pipeline_rows(spark, data, docs, rows):
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, data).collect()}
     assert {i: own.decode(r["ids"]) for i, r in got.items()} == want
     assert all(r["restored"] and r["n_tokens"] == len(r["ids"]) for r in got.values())
+
+
+def test_secret_links_are_the_plain_rule(rows):
+    draw = random.Random(14)
+    parts = ["user: alice7 ", "login=bob.smith ", "https://h.example/a?b=1 ", "10.2.3.4:80 ", "Ab1" * 9 + "xQ7z ", 'token="', "secret: ", "a" * 30 + " ", "0123456789abcdef" * 3 + " ", "AKIA" + "Z9" * 9 + " ", "word " * 40, "x ", "key\n"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(1, 25))) for _ in range(800)] + [r["text"] for r in rows.values()]
+    found = 0
+    for t in texts:
+        base = secrets.base_spans(t)
+        got = secrets.linked(t, base)
+        assert set(got) == brute.linked(t, base) and len(set(got)) == len(got)
+        found += len(got)
+    assert found > 300
+
+
+def test_weak_parts_inside_a_long_base_span_are_none():
+    text = "user: alice7 password=" + "=".join("0123456789abcdef" * 2 for _ in range(4)) + "=Qw3rTy7UiOp9AsDfGh"
+    base = secrets.base_spans(text)
+    assert len(base) == 5 and [k for k, *_ in secrets.linked(text, base)] == ["account"]
+
+
+def test_toxicity_is_the_plain_rule(spark, data, docs, rows):
+    labels = table(spark, data, "labels")
+    held = "coalesce(pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0, false)"
+    model = toxicity.learn(docs.where(f"not {held}"), labels.where(f"not {held}"))
+    got = {r["doc_id"]: r for r in toxicity.digest(docs, labels).collect()}
+    assert len(got) == len(rows) and all(r["held_out"] == (crc_mod_py(i, 5) == 0) for i, r in got.items())
+    for i, r in got.items():
+        x = math.log(brute.density(rows[i]["text"], model.weights, model.exceptions) + 1e-3) - math.log(1e-3)
+        want = model.flat if model.flat is not None else 1 / (1 + math.exp(-(model.slope * x + model.offset)))
+        assert math.isclose(r["score"], want, rel_tol=1e-9) and r["predicted"] == int(r["score"] >= 0.5)
+    weights = {" stup": 2.0, " stupi": 2.5, " trash": 3.0, " clow": 1.0, " mud ": 2.0}
+    for t in ("Stupid trash can, trash", "a class clown and a clown", "mud muddy MUD", "", "trash bin trash bin trash"):
+        assert math.isclose(toxicity.Lexicon(weights).density(t), brute.density(t, weights, toxicity.EXCEPTIONS), abs_tol=1e-12)
+    assert toxicity.Lexicon(weights, ("mud hut",)).density("mud hut trash can") == 3 / 5
+
+
+def test_folding_drops_accents_and_invisible_characters():
+    for said in ("stu\u0301pid", "st\u00fapid", "st\u200bupid", "\uff33\uff54upid", "$tup1d", "ѕtuріd", "STUPID", "s\u0336t\u0336upid"):
+        assert toxicity.fold(said) == " stupid "
+    assert toxicity.fold("a-b\u00a0c\ufb01") == " a b cfi "
