@@ -485,7 +485,7 @@ def test_toxicity_is_the_plain_rule(spark, data, docs, rows):
     weights = {" stup": 2.0, " stupi": 2.5, " trash": 3.0, " clow": 1.0, " mud ": 2.0}
     for t in ("Stupid trash can, trash", "a class clown and a clown", "mud muddy MUD", "", "trash bin trash bin trash"):
         assert math.isclose(toxicity.Lexicon(weights).density(t), brute.density(t, weights, toxicity.EXCEPTIONS), abs_tol=1e-12)
-    assert toxicity.Lexicon(weights, ("mud hut",)).density("mud hut trash can") == 3 / 5
+    assert toxicity.Lexicon(weights, ("mud hut",)).density("mud hut trash can") == 3 / 6
 
 
 def test_folding_drops_accents_and_invisible_characters():
