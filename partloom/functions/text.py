@@ -11,12 +11,19 @@ SNAP_LETTERS, SNAP_DIGITS = "OILSB", "01158"
 # Characters that a folder name drops (control and bidirectional marks) or replaces.
 DROPPED = r'[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F‪-‮⁦-⁩"]'
 REPLACED = r"[/<>:\\|?*]"
+# White space as Unicode has it, with the separators of ASCII.
+SPACE = r"[\s\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F‪-‮⁦-⁩]"
 
 
+def stripped(text: Column) -> Column:
+    """text without white space at its ends, no-break and other wide spaces included."""
+    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+
+
 def normalize(text: Column) -> Column:
-    """Upper case without white space; null is empty."""
-    return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", ""))
+    """Upper case without white space of any kind; null is empty."""
+    return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), rf"{SPACE}+", ""))
 
 
 def confusion_fixed(ref: Column) -> Column:
@@ -25,12 +32,16 @@ def confusion_fixed(ref: Column) -> Column:
 
 
 def ocr_token(word: Column) -> Column:
-    """The first alphanumeric run that reads as F and 5 to 8 digits, look-alikes repaired first; null if there is none."""
+    """The first alphanumeric run that reads as F and 5 to 8 digits once look-alikes are repaired; null if there is none.
+
+    The runs of the repaired word come first, in which a bar stands for a digit, then those of the word as it is, in which it
+    is a border.
+    """
+    repaired = lambda c: F.translate(c, OCR_LETTERS, OCR_DIGITS)
+    runs = lambda c: F.filter(F.split(c, "[^A-Z0-9]+"), lambda r: r.startswith("F"))
     up = F.upper(word)
-    runs = lambda c: F.split(c, "[^A-Z0-9]+")
-    fixed = F.transform(runs(up), lambda r: F.concat(F.substring(r, 1, 1), F.translate(F.substring(r, 2, 1_000_000), OCR_LETTERS, OCR_DIGITS)))
-    found = F.filter(F.concat(fixed, runs(up)), lambda r: r.rlike("^F[0-9]{5,8}$"))
-    return F.get(found, F.lit(0))
+    every = F.transform(F.concat(runs(repaired(up)), runs(up)), repaired)
+    return F.get(F.filter(every, lambda r: r.rlike("^F[0-9]{5,8}$")), F.lit(0))
 
 
 def edit_distance_one(a: Column, b: Column) -> Column:
@@ -40,7 +51,7 @@ def edit_distance_one(a: Column, b: Column) -> Column:
 def sanitize(name: Column) -> Column:
     """A name that is safe as a folder's."""
     s = F.regexp_replace(F.regexp_replace(name, DROPPED, ""), REPLACED, "-")
-    s = F.trim(F.regexp_replace(s, r"\s+", " "))
+    s = F.trim(F.regexp_replace(s, rf"{SPACE}+", " "))
     return F.regexp_replace(s, r"\.+$", "")
 
 
@@ -67,21 +78,30 @@ def inert(value: Column) -> Column:
 
 
 def visible(text: Column) -> Column:
-    """A log line with control and bidirectional characters made visible."""
-    return F.regexp_replace(text, CONTROL, "\\\\x")
+    """A log line with control and bidirectional characters as their codes."""
+    char = lambda c: F.when(c.rlike(CONTROL), F.when(F.ascii(c) < 256, F.concat(F.lit("\\x"), F.lpad(F.lower(F.hex(F.ascii(c))), 2, "0"))).otherwise(F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0")))).otherwise(c)
+    return F.when(text.rlike(CONTROL), F.array_join(F.transform(F.split(text, ""), char), "")).otherwise(text)
+
+
+# Long sides of the ISO A sizes in points, the dots an inch that scans are read at, and the most million dots.
+ISO_SIDES, DPI, LEAST_DPI, MEGAPIXELS = (3370, 2384, 1684, 1191, 842), 300, 72, 300
 
 
 def iso_scale(width: Column, height: Column) -> Column:
-    """The factor that brings a page's width to that of the ISO A size with the nearest ratio."""
-    # ISO A widths, in points, from A4 to A0, portrait and landscape.
-    sides = (595.276, 841.89, 1190.551, 1683.78, 2383.937, 3370.394)
+    """A page's points for each point of the ISO A size whose long side is nearest by ratio; 1 for pages without extent."""
     long = F.greatest(width, height)
-    ratios = F.array(*[F.struct(F.abs(F.log(long / s)).alias("off"), F.lit(s).alias("side")) for s in sides])
-    return F.array_min(ratios)["side"] / long
+    sizes = F.array(*[F.struct(F.abs(long / s - 1).alias("off"), F.lit(-s).alias("side")) for s in ISO_SIDES])
+    return F.when(F.least(width, height) <= 0, F.lit(1.0)).otherwise(long / -F.array_min(sizes)["side"])
+
+
+def render_dpi(width: Column, height: Column) -> Column:
+    """The dots an inch at which a page of so many points stays within MEGAPIXELS."""
+    most = F.floor(F.sqrt(F.lit(MEGAPIXELS * 1e6 * 72 * 72) / F.nullif(width * height, F.lit(0.0))))
+    return F.when((width > 0) & (height > 0), F.least(F.lit(DPI), F.greatest(F.lit(LEAST_DPI), most))).otherwise(F.lit(DPI)).cast("int")
 
 
 # A full drawing number, and words that only point at other drawings.
-FULL_NUMBER = "^(F[0-9]{8}|FC[0-9]{7})$"
+FULL_NUMBER, NUMBER = "^(F[0-9]{8}|FC[0-9]{7})$", "^FC?[0-9]{5,8}$"
 POINTERS = ("AND", "OR", "&", "W/", "WITH", "PER", "SEE", "REF", "+")
 
 
@@ -95,7 +115,7 @@ def ocr_number(word: Column) -> Column:
 def ocr_number_rank(word: Column) -> Column:
     """0 for a number as it is, 1 for a repaired one, 2 for anything else."""
     up = F.upper(F.trim(word))
-    return F.when(up.rlike(FULL_NUMBER), 0).when(F.coalesce(ocr_token(up).rlike(FULL_NUMBER), F.lit(False)), 1).otherwise(2)
+    return F.when(up.rlike(NUMBER), 0).when(F.coalesce(ocr_token(up).rlike(NUMBER), F.lit(False)), 1).otherwise(2)
 
 
 def names_a_part(description: Column) -> Column:

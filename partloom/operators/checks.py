@@ -35,7 +35,7 @@ def titleblock_mismatches(blocks: DataFrame) -> DataFrame:
     stem = F.col("stem")
     number = F.translate(F.upper("number"), "-", "_")
     own = identity.base(stem)
-    off = F.col("number").isNotNull() & (number != own)
+    off = F.coalesce(number != "", F.lit(False)) & (number != own)
     misread = F.col("scanned") & text.edit_distance_one(number, own)
     token = F.upper(identity.revision_token(stem))
     printed = F.when(F.upper("rev") == "-", "").otherwise(F.upper("rev"))

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import os
 import re
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ COLUMN_LABEL = r"(?i)^" + OWNER + r"(?:PART)?(?:#|NO\.?|NUM(?:BER)?)\.?$"
 WATERMARK = r"(?i)\b(?:UNCONTROLLED(?:\s+COPY)?|NOT\s+FOR\s+CONSTRUCTION|PRELIMINARY|PRE-?RELEASED|WORKING\s+COPY|DRAFT\s+COPY|FOR\s+REVIEW\s+ONLY|DO\s+NOT\s+COPY|DRAFT|VOID|VOIDED|SUPERSEDED|CANCELLED)\b"
 LEAST_CHARS, WATERMARK_PAGES = 50, 3
 Y_TOLERANCE, X_GAP, BAND = 3.0, 15.0, 10.0
-SHEER, LEAST_SIZES, PALE = 0.99, {"sheer": 8, "slanted": 24, "pale": 40}, 0.6
+SHEER, LEAST_SIZES, PALE, SLANT, SHOWN = 0.99, {"sheer": 8, "slanted": 24, "pale": 40}, 0.6, 0.05, 40
 
 
 def lines_of(docs: DataFrame, key: str, column: str) -> DataFrame:
@@ -49,16 +50,21 @@ def watermark_phrases(lines: DataFrame, key: str = "stem", pages: int = WATERMAR
     return hit.groupBy(key).agg(F.min_by("phrase", F.struct("page", "line_no")).alias("phrase")).select(key, F.concat(F.lit("watermark text: "), "phrase").alias("evidence"))
 
 
-def watermark_evidence(lines: DataFrame, layers: DataFrame, spans: DataFrame) -> DataFrame:
-    """stem and evidence from the first of: a layer's name, then page by page a phrase, then sheer, slanted or pale large text."""
+def watermark_evidence(lines: DataFrame, layers: DataFrame, spans: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """stem and evidence from the first of: a layer's name, then page by page a phrase, an annotation (notes) that holds one, and
+    sheer, slanted or pale large text."""
     by_layer = layers.where(F.lower("name").contains("watermark")).select("stem", F.struct(F.lit(0).alias("page"), F.lit(0).alias("check"), F.lit(0).alias("at")).alias("o"), F.concat(F.lit("watermark layer: "), "name").alias("evidence"))
     phrase = F.upper(F.regexp_replace(F.regexp_extract("text", WATERMARK, 0), r"\s+", " "))
     by_text = lines.where(F.col("page") <= WATERMARK_PAGES).withColumn("p", phrase).where("p <> ''").select("stem", F.struct("page", F.lit(1).alias("check"), F.col("line_no").alias("at")).alias("o"), F.concat(F.lit("watermark text: "), "p").alias("evidence"))
-    slanted = (F.abs("dir_x") > 0.1) & (F.abs("dir_y") > 0.1)
-    pale = F.least("r", "g", "b") >= PALE
-    kind = F.when((F.col("opacity") < SHEER) & (F.col("size") >= LEAST_SIZES["sheer"]), "transparent").when(slanted & (F.col("size") >= LEAST_SIZES["slanted"]), "diagonal").when(pale & (F.col("size") >= LEAST_SIZES["pale"]), "light")
-    by_span = spans.where(F.col("page") <= WATERMARK_PAGES).withColumn("kind", kind).where("kind is not null").select("stem", F.struct("page", F.lit(2).alias("check"), F.col("span_no").alias("at")).alias("o"), F.concat("kind", F.lit(" text: '"), "text", F.lit("'")).alias("evidence"))
-    return by_layer.unionByName(by_text).unionByName(by_span).groupBy("stem").agg(F.min_by("evidence", "o").alias("evidence"))
+    slanted = (F.abs("dir_x") > SLANT) & (F.abs("dir_y") > SLANT)
+    pale = (F.least("r", "g", "b") > PALE) & (F.greatest("r", "g", "b") < 1)
+    kind = F.when((F.col("opacity") < SHEER) & (F.col("size") >= LEAST_SIZES["sheer"]), "transparent").when(slanted & (F.col("size") >= LEAST_SIZES["slanted"]), "diagonal").when(pale & (F.col("size") >= LEAST_SIZES["pale"]), "light large")
+    by_span = spans.where(F.col("page") <= WATERMARK_PAGES).withColumns({"said": text.stripped(F.col("text")), "kind": kind}).where("kind is not null and said <> ''").select("stem", F.struct("page", F.lit(3).alias("check"), F.col("span_no").alias("at")).alias("o"), F.concat("kind", F.lit(" text: "), F.substring("said", 1, SHOWN)).alias("evidence"))
+    found = by_layer.unionByName(by_text).unionByName(by_span)
+    if notes is not None:
+        n = notes.where(F.col("page") <= WATERMARK_PAGES).withColumn("said", text.stripped(F.col("text"))).where(F.col("said").rlike(WATERMARK))
+        found = found.unionByName(n.select("stem", F.struct("page", F.lit(2).alias("check"), F.col("note_no").alias("at")).alias("o"), F.concat(F.lit("watermark annotation: "), F.substring("said", 1, SHOWN)).alias("evidence")))
+    return found.groupBy("stem").agg(F.min_by("evidence", "o").alias("evidence"))
 
 
 def _first_page(lines: DataFrame) -> DataFrame:
@@ -85,16 +91,14 @@ def drawing_names(lines: DataFrame) -> DataFrame:
 
 
 def has_parts_list(lines: DataFrame) -> DataFrame:
-    """stem of documents with a parts-list caption or header line."""
-    return lines.where(F.col("text").rlike(LIST_HEADER) | F.col("text").rlike(LIST_COMBO)).select("stem").distinct()
-
-
-def line_entries(lines: DataFrame) -> DataFrame:
-    """stem, page, item, ref and description of list rows that stand on one line, in documents with a parts list."""
-    row = r"^([0-9]{1,4})\s+(F[0-9][0-9A-Za-z]*|FC[0-9]{1,8}[A-Za-z]?)(?:\s+(.*))?$"
-    t = lines.join(has_parts_list(lines), "stem", "left_semi").where(F.col("text").rlike(row))
-    part = lambda k: F.regexp_extract("text", row, k)
-    return t.select("stem", "page", part(1).try_cast("int").alias("item"), part(2).alias("ref"), F.nullif(F.trim(part(3)), F.lit("")).alias("description"))
+    """stem of documents with a parts-list caption, a header line, or an item and the number column's label two lines apart at
+    most."""
+    by = W.partitionBy("stem", "page").orderBy("line_no")
+    label = lambda c: F.coalesce(c.rlike(COLUMN_LABEL), F.lit(False))
+    apart = [move("text", k).over(by) for k in (1, 2) for move in (F.lag, F.lead)]
+    near = F.col("text").rlike(ITEM) & reduce(Column.__or__, map(label, apart))
+    t = lines.withColumn("near", near)
+    return t.where(F.col("text").rlike(LIST_HEADER) | F.col("text").rlike(LIST_COMBO) | F.col("near")).select("stem").distinct()
 
 
 def table_entries(cells: DataFrame) -> DataFrame:
@@ -165,85 +169,95 @@ def merged_events(events: DataFrame) -> DataFrame:
     return events.groupBy("stem").agg(F.array_join(F.array_sort(F.collect_set("page")), ",").alias("pages"), F.sum("seconds").alias("seconds"))
 
 
-def _parsed(texts: list[str]) -> list[tuple[int | None, str, str | None]]:
-    """Entries of a page's lines: on one line, or with item, reference and description below each other; a line is used once."""
-    one = re.compile(r"([0-9]{1,4})\s+(F[0-9][0-9A-Za-z]*|FC[0-9]{1,8}[A-Za-z]?)(?:\s+(.*))?")
-    item, ref = re.compile(r"[0-9]{1,4}"), re.compile(r"F[0-9]{5,8}[A-Za-z]?|FC[0-9]{1,8}[A-Za-z]?")
-    label = re.compile(STOP)
-    out, i = [], 0
-    while i < len(texts):
-        if m := one.fullmatch(texts[i]):
-            out.append((int(m[1]), m[2], (m[3] or "").strip() or None))
-            i += 1
-        elif item.fullmatch(texts[i]) and i + 1 < len(texts) and ref.fullmatch(texts[i + 1]):
-            said = texts[i + 2] if i + 2 < len(texts) else ""
-            taken = bool(said) and not item.fullmatch(said) and not ref.fullmatch(said) and not one.fullmatch(said) and not label.match(said)
-            out.append((int(texts[i]), texts[i + 1], said if taken else None))
-            i += 3 if taken else 2
-        else:
-            i += 1
-    return out
-
-
-def page_entries(lines: DataFrame) -> DataFrame:
-    """stem, page, item, ref and description of every list row, in documents with a parts list.
-
-    Lines are consumed in order, so each page is gone through in turn; a page is one group.
+# What a lone number, an item, a drawing size and a sheet count look like; lines that are no description; captions
+# of a title block.
+LONE, ITEM, SIZE, SHEETS = r"^(?:F[0-9]{1,8}[A-Za-z]?|FC[0-9]{1,8}[A-Za-z]?)$", r"^[0-9]{1,3}$", r"(?i)^A[0-9]$", r"(?i)^1\s+OF\s*[0-9]+"
+ROW = r"^(F[0-9]{1,8}[A-Za-z]?|FC[0-9]{1,8}[A-Za-z]?)\s+([A-Za-z][A-Za-z0-9\s\-_/\\.,]{3,})"
+USED_ON_ROW = r"(?i)^USED\s+ON(?:\s+FC?[0-9]{1,8}[A-Z]?)*$"
+NO_DESCRIPTION = (
+    r"(?i)^(?:NOTE|REV|PAGE|FIG|FIGURE|TABLE|SECTION|DETAIL|VIEW|SCALE|DRAWN|CHECKED|APPROVED|DATE|DWG|TITLE|NUMBER|QUANTITY|ITEM|PART|MATERIAL|"
+    r"DESCRIPTION|ASSEMBL(?:Y|IES)|SUB-?ASSEMBL(?:Y|IES)|NEXT\s+ASSY|USED\s+ON|" + OWNER + r"|PARTS?|LIST|BOM|REVISION|CONTROL|DOCUMENT|SIGNATURES?|TEMPLATE|"
+    r"UNLESS|OTHERWISE|SPECIFIED|PROJECT|CATEGORY|GROUP|CAGE|CODE|UNITED|STATES|DEPARTMENT|NATIONAL|ACCELERATOR|LABORATORY)S?\b"
+)
+CAPTIONS = (
+    "USED ON", "MATERIAL", "SIZE", "SCALE", "DRAWING NUMBER",
+    "SHEET", "REV", "DRAWN", "CHECKED", "APPROVED", "DATE",
+    "NAME", "TITLE", "NUMBER", "NOTES", "UNLESS", "OTHERWISE",
+    "SPECIFIED", "PROJECT", "CATEGORY", "GROUP", "CAGE", "CODE",
+    "UNITED", "STATES", "DEPARTMENT", "ENERGY", "NATIONAL",
+    "ACCELERATOR", "LABORATORY", "TEMPLATE", "VERSION",
+    "DESCRIPTION", "PARTS LIST", "BOM", "REVISION", "CONTROL",
+    "DOCUMENT", "SIGNATURES", "ITEM", "PARTS", OWNER.upper(),
+    "NEXT ASSY", "DRAWING",
+)
+
+
+def judged_lines(lines: DataFrame) -> DataFrame:
+    """lines that aren't empty, with what each is beside its neighbours: number, item, title_block and listed.
+
+    `head` is the nearest line above that is no lone number, so a run of numbers has the head of its first. A number belongs
+    to the title block by a caption beside it or at its head, and to a list by other rows near it unless prose introduces it.
     """
-
-    def parse(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        found = _parsed([t for t in pdf["text"] if t])
-        out = pd.DataFrame(found, columns=["item", "ref", "description"]).astype({"item": "Int32"})
-        return out.assign(stem=pdf["stem"].iloc[0], page=pdf["page"].iloc[0])[["stem", "page", "item", "ref", "description"]]
-
-    listed = lines.join(has_parts_list(lines), "stem", "left_semi").select("stem", "page", "line_no", "text")
-    return listed.groupBy("stem", "page").applyInPandas(parse, "stem string, page int, item int, ref string, description string")
-
-
-# Captions of a title block.
-CAPTIONS = frozenset("USED ON|MATERIAL|SIZE|SCALE|DRAWING NUMBER|SHEET|REV|DRAWN|CHECKED|APPROVED|DATE|NAME|TITLE|NUMBER|NOTES|PROJECT|CATEGORY|GROUP|CAGE|CODE|TEMPLATE|VERSION|DESCRIPTION|REVISION|DOCUMENT|SIGNATURES|NEXT ASSY|DRAWING".split("|"))
-_LONE = re.compile(r"F[0-9]{1,8}[A-Za-z]?|FC[0-9]{1,8}[A-Za-z]?")
-_ITEM, _OF, _SIZE = re.compile(r"[0-9]{1,4}"), re.compile(r"(?i)1\s+OF\s*[0-9]+"), re.compile(r"[A-E]")
-
-
-def _above_run(texts: list[str], i: int) -> int:
-    """The line above the run of lone numbers that ends at i; -1 if the run begins the page."""
-    i -= 1
-    while i >= 0 and _LONE.fullmatch(texts[i]):
-        i -= 1
-    return i
-
-
-def in_title_block(texts: list[str], i: int) -> bool:
-    """Whether the lone number on line i belongs to the title block: a caption is next to it, or heads its run of numbers."""
-    at = lambda k: texts[k].upper() if 0 <= k < len(texts) else ""
-    if at(i - 1) in CAPTIONS or at(i + 1) in CAPTIONS or _OF.match(at(i + 1)):
-        return True
-    return any(k >= 0 and re.match(USED_ON, texts[k]) for k in (i - 2, _above_run(texts, i)))
-
-
-def in_list(texts: list[str], i: int) -> bool:
-    """Whether other rows of a list are near the lone number on line i, and no prose introduces it."""
-    head = _above_run(texts, i)
-    said = texts[head] if head >= 0 else ""
-    if said and not (_ITEM.fullmatch(said) or re.search(LIST_HEADER, said) or re.match(COLUMN_LABEL, said)):
-        return False
-    near = [texts[k] for k in range(max(0, i - 3), min(len(texts), i + 4)) if k != i]
-    return any(_LONE.match(t) or _ITEM.fullmatch(t) for t in near)
+    by = W.partitionBy("stem", "page").orderBy("line_no")
+    t = lines.select("stem", "page", "line_no", "text").where("text <> ''")
+    t = t.withColumns({"number": F.col("text").rlike(LONE), "item": F.col("text").rlike(ITEM), "up": F.upper("text")})
+    row = F.col("number") | F.col("item")
+    around = [move(row, k).over(by) for k in (1, 2, 3) for move in (F.lag, F.lead)]
+    t = t.withColumns(
+        {
+            "above": F.lag("up").over(by),
+            "below": F.lead("up").over(by),
+            "second": F.lag("up", 2).over(by),
+            "head": F.last(F.when(~F.col("number"), F.col("up")), ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, -1)),
+            "company": F.coalesce(F.array_contains(F.array(*around), True), F.lit(False)),
+        }
+    )
+    like = lambda name, pattern: F.coalesce(F.col(name).rlike(pattern), F.lit(False))
+    caption = lambda name: F.coalesce(F.col(name).isin(*CAPTIONS), F.lit(False))
+    block = caption("above") | caption("below") | like("below", SHEETS) | like("second", USED_ON_ROW) | like("head", USED_ON_ROW)
+    introduced = F.col("head").isNull() | like("head", ITEM) | like("head", LIST_HEADER) | like("head", COLUMN_LABEL)
+    return t.withColumns({"title_block": block, "listed": introduced & F.col("company")}).drop("up", "second", "head", "company")
 
 
 def lone_numbers(lines: DataFrame) -> DataFrame:
     """stem, page, line_no, ref, title_block and listed of numbers that have a line of their own."""
+    return judged_lines(lines).where("number").select("stem", "page", "line_no", F.col("text").alias("ref"), "title_block", "listed")
+
 
-    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("line_no")
-        texts = pdf["text"].tolist()
-        rows = [(s, p, n, t, in_title_block(texts, i), in_list(texts, i)) for i, (s, p, n, t) in enumerate(pdf[["stem", "page", "line_no", "text"]].itertuples(index=False)) if _LONE.fullmatch(t)]
-        return pd.DataFrame(rows, columns=["stem", "page", "line_no", "ref", "title_block", "listed"])
+def page_entries(lines: DataFrame) -> DataFrame:
+    """stem, page, line_no, ref and description of every list row, in documents with a parts list.
 
-    kept = lines.select("stem", "page", "line_no", "text").where("text <> ''")
-    return kept.groupBy("stem", "page").applyInPandas(judge, "stem string, page int, line_no int, ref string, title_block boolean, listed boolean")
+    A row is a number below an item and above its description, a number and its description on one line, or a lone number
+    that stands in a list and not in the title block. What is below a row of the first kind, up to the next item or number,
+    belongs to its notes. All of it are windows over a page's lines: a row of the first kind never begins on a line that
+    another one takes, as the line before it is an item.
+    """
+    by = W.partitionBy("stem", "page").orderBy("line_no")
+    before = by.rowsBetween(W.unboundedPreceding, -1)
+    t = judged_lines(lines.join(has_parts_list(lines), "stem", "left_semi"))
+    t = t.withColumns({"said": F.lead("text").over(by), "under_item": F.coalesce(F.lag("item").over(by), F.lit(False))})
+    described = F.col("number") & F.col("under_item") & F.col("said").isNotNull() & ~F.coalesce(F.col("said").rlike(NO_DESCRIPTION), F.lit(False))
+    points = text.only_points(F.col("said"))
+    t = t.withColumns({"begins": described & ~points, "refused": described & points})
+    t = t.withColumn("taken", F.coalesce(F.lag("begins").over(by), F.lit(False)))
+    # The last thing before a line that began a row's notes or ended them.
+    event = F.when(F.col("begins"), "begins").when(~F.col("taken") & (F.col("item") | F.col("number")), "ends")
+    t = t.withColumn("state", F.last(event, ignorenulls=True).over(before))
+    note = F.coalesce(F.col("state") == "begins", F.lit(False)) & ~F.col("item") & ~F.col("number")
+    free = ~F.col("taken") & ~note
+    part = lambda k: F.regexp_extract("text", ROW, k)
+    one = free & F.col("text").rlike(ROW) & ~part(2).rlike(NO_DESCRIPTION) & ~text.only_points(part(2))
+    lone = free & F.col("number") & ~F.col("begins") & ~F.col("refused") & ~F.col("title_block") & F.col("listed")
+    stripped = text.stripped(F.col("said"))
+    row = F.struct
+    none = F.lit(None).cast("string")
+    found = (
+        F.when(F.col("begins"), row(F.col("text").alias("ref"), F.when(text.names_a_part(stripped), stripped).alias("description")))
+        .when(one, row(part(1).alias("ref"), text.stripped(part(2)).alias("description")))
+        .when(lone, row(F.col("text").alias("ref"), none.alias("description")))
+    )
+    t = t.withColumn("e", found).where("e is not null")
+    return t.select("stem", "page", "line_no", text.normalize(F.col("e.ref")).alias("ref"), F.col("e.description").alias("description"))
 
 
 def list_anchor(words: DataFrame) -> DataFrame:
@@ -269,5 +283,5 @@ def positional_entries(words: DataFrame) -> DataFrame:
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(right, F.struct("x", "text")))), lambda t: t["text"]), " ").alias("said"),
         F.min_by(F.upper("text"), "x").alias("first"),
     )
-    g = g.where(~F.col("first").isin(*sorted(CAPTIONS)))
+    g = g.where(~F.col("first").isin(*CAPTIONS))
     return g.select("stem", "page", F.col("item").try_cast("int").alias("item"), "ref", F.nullif("said", F.lit("")).alias("description"))

@@ -32,51 +32,85 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     return seen
 
 
+def _levels(first: DataFrame, below, depth: int, label: str) -> DataFrame:
+    """first and all that below() makes of it, level after level, until a level is empty.
+
+    Only the newest level is joined and written; a graph with a cycle, or of more levels than `depth`, is an error.
+    """
+    level = stored(first, label)
+    out = level
+    for _ in range(depth):
+        level = stored(below(level), label)
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+    raise ValueError(f"the graph has a cycle or more than {depth} levels")
+
+
 def path_counts(edges: DataFrame, stems: DataFrame, depth: int = DEPTH_CAP) -> DataFrame:
     """stem and copies: paths that begin at it, the empty one included, in a graph without cycles.
 
-    copies = 1 + the sum over the children; rounds repeat until nothing changes, one for each level. Counts only grow with the
-    number of edges in memory, never with the number of paths.
+    Round k counts the paths of k edges from those of k - 1, so a node is joined once for each length of its paths. Counts
+    only grow with the number of edges in memory, never with the number of paths.
     """
     e = stored(edges.select("parent", "child").distinct(), "edges")
     nodes = stems.select("stem").union(e.select("parent")).union(e.select("child")).distinct()
-    now = stored(nodes.withColumn("copies", F.lit(1).cast(COUNT)), "counts")
-    for _ in range(depth):
-        below = e.join(now, e["child"] == now["stem"]).groupBy("parent").agg(F.sum("copies").cast(COUNT).alias("below"))
-        new = stored(now.join(below, now["stem"] == below["parent"], "left").select("stem", F.col("copies").alias("old"), (F.coalesce("below", F.lit(0)) + 1).cast(COUNT).alias("copies")), "counts")
-        now = new.select("stem", "copies")
-        if new.where("old <> copies").isEmpty():
-            break
-    return now
+    longer = lambda level: e.join(level, e["child"] == level["stem"]).groupBy(F.col("parent").alias("stem")).agg(F.sum("copies").cast(COUNT).alias("copies"))
+    every = _levels(nodes.withColumn("copies", F.lit(1).cast(COUNT)), longer, depth, "counts")
+    return every.groupBy("stem").agg(F.sum("copies").cast(COUNT).alias("copies"))
 
 
-def fit_roots(counted: DataFrame, cap: int = COPY_CAP) -> DataFrame:
-    """counted roots with kept: the largest go first, by stem at ties, until the rest fits the cap.
+def fit_roots(counted: DataFrame, cap: int = COPY_CAP, weights: DataFrame | None = None, extra: int = 0) -> DataFrame:
+    """counted roots with kept: the largest go first, by stem at ties, until the rest and `extra` further copies fit the cap.
 
-    The running sum is over roots only, one number each.
+    weights: stem and copies to add to a root's own. How many roots have each count decides where the cut is; only roots of
+    that one count are put in order.
     """
-    everything = counted.agg(F.coalesce(F.sum("copies"), F.lit(0)).cast(COUNT).alias("total"))
-    order = W.orderBy(F.desc("copies"), "stem").rowsBetween(W.unboundedPreceding, -1)
-    dropped = counted.withColumn("before", F.coalesce(F.sum("copies").over(order), F.lit(0)).cast(COUNT))
-    total = everything.first()["total"]
-    return dropped.withColumn("kept", F.lit(total).cast(COUNT) - F.col("before") <= cap).drop("before")
-
-
-def planned_paths(edges: DataFrame, roots: DataFrame, limit: int = PATH_CAP, depth: int = DEPTH_CAP) -> DataFrame:
-    """path (stems from a root down) and stem of every placement; more than `limit` are refused before any is made."""
-    counted = path_counts(edges, roots).join(roots.select("stem").distinct(), "stem")
+    if weights is not None:
+        more = weights.select("stem", F.col("copies").alias("more"))
+        counted = counted.join(more, "stem", "left").withColumn("copies", (F.col("copies") + F.coalesce("more", F.lit(0))).cast(COUNT)).drop("more")
+    sizes = counted.groupBy("copies").agg(F.count("*").alias("n"))
+    total = int(sizes.agg(F.coalesce(F.sum(F.col("copies") * F.col("n")), F.lit(0)).alias("n")).first()["n"]) + extra
+    if total <= cap:
+        return counted.withColumn("kept", F.lit(True))
+    up_to = W.orderBy(F.desc("copies")).rowsBetween(W.unboundedPreceding, 0)  # a row for each count
+    gone = sizes.withColumn("gone", F.sum(F.col("copies") * F.col("n")).over(up_to))
+    cut = gone.where(F.lit(total) - F.col("gone") <= cap).orderBy("gone").select("copies", "n", "gone").first()
+    if cut is None:
+        return counted.withColumn("kept", F.lit(False))
+    size, before = int(cut["copies"]), int(cut["gone"]) - int(cut["copies"]) * cut["n"]
+    some = max(0, -(-(total - before - cap) // size)) if size else 0
+    at_cut = counted.where(F.col("copies") == size).orderBy("stem").limit(some).select("stem", F.lit(True).alias("out"))
+    return counted.join(at_cut, "stem", "left").withColumn("kept", ~(F.col("copies") > size) & F.col("out").isNull()).drop("out")
+
+
+def planned_paths(edges: DataFrame, roots: DataFrame, limit: int = PATH_CAP, depth: int = DEPTH_CAP, counted: DataFrame | None = None) -> DataFrame:
+    """path (stems from a root down) and stem of every placement; more than `limit` are refused before any is made.
+
+    counted: stem and copies of path_counts, where they are known already.
+    """
+    counted = (path_counts(edges, roots) if counted is None else counted).join(roots.select("stem").distinct(), "stem")
     total = counted.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n")).first()["n"]
     if total > limit:
         raise ValueError(f"{total} placements are planned; at most {limit} are allowed")
     e = stored(edges.select("parent", "child").distinct(), "edges")
-    level = stored(roots.select("stem").distinct().select(F.array("stem").alias("path"), "stem"), "paths")
-    out = level
-    for _ in range(depth):
-        level = stored(level.join(e, level["stem"] == e["parent"]).select(F.concat("path", F.array("child")).alias("path"), F.col("child").alias("stem")), "paths")
-        if level.isEmpty():
-            break
-        out = out.union(level)
-    return out
+    longer = lambda level: level.join(e, level["stem"] == e["parent"]).select(F.concat("path", F.array("child")).alias("path"), F.col("child").alias("stem"))
+    return _levels(roots.select("stem").distinct().select(F.array("stem").alias("path"), "stem"), longer, depth, "paths")
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node and component (its smallest node) of every node of undirected edges (u, v): each node takes the least label around
+    it and then that label's own, until none changes."""
+    e = stored(edges.select("u", "v").union(edges.select("v", "u")).where("u <> v").distinct(), "both")
+    now = stored(e.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("label")), "labels")
+    while True:
+        near = e.join(now.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        step = stored(now.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "step")
+        up = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        new = stored(step.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
+        now = new.select("node", "label")
+        if new.where("old <> label").isEmpty():
+            return now.withColumnRenamed("label", "component")
 
 
 def _depth_first_back_edges(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -112,7 +146,8 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
     """The edges to remove so that no cycle is left.
 
     Nodes without children are peeled off in rounds; they can't be on a cycle, and leaving them out changes no walk among the
-    others. What remains are nodes that reach a cycle; their order-dependent walk runs in one task.
+    others. What remains are nodes that reach a cycle; their order-dependent walk never leaves what is connected, so each
+    connected part is a group of its own.
     """
     e = stored(edges.select("parent", "child").where("parent <> child").distinct(), "core")
     size = e.count()
@@ -125,7 +160,10 @@ def cycle_edges(edges: DataFrame) -> DataFrame:
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(_depth_first_back_edges(list(zip(pdf["parent"], pdf["child"]))), columns=["parent", "child"])
 
-    return e.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(walk, "parent string, child string")
+    if not size:
+        return e
+    of = connected(e.select(F.col("parent").alias("u"), F.col("child").alias("v"))).select(F.col("node").alias("parent"), "component")
+    return e.join(of, "parent").groupBy("component").applyInPandas(walk, "parent string, child string")
 
 
 def without_cycles(edges: DataFrame) -> DataFrame:
@@ -135,14 +173,9 @@ def without_cycles(edges: DataFrame) -> DataFrame:
 def root_path_counts(edges: DataFrame, roots: DataFrame, depth: int = DEPTH_CAP) -> DataFrame:
     """root, stem and copies: how often each drawing stands below each root, by sums over one level after another."""
     e = stored(edges.select("parent", "child").distinct(), "edges")
-    level = stored(roots.select(F.col("stem").alias("root"), "stem").distinct().withColumn("copies", F.lit(1).cast(COUNT)), "level")
-    out = level
-    for _ in range(depth):
-        level = stored(level.join(e, level["stem"] == e["parent"]).groupBy("root", F.col("child").alias("stem")).agg(F.sum("copies").cast(COUNT).alias("copies")), "level")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out.groupBy("root", "stem").agg(F.sum("copies").cast(COUNT).alias("copies"))
+    longer = lambda level: level.join(e, level["stem"] == e["parent"]).groupBy("root", F.col("child").alias("stem")).agg(F.sum("copies").cast(COUNT).alias("copies"))
+    every = _levels(roots.select(F.col("stem").alias("root"), "stem").distinct().withColumn("copies", F.lit(1).cast(COUNT)), longer, depth, "level")
+    return every.groupBy("root", "stem").agg(F.sum("copies").cast(COUNT).alias("copies"))
 
 
 def adopted_copies(counts: DataFrame, claims: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -51,12 +53,17 @@ def placement_decisions(new: DataFrame, edges: DataFrame, organized: DataFrame,
     return j.select("stem", F.when(F.col("under"), "under-organized").when(F.col("above"), "above-organized").when(F.col("lists"), "standalone-root").otherwise("park").alias("decision"))
 
 
-def retired(parked: DataFrame, live: DataFrame) -> DataFrame:
-    """Parked copies with a live twin: the same bytes, or a clean one for a watermarked one."""
-    twin = live.select("stem", F.col("content").alias("live_content"), F.col("watermarked").alias("live_watermarked"))
+def retired(parked: DataFrame, live: DataFrame, archive: DataFrame | None = None) -> DataFrame:
+    """Parked copies that a twin makes needless: live or archived with the same bytes, or live and clean for a watermarked one.
+
+    Only bytes retire a copy whose drawing isn't live any more, so the sole holder of some content stays.
+    """
+    twin = live.select("stem", F.col("content").alias("twin"), F.col("watermarked").alias("twin_marked"))
+    if archive is not None:
+        twin = twin.unionByName(archive.select("stem", F.col("content").alias("twin"), F.lit(True).alias("twin_marked")))
     j = parked.join(twin, "stem")
-    same = F.col("content") == F.col("live_content")
-    better = F.col("watermarked") & ~F.col("live_watermarked")
+    same = F.coalesce(F.col("content") == F.col("twin"), F.lit(False))
+    better = F.col("watermarked") & ~F.col("twin_marked")
     return j.where(same | better).groupBy("stem", "path").agg(F.max(same).alias("identical"))
 
 
@@ -68,29 +75,54 @@ def archive_targets(files: DataFrame) -> DataFrame:
 
 
 def reconcile(actual: DataFrame, planned: DataFrame) -> DataFrame:
-    """stem, folder, action and target that turn the actual copies into the planned ones.
+    """stem, folder, action and target that turn the actual copies (stem, folder, content) of planned drawings into the planned
+    ones (stem, folder).
 
-    What is in both stays. Of a drawing, the k-th extra moves to the k-th missing place; further extras are deleted as long as
-    a copy remains, further missing places are copied.
+    What is in both stays. Of a drawing, the k-th extra moves to the k-th missing place; further missing places are copied. A
+    further extra is deleted only if a copy that stays or moves to a planned place has the same content; one whose content
+    differs, or isn't known, is for review. Drawings that aren't planned, or have no copy, are left alone.
     """
-    a = actual.select("stem", "folder").distinct()
     b = planned.select("stem", "folder").distinct()
+    wanted = b.select("stem").distinct()
+    a = actual.groupBy("stem", "folder").agg(F.min("content").alias("content"), (F.min("content") == F.max("content")).alias("one")).join(wanted, "stem", "left_semi")
+    a = a.select("stem", "folder", F.when(F.col("one"), F.col("content")).alias("content"))  # several contents in one place are none known
+    b = b.join(a.select("stem").distinct(), "stem", "left_semi")
     kept = a.join(b, ["stem", "folder"], "left_semi")
     order = W.partitionBy("stem").orderBy("folder")
     extra = a.join(b, ["stem", "folder"], "left_anti").withColumn("k", F.row_number().over(order))
     missing = b.join(a, ["stem", "folder"], "left_anti").withColumn("k", F.row_number().over(order)).withColumnRenamed("folder", "target")
-    j = extra.join(missing, ["stem", "k"], "full_outer").join(b.select("stem").distinct().withColumn("wanted", F.lit(True)), "stem", "left")
-    action = F.when(F.col("folder").isNull(), "copy").when(F.col("target").isNotNull(), "move").when(F.col("wanted"), "delete").otherwise("review")
+    j = extra.join(missing, ["stem", "k"], "full_outer").select("stem", "folder", "content", "target")
+    safe = kept.select("stem", "content").unionByName(j.where("folder is not null and target is not null").select("stem", "content")).distinct().withColumn("safe", F.lit(True))
+    j = j.join(safe, ["stem", "content"], "left")
+    action = F.when(F.col("folder").isNull(), "copy").when(F.col("target").isNotNull(), "move").when(F.col("safe"), "delete").otherwise("review")
     none = F.lit(None).cast("string")
     return kept.select("stem", "folder", F.lit("keep").alias("action"), none.alias("target")).unionByName(j.select("stem", "folder", action.alias("action"), "target"))
 
 
+def promoted_sources(promoted: DataFrame, archive: DataFrame, live: DataFrame) -> DataFrame:
+    """stem, path and action of promoted drawings' archive files: removed once a live copy has the same content, else kept."""
+    twin = live.select("stem", "content").distinct().withColumn("twin", F.lit(True))
+    j = archive.join(promoted.select("stem").distinct(), "stem", "left_semi").join(twin, ["stem", "content"], "left")
+    return j.select("stem", "path", F.when(F.col("twin"), "remove").otherwise("keep").alias("action"))
+
+
+def placeable(roots: DataFrame, bom: DataFrame, edges: DataFrame, organized: DataFrame) -> DataFrame:
+    """stem of new roots that count against the cap: those with a parts list, children, or an organized relative."""
+    held = organized.select("stem").distinct()
+    child = edges.join(held.withColumnRenamed("stem", "parent"), "parent", "left_semi").select(F.col("child").alias("stem"))
+    related = bom.select("stem").union(edges.select("parent")).union(child).distinct()
+    return roots.select("stem").distinct().join(related, "stem", "left_semi")
+
+
 def moved(paths: DataFrame, moves: list[tuple[str, str]]) -> DataFrame:
     """paths with `now`: each move, in order and once, rewrites the paths at or below its old folder."""
-    now = F.col("path")
-    for old, new in moves:
-        now = F.when(now == old, new).when(now.startswith(old + "/"), F.concat(F.lit(new), F.substring(now, len(old) + 1, 1_000_000))).otherwise(now)
-    return paths.withColumn("now", now)
+    steps = F.from_json(F.lit(json.dumps([{"old": old, "new": new} for old, new in moves])), "array<struct<old:string,new:string>>")
+
+    def step(now: Column, m: Column) -> Column:
+        below = F.concat(m["new"], F.substr(now, F.length(m["old"]) + 1))
+        return F.when((now == m["old"]) | now.startswith(F.concat(m["old"], F.lit("/"))), below).otherwise(now)
+
+    return paths.withColumn("now", F.aggregate(steps, F.col("path"), step))
 
 
 def rekeyed(blocks: DataFrame, stems: DataFrame) -> DataFrame:

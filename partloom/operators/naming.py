@@ -8,10 +8,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from partloom.functions import identity, text
-from partloom.operators import ranking
+from partloom.operators import graph, ranking
 from partloom.sources.storage import stored
 
-MAX_PATH, MAX_DIR, SHORTEN_PASSES = 250, 240, 200
+MAX_PATH, SHORTEN_PASSES = 250, 200
 
 
 def vote_winners(entries: DataFrame, snaps: DataFrame | None = None) -> DataFrame:
@@ -68,18 +68,20 @@ def too_long(placed: DataFrame, limit: int = MAX_PATH) -> DataFrame:
 def shortened_folders(placements: DataFrame, folders: DataFrame, target: str, limit: int = MAX_PATH) -> DataFrame:
     """stem and folder, with the names on over-long paths trimmed, the deepest first, no further than the base number.
 
-    Each trim shows on every path with that stem, so the paths that are too long, and only these, are gone through in order
-    in one task.
+    Each trim shows on every path with that stem, so the paths that are too long are gone through in order; paths that share no
+    stem, directly or in turns, don't touch each other and are groups of their own. A path brings the names of its own stems.
     """
-    long = too_long(placed_paths(placements, folders, target), limit).select("path", "stem")
-    steps = long.select(F.explode("path").alias("stem")).distinct().join(folders, "stem")
-    names = stored(steps.groupBy(F.lit(0).alias("g")).agg(F.map_from_entries(F.collect_list(F.struct("stem", "folder"))).alias("names")), "names")
-    given = long.withColumn("g", F.lit(0)).join(F.broadcast(names) if names.count() <= 1 else names, "g")
+    long = stored(too_long(placed_paths(placements, folders, target), limit).select("path", "stem").withColumn("id", F.monotonically_increasing_id()), "long")
+    steps = long.select("id", F.posexplode("path").alias("i", "step")).join(folders.select(F.col("stem").alias("step"), "folder"), "step")
+    named = steps.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "folder"))), lambda x: x["folder"]).alias("names"))
+    pairs = long.select(F.get("path", F.lit(0)).alias("u"), F.explode("path").alias("v"))
+    roots = long.select(F.get("path", F.lit(0)).alias("node")).distinct()
+    of = roots.join(graph.connected(pairs), "node", "left").select(F.col("node").alias("top"), F.coalesce("component", "node").alias("component"))
+    given = long.join(named, "id").withColumn("top", F.get("path", F.lit(0))).join(of, "top").select("component", "path", "names")
 
     def trim(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = dict(pdf["names"].iloc[0])
-        before = dict(names)
-        paths = sorted(tuple(p) for p in pdf["path"])
+        before = {s: n for path, own in zip(pdf["path"], pdf["names"]) for s, n in zip(path, own)}
+        names, paths = dict(before), sorted(tuple(p) for p in pdf["path"])
         for _ in range(SHORTEN_PASSES):
             moved = False
             for path in paths:
@@ -99,7 +101,7 @@ def shortened_folders(placements: DataFrame, folders: DataFrame, target: str, li
         changed = [(s, n) for s, n in names.items() if n != before[s]]
         return pd.DataFrame(changed, columns=["stem", "short"])
 
-    short = given.select("g", "path", "names").groupBy("g").applyInPandas(trim, "stem string, short string")
+    short = given.groupBy("component").applyInPandas(trim, "stem string, short string")
     return folders.join(stored(short, "short"), "stem", "left").select("stem", F.coalesce("short", "folder").alias("folder"))
 
 

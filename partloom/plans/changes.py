@@ -117,25 +117,30 @@ _RULE = "(CAST(substr(stem, 2, 8) AS BIGINT) + length(path)) % 10"
 
 @query(
     over(
-        """SELECT stem, folder, 'keep' AS action, NULL AS target FROM actual WHERE (stem, folder) IN (SELECT stem, folder FROM planned)
-        UNION ALL SELECT coalesce(x.stem, y.stem), x.folder, CASE WHEN x.folder IS NULL THEN 'copy' WHEN y.folder IS NOT NULL THEN 'move' WHEN coalesce(x.stem, y.stem) IN (SELECT stem FROM planned) THEN 'delete' ELSE 'review' END, y.folder
-        FROM xs x FULL JOIN ms y ON x.stem = y.stem AND x.k = y.k""",
+        """SELECT stem, folder, 'keep' AS action, NULL AS target FROM kept
+        UNION ALL SELECT x.stem, x.folder, CASE WHEN x.folder IS NULL THEN 'copy' WHEN x.target IS NOT NULL THEN 'move' WHEN h.content IS NOT NULL THEN 'delete' ELSE 'review' END, x.target
+        FROM pairs x LEFT JOIN held h ON h.stem = x.stem AND h.content = x.content""",
         _COUNTS,
         _FIT,
         _PATHS,
         f"""planned AS (SELECT stem, path AS folder FROM pth),
-actual AS (SELECT stem, CASE WHEN {_RULE} = 1 THEN 'old/' || path ELSE path END AS folder FROM pth WHERE {_RULE} <> 0 UNION SELECT stem, 'dup/' || path FROM pth WHERE {_RULE} = 2),
+actual AS (SELECT stem, CASE WHEN {_RULE} = 1 THEN 'old/' || path ELSE path END AS folder, stem AS content FROM pth WHERE {_RULE} <> 0 UNION SELECT stem, 'dup/' || path, CASE WHEN length(path) % 2 = 0 THEN 'other' ELSE stem END FROM pth WHERE {_RULE} = 2),
+kept AS (SELECT * FROM actual WHERE (stem, folder) IN (SELECT stem, folder FROM planned)),
 xs AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY folder) AS k FROM actual WHERE (stem, folder) NOT IN (SELECT stem, folder FROM planned)),
-ms AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY folder) AS k FROM planned WHERE (stem, folder) NOT IN (SELECT stem, folder FROM actual))""",
+ms AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY folder) AS k FROM planned WHERE (stem, folder) NOT IN (SELECT stem, folder FROM actual) AND stem IN (SELECT stem FROM actual)),
+pairs AS (SELECT coalesce(x.stem, y.stem) AS stem, x.folder, x.content, y.folder AS target FROM xs x FULL JOIN ms y ON x.stem = y.stem AND x.k = y.k),
+held AS (SELECT stem, content FROM kept UNION SELECT stem, content FROM pairs WHERE folder IS NOT NULL AND target IS NOT NULL)""",
         recursive=True,
     )
 )
 def reconcile_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some copies lie elsewhere, some lack, and some are there twice, every other one of these with other content."""
     v = views(spark, sf_dir)
     planned = v.placements.select("stem", F.array_join("path", "/").alias("folder"))
     rule = (F.substring("stem", 2, 8).cast("long") + F.length("folder")) % 10
-    first = planned.where(rule != 0).select("stem", F.when(rule == 1, F.concat(F.lit("old/"), "folder")).otherwise(F.col("folder")).alias("folder"))
-    actual = first.union(planned.where(rule == 2).select("stem", F.concat(F.lit("dup/"), "folder")))
+    first = planned.where(rule != 0).select("stem", F.when(rule == 1, F.concat(F.lit("old/"), "folder")).otherwise(F.col("folder")).alias("folder"), F.col("stem").alias("content"))
+    twice = planned.where(rule == 2).select("stem", F.concat(F.lit("dup/"), "folder"), F.when(F.length("folder") % 2 == 0, "other").otherwise(F.col("stem")))
+    actual = first.union(twice)
     return incremental.reconcile(actual, planned)
 
 

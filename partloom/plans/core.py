@@ -60,14 +60,16 @@ def ref_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views(spark, sf_dir).bom.select("ref", identity.is_part_ref(r).alias("processable"), identity.is_component(r).alias("component"), identity.used_on_base(r).alias("declared")).distinct()
 
 
-@query(
-    over(
-        "SELECT ref, CASE WHEN regexp_full_match(fixed, 'F[0-9]{5,8}') THEN fixed WHEN regexp_full_match(up, 'F[0-9]{5,8}') THEN up END AS token FROM (SELECT ref, upper(ref) AS up, substr(upper(ref), 1, 1) || translate(substr(upper(ref), 2), 'OIL|SB', '011158') AS fixed FROM (SELECT DISTINCT ref FROM bom))",
-        graph=False,
-    )
-)
+_OCR = """said AS (SELECT ref, CASE ascii(substr(ref, length(ref), 1)) % 4 WHEN 0 THEN '|' || ref || ']SSR2' WHEN 1 THEN '(' || replace(ref, '0', 'O') || ')' WHEN 2 THEN 'X ' || ref ELSE 'FLO|' || substr(ref, 5) END AS word FROM (SELECT DISTINCT ref FROM bom)),
+runs AS (SELECT ref, regexp_extract_all(translate(upper(word), 'OLISB|', '011581'), '[A-Z0-9]+') AS a, regexp_extract_all(upper(word), '[A-Z0-9]+') AS b FROM said)"""
+
+
+@query(over("SELECT ref, list_filter(list_transform(list_filter(list_concat(a, b), lambda x: starts_with(x, 'F')), lambda x: translate(x, 'OLISB|', '011581')), lambda x: regexp_full_match(x, 'F[0-9]{5,8}'))[1] AS token FROM runs", _OCR, graph=False))
 def ocr_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir).bom.select("ref").distinct().select("ref", text.ocr_token(F.col("ref")).alias("token"))
+    r = F.col("ref")
+    last = F.ascii(F.substring(r, -1, 1)) % 4
+    word = F.when(last == 0, F.concat(F.lit("|"), r, F.lit("]SSR2"))).when(last == 1, F.concat(F.lit("("), F.replace(r, F.lit("0"), F.lit("O")), F.lit(")"))).when(last == 2, F.concat(F.lit("X "), r)).otherwise(F.concat(F.lit("FLO|"), F.substring(r, 5, 100)))
+    return views(spark, sf_dir).bom.select("ref").distinct().select("ref", text.ocr_token(word).alias("token"))
 
 
 @query("SELECT p_partkey, rtrim(trim(regexp_replace(regexp_replace(replace(n, '\"', ''), '[/<>:\\\\|?*]', '-', 'g'), '\\s+', ' ', 'g')), '.') AS clean FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || '. ' WHEN 1 THEN 'a/b:' || p_name WHEN 2 THEN '\"' || p_name || '\"  x' ELSE p_name END AS n FROM part)")
@@ -209,9 +211,11 @@ def chk_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.unapproved(views(spark, sf_dir).active)
 
 
-@query(over("SELECT stem, split_part(stem, '_', 2) AS token FROM raw WHERE contains(stem, '_') AND split_part(stem, '_', 2) NOT IN ('', 'CHK') AND NOT regexp_full_match(split_part(stem, '_', 2), '[A-Za-z]{1,2}')", graph=False))
+@query(over("SELECT CASE WHEN p % 5 = 0 THEN b0 || '_X1Y' WHEN p % 5 = 1 THEN b0 || '_abc_CHK' END AS stem, CASE WHEN p % 5 = 0 THEN 'X1Y' ELSE 'abc' END AS token FROM raw WHERE p % 5 < 2", graph=False))
 def unusual_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.unusual_revisions(views(spark, sf_dir).stems)
+    """Some stems get a second segment that is no revision."""
+    odd = F.when(F.col("p") % 5 == 0, F.concat(F.substring_index("stem", "_", 1), F.lit("_X1Y"))).when(F.col("p") % 5 == 1, F.concat(F.substring_index("stem", "_", 1), F.lit("_abc_CHK"))).otherwise(F.col("stem"))
+    return checks.unusual_revisions(views(spark, sf_dir).stems.select(odd.alias("stem")))
 
 
 _WIN = "votes AS (SELECT coalesce(snapped, ref) AS ref, description, count(*) AS n FROM entries LEFT JOIN snaps USING (ref) WHERE trim(coalesce(description, '')) <> '' GROUP BY ALL),\nwin AS (SELECT ref, description AS name FROM (SELECT *, row_number() OVER (PARTITION BY ref ORDER BY n DESC, description) AS rn FROM votes) WHERE rn = 1)"
@@ -260,10 +264,12 @@ def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(v.edges, v.roots)
 
 
-@query(over("SELECT stem FROM act WHERE stem NOT IN (SELECT stem FROM reach) AND stem NOT IN (SELECT stem FROM tops WHERE stem NOT IN (SELECT stem FROM roots))", _REACH, recursive=True))
+@query(over("SELECT stem FROM act WHERE stem NOT IN (SELECT stem FROM half) AND stem NOT IN (SELECT stem FROM tops WHERE stem NOT IN (SELECT stem FROM roots))", "half AS (SELECT stem FROM roots WHERE CAST(substr(stem, 2, 8) AS BIGINT) % 2 = 0 UNION SELECT child FROM half JOIN edges ON parent = half.stem)", recursive=True))
 def unplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drawings that nothing places when only the roots with even numbers are kept."""
     v = views(spark, sf_dir)
-    placed = graph.reachable(v.edges, v.roots).union(v.tops.where("kind = 'orphan'").select("stem"))
+    half = v.roots.where(F.substring("stem", 2, 8).cast("long") % 2 == 0)
+    placed = graph.reachable(v.edges, half).union(v.tops.where("kind = 'orphan'").select("stem"))
     return v.active.select("stem").join(placed, "stem", "left_anti")
 
 

@@ -19,7 +19,7 @@ _FULL = "'F[0-9]{8}|FC[0-9]{7}'"
 
 @query(
     over(
-        f"SELECT ref, CASE WHEN regexp_full_match(up, {_FULL}) THEN up WHEN regexp_full_match(fx, 'F[0-9]{{8}}') THEN fx WHEN regexp_full_match(up, '[0-9]{{8}}') THEN 'F' || up END AS number, CAST(CASE WHEN regexp_full_match(up, {_FULL}) THEN 0 WHEN regexp_full_match(fx, 'F[0-9]{{8}}') THEN 1 ELSE 2 END AS INTEGER) AS rank FROM fixed",
+        f"SELECT ref, CASE WHEN regexp_full_match(up, {_FULL}) THEN up WHEN regexp_full_match(fx, 'F[0-9]{{8}}') THEN fx WHEN regexp_full_match(up, '[0-9]{{8}}') THEN 'F' || up END AS number, CAST(CASE WHEN regexp_full_match(up, {_FULL}) THEN 0 WHEN regexp_full_match(up, 'FC?[0-9]{{5,8}}') THEN 0 WHEN regexp_full_match(fx, 'F[0-9]{{5,8}}') THEN 1 ELSE 2 END AS INTEGER) AS rank FROM fixed",
         _READ,
         graph=False,
     )
@@ -89,6 +89,20 @@ def merged_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.merged_names(older.distinct(), newer.distinct())
 
 
-@query("SELECT p_partkey, round(CASE WHEN w = h THEN 1.0 ELSE 1.0 END * 841.89 / 841.89, 6) AS scale FROM (SELECT p_partkey, 595.276 AS w, 841.89 AS h FROM part)")
+_PAGE = "SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN 0 ELSE 500 + p_partkey * 37 % 3000 END AS w, 400 + p_partkey * 53 % 2500 AS h FROM part"
+
+
+def _page_sizes(v) -> DataFrame:
+    p = F.col("p")
+    return v.parts.select(p.alias("p_partkey"), F.when(p % 50 == 0, 0).otherwise(500 + p * 37 % 3000).cast("double").alias("w"), (400 + p * 53 % 2500).cast("double").alias("h"))
+
+
+@query(f"SELECT p_partkey, round(CASE WHEN w = 0 THEN 1.0 ELSE greatest(w, h) / side END, 6) AS scale FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY abs(greatest(w, h) / side - 1), side DESC) AS rn FROM ({_PAGE}), (VALUES (3370.0::DOUBLE), (2384.0), (1684.0), (1191.0), (842.0)) t(side)) WHERE rn = 1")
 def iso_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return views(spark, sf_dir).parts.select(F.col("p").alias("p_partkey"), F.round(text.iso_scale(F.lit(595.276), F.lit(841.89)), 6).alias("scale"))
+    return _page_sizes(views(spark, sf_dir)).select("p_partkey", F.round(text.iso_scale(F.col("w"), F.col("h")), 6).alias("scale"))
+
+
+@query(f"SELECT p_partkey, CAST(CASE WHEN w = 0 THEN 300 ELSE least(300, greatest(72, floor(sqrt(300e6 * 5184 / (400.0 * w * h))))) END AS INTEGER) AS dpi FROM ({_PAGE})")
+def render_dpi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of sheets twenty times as wide and high, so that the bound on pixels is met."""
+    return _page_sizes(views(spark, sf_dir)).select("p_partkey", text.render_dpi(20 * F.col("w"), 20 * F.col("h")).alias("dpi"))

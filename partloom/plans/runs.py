@@ -20,6 +20,10 @@ class Inputs:
     used_on: DataFrame
     title_blocks: DataFrame
     lines: DataFrame
+    #: What watermarks show in beside phrases; None where it wasn't read.
+    layers: DataFrame | None = None
+    spans: DataFrame | None = None
+    notes: DataFrame | None = None
 
 
 def _decisions(live: DataFrame, data: Inputs, cap: int) -> dict[str, DataFrame]:
@@ -53,16 +57,23 @@ def _decisions(live: DataFrame, data: Inputs, cap: int) -> dict[str, DataFrame]:
         "used_on_bugs": checks.used_on_bugs(edges, used_on, live),
         "titleblock_mismatches": checks.titleblock_mismatches(blocks),
         "scanned": extract.scanned_pages(own(data.lines)),
-        "watermarks": extract.watermark_phrases(own(data.lines)),
+        "watermarks": _watermarks(data, own),
         "names": names,
         "placement_refused": fit.agg(F.coalesce(F.max(~F.col("kept")), F.lit(False)).alias("refused")),
         "skipped_roots": fit.where("not kept").select("stem", "copies"),
         "edges": edges,
         "kept_roots": fit.where("kept").select("stem"),
+        "counted": counted,
         "dag": dag,
     }
 
 
+def _watermarks(data: Inputs, own) -> DataFrame:
+    if data.layers is None or data.spans is None:
+        return extract.watermark_phrases(own(data.lines))
+    return extract.watermark_evidence(own(data.lines), own(data.layers), own(data.spans), None if data.notes is None else own(data.notes))
+
+
 def full_run(data: Inputs, cap: int = graph.COPY_CAP) -> dict[str, DataFrame]:
     """Everything from scratch."""
     live = stored(ranking.active(data.drawings.select("stem")), "live")
@@ -81,9 +92,12 @@ def incremental_run(data: Inputs, organized: DataFrame, archive: DataFrame, park
 
 
 def repair_run(data: Inputs, organized: DataFrame, archive: DataFrame, actual: DataFrame, cap: int = graph.COPY_CAP) -> dict[str, DataFrame]:
-    """What is organized, with archived drawings promoted where they rank higher, and the moves to the planned tree."""
+    """What is organized, with archived drawings promoted where they rank higher, and the moves to the planned tree.
+
+    actual: stem, folder and content (a hash of the file) of every copy in the tree.
+    """
     promoted = stored(ranking.repair_candidates(archive, organized).select("stem"), "promoted")
     live = stored(incremental.merged_stems(promoted, organized), "live")
     out = _decisions(live, data, cap)
-    planned = graph.planned_paths(out["dag"], out["kept_roots"]).select("stem", F.array_join("path", "/").alias("folder"))
+    planned = graph.planned_paths(out["dag"], out["kept_roots"], counted=out["counted"]).select("stem", F.array_join("path", "/").alias("folder"))
     return out | {"live": live, "promoted": promoted, "repair": incremental.reconcile(actual, planned)}

@@ -16,9 +16,9 @@ lines AS (SELECT stem, 1 AS page, n + 10 AS line_no, n || ' ' || ref || coalesce
   UNION ALL SELECT stem, 1, 0, 'PARTS LIST' FROM act WHERE p % 5 <> 0 UNION ALL SELECT stem, 1, 100, 'Used On' FROM act UNION ALL SELECT stem, 1, 101, ref FROM used_on UNION ALL SELECT stem, 1, 102, 'MATERIAL' FROM act
   UNION ALL SELECT stem, 1, 103, 'Name' FROM act UNION ALL SELECT stem, 1, 104, CASE WHEN p % 8 = 0 THEN 'SHEET' ELSE p_name END FROM act UNION ALL SELECT stem, 1, 105, 'uncontrolled  copy' FROM act WHERE p % 15 = 0
   UNION ALL SELECT stem, 2, 0, CASE WHEN p % 18 = 0 THEN 'Draft' ELSE 'notes' END FROM act WHERE p % 9 = 0)"""
-_WORDS = """words AS (SELECT stem, 1 AS page, k AS word_no, CAST((p * 37 + k * k * 13) % 211 AS DOUBLE) AS x, ((p * 11 + k * 29) % 97) / 2.0 AS y, CASE WHEN k = 3 OR (k = 8 AND p % 3 = 0) THEN 'NUMBER' ELSE 'w' || ((p + k) % 50) END AS text FROM act, (SELECT unnest(range(0, 10)) AS k))"""
-_BAND = """isl AS (SELECT *, sum(CASE WHEN x - px > 15 THEN 1 ELSE 0 END) OVER (PARTITION BY stem ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM (SELECT stem, page, x, lag(x) OVER (PARTITION BY stem ORDER BY x) AS px FROM words)),
-band AS (SELECT stem, page, low - 10 AS low, high + 10 AS high, n FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY n DESC, low) AS rn FROM (SELECT stem, page, island, count(*) AS n, min(x) AS low, max(x) AS high FROM isl GROUP BY ALL)) WHERE rn = 1 AND n >= 2)"""
+_WORDS = """words AS MATERIALIZED (SELECT stem, 1 AS page, k AS word_no, CAST((p * 37 + k * k * 13) % 211 AS DOUBLE) AS x, ((p * 11 + k * 29) % 97) / 2.0 AS y, CASE WHEN k = 3 OR (k = 8 AND p % 3 = 0) THEN 'NUMBER' ELSE 'w' || ((p + k) % 50) END AS text FROM act, (SELECT unnest(range(0, 10)) AS k))"""
+_BAND = """isl AS MATERIALIZED (SELECT *, sum(CASE WHEN x - px > 15 THEN 1 ELSE 0 END) OVER (PARTITION BY stem ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM (SELECT stem, page, x, lag(x) OVER (PARTITION BY stem ORDER BY x) AS px FROM words)),
+band AS MATERIALIZED (SELECT stem, page, low - 10 AS low, high + 10 AS high, n FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY n DESC, low) AS rn FROM (SELECT stem, page, island, count(*) AS n, min(x) AS low, max(x) AS high FROM isl GROUP BY ALL)) WHERE rn = 1 AND n >= 2)"""
 
 
 @query("SELECT doc_id, CAST(1 AS INTEGER) AS page, CAST(i - 1 AS INTEGER) AS line_no, trim(l[i], ' ') AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)")
@@ -43,19 +43,24 @@ def watermark_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     over(
-        """SELECT stem, CASE WHEN p % 6 = 0 THEN 'watermark layer: Watermark 1' WHEN p % 15 = 0 THEN 'watermark text: UNCONTROLLED COPY' WHEN p % 7 = 0 THEN 'transparent text: ''s1''' WHEN p % 7 = 1 THEN 'diagonal text: ''s2''' WHEN p % 7 = 2 THEN 'light text: ''s2''' ELSE 'watermark text: DRAFT' END AS evidence
-        FROM act WHERE p % 6 = 0 OR p % 15 = 0 OR p % 7 < 3 OR p % 18 = 0""",
+        """SELECT stem, CASE WHEN p % 6 = 0 THEN 'watermark layer: Watermark 1' WHEN p % 15 = 0 THEN 'watermark text: UNCONTROLLED COPY' WHEN p % 7 = 4 THEN 'watermark annotation: ' || substr('mark as void, says the head of the drawing office', 1, 40) WHEN p % 7 = 0 THEN 'transparent text: s1' WHEN p % 7 = 1 THEN 'diagonal text: s2' WHEN p % 7 = 2 THEN 'light large text: s2' ELSE 'watermark text: DRAFT' END AS evidence
+        FROM act WHERE p % 6 = 0 OR p % 15 = 0 OR p % 7 IN (0, 1, 2, 4) OR p % 18 = 0""",
         graph=False,
     )
 )
 def watermark_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p % 7 = 3 has large white text, which is none."""
     v = views(spark, sf_dir)
     p = F.col("p")
     layers = v.active.select("stem", F.when(p % 6 == 0, "Watermark 1").otherwise("Layer").alias("name"))
     one = lambda value: F.lit(float(value))
+    red = F.when(p % 7 == 2, 0.8).when(p % 7 == 3, 1.0).otherwise(0.0).alias("r")
+    rest = F.when(p % 7 == 3, 1.0).otherwise(0.9)
     first = v.active.select("stem", F.lit(1).alias("page"), F.lit(1).alias("span_no"), F.lit("s1").alias("text"), one(8).alias("size"), F.when(p % 7 == 0, 0.5).otherwise(1.0).alias("opacity"), one(1).alias("dir_x"), one(0).alias("dir_y"), one(0).alias("r"), one(0).alias("g"), one(0).alias("b"))
-    second = v.active.select("stem", F.lit(1).alias("page"), F.lit(2).alias("span_no"), F.lit("s2").alias("text"), one(40).alias("size"), one(1).alias("opacity"), one(0.7).alias("dir_x"), F.when(p % 7 == 1, 0.7).otherwise(0.0).alias("dir_y"), F.when(p % 7 == 2, 0.8).otherwise(0.0).alias("r"), one(0.9).alias("g"), one(0.9).alias("b"))
-    return extract.watermark_evidence(pages.page_lines(v), layers, first.unionByName(second))
+    second = v.active.select("stem", F.lit(1).alias("page"), F.lit(2).alias("span_no"), F.lit(" s2\u00a0").alias("text"), one(40).alias("size"), one(1).alias("opacity"), one(0.99).alias("dir_x"), F.when(p % 7 == 1, 0.07).otherwise(0.0).alias("dir_y"), red, rest.alias("g"), rest.alias("b"))
+    said = F.when(p % 7 == 4, "mark as void, says the head of the drawing office").otherwise("checked")
+    notes = v.active.select("stem", F.lit(1).alias("page"), F.lit(1).alias("note_no"), said.alias("text"))
+    return extract.watermark_evidence(pages.page_lines(v), layers, first.unionByName(second), notes)
 
 
 @query(over("SELECT stem, CAST(101 AS INTEGER) AS line_no, ref FROM used_on", graph=False))
@@ -68,14 +73,22 @@ def name_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.drawing_names(pages.page_lines(views(spark, sf_dir)))
 
 
-@query(over("SELECT stem FROM act WHERE p % 5 <> 0", graph=False))
+#: What the pages of sources/pages.py: LIST_PAGES list, told by hand: page, line, number and description.
+_LISTED = """listed(shape, line_no, ref, description) AS (VALUES (0, 2, 'F10112551', 'BRACKET'), (2, 1, 'F10112550', 'BRACKET'), (5, 2, 'F10112553A', NULL), (6, 6, 'F10112552', 'PLATE'), (6, 11, 'F10112555', NULL),
+  (7, 1, 'F10112560', 'Plate, left'), (8, 2, 'F10112561', NULL), (8, 4, 'F10112562', 'HUB'), (10, 2, 'FC1234567', 'SCREW M6')),
+lone(shape, line_no, ref, title_block, listed) AS (VALUES (0, 2, 'F10112551', FALSE, TRUE), (1, 2, 'F10112551', FALSE, TRUE), (3, 2, 'F10112550', FALSE, FALSE), (3, 3, 'F10112551', FALSE, FALSE), (4, 2, 'F10112550', TRUE, TRUE),
+  (5, 1, 'F10112550', TRUE, TRUE), (5, 2, 'F10112553a', FALSE, TRUE), (6, 1, 'F10112550', TRUE, FALSE), (6, 2, 'F10112551', TRUE, FALSE), (6, 6, 'F10112552', FALSE, TRUE), (6, 11, 'F10112555', FALSE, TRUE),
+  (8, 2, 'F10112561', FALSE, TRUE), (8, 4, 'F10112562', FALSE, TRUE), (9, 2, 'F10112551', FALSE, TRUE), (10, 2, 'FC1234567', FALSE, TRUE), (11, 2, 'F10112551', FALSE, FALSE))"""
+
+
+@query(over("SELECT stem FROM act WHERE p % 12 <> 9", graph=False))
 def parts_list_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.has_parts_list(pages.page_lines(views(spark, sf_dir)))
+    return extract.has_parts_list(pages.list_lines(views(spark, sf_dir)))
 
 
-@query(over("SELECT stem, CAST(1 AS INTEGER) AS page, CAST(n AS INTEGER) AS item, ref, description FROM numbered WHERE stem IN (SELECT stem FROM act WHERE p % 5 <> 0)", _LINES, graph=False))
-def line_bom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.line_entries(pages.page_lines(views(spark, sf_dir)))
+@query(over("SELECT stem, CAST(line_no AS INTEGER) AS line_no, ref, title_block, listed FROM act JOIN lone ON p % 12 = shape", _LISTED, graph=False))
+def lone_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.lone_numbers(pages.list_lines(views(spark, sf_dir))).drop("page")
 
 
 @query(
@@ -124,6 +137,6 @@ def split_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.join_split_numbers(first.unionByName(second)).select("stem", "text")
 
 
-@query(over("SELECT stem, CAST(1 AS INTEGER) AS page, CAST(n AS INTEGER) AS item, ref, description FROM numbered WHERE stem IN (SELECT stem FROM act WHERE p % 5 <> 0)", _LINES, graph=False))
+@query(over("SELECT stem, CAST(1 AS INTEGER) AS page, CAST(line_no AS INTEGER) AS line_no, ref, description FROM act JOIN listed ON p % 12 = shape", _LISTED, graph=False))
 def page_bom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.page_entries(pages.page_lines(views(spark, sf_dir)))
+    return extract.page_entries(pages.list_lines(views(spark, sf_dir)))

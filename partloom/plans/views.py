@@ -57,7 +57,7 @@ class Views(Catalogue):
 
     @cached_property
     def placements(self) -> DataFrame:
-        return graph.planned_paths(self.edges, self.kept_roots)
+        return stored(graph.planned_paths(self.edges, self.kept_roots, counted=self.counted_roots), "placements")
 
 
 _OPEN: dict[tuple[str, str], Views] = {}

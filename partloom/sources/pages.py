@@ -45,3 +45,27 @@ def page_words(c: Catalogue) -> DataFrame:
     t = c.active.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(9))))
     label = (k == 3) | (k == 8) & (p % 3 == 0)
     return t.select("stem", F.lit(1).alias("page"), k.alias("word_no"), ((p * 37 + k * k * 13) % 211).cast("double").alias("x"), ((p * 11 + k * 29) % 97 / F.lit(2.0)).alias("y"), F.when(label, "NUMBER").otherwise(F.concat(F.lit("w"), ((p + k) % 50).cast("string"))).alias("text"))
+
+
+#: Pages of parts lists: lines as text extraction gives them, well-formed and not.
+LIST_PAGES = (
+    ("PARTS LIST", "1", "F10112551", "BRACKET"),
+    ("PARTS LIST", "1", "F10112551", "F10112552 AND F10118731."),
+    ("BOM", "F10112550 BRACKET"),
+    ("PARTS LIST", "see drawing", "F10112550", "F10112551"),
+    ("PARTS LIST", "2", "F10112550", "SCALE"),
+    ("PARTS LIST", "F10112550", "F10112553a"),
+    ("USED ON", "F10112550", "F10112551", "MATERIAL", "PARTS LIST", "3", "F10112552", "PLATE", "extra note", "F10112554 WASHER", "4", "F10112555", "4", "QTY"),
+    ("ITEM SITE NAME", "F10112560 Plate, left", "5"),
+    ("1", "SITE#", "F10112561", "2", "F10112562", "HUB"),
+    ("no list here", "1", "F10112551", "BRACKET"),
+    ("Parts  list", "12", "FC1234567", "\u00a0SCREW M6\u00a0"),
+    ("PARTS LIST", "1234", "F10112551", "BRACKET"),
+)
+
+
+def list_lines(c: Catalogue) -> DataFrame:
+    """stem, page, line_no, text: one of LIST_PAGES for each drawing."""
+    shapes = F.array(*[F.array(*map(F.lit, lines)) for lines in LIST_PAGES])
+    own = F.get(shapes, (F.col("p") % len(LIST_PAGES)).cast("int"))
+    return c.active.select("stem", F.lit(1).alias("page"), F.posexplode(own).alias("line_no", "text"))

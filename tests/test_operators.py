@@ -144,10 +144,49 @@ def test_archive_and_reconcile(spark):
     files = spark.createDataFrame([(1, "n", "a"), (2, "n", "b"), (3, "n", "a"), (4, "m", "b"), (5, "n", "c")], "seq long, name string, content string")
     assert {r["seq"]: r["suffix"] for r in incremental.archive_targets(files).collect()} == {1: 0, 2: 1, 3: 0, 4: 0, 5: 2}
     at = lambda *rows: spark.createDataFrame(list(rows), "stem string, folder string")
-    got = incremental.reconcile(at(("a", "1"), ("a", "9"), ("b", "2"), ("b", "8"), ("c", "7")), at(("a", "1"), ("a", "3"), ("b", "2"), ("d", "4")))
-    assert {(r["stem"], r["folder"], r["action"], r["target"]) for r in got.collect()} == {("a", "1", "keep", None), ("a", "9", "move", "3"), ("b", "2", "keep", None), ("b", "8", "delete", None), ("c", "7", "review", None), ("d", None, "copy", "4")}
-    plan = incremental.reconcile(at(("a", "1")), at(("a", "1")))
+    held = lambda *rows: spark.createDataFrame(list(rows), "stem string, folder string, content string")
+    actual = held(("a", "1", "x"), ("a", "9", "x"), ("b", "2", "x"), ("b", "8", "x"), ("b", "8b", "y"), ("b", "8c", None), ("c", "7", "x"), ("e", "4", "p"), ("e", "5", "q"), ("e", "6", "p"))
+    got = incremental.reconcile(actual, at(("a", "1"), ("a", "3"), ("a", "5"), ("b", "2"), ("d", "4"), ("e", "1")))
+    assert {(r["stem"], r["folder"], r["action"], r["target"]) for r in got.collect()} == {
+        ("a", "1", "keep", None), ("a", "9", "move", "3"), ("a", None, "copy", "5"),
+        ("b", "2", "keep", None), ("b", "8", "delete", None), ("b", "8b", "review", None), ("b", "8c", "review", None),
+        ("e", "4", "move", "1"), ("e", "5", "review", None), ("e", "6", "delete", None),
+    }
+    plan = incremental.reconcile(held(("a", "1", "x")), at(("a", "1")))
     assert {r["action"] for r in plan.collect()} == {"keep"}
+    marked = spark.createDataFrame([("a", "p", "x", True), ("b", "p", "x", True), ("c", "p", "z", False), ("d", "p", "z", True)], "stem string, path string, content string, watermarked boolean")
+    live = spark.createDataFrame([("a", "y", False), ("b", "y", True), ("c", "y", False)], "stem string, content string, watermarked boolean")
+    old = spark.createDataFrame([("c", "z"), ("d", "w")], "stem string, content string")
+    assert {(r["stem"], r["identical"]) for r in incremental.retired(marked, live, old).collect()} == {("a", False), ("c", True)}
+    gone = incremental.promoted_sources(stems(spark, "a", "b"), spark.createDataFrame([("a", "1", "y"), ("b", "2", "n"), ("c", "3", "y")], "stem string, path string, content string"), live)
+    assert {(r["stem"], r["action"]) for r in gone.collect()} == {("a", "remove"), ("b", "keep")}
+
+
+def test_scalar_repairs(spark):
+    said = {"FLO|44633": "F10144633", "|F10126513]SSR2": "F10126513", "(FIOI26IO6)": "F10126106", "FC1234567": None, "xF12345": None, "F1234": None}
+    for word, want in said.items():
+        assert one(spark, word, text.ocr_token) == want, word
+    assert [one(spark, w, text.ocr_number_rank) for w in ("F12345", "FC12345", "F1O345", "12345678")] == [0, 0, 1, 2]
+    assert one(spark, "a\u00a0b\u2003 c", text.normalize) == "ABC"
+    assert one(spark, "a\u00a0\u2003b ", text.sanitize) == "a b"
+    assert one(spark, "a\x1bb\u202ec\x9fd", text.visible) == "a\\x1bb\\u202ec\\x9fd"
+    sizes = spark.createDataFrame([(7152.0, 5000.0), (595.0, 842.0), (0.0, 10.0), (1684.0, 1191.0)], "w double, h double")
+    got = sizes.select(F.round(text.iso_scale(F.col("w"), F.col("h")), 2), text.render_dpi(F.col("w"), F.col("h"))).collect()
+    assert [tuple(r) for r in got] == [(2.12, 208), (1.0, 300), (1.0, 300), (1.0, 300)]
+    blocks = spark.createDataFrame([("F1_A", "F1_A", "", "A", None, False)], "stem string, file_name string, number string, rev string, name string, scanned boolean")
+    assert checks.titleblock_mismatches(blocks).count() == 0
+
+
+def test_fit_roots_with_weights_and_extra(spark):
+    counted = spark.createDataFrame([(f"s{k}", c) for k, c in enumerate((5, 5, 5, 3, 1))], "stem string, copies long").withColumn("copies", F.col("copies").cast("decimal(38,0)"))
+    keeps = lambda *a, **k: {r["stem"] for r in graph.fit_roots(counted, *a, **k).where("kept").collect()}
+    assert keeps(19) == {"s0", "s1", "s2", "s3", "s4"}
+    assert keeps(18) == {"s1", "s2", "s3", "s4"} and keeps(9) == {"s2", "s3", "s4"}
+    assert keeps(19, extra=10) == {"s2", "s3", "s4"} and keeps(0) == set()
+    more = spark.createDataFrame([("s4", 10)], "stem string, copies long")
+    assert keeps(19, weights=more) == {"s1", "s2", "s3"} or keeps(19, weights=more) == {"s0", "s1", "s2", "s3"}
+    with pytest.raises(ValueError):
+        graph.path_counts(spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string"), stems(spark, "a"), depth=9)
 
 
 def test_extraction(spark):
@@ -185,9 +224,10 @@ def test_modes_agree(spark, data):
 
 def test_repair_converges(spark, data):
     v = views(spark, data)
-    run = runs.repair_run(inputs(v), v.organized.select("stem"), v.archive.select("stem"), spark.createDataFrame([("F10000001", "x")], "stem string, folder string"))
+    run = runs.repair_run(inputs(v), v.organized.select("stem"), v.archive.select("stem"), v.active.select("stem", F.lit("x").alias("folder"), F.lit("c").alias("content")))
     plan = run["repair"].collect()
-    after = spark.createDataFrame([(r["stem"], r["target"] or r["folder"]) for r in plan if r["action"] in ("keep", "move", "copy")], "stem string, folder string")
+    assert {r["action"] for r in plan} == {"move", "copy"}
+    after = spark.createDataFrame([(r["stem"], r["target"] or r["folder"], "c") for r in plan if r["action"] in ("keep", "move", "copy")], "stem string, folder string, content string")
     again = runs.repair_run(inputs(v), run["live"].select("stem"), v.archive.select("stem").limit(0), after)["repair"]
     assert {r["action"] for r in again.collect()} == {"keep"}
 
