@@ -164,6 +164,23 @@ def join_split_numbers(lines: DataFrame) -> DataFrame:
     return t.where(~eaten).withColumn("text", F.when(glued, F.concat(F.lit("F"), "below")).otherwise(F.col("text"))).drop("below", "above")
 
 
+def voted_values(passes: DataFrame) -> DataFrame:
+    """stem and values of readings of one strip (stem, pass_no, values): what two passes read alike, the first time they do; else
+    the first pass with the value that most passes have, if two do, the first seen at ties; else the first that read anything.
+
+    A strip is read a few times, so its passes are one array.
+    """
+    t = passes.groupBy("stem").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass_no", "values"))), lambda p: p["values"]).alias("runs"))
+    runs, every = F.col("runs"), F.flatten("runs")
+    first = lambda found: F.get(F.filter(found, lambda v: v.isNotNull()), F.lit(0))
+    alike = first(F.transform(runs, lambda v, i: F.when((F.size(v) > 0) & F.exists(F.slice(runs, F.lit(1), i), lambda p: p == v), v)))
+    votes = F.transform(F.array_distinct(every), lambda v, i: F.struct(F.size(F.filter(every, lambda x: x == v)).alias("n"), (-i).alias("at"), v.alias("value")))
+    best = F.array_max(votes)
+    chosen = F.when(best["n"] >= 2, first(F.transform(runs, lambda v: F.when(F.array_contains(v, best["value"]), v))))
+    any_read = first(F.transform(runs, lambda v: F.when(F.size(v) > 0, v)))
+    return t.select("stem", F.coalesce(alike, chosen, any_read, F.array().cast("array<string>")).alias("values"))
+
+
 def merged_events(events: DataFrame) -> DataFrame:
     """stem, pages (sorted) and seconds of OCR events, which may come in parts."""
     return events.groupBy("stem").agg(F.array_join(F.array_sort(F.collect_set("page")), ",").alias("pages"), F.sum("seconds").alias("seconds"))

@@ -24,10 +24,6 @@ def links(copies: DataFrame) -> DataFrame:
     return best.select("stem", F.when(F.length("path") <= LINK_CAP, F.col("path")).alias("link"))
 
 
-def kpis(**counts: DataFrame | int) -> list[tuple[str, int]]:
-    return [(name, n if isinstance(n, int) else n.count()) for name, n in counts.items()]
-
-
 def labelled_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """item and n of each table, in one plan."""
     parts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("item"), "n") for name, df in tables.items()]

@@ -28,17 +28,23 @@ def match_refs(refs: DataFrame, stems: DataFrame) -> DataFrame:
     return ranking.sheet_winners(j.withColumn("wanted", wanted).where("rank = wanted"), "ref").select("ref", "stem")
 
 
-def graph_edges(bom: DataFrame, stems: DataFrame) -> DataFrame:
-    """Distinct parent and child, without components and self-references."""
+def repaired_matches(found: DataFrame, snaps: DataFrame, stems: DataFrame) -> DataFrame:
+    """found and the matches of repaired references that it lacks, so that no reference is matched twice."""
+    new = snaps.select(F.col("snapped").alias("ref")).distinct().join(found.select("ref").distinct(), "ref", "left_anti")
+    return found.select("ref", "stem").unionByName(match_refs(new, stems))
+
+
+def graph_edges(bom: DataFrame, stems: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Distinct parent and child, without components and self-references. found: matches of all of bom's references."""
     wanted = bom.where(identity.is_part_ref(F.col("ref")))
-    found = match_refs(wanted, stems).withColumnRenamed("stem", "child")
+    found = (match_refs(wanted, stems) if found is None else found).select("ref", F.col("stem").alias("child"))
     return wanted.withColumnRenamed("stem", "parent").join(found, "ref").where("parent <> child").select("parent", "child").distinct()
 
 
-def missing_refs(bom: DataFrame, stems: DataFrame) -> DataFrame:
+def missing_refs(bom: DataFrame, stems: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """stem and ref of part references that mean no drawing."""
     wanted = bom.where(identity.is_part_ref(F.col("ref"))).select("stem", "ref").distinct()
-    return wanted.join(match_refs(wanted, stems).select("ref").distinct(), "ref", "left_anti").select("stem", "ref")
+    return wanted.join((match_refs(wanted, stems) if found is None else found).select("ref").distinct(), "ref", "left_anti").select("stem", "ref")
 
 
 def components_of(bom: DataFrame) -> DataFrame:
@@ -52,14 +58,14 @@ def _neighbourhood(value: Column) -> Column:
     return F.array_distinct(F.concat(F.array(value), F.transform(at, lambda i: F.concat(F.substring(value, 1, i - 1), F.substring(value, i + 1, F.length(value))))))
 
 
-def snap_refs(refs: DataFrame, stems: DataFrame) -> DataFrame:
+def snap_refs(refs: DataFrame, stems: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """ref and snapped of unmatched part references that can only be a misreading of one known base number.
 
     Candidates are the reference with look-alike letters as digits and, unless it is a full number, the bases at edit
     distance 1. These come from an equi-join of deletion neighbourhoods, so no pair is compared in vain.
     """
     r = refs.where(identity.is_part_ref(F.col("ref"))).select("ref").distinct()
-    r = r.join(match_refs(r, stems).select("ref").distinct(), "ref", "left_anti")
+    r = r.join((match_refs(r, stems) if found is None else found).select("ref").distinct(), "ref", "left_anti")
     bases = stems.select(identity.base(F.col("stem")).alias("known")).distinct()
     fixed = r.withColumn("known", text.confusion_fixed(F.col("ref"))).join(bases, "known", "left_semi")
     near = r.where(~F.col("ref").rlike(FULL_REF)).withColumn("key", F.explode(_neighbourhood(F.col("ref"))))

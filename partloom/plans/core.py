@@ -160,7 +160,7 @@ _MISSING = "missing AS (SELECT stem, ref FROM refs2 WHERE ref NOT IN (SELECT ref
 @query(over("SELECT stem, ref FROM missing", _MISSING))
 def snapped_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views(spark, sf_dir)
-    return resolve.missing_refs(v.repaired_bom, v.active)
+    return resolve.missing_refs(v.repaired_bom, v.active, v.repaired_matched)
 
 
 @query(over("SELECT stem, ref, method, description FROM (SELECT *, row_number() OVER (PARTITION BY stem, ref ORDER BY CASE method WHEN 'table' THEN 1 WHEN 'text-fallback' THEN 2 ELSE 4 END, description NULLS LAST) AS rn FROM entries) WHERE rn = 1", graph=False))
@@ -264,12 +264,12 @@ def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(v.edges, v.roots)
 
 
-@query(over("SELECT stem FROM act WHERE stem NOT IN (SELECT stem FROM half) AND stem NOT IN (SELECT stem FROM tops WHERE stem NOT IN (SELECT stem FROM roots))", "half AS (SELECT stem FROM roots WHERE CAST(substr(stem, 2, 8) AS BIGINT) % 2 = 0 UNION SELECT child FROM half JOIN edges ON parent = half.stem)", recursive=True))
+@query(over("SELECT stem FROM act WHERE stem NOT IN (SELECT stem FROM fifth) AND stem NOT IN (SELECT stem FROM tops WHERE stem NOT IN (SELECT stem FROM roots))", "fifth AS (SELECT stem FROM roots WHERE CAST(substr(stem, 2, 8) AS BIGINT) % 5 = 0 UNION SELECT child FROM fifth JOIN edges ON parent = fifth.stem)", recursive=True))
 def unplaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drawings that nothing places when only the roots with even numbers are kept."""
+    """Drawings that nothing places when only every fifth root is kept."""
     v = views(spark, sf_dir)
-    half = v.roots.where(F.substring("stem", 2, 8).cast("long") % 2 == 0)
-    placed = graph.reachable(v.edges, half).union(v.tops.where("kind = 'orphan'").select("stem"))
+    fifth = v.roots.where(F.substring("stem", 2, 8).cast("long") % 5 == 0)
+    placed = graph.reachable(v.edges, fifth).union(v.tops.where("kind = 'orphan'").select("stem"))
     return v.active.select("stem").join(placed, "stem", "left_anti")
 
 

@@ -27,7 +27,7 @@ _NM = (_WIN, _PREFER)
 def missing_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = views(spark, sf_dir)
     names = naming.vote_winners(v.bom_entries, v.snaps).withColumnRenamed("ref", "stem")
-    return report.sheet(resolve.missing_refs(v.repaired_bom, v.active), names, F.lit("Download").alias("action"), on="ref")
+    return report.sheet(resolve.missing_refs(v.repaired_bom, v.active, v.repaired_matched), names, F.lit("Download").alias("action"), on="ref")
 
 
 @query(over("SELECT a.stem, coalesce(nm.name, '') AS name, 'Unapproved' AS status FROM act a LEFT JOIN nm USING (stem) WHERE chk", *_NM))
@@ -109,7 +109,7 @@ def attention_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = report.labelled_counts(
         {
             "Placement refused": graph.fit_roots(v.counted_roots).where("not kept"),
-            "Missing parts": resolve.missing_refs(v.repaired_bom, v.active).select("ref").distinct(),
+            "Missing parts": resolve.missing_refs(v.repaired_bom, v.active, v.repaired_matched).select("ref").distinct(),
             "CHK unapproved": checks.unapproved(v.active),
             "Orphans parked": v.tops.where("kind = 'orphan'"),
             "USED ON check": checked,
@@ -126,7 +126,7 @@ def dashboard_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
         {
             "files": v.active,
             "roots": v.roots,
-            "missing": resolve.missing_refs(v.repaired_bom, v.active).select("ref").distinct(),
+            "missing": resolve.missing_refs(v.repaired_bom, v.active, v.repaired_matched).select("ref").distinct(),
             "chk": checks.unapproved(v.active),
             "orphans": v.tops.where("kind = 'orphan'"),
             "superseded": ranking.superseded(v.stems),

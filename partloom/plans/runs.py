@@ -34,9 +34,11 @@ def _decisions(live: DataFrame, data: Inputs, cap: int) -> dict[str, DataFrame]:
     own = lambda df: df.join(live.select("stem"), "stem", "left_semi")
     entries, used_on, blocks = own(data.bom_entries), own(data.used_on), own(data.title_blocks)
     listed = entries.select("stem", "ref").distinct()
-    snaps = stored(resolve.snap_refs(listed, live), "snaps")
+    found = stored(resolve.match_refs(listed, live), "matched")
+    snaps = stored(resolve.snap_refs(listed, live, found), "snaps")
+    found = stored(resolve.repaired_matches(found, snaps, live), "matched")
     bom = stored(resolve.snapped(listed, snaps), "bom")
-    edges = stored(resolve.graph_edges(bom, live), "edges")
+    edges = stored(resolve.graph_edges(bom, live, found), "edges")
     cut = stored(graph.cycle_edges(edges), "cut")
     dag = stored(edges.join(cut, ["parent", "child"], "left_anti"), "dag")
     tops = stored(graph.roots_and_orphans(live, dag, bom), "tops")
@@ -49,7 +51,7 @@ def _decisions(live: DataFrame, data: Inputs, cap: int) -> dict[str, DataFrame]:
     counters = one(live, "scanned").crossJoin(one(roots, "roots")).crossJoin(fit.where("kept").agg(F.coalesce(F.sum("copies"), F.lit(0)).cast("long").alias("copies"))).crossJoin(one(cut, "cycles"))
     return {
         "counters": counters,
-        "missing": resolve.missing_refs(bom, live),
+        "missing": resolve.missing_refs(bom, live, found),
         "chk": checks.unapproved(live),
         "orphans": tops.where("kind = 'orphan'").select("stem"),
         "roots": roots.join(said, "stem", "left").select("stem", F.coalesce("used_on", F.lit("")).alias("used_on")),
@@ -84,6 +86,9 @@ def incremental_run(data: Inputs, organized: DataFrame, archive: DataFrame, park
     """A batch on top of what is organized; the merged catalogue is decided as a full run would."""
     new = stored(incremental.candidates(data.drawings, organized, archive, parked), "new")
     decisions = incremental.supersede_decisions(new, organized)
+    if new.isEmpty():  # nothing is decided, and what is organized stays as it is
+        none = new.select("stem", F.col("source").alias("decision"))
+        return {"live": organized.select("stem"), "candidates": new, "supersede": decisions, "placements": none}
     live = stored(incremental.merged_stems(new, organized), "live")
     out = _decisions(live, data, cap)
     fresh = live.select("stem").join(new.select("stem"), "stem", "left_semi")
@@ -101,3 +106,18 @@ def repair_run(data: Inputs, organized: DataFrame, archive: DataFrame, actual: D
     out = _decisions(live, data, cap)
     planned = graph.planned_paths(out["dag"], out["kept_roots"], counted=out["counted"]).select("stem", F.array_join("path", "/").alias("folder"))
     return out | {"live": live, "promoted": promoted, "repair": incremental.reconcile(actual, planned)}
+
+
+def mode_label(dry_run: bool, incremental: bool = False, repair: bool = False) -> str:
+    """How a run is called in its log and report."""
+    name = "REPAIR" if repair else "INCREMENTAL" if incremental else ""
+    if not name:
+        return "DRY-RUN" if dry_run else "EXECUTE"
+    return f"{name} (DRY-RUN)" if dry_run else name
+
+
+def exit_code(tables: dict[str, DataFrame]) -> int:
+    """2 for a run that places nothing because of the cap, or a repair that leaves something for review; else 0."""
+    refused = "placement_refused" in tables and bool(tables["placement_refused"].first()["refused"]) and tables["kept_roots"].isEmpty()
+    review = "repair" in tables and not tables["repair"].where("action = 'review'").isEmpty()
+    return 2 if refused or review else 0

@@ -140,3 +140,14 @@ def split_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(over("SELECT stem, CAST(1 AS INTEGER) AS page, CAST(line_no AS INTEGER) AS line_no, ref, description FROM act JOIN listed ON p % 12 = shape", _LISTED, graph=False))
 def page_bom_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.page_entries(pages.list_lines(views(spark, sf_dir)))
+
+
+#: Readings of a strip, and what is told of them by hand.
+_PASSES = ((("a",), ("b",), ("a",)), (("a", "b"), ("b", "c"), ("c",)), ((), ("x",), ("y",)), ((), (), ()), (("a",), ("b",), ("b",)))
+
+
+@query(over('SELECT stem, t.v AS "values" FROM act JOIN (VALUES (0, \'a\'), (1, \'a,b\'), (2, \'x\'), (3, \'\'), (4, \'b\')) t(k, v) ON p % 5 = t.k', graph=False))
+def ocr_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.get(F.array(*[F.array(*[F.array(*map(F.lit, v)).cast("array<string>") for v in runs]) for runs in _PASSES]), (F.col("p") % 5).cast("int"))
+    t = views(spark, sf_dir).active.select("stem", F.posexplode(own).alias("pass_no", "values"))
+    return extract.voted_values(t).select("stem", F.array_join("values", ",").alias("values"))

@@ -32,12 +32,21 @@ class Views(Catalogue):
 
     @cached_property
     def snaps(self) -> DataFrame:
-        return stored(resolve.snap_refs(self.bom, self.active), "snaps")
+        return stored(resolve.snap_refs(self.bom, self.active, self.matched), "snaps")
+
+    @cached_property
+    def matched(self) -> DataFrame:
+        """Each reference is matched once; edges, what is missing and repairs read it."""
+        return stored(resolve.match_refs(self.bom, self.active), "matched")
+
+    @cached_property
+    def repaired_matched(self) -> DataFrame:
+        return stored(resolve.repaired_matches(self.matched, self.snaps, self.active), "matched")
 
     @cached_property
     def edges(self) -> DataFrame:
         """Written once: checks, roots and paths all read it."""
-        return stored(resolve.graph_edges(self.repaired_bom, self.active), "edges")
+        return stored(resolve.graph_edges(self.repaired_bom, self.active, self.repaired_matched), "edges")
 
     @cached_property
     def tops(self) -> DataFrame:

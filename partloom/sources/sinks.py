@@ -10,6 +10,7 @@ import time
 import uuid
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,38 +21,95 @@ HISTORY = "version int, run_at string, run_id bigint, mode string, scanned bigin
 VERSION = 2
 
 
+def ordered(df: DataFrame) -> DataFrame:
+    """df in order of its plain columns, from the left, so that equal runs write equal files."""
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct", "variant")]
+    return df.sort(*[F.col(c).asc_nulls_first() for c in plain]) if plain else df
+
+
 def write_tables(results: dict[str, DataFrame], to: str, formats: tuple[str, ...] = ("parquet",)) -> None:
-    """Each result as a table of its own; in CSV no cell is a formula."""
+    """Each result as a table of its own, in order; in CSV no cell is a formula."""
     for name, df in results.items():
         for form in formats:
             if form == "csv":
                 flat = [F.array_join(F.col(f.name).cast("array<string>"), ",").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in df.schema.fields]
-                plain = df.select(flat)
+                plain = ordered(df.select(flat))
                 plain.select([text.inert(F.col(f.name)).alias(f.name) if f.dataType.typeName() == "string" else F.col(f.name) for f in plain.schema.fields]).write.mode("overwrite").csv(f"{to}/{name}.csv", header=True)
             else:
-                df.write.mode("overwrite").format(form).save(f"{to}/{name}.{form}")
+                ordered(df).write.mode("overwrite").format(form).save(f"{to}/{name}.{form}")
 
 
 def write_lines(lines: DataFrame, to: str) -> None:
     lines.select(text.visible(F.col(lines.columns[0])).alias("value")).write.mode("overwrite").text(to)
 
 
+def _files(spark: SparkSession, at: str):
+    """The file system of a path, and what makes its paths."""
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    return path(at).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
 def read_history(spark: SparkSession, at: str) -> DataFrame:
-    """Past runs; rows of the first version keep their count of missing parts as a labelled text, broken rows are left out."""
-    t = spark.read.schema(HISTORY + ", broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(at)
+    """Past runs; rows of the first version keep their count of missing parts as a labelled text.
+
+    A history with broken rows is copied aside before these are left out. One whose writer was stopped between its two
+    renames is found under the name it had then; without any, there are no runs.
+    """
+    fs, path = _files(spark, at)
+    found = next((p for p in (at, f"{at}.new", f"{at}.old") if fs.exists(path(p))), None)
+    if found is None:
+        return spark.createDataFrame([], HISTORY)
+    t = spark.read.schema(HISTORY + ", broken string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "broken").json(found)
+    if t.where("broken is not null").take(1):
+        aside = path(f"{at}.broken-{uuid.uuid4().hex[:8]}")
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(fs, path(found), fs, aside, False, spark._jsc.hadoopConfiguration())
     t = t.where("broken is null").drop("broken")
     old = F.coalesce("version", F.lit(1)) < VERSION
     return t.withColumn("missing", F.when(old & F.col("missing").isNotNull(), F.concat(F.lit("pairs: "), "missing")).otherwise(F.col("missing"))).withColumn("version", F.lit(VERSION))
 
 
 def write_history(old: DataFrame, new: DataFrame, to: str) -> None:
-    """The last runs, beside the old file first and then in its place."""
+    """The last runs: written beside the old file, which is put aside, then in its place; read_history finds any of these states."""
     report.history(old, new).coalesce(1).write.mode("overwrite").json(f"{to}.new")
-    spark = old.sparkSession
-    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
-    fs = path(to).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(path(to), True)
+    fs, path = _files(old.sparkSession, to)
+    fs.delete(path(f"{to}.old"), True)
+    if fs.exists(path(to)):
+        fs.rename(path(to), path(f"{to}.old"))
     fs.rename(path(f"{to}.new"), path(to))
+    fs.delete(path(f"{to}.old"), True)
+
+
+def prior_names(spark: SparkSession, at: str) -> DataFrame:
+    """stem and name of an earlier run's table of files; none where it can't be read."""
+    try:
+        return spark.read.parquet(at).select("stem", "name").where("stem is not null and name <> ''").dropDuplicates(["stem"])
+    except AnalysisException:
+        return spark.createDataFrame([], "stem string, name string")
+
+
+def latest_report(spark: SparkSession, folder: str, pattern: str = "*report*.txt") -> tuple[str | None, str | None]:
+    """Path of the report that is last by name, and its line that tells how many drawings are active."""
+    fs, path = _files(spark, folder)
+    found = sorted(str(s.getPath()) for s in fs.globStatus(path(f"{folder}/{pattern}")) or ())
+    if not found:
+        return None, None
+    line = spark.read.text(found[-1]).where(F.lower("value").contains("active")).first()
+    return found[-1], line["value"] if line else None
+
+
+def sweep(root: str, age: float = 3600.0) -> list[str]:
+    """Removes what stopped runs have left below root: staged copies older than `age` seconds, then empty folders."""
+    gone = []
+    for top, folders, files in os.walk(root, topdown=False):
+        for name in files:
+            at = os.path.join(top, name)
+            if name.endswith(".part") and not os.path.islink(at) and time.time() - os.path.getmtime(at) > age:
+                os.remove(at)
+                gone.append(at)
+        if top != root and not os.path.islink(top) and not os.listdir(top):
+            os.rmdir(top)
+            gone.append(top)
+    return gone
 
 
 def _place(src: str, dst: str) -> str:

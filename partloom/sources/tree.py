@@ -11,6 +11,7 @@ from partloom.functions import identity
 FILE = "path string, modificationTime timestamp, length bigint, content binary"
 #: Files over this size are not opened.
 MOST_BYTES = 500 * 1024 * 1024
+MOST_PAGES = 200
 ARCHIVE, PARKED = "_superseded", "_orphans"
 
 
@@ -63,6 +64,11 @@ def too_large(drawings: DataFrame, most: int = MOST_BYTES) -> DataFrame:
     return drawings.where(F.col("length") > most).select("path", F.concat(F.lit("file has "), F.col("length").cast("string"), F.lit(" bytes")).alias("issue"))
 
 
+def too_many_pages(pages: DataFrame, most: int = MOST_PAGES) -> DataFrame:
+    """Issues of files (path, pages) that have too many pages to be read."""
+    return pages.where(F.col("pages") > most).select("path", F.concat(F.lit("file has "), F.col("pages").cast("string"), F.lit(" pages")).alias("issue"))
+
+
 def output_tree(spark: SparkSession, root: str, contents: bool = False) -> DataFrame:
     """path, class (tree, sup or orph) and stem of the PDFs of an output folder.
 

@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from partloom.operators import extract
+from partloom.plans import runs
 from partloom.sources import sinks, tree
 
 
@@ -66,7 +67,7 @@ def test_history_and_tables(spark, tmp_path):
     sinks.write_tables({"t": spark.createDataFrame([("=1", ["a", "b"])], "x string, y array<string>")}, f"{tmp_path}/t", ("parquet", "csv"))
     assert spark.read.csv(f"{tmp_path}/t/t.csv", header=True).first().asDict() == {"x": "'=1", "y": "a,b"}
     sinks.write_lines(spark.createDataFrame([("a\x07b",)], "l string"), f"{tmp_path}/l")
-    assert spark.read.text(f"{tmp_path}/l").first()[0] == "a\\xb"
+    assert spark.read.text(f"{tmp_path}/l").first()[0] == "a\\x07b"
 
 
 def test_lock(tmp_path):
@@ -80,5 +81,45 @@ def test_lock(tmp_path):
     assert a.take()
 
 
-def test_lines_are_used_once():
-    assert extract._parsed(["1", "F10126106", "PUMP", "2 F10126107 VALVE", "3", "F10126108", "4", "F10126109", "SCALE", "note"]) == [(1, "F10126106", "PUMP"), (2, "F10126107", "VALVE"), (3, "F10126108", None), (4, "F10126109", None)]
+def test_lines_are_used_once(spark):
+    texts = ["PARTS LIST", "1", "F10126106", "PUMP", "a note", "F10126199 IN THE NOTES", "F10126107 VALVE", "3", "F10126108", "4", "F10126109", "SCALE", "note", "F10126110 HOSE"]
+    df = spark.createDataFrame([("s", 1, i, t) for i, t in enumerate(texts)], "stem string, page int, line_no int, text string")
+    got = [(r["line_no"], r["ref"], r["description"]) for r in extract.page_entries(df).orderBy("line_no").collect()]
+    # The note's lines go, up to the item 3; a number whose description is the next item has none.
+    assert got == [(2, "F10126106", "PUMP"), (8, "F10126108", None), (13, "F10126110", "HOSE")]
+
+
+def test_broken_and_half_written_history(spark, tmp_path):
+    at = f"{tmp_path}/h"
+    assert sinks.read_history(spark, at).count() == 0
+    row = '{"version": 2, "run_at": "2024", "run_id": %d, "missing": "7"}\n'
+    touch(tmp_path, "h.old/p.json", content=row % 1)
+    assert [r["run_id"] for r in sinks.read_history(spark, at).collect()] == [1]
+    touch(tmp_path, "h.new/p.json", content=row % 2)
+    assert [r["run_id"] for r in sinks.read_history(spark, at).collect()] == [2]
+    touch(tmp_path, "h/p.json", content=row % 3 + "{broken\n")
+    assert [r["run_id"] for r in sinks.read_history(spark, at).collect()] == [3]
+    aside = [n for n in os.listdir(tmp_path) if n.startswith("h.broken-")]
+    assert len(aside) == 1 and "{broken" in (tmp_path / aside[0] / "p.json").read_text()
+
+
+def test_earlier_runs_and_leftovers(spark, tmp_path):
+    assert sinks.prior_names(spark, f"{tmp_path}/none").count() == 0
+    spark.createDataFrame([("a", "PUMP"), ("b", ""), (None, "x")], "stem string, name string").write.parquet(f"{tmp_path}/files")
+    assert [tuple(r) for r in sinks.prior_names(spark, f"{tmp_path}/files").collect()] == [("a", "PUMP")]
+    assert sinks.latest_report(spark, str(tmp_path)) == (None, None)
+    touch(tmp_path, "report_2024.txt", content="Active: 3\n")
+    touch(tmp_path, "report_2025.txt", content="x\nActive drawings: 5\n")
+    found, line = sinks.latest_report(spark, str(tmp_path))
+    assert found.endswith("report_2025.txt") and line == "Active drawings: 5"
+    touch(tmp_path, "out/a/x.part", "out/b/new.part", "out/c/F1.pdf")
+    os.utime(tmp_path / "out/a/x.part", (0, 0))
+    os.makedirs(tmp_path / "out/d/e")
+    gone = {os.path.relpath(p, tmp_path / "out") for p in sinks.sweep(str(tmp_path / "out"))}
+    assert gone == {"a/x.part", "a", "d/e", "d"} and os.path.exists(tmp_path / "out/b/new.part")
+    pages = spark.createDataFrame([("a.pdf", 201), ("b.pdf", 200)], "path string, pages int")
+    assert [r["issue"] for r in tree.too_many_pages(pages).collect()] == ["file has 201 pages"]
+
+
+def test_labels_of_runs():
+    assert [runs.mode_label(d, i, r) for d, i, r in ((True, False, False), (False, False, False), (True, True, False), (False, False, True))] == ["DRY-RUN", "EXECUTE", "INCREMENTAL (DRY-RUN)", "REPAIR"]
