@@ -133,6 +133,43 @@ def value_under(words: DataFrame, label: str, reach: float = 180.0) -> DataFrame
     return below.groupBy("stem").agg(F.min_by("text", F.struct("page", F.col("y") - F.col("ly"), "x")).alias("value"))
 
 
+# What a title block's number and revision look like, and where they stand: to the left and right of the label's
+# left edge and below its lower edge; on scans, whose boxes can be off by a row, above and below it. The block begins at half
+# the page's width.
+BLOCK_NUMBER, BLOCK_REVISION = r"^FC?[0-9]{5,8}$", r"^(?:[A-Z]|-)$"
+NUMBER_SIDES, REVISION_SIDES, BELOW, ABOVE, SCAN_ROWS, BLOCK_FROM = (-40, 170), (-10, 50), 14, 2, 40, 0.5
+
+
+def _block_value(words: DataFrame, name: str, label: str, pattern: str, sides: tuple[int, int], read: Column, rank: Column, from_x: Column) -> DataFrame:
+    """stem and the value that stands by the lowest label of each page, of several labels only those from from_x on.
+
+    read: a word as a value, null if it is none; of values the least rank wins, then the nearest row, then the leftmost.
+    """
+    several = F.count("*").over(W.partitionBy("stem")) > 1
+    labels = words.where(F.col("said") == label).withColumn("on", ~several | (F.col("x") >= from_x)).where("on")
+    lowest = labels.groupBy("stem").agg(F.max_by(F.struct(F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("y1").alias("ly1")), F.struct("y", -F.col("word_no"))).alias("l")).select("stem", "l.*")
+    top = F.when(F.col("scanned"), F.col("ly") - SCAN_ROWS).otherwise(F.col("ly1") - ABOVE)
+    bottom = F.col("ly1") + F.when(F.col("scanned"), SCAN_ROWS).otherwise(BELOW)
+    near = (F.col("x") >= F.col("lx") + sides[0]) & (F.col("x") <= F.col("lx") + sides[1]) & (F.col("y") >= top) & (F.col("y") <= bottom)
+    j = words.join(lowest, "stem").withColumn("value", read).where(near & F.col("value").rlike(pattern))
+    return j.groupBy("stem").agg(F.min_by("value", F.struct(rank, F.abs(F.col("y") - F.col("ly")), "x", "word_no")).alias(name))
+
+
+def title_block(words: DataFrame, sheets: DataFrame) -> DataFrame:
+    """stem, number and rev that the title block of the first page tells, null where it can't be read.
+
+    words: stem, word_no, x, y, y1 (top and bottom), text of first pages; sheets: stem, width, scanned. Of a scan, words are
+    repaired, and one that was read whole comes before a repaired one and that before bare digits.
+    """
+    w = words.join(sheets, "stem").withColumn("said", F.upper(text.stripped(F.col("text"))))
+    scan, said = F.col("scanned"), F.col("said")
+    number = F.when(scan, text.ocr_number(said)).otherwise(said)
+    order = F.when(scan, text.ocr_number_rank(said)).otherwise(F.lit(0))
+    numbers = _block_value(w, "number", "NUMBER", BLOCK_NUMBER, NUMBER_SIDES, number, order, F.col("width") * BLOCK_FROM)
+    revs = _block_value(w, "rev", "REV", BLOCK_REVISION, REVISION_SIDES, said, F.lit(0), F.lit(float("-inf")))
+    return sheets.select("stem").join(numbers, "stem", "left").join(revs, "stem", "left")
+
+
 def rows_by_y(words: DataFrame, tolerance: float = Y_TOLERANCE) -> DataFrame:
     """words with the row they belong to: in order of word_no each joins the first row within tolerance, else opens one.
 
@@ -277,14 +314,40 @@ def page_entries(lines: DataFrame) -> DataFrame:
     return t.select("stem", "page", "line_no", text.normalize(F.col("e.ref")).alias("ref"), F.col("e.description").alias("description"))
 
 
+def is_list_label(word: Column) -> Column:
+    """Whether a word is the number column's label, as a scan may have read it."""
+    fold = lambda c: F.translate(F.regexp_replace(F.upper(c), "[^A-Z0-9]", ""), "1L", "II")
+    return fold(word) == fold(F.lit(OWNER))
+
+
+# Where a list's numbers stand beside their label's left edge; rows this near are the label's own; how far left of
+# the label its ITEM label may end, and where items stand without one.
+COLUMN_SIDES, ROW_GAP, ROW_TOLERANCE, ITEM_GAP, ITEM_LEFT = (-15, 90), 4, 5, 90, 60
+
+
 def list_anchor(words: DataFrame) -> DataFrame:
-    """stem, page, x and y of the list header: the label in whose row most other column labels stand, item counting three."""
-    heads = words.where(F.upper("text").isin("ITEM", "QTY", "PART", "NAME", "DESCRIPTION", "MATERIAL", OWNER))
-    own = heads.where(F.upper("text") == OWNER).select("stem", "page", "word_no", "x", "y")
-    others = heads.select("stem", "page", F.col("word_no").alias("w"), F.col("y").alias("oy"), (F.when(F.upper("text") == "ITEM", 3).otherwise(1)).alias("weight"))
-    j = own.join(others, ["stem", "page"], "left").where((F.col("w") != F.col("word_no")) & (F.abs(F.col("y") - F.col("oy")) <= Y_TOLERANCE))
-    scored = j.groupBy("stem", "page", "word_no", "x", "y").agg(F.sum("weight").alias("score"))
-    return scored.groupBy("stem", "page").agg(F.max_by(F.struct("x", "y", "score"), F.struct("score", -F.col("word_no"))).alias("b")).select("stem", "page", "b.*")
+    """stem, page, score, item_x, x, x1, y1, y and side of each page's list header (words: word_no, x, y, x1, y1, text).
+
+    A label scores by the drawing numbers in its column on the side, above or below, that has more, and 2 for an ITEM label in
+    its row. Without one it needs two numbers, so that the same word elsewhere is no header. The first wins ties.
+    """
+    w = words.select("stem", "page", "word_no", "x", "y", "x1", "y1", "text")
+    own = w.where(is_list_label(F.col("text"))).select("stem", "page", F.col("word_no").alias("no"), *[F.col(c).alias("l" + c) for c in ("x", "y", "x1", "y1")])
+    j = own.join(w, ["stem", "page"])
+    aligned = (F.col("x") >= F.col("lx") + COLUMN_SIDES[0]) & (F.col("x") <= F.col("lx") + COLUMN_SIDES[1]) & text.ocr_token(F.col("text")).isNotNull()
+    left = F.col("lx") - F.col("x1")
+    item = F.upper("text").contains("ITEM") & (F.abs(F.col("y") - F.col("ly")) < ROW_TOLERANCE) & (left > 0) & (left < ITEM_GAP)
+    count = lambda test: F.count(F.when(aligned & test, 1))
+    g = j.groupBy("stem", "page", "no", "lx", "lx1", "ly", "ly1").agg(
+        count(F.col("y") < F.col("ly") - ROW_GAP).alias("over"),
+        count(F.col("y") > F.col("ly1")).alias("under"),
+        F.min_by(F.when(item, F.col("x")), F.when(item, F.col("word_no"))).alias("item_x"),
+    )
+    most = F.greatest("over", "under")
+    g = g.where(F.col("item_x").isNotNull() | (most >= 2)).withColumn("score", most + F.when(F.col("item_x").isNotNull(), 2).otherwise(0))
+    side = F.when(F.col("over") >= F.col("under"), "above").otherwise("below")
+    row = F.struct("score", F.coalesce("item_x", F.col("lx") - ITEM_LEFT).alias("item_x"), F.col("lx").alias("x"), F.col("lx1").alias("x1"), F.col("ly1").alias("y1"), F.col("ly").alias("y"), side.alias("side"))
+    return g.groupBy("stem", "page").agg(F.max_by(row, F.struct("score", -F.col("no"))).alias("b")).select("stem", "page", "b.*")
 
 
 def positional_entries(words: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.operators import extract
@@ -151,3 +151,49 @@ def ocr_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.get(F.array(*[F.array(*[F.array(*map(F.lit, v)).cast("array<string>") for v in runs]) for runs in _PASSES]), (F.col("p") % 5).cast("int"))
     t = views(spark, sf_dir).active.select("stem", F.posexplode(own).alias("pass_no", "values"))
     return extract.voted_values(t).select("stem", F.array_join("values", ",").alias("values"))
+
+
+def _corner(n: int, x: float, y: float, said) -> Column:
+    return F.struct(F.lit(n).alias("word_no"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(y + 10.0).alias("y1"), (F.lit(said) if isinstance(said, str) else said).alias("text"))
+
+
+#: What the six kinds of corners below tell, by hand.
+_CORNERS = "t(k, has_number, rev) AS (VALUES (0, TRUE, 'A'), (1, TRUE, 'A'), (2, FALSE, '-'), (3, TRUE, 'B'), (4, FALSE, NULL), (5, TRUE, NULL))"
+
+
+@query(over("SELECT stem, CASE WHEN has_number THEN b0 END AS number, t.rev FROM act JOIN t ON p % 6 = k", _CORNERS, graph=False))
+def title_block_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title blocks in order, with a note that repeats the label, without a number, of a scan, with a far value, without REV."""
+    number, rev = _corner(0, 700, 400, "NUMBER"), _corner(1, 900, 400, "Rev")
+    base = F.substring_index("stem", "_", 1)
+    kinds = (
+        (number, rev, _corner(2, 690, 412, base), _corner(3, 905, 413, "a"), _corner(4, 900, 300, "REV"), _corner(5, 905, 313, "Z")),
+        (number, rev, _corner(2, 690, 412, base), _corner(3, 905, 413, "A"), _corner(4, 100, 600, "NUMBER"), _corner(5, 100, 612, "F10154728")),
+        (number, rev, _corner(2, 690, 412, "N/A"), _corner(3, 905, 413, "-"), _corner(4, 660, 430, base)),
+        (number, rev, _corner(2, 690, 370, F.replace(base, F.lit("0"), F.lit("O"))), _corner(3, 890, 365, "B"), _corner(4, 700, 405, "99999999")),
+        (number, rev, _corner(2, 690, 430, base), _corner(3, 960, 413, "A")),
+        (number, _corner(2, 690, 412, base), _corner(3, 905, 413, "A")),
+    )
+    a = views(spark, sf_dir).active
+    p = F.col("p") % len(kinds)
+    own = F.coalesce(*[F.when(p == k, F.array(*words)) for k, words in enumerate(kinds)])
+    words = a.select("stem", F.explode(own).alias("w")).select("stem", "w.*")
+    return extract.title_block(words, a.select("stem", F.lit(1000.0).alias("width"), (p == 3).alias("scanned")))
+
+
+@query(over("SELECT stem, CAST(1 AS INTEGER) AS page, CAST(score AS BIGINT) AS score, item_x, x, side FROM act JOIN (VALUES (0, 4, 10.0::DOUBLE, 50.0::DOUBLE, 'below'), (1, 3, -10.0, 50.0, 'above'), (3, 5, 310.0, 350.0, 'above')) t(k, score, item_x, x, side) ON p % 4 = k", graph=False))
+def list_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A header with ITEM over two numbers; one without ITEM below three; a lone word that is none; a header beside that word."""
+    def word(n: int, x: float, y: float, said: str) -> Column:
+        return F.struct(F.lit(n).alias("word_no"), F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y"), F.lit(x + 20.0).alias("x1"), F.lit(y + 3.0).alias("y1"), F.lit(said).alias("text"))
+
+    kinds = (
+        (word(0, 10, 100, "ITEM"), word(1, 50, 101, "SITE#"), word(2, 50, 110, "F10112550"), word(3, 60, 120, "|F10112551]"), word(4, 200, 130, "F10112552")),
+        (word(0, 50, 100, "S1TE"), word(1, 50, 90, "F10112550"), word(2, 40, 80, "F10112551"), word(3, 140, 70, "F10112552"), word(4, 50, 50, "ITEM"), word(5, 52, 110, "F10112553")),
+        (word(0, 50, 100, "SITE"), word(1, 50, 110, "F10112550"), word(2, 50, 200, "LABORATORY")),
+        (word(0, 50, 300, "SITE"), word(1, 50, 310, "F10112550"), word(2, 310, 100, "ITEM"), word(3, 350, 100, "SITE"), word(4, 350, 90, "F10112550"), word(5, 350, 80, "F10112551"), word(6, 350, 70, "F10112552"), word(7, 350, 97, "F10112553")),
+    )
+    a = views(spark, sf_dir).active
+    own = F.coalesce(*[F.when(F.col("p") % len(kinds) == k, F.array(*words)) for k, words in enumerate(kinds)])
+    words = a.select("stem", F.lit(1).alias("page"), F.explode(own).alias("w")).select("stem", "page", "w.*")
+    return extract.list_anchor(words).select("stem", "page", "score", "item_x", "x", "side")

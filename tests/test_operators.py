@@ -250,7 +250,8 @@ def test_lone_numbers(spark):
 def test_positions(spark):
     rows = [(0, 10.0, 5.0, "ITEM"), (1, 50.0, 5.5, extract.OWNER), (2, 90.0, 5.0, "NAME"), (3, 50.0, 90.0, extract.OWNER), (4, 10.0, 15.0, "1"), (5, 50.0, 16.0, "F10126106"), (6, 90.0, 15.0, "PUMP"), (7, 120.0, 15.0, "RED"), (8, 52.0, 25.0, "F10126107"), (9, 200.0, 35.0, "F10126108"), (10, 5.0, 45.0, "SCALE"), (11, 51.0, 45.0, "F10126109")]
     df = spark.createDataFrame([("s", 1, *r) for r in rows], "stem string, page int, word_no int, x double, y double, text string")
-    anchor = extract.list_anchor(df).first()
-    assert (anchor["x"], anchor["y"], anchor["score"]) == (50.0, 5.5, 4)
+    anchor = extract.list_anchor(df.withColumns({"x1": F.col("x") + 30, "y1": F.col("y") + 3})).first()
+    assert (anchor["x"], anchor["y"], anchor["score"], anchor["item_x"], anchor["side"]) == (50.0, 5.5, 5, 10.0, "below")
+    assert [one(spark, w, extract.is_list_label) for w in (f"_{extract.OWNER}#", extract.OWNER.lower().replace("i", "1"), "ITEM", extract.OWNER + "X")] == [True, True, False, False]
     got = {(r["item"], r["ref"], r["description"]) for r in extract.positional_entries(df).collect()}
     assert got == {(1, "F10126106", "PUMP RED"), (None, "F10126107", None)}
