@@ -54,7 +54,7 @@ def input_drawings(spark: SparkSession, root: str, exclude: str | None = None) -
     skipped = F.when(F.lit(exclude is not None) & F.col("path").startswith((exclude or "").rstrip("/") + "/"), "skip_output").when(nested & (F.lower(top) == "output"), "skip_output").when(top.startswith("_"), "skip_sys")
     t = t.withColumns({"stem": _stem_of_file(F.col("path")), "depth": F.size(F.split("path", "/")), "skipped": skipped})
     live = F.col("skipped").isNull() & F.col("stem").isNotNull()
-    first = F.row_number().over(W.partitionBy("stem", live).orderBy("depth", "path")) == 1
+    first = F.row_number().over(W.partitionBy(F.coalesce("stem", "path"), live).orderBy("depth", "path")) == 1
     kind = F.coalesce("skipped", F.when(F.col("stem").isNull(), "ignored").when(first, "index").otherwise("dupe"))
     return t.select("path", "stem", "depth", "length", kind.alias("class"))
 
