@@ -60,7 +60,9 @@ def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 class ForcedCutBPE:
-    def __init__(self, path: str):
+    """The encoder of a vocabulary; plain: special tokens' strings are ordinary text."""
+
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -69,13 +71,14 @@ class ForcedCutBPE:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
+        self.library.encode_special_tokens = plain
         raw = _byte_chars()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         token = {i: bytes(raw[c] for c in s) for s, i in spec["model"]["vocab"].items() if s not in special} | {i: s.encode() for s, i in special.items()}
         self.inside_set = {b[k : k + 2] for i, b in token.items() if i not in special.values() for k in range(len(b) - 1)}
         every = [token.get(i, b"") for i in range(max(token) + 1)]
         self.bytes_of, self.digits_of = _table(every), _table([b"%d," % i for i in range(len(every))])
-        self.special = regex.compile(b"|".join(regex.escape(s.encode()) for s in sorted(special, key=len, reverse=True))) if special else None
+        self.special = regex.compile(b"|".join(regex.escape(s.encode()) for s in sorted(special, key=len, reverse=True))) if special and not plain else None
         self.certain = self._certain().ravel()
         self._forget()
 
