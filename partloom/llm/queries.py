@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from partloom.llm import align, bpe, chat, decontaminate, langid, lmscore, neardup, secrets, tokenbin, topk, toxicity
+from partloom.llm import align, bpe, chat, decontaminate, langid, lmscore, neardup, secrets, tokenbin, topk, toxicity, trie
 from partloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,6 +86,14 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.digest(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op12_prefix_trie"] = trie.ORACLE
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)

@@ -20,7 +20,7 @@ def test_words_that_cancel_in_powers_of_two_differ(power):
 
 
 def test_a_hash_depends_on_the_bytes_alone():
-    words = sorted({"x" * n + y for n in range(0, 40) for y in ("", "a", "b", "é", "ab")} | {"ab" * 9, "ba" * 9, "a" * 8 + "b" * 8, "b" * 8 + "a" * 8} - {""})
+    words = sorted(({"x" * n + y for n in range(0, 40) for y in ("", "a", "b", "é", "ab")} | {"ab" * 9, "ba" * 9, "a" * 8 + "b" * 8, "b" * 8 + "a" * 8}) - {""})
     one = {w: int(shingles.word_hashes([w])[0][0]) for w in words}
     assert len(set(one.values())) == len(words)
     text = "  ".join(words * 2)
