@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from partloom.llm import align, bpe, chat, decontaminate, langid, lmscore, neardup, secrets, tokenbin, topk, toxicity, trie
+from partloom.llm import align, bpe, chat, decontaminate, flatgraph, langid, lmscore, neardup, secrets, tokenbin, topk, toxicity, trie
 from partloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,6 +94,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op12_prefix_trie"] = trie.ORACLE
 
 
+@query
+def op13_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatgraph.digest(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
