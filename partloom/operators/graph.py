@@ -114,7 +114,10 @@ def connected(edges: DataFrame) -> DataFrame:
 
 
 def _depth_first_back_edges(pairs: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """The edges that close a cycle in a depth-first walk, nodes and children in sorted order."""
+    """The edges that close a cycle in a depth-first walk, nodes and children in sorted order.
+
+    The walk goes as deep as the graph does: a walk that stops somewhere would leave cycles that it only enters from outside.
+    """
     children: dict[str, list[str]] = {}
     for a, b in sorted(pairs):
         children.setdefault(a, []).append(b)
@@ -132,10 +135,8 @@ def _depth_first_back_edges(pairs: list[tuple[str, str]]) -> list[tuple[str, str
                     back.append((node, child))
                 elif child not in state:
                     state[child] = 1
-                    if len(stack) < DEPTH_CAP:
-                        stack.append((child, iter(children.get(child, ()))))
-                        break
-                    state[child] = 2
+                    stack.append((child, iter(children.get(child, ()))))
+                    break
             else:
                 state[node] = 2
                 stack.pop()

@@ -52,13 +52,18 @@ def folder_names(stems: DataFrame, names: DataFrame) -> DataFrame:
     return stems.select("stem").distinct().join(names.select("stem", "name"), "stem", "left").select("stem", text.folder_name(F.col("stem"), F.col("name")).alias("folder"))
 
 
-def placed_paths(placements: DataFrame, folders: DataFrame, target: str) -> DataFrame:
-    """placements with the whole path of each copy."""
+def placed_folders(placements: DataFrame, folders: DataFrame) -> DataFrame:
+    """placements (path, stem) with dir, the folder of each copy."""
     at = placements.withColumn("_id", F.monotonically_increasing_id()).select("_id", "path", "stem")
     at = stored(at, "placements")
     steps = at.select("_id", F.posexplode("path").alias("i", "step")).join(folders.select(F.col("stem").alias("step"), "folder"), "step")
     joined = steps.groupBy("_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "folder"))), lambda x: x["folder"]), "/").alias("dir"))
-    return at.join(joined, "_id").select("path", "stem", F.concat_ws("/", F.lit(target), "dir", F.concat("stem", F.lit(".pdf"))).alias("full_path"))
+    return at.join(joined, "_id").select("path", "stem", "dir")
+
+
+def placed_paths(placements: DataFrame, folders: DataFrame, target: str) -> DataFrame:
+    """placements with the whole path of each copy."""
+    return placed_folders(placements, folders).select("path", "stem", F.concat_ws("/", F.lit(target), "dir", F.concat("stem", F.lit(".pdf"))).alias("full_path"))
 
 
 def too_long(placed: DataFrame, limit: int = MAX_PATH) -> DataFrame:

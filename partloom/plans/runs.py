@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.operators import checks, extract, graph, incremental, naming, ranking, resolve
+from partloom.operators import checks, extract, graph, incremental, naming, placement, ranking, repair, resolve
 from partloom.sources.storage import stored
 
 
@@ -96,16 +96,33 @@ def incremental_run(data: Inputs, organized: DataFrame, archive: DataFrame, park
     return out | {"live": live, "candidates": new, "supersede": decisions, "placements": placed}
 
 
-def repair_run(data: Inputs, organized: DataFrame, archive: DataFrame, actual: DataFrame, cap: int = graph.COPY_CAP) -> dict[str, DataFrame]:
-    """What is organized, with archived drawings promoted where they rank higher, and the moves to the planned tree.
+def named_tree(out: dict[str, DataFrame], live: DataFrame, target: str, limit: int = naming.MAX_PATH) -> tuple[DataFrame, DataFrame]:
+    """Folder names of the drawings, shortened where paths below target would be too long, and stem and folder of each placement."""
+    paths = stored(graph.planned_paths(out["dag"], out["kept_roots"], counted=out["counted"]), "paths")
+    folders = stored(naming.shortened_folders(paths, naming.folder_names(live, out["names"]), target, limit), "folders")
+    return folders, naming.placed_folders(paths, folders).select("stem", F.col("dir").alias("folder"))
 
-    actual: stem, folder and content (a hash of the file) of every copy in the tree.
+
+def repair_run(data: Inputs, organized: DataFrame, archive: DataFrame, actual: DataFrame, cap: int = graph.COPY_CAP, target: str = "", limit: int = naming.MAX_PATH) -> dict[str, DataFrame]:
+    """What is organized, with archived drawings promoted where they rank higher, and what makes the tree stand as planned.
+
+    actual: path below target, stem (null for what is no drawing) and content (a hash) of every file in the tree; archive: stem,
+    and path and content where its files are to be judged too. Folders are planned by their names, which fit the path limit.
+    `repair` has the actions, `repair_counts` their numbers, `review` a line for each that is left for review, `tree` the files
+    after it, and `promoted_files` the archive's files of promoted drawings with what becomes of them.
     """
     promoted = stored(ranking.repair_candidates(archive, organized).select("stem"), "promoted")
     live = stored(incremental.merged_stems(promoted, organized), "live")
     out = _decisions(live, data, cap)
-    planned = graph.planned_paths(out["dag"], out["kept_roots"], counted=out["counted"]).select("stem", F.array_join("path", "/").alias("folder"))
-    return out | {"live": live, "promoted": promoted, "repair": incremental.reconcile(actual, planned)}
+    folders, planned = named_tree(out, live, target, limit)
+    actions, tree = repair.reconcile_tree(actual, planned, target, limit, min(limit, placement.MAX_DIR))
+    actions = stored(actions, "repair")
+    out |= {"live": live, "promoted": promoted, "folders": folders, "planned": planned, "repair": actions, "tree": tree}
+    out["repair_counts"] = repair.counted(actions)
+    out["review"] = repair.review_lines(actions)
+    if {"path", "content"} <= set(archive.columns):
+        out["promoted_files"] = incremental.promoted_sources(promoted, archive, tree.where("stem is not null"))
+    return out
 
 
 def mode_label(dry_run: bool, incremental: bool = False, repair: bool = False) -> str:

@@ -56,9 +56,13 @@ class Views(Catalogue):
     def roots(self) -> DataFrame:
         return self.tops.where("kind = 'root'").select("stem")
 
+    @cached_property
+    def path_counts(self) -> DataFrame:
+        return stored(graph.path_counts(self.edges, self.active), "counts")
+
     @cached_property
     def counted_roots(self) -> DataFrame:
-        return stored(graph.path_counts(self.edges, self.active).join(self.roots, "stem"), "counted")
+        return stored(self.path_counts.join(self.roots, "stem"), "counted")
 
     @cached_property
     def kept_roots(self) -> DataFrame:
