@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.operators import naming, placement, repair
+from partloom.operators import adoption, incremental, naming, placement, repair
+from partloom.plans.changes import _NEW, _STATE
 from partloom.plans.core import _COUNTS, _FIT, _FOLDERS, _PREFER, _WIN, TARGET, _folders
-from partloom.plans.oracles import over
+from partloom.plans.oracles import match, over
 from partloom.plans.registry import query
 from partloom.plans.views import Views, views
+from partloom.sources.catalogue import number
 from partloom.sources.storage import stored
 
 #: Limits below the real ones, so that some of these paths are too long; and which drawings' files are links.
@@ -109,3 +111,74 @@ def repair_named_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = files.unionByName(file(t.where("r = 4"), twice, F.lit("notes.txt"), F.lit(None).cast("string"), F.lit("notes")))
     actions, _ = repair.reconcile_tree(files, planned, "", REPAIR_LIMIT, REPAIR_DIR)
     return actions.drop("level")
+
+
+_MIXED = (
+    _STATE,
+    _NEW,
+    "newi AS (SELECT * FROM ids WHERE stem IN (SELECT stem FROM newl))",
+    "held AS (SELECT * FROM org WHERE stem NOT IN (SELECT stem FROM newl))",
+    match("om", "refs2", "held"),
+    match("nm2", "refs2", "newi"),
+    "over_org AS (SELECT DISTINCT b.stem AS parent, m.stem AS child FROM refs2 b JOIN om m USING (ref) WHERE b.stem IN (SELECT stem FROM newl) AND b.stem <> m.stem)",
+    "under_org AS (SELECT DISTINCT b.stem AS parent, m.stem AS child FROM refs2 b JOIN nm2 m USING (ref) WHERE b.stem IN (SELECT stem FROM held) AND b.stem <> m.stem)",
+    "inner_new AS (SELECT parent, child FROM edges WHERE parent IN (SELECT stem FROM newl) AND child IN (SELECT stem FROM newl))",
+)
+_PLACES = """ntop AS (SELECT stem FROM newl WHERE stem NOT IN (SELECT child FROM inner_new) AND (stem IN (SELECT stem FROM bom2) OR stem IN (SELECT parent FROM inner_new) OR stem IN (SELECT parent FROM over_org) OR stem IN (SELECT child FROM under_org))),
+nsub AS (SELECT stem AS root, stem FROM ntop UNION SELECT root, child FROM nsub JOIN inner_new ON parent = nsub.stem),
+places AS (SELECT t.stem, u.parent AS claimant, 'root' AS kind FROM ntop t JOIN under_org u ON u.child = t.stem
+  UNION ALL SELECT stem, NULL, 'top' FROM ntop WHERE stem NOT IN (SELECT child FROM under_org)
+  UNION ALL SELECT * FROM (SELECT DISTINCT s.stem, u.parent AS claimant, 'cross' FROM nsub s JOIN under_org u ON u.child = s.stem) x WHERE NOT EXISTS (SELECT 1 FROM nsub n JOIN under_org c ON c.child = n.root WHERE n.stem = x.stem AND c.parent = x.claimant))"""
+
+
+def _mixed(v: Views) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """New drawings, edges among them, those from organized parents, and those to organized children."""
+    new = stored(v.active.select("stem").join(v.incoming.select("stem"), "stem", "left_semi"), "new")
+    held = stored(v.organized.select("stem").join(new, "stem", "left_anti"), "held")
+    both = stored(incremental.cross_edges(v.repaired_bom, new, held), "cross")
+    ends = lambda c: new.withColumnRenamed("stem", c)
+    inner = v.edges.join(ends("parent"), "parent", "left_semi").join(ends("child"), "child", "left_semi").select("parent", "child")
+    return new, inner, both.where("side = 'new-child'").select("parent", "child"), both.where("side = 'new-parent'").select("parent", "child")
+
+
+@query(over("SELECT stem, claimant, kind FROM places", *_MIXED, _PLACES, recursive=True))
+def claimant_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the subtrees of new drawings go, under every organized parent of theirs."""
+    v = views(spark, sf_dir)
+    new, inner, under, above = _mixed(v)
+    return adoption.claimant_placements(new, inner, under, above, v.repaired_bom)
+
+
+#: The longest path that adopted folders may have here.
+ADOPT_LIMIT = 62
+_NAMES_HELD = "nm AS (SELECT stem, p_name AS name FROM held)"
+_LIVE = """live AS (SELECT stem, p, CASE WHEN p % 3 = 1 THEN b0 ELSE 'F' || (10000000 + p - 1) || '/' || b0 END AS folder FROM held),
+sub AS (SELECT DISTINCT a.folder, b.stem, length(b.folder || '/' || b.stem || '.pdf') - length(a.folder) - 1 AS below FROM live a JOIN live b ON b.folder = a.folder OR starts_with(b.folder, a.folder || '/')),
+info AS (SELECT folder, max(below) AS longest, count(*) AS copies FROM sub GROUP BY folder),
+shared AS (SELECT folder FROM live GROUP BY folder HAVING count(*) > 1),
+claims AS (SELECT DISTINCT o.parent AS claimant, d.x || o.parent AS dir, o.child FROM over_org o, (VALUES ('NEW/'), ('ALSO/deep/')) d(x) WHERE d.x = 'NEW/' OR CAST(substr(o.parent, 2, 8) AS BIGINT) % 2 = 0),
+c0 AS (SELECT c.*, l.folder, l.p % 3 = 1 AS at_top, i.longest, i.copies, c.dir || '/' || f.folder AS target FROM claims c JOIN live l ON l.stem = c.child JOIN info i ON i.folder = l.folder JOIN fold f ON f.stem = c.child),
+c1 AS (SELECT *, CASE WHEN at_top AND folder IN (SELECT folder FROM shared) THEN 'shared folder' WHEN length(target) + 1 + longest + CASE WHEN at_top THEN 0 ELSE {staged} END > {limit} THEN 'path too long' END AS n1 FROM c0),
+c2 AS (SELECT *, CASE WHEN n1 IS NULL AND row_number() OVER (PARTITION BY target, n1 IS NULL ORDER BY child, claimant) > 1 THEN 'destination exists' ELSE n1 END AS n2 FROM c1),
+c3 AS (SELECT *, at_top AND n2 IS NULL AND row_number() OVER (PARTITION BY child, n2 IS NULL ORDER BY string_split(dir, '/')) = 1 AS moves FROM c2),
+c4 AS (SELECT *, CASE WHEN n2 IS NULL AND at_top AND NOT moves AND length(target) + 1 + longest + {staged} > {limit} THEN 'path too long' ELSE n2 END AS no FROM c3),
+went AS (SELECT folder AS old, target AS new FROM c4 WHERE moves)"""
+
+
+@query(
+    over(
+        "SELECT child, claimant, dir, CASE WHEN moves OR w.old IS NULL THEN folder ELSE w.new || substr(folder, length(w.old) + 1) END AS source, target, CASE WHEN moves THEN 'move' WHEN no IS NULL THEN 'copy' ELSE 'skip' END AS action, no AS reason, CAST(CASE WHEN moves OR no IS NOT NULL THEN 0 ELSE copies END AS BIGINT) AS copies FROM c4 LEFT JOIN went w ON folder = w.old OR starts_with(folder, w.old || '/')",
+        *_MIXED, _NAMES_HELD, _FOLDERS, _LIVE.format(staged=adoption.STAGED, limit=ADOPT_LIMIT), recursive=True,
+    )
+)
+def adoptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Organized folders, every other one inside another one, below one or two folders of each new drawing that lists them."""
+    v = views(spark, sf_dir)
+    new, _, _, above = _mixed(v)
+    held = v.organized.select("stem", "p", "base").join(new, "stem", "left_anti")
+    folder = F.when(F.col("p") % 3 == 1, F.col("base")).otherwise(F.concat(number(F.col("p") - 1), F.lit("/"), "base"))
+    files = held.select(F.concat(folder, F.lit("/"), "stem", F.lit(".pdf")).alias("path"), "stem")
+    one = above.select(F.col("parent").alias("claimant"), F.concat(F.lit("NEW/"), "parent").alias("dir"), "child")
+    two = above.where(F.substring("parent", 2, 8).cast("long") % 2 == 0).select(F.col("parent").alias("claimant"), F.concat(F.lit("ALSO/deep/"), "parent").alias("dir"), "child")
+    folders = naming.folder_names(held, v.stems.select("stem", F.col("p_name").alias("name")))
+    return adoption.adoptions(one.unionByName(two), files, folders, "", ADOPT_LIMIT)
