@@ -2,9 +2,13 @@
 
 For each learned language a suffix automaton holds every substring of a bounded sample of its labelled text. A text is
 parsed greedily into longest matches against each automaton, from its first letter to its last, and the language that needs
-the fewest phrases wins; a phrase costs the same in every language, so a small sample can only make it dearer. Texts are
-parsed side by side in segments of SEGMENT letters. A segment's phrases depend on where the one before it ends, so each
-parse goes on into the next segment until both are in the same state, and what lies before that place is counted anew; a
+the fewest phrases wins. Phrases get longer as samples grow, so numbers of phrases are normalised: languages are compared only
+by automata of samples of one length. Languages of about one sample length are a group, cut to its shortest; the best of the
+group with the longest samples meets those of the next one by an automaton of its own sample cut to their length, and so on.
+So a language with a small sample has to beat one rival, at its own length, and those with large samples use all of them.
+
+Texts are parsed side by side in segments of SEGMENT letters. A segment's phrases depend on where the one before it ends, so
+each parse goes on into the next segment until both are in the same state, and what lies before that place is counted anew; a
 text in which they don't meet within a segment is parsed letter by letter. The counts are thus those of one parse.
 
 Letters are lower-cased, and any run of other characters counts as one space. Each automaton has a class for every letter of
@@ -36,8 +40,11 @@ SAMPLE_DOCS = 96
 DOC_CHARS = 1024
 #: Letters that are parsed side by side.
 SEGMENT = 512
-#: Classes up to which an automaton's transitions are a dense table; beyond it they are hashed.
-DENSE = 160
+#: Classes up to which an automaton's transitions are a dense table, and most bytes of a worker's dense tables; beyond either
+#: they are hashed, which takes some 3 MB a language.
+DENSE, DENSE_BYTES = 160, 256 << 20
+#: Samples of a group are at most so many times as long as its shortest.
+ALIKE = 1.25
 NONE = "und"
 
 _LETTERS: list[np.ndarray] = []
@@ -161,25 +168,42 @@ class Model:
         seqs = [(lang, letters(text)[:SAMPLE_CHARS]) for lang, text in samples]
         seqs = [(lang, seq) for lang, seq in seqs if seq.any()]
         self.langs = [lang for lang, _ in seqs]
-        # Classes over all samples, the last for letters that none has, and of these the classes of each language.
+        # Classes over all samples, the last for letters that none has.
         self.known = np.unique(np.concatenate([seq for _, seq in seqs])) if seqs else np.zeros(0, np.int32)
         self.of = np.full(0x110000, len(self.known), np.int32)
         self.of[self.known] = np.arange(len(self.known))
-        self.own, self.machines = [], []
-        for _, seq in seqs:
+        self.seqs = [seq for _, seq in seqs]
+        self.groups: list[tuple[int, list[int]]] = []  # common length of the samples, and the languages
+        for i in sorted(range(len(seqs)), key=lambda i: (-len(self.seqs[i]), i)):
+            n = len(self.seqs[i])
+            if self.groups and len(self.seqs[self.groups[-1][1][0]]) <= ALIKE * n:
+                self.groups[-1] = (n, [*self.groups[-1][1], i])
+            else:
+                self.groups.append((n, [i]))
+        self.machines: dict[tuple[int, int], tuple] = {}
+        self.dense = 0
+
+    def machine(self, lang: int, size: int) -> tuple:
+        """The classes of a language's own letters (0: one that its sample lacks) and its automaton, of so many letters."""
+        if (lang, size) not in self.machines:
+            seq = self.seqs[lang][:size]
             mine = np.unique(seq)
-            own = np.zeros(len(self.known) + 1, np.int64)  # 0: a letter that this sample lacks
+            own = np.zeros(len(self.known) + 1, np.int64)
             own[np.searchsorted(self.known, mine)] = np.arange(1, len(mine) + 1)
             step = automaton((np.searchsorted(mine, seq) + 1).tolist())
-            self.own.append(own)
-            self.machines.append((_Dense if len(mine) < DENSE else _Hashed)(step, len(mine) + 1))
+            cost = 4 * (len(step) + 1) * (len(mine) + 1)
+            small = len(mine) < DENSE and self.dense + cost <= DENSE_BYTES
+            self.dense += cost if small else 0
+            self.machines[lang, size] = own, (_Dense if small else _Hashed)(step, len(mine) + 1)
+        return self.machines[lang, size]
 
     def classes(self, text: str) -> np.ndarray:
         """The classes of a text's letters."""
         return self.of[letters(text)]
 
-    def phrases(self, seqs: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each sequence in each language."""
+    def phrases(self, seqs: list[np.ndarray], which: list[tuple[int, int]] | None = None) -> np.ndarray:
+        """Phrases of each sequence by each automaton (language and sample length; all, of whole samples, if not given)."""
+        which = [(i, len(s)) for i, s in enumerate(self.seqs)] if which is None else which
         sizes = np.array([-(-len(s) // SEGMENT) for s in seqs])
         owner = np.repeat(np.arange(len(seqs)), sizes)
         flat = np.concatenate(seqs)
@@ -197,9 +221,10 @@ class Model:
         # Lanes whose segment follows another one, and the lanes of those.
         later = np.flatnonzero(follows)
         lane, before = place[later], place[later - 1]
-        out = np.zeros((len(seqs), len(self.langs)), np.int64)
-        for i, machine in enumerate(self.machines):
-            letter = self.own[i][grid]
+        out = np.zeros((len(seqs), len(which)), np.int64)
+        for i, key in enumerate(which):
+            own, machine = self.machine(*key)
+            letter = own[grid]
             state = np.full(len(order), machine.begin, np.int64)
             ends = np.zeros(len(order), np.int64)
             states, marks = np.zeros((SEGMENT, len(order)), np.int32), np.zeros((SEGMENT, len(order)), np.int8)
@@ -212,7 +237,7 @@ class Model:
             apart = self._go_on(machine, letter, state, states, marks, ends, lane, before, size[order])
             out[:, i] = np.bincount(owner, ends[place], len(seqs))
             for k in np.unique(owner[later[apart]]):
-                out[k, i] = machine.count(self.own[i][seqs[k]])
+                out[k, i] = machine.count(own[seqs[k]])
         return out
 
     @staticmethod
@@ -242,14 +267,36 @@ class Model:
         known = [i for i, s in enumerate(seqs) if s.any()]
         if not known:
             return langs, scores
-        cost = self.phrases([self.of[seqs[i]] for i in known])
-        best = cost.argmin(1)
-        for i, row, b in zip(known, cost, best):
-            other = np.delete(row, b)
-            langs[i] = self.langs[b]
-            scores[i] = float(other.min() / (other.min() + row[b])) if len(other) else 1.0
+        best, share = self._best([self.of[seqs[i]] for i in known])
+        for i, b, x in zip(known, best.tolist(), share.tolist()):
+            langs[i], scores[i] = self.langs[b], x
         return langs, scores
 
+    def _best(self, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The language of each sequence, and the least share of phrases by which it has won over a rival."""
+        best, share = np.full(len(seqs), -1), np.ones(len(seqs))
+        for size, members in self.groups:
+            cost = self.phrases(seqs, [(i, size) for i in members])
+            who = np.broadcast_to(members, cost.shape)
+            if best[0] >= 0:
+                mine = np.zeros((len(seqs), 1), np.int64)
+                for i in np.unique(best):
+                    at = np.flatnonzero(best == i)
+                    mine[at] = self.phrases([seqs[k] for k in at], [(int(i), size)])
+                cost, who = np.hstack([mine, cost]), np.hstack([best[:, None], who])
+            # Of equal costs the language that stands first wins.
+            won = np.lexsort((who, cost), axis=1)[:, 0]
+            rows = np.arange(len(seqs))
+            least, winner = cost[rows, won], who[rows, won]
+            if cost.shape[1] > 1:
+                others = cost.copy()
+                others[rows, won] = np.iinfo(np.int64).max
+                other = others.min(1)
+                now = other / (other + least)
+                share = np.where(winner == best, np.minimum(share, now), now)
+            best = winner
+        return best, share
+
 
 def has_letter(text: str) -> bool:
     return any(c.isalpha() for c in text.lower())
