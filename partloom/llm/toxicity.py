@@ -18,6 +18,8 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
+from itertools import accumulate
 import unicodedata
 
 import ahocorasick
@@ -94,7 +96,9 @@ class Lexicon:
             elif w > found.get(start, 0.0):
                 found[start] = w
         if spared:
-            found = {s: w for s, w in found.items() if not any(a <= s < b for a, b in spared)}
+            spared.sort()
+            begins, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))  # how far the spans up to each go
+            found = {s: w for s, w in found.items() if not ((k := bisect_right(begins, s)) and s < reach[k - 1])}
         return sum(found.values()) / (folded.count(" ") + 1) if found else 0.0
 
 
