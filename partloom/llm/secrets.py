@@ -2,8 +2,9 @@
 
 Strong findings (base kinds) are reported wherever they stand. Weak parts (account names, endpoints, high-entropy words)
 say little alone; each is an interval on the text, widened to its scope, and is reported only if its scope meets that of a
-part that completes it: an identifier needs a secret, an endpoint needs a secret or an identifier with one, an entropy
-word needs an identifier or an endpoint. The interval join sorts the ends of one side and looks up the other, so it takes
+part that completes it: an account name needs a secret, an endpoint needs a secret or an access identifier, an entropy word
+needs an account name, an access identifier or an endpoint, and is a secret where it has one. A scope reaches SCOPE characters
+to either side. The interval join sorts the ends of one side and looks up the other, so it takes
 n log n steps. A weak part that overlaps a base span is no part. Parts of any length are taken whole.
 
 Defined cases: null text is empty and has no spans; repeated rows each get their row, and a null doc_id keeps its row; spans
