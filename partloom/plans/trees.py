@@ -182,3 +182,10 @@ def adoptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     two = above.where(F.substring("parent", 2, 8).cast("long") % 2 == 0).select(F.col("parent").alias("claimant"), F.concat(F.lit("ALSO/deep/"), "parent").alias("dir"), "child")
     folders = naming.folder_names(held, v.stems.select("stem", F.col("p_name").alias("name")))
     return adoption.adoptions(one.unionByName(two), files, folders, "", ADOPT_LIMIT)
+
+
+@query(over("""SELECT x AS "at", CAST(max(length(path) - length(x) - 1) AS INTEGER) AS longest FROM (SELECT path, array_to_string(string_split(path, '/')[1:k], '/') AS x FROM copies, range(1, 9) t(k) WHERE k < len(string_split(path, '/'))) GROUP BY x""", graph=False))
+def deepest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every folder, how long the longest path below it is: what bounds where it may be moved."""
+    v = views(spark, sf_dir)
+    return repair.deepest(v.drawings_raw.select("path", repair.folder_of(F.col("path")).alias("folder")))
