@@ -95,7 +95,7 @@ def adoptions(claims: DataFrame, files: DataFrame, folders: DataFrame, target: s
     t = t.withColumn("moves", moves).withColumn("no", F.coalesce("no", F.when(late, "path too long")))
     t = stored(t.select("child", "claimant", "dir", "folder", "target", "moves", "no", "copies"), "claims")
     went = t.where("moves").select(F.col("folder").alias("old"), F.col("target").alias("new"))
-    rest = repair.followed(t.where("not moves"), went)
+    rest = repair.followed(t.where("not moves"), went, ["child", "claimant", "dir"])
     row = lambda df, action, copies: df.select("child", "claimant", "dir", F.col("folder").alias("source"), "target", action.alias("action"), F.col("no").alias("reason"), copies.cast("long").alias("copies"))
     copied = F.when(F.col("no").isNull(), F.coalesce("copies", F.lit(0))).otherwise(0)
     return row(t.where("moves"), F.lit("move"), F.lit(0)).unionByName(row(rest, F.when(F.col("no").isNull(), "copy").otherwise("skip"), copied))

@@ -350,18 +350,105 @@ def list_anchor(words: DataFrame) -> DataFrame:
     return g.groupBy("stem", "page").agg(F.max_by(row, F.struct("score", -F.col("no"))).alias("b")).select("stem", "page", "b.*")
 
 
-def positional_entries(words: DataFrame) -> DataFrame:
-    """stem, page, item, ref and description from word positions: a row's number in the densest column, the item left of it,
-    the description right of it. Rows that begin with a caption are the title block's."""
+# What stands behind a caption as its value; captions whose value is a drawing number; a number anywhere in a word;
+# how far left of a number a USED ON label may begin, how many rows up and how far up captions reach, and how far up such a label.
+CAPTION_VALUE, CAPTION_NUMBER, NUMBERED_CAPTIONS = r"(?:[0-9]+(?::[0-9]+)?|A[0-9]|OF|[A-Z])", r"FC?[0-9]+[A-Z]?", ("USED ON", "DRAWING NUMBER", "NUMBER", "NEXT ASSY")
+ANY_NUMBER = r"\b(?:F[0-9]{1,8}[A-Za-z]?|FC[0-9]{1,8}[A-Za-z]?)\b"
+LABEL_SPAN, NEAR_ROWS, NEAR_Y, FAR_ROWS, FAR_Y = 180, 3, 30, 8, 100
+LIST_SIDES = (18, 135)
+
+
+def caption_pattern() -> str:
+    """A caption alone, or with nothing but values behind it; a drawing number is a value where the caption has one."""
+    either = lambda phrases: "|".join(map(re.escape, sorted(phrases, key=lambda c: (-len(c), c))))
+    return rf"^(?:(?:{either(NUMBERED_CAPTIONS)})(?: (?:{CAPTION_VALUE}|{CAPTION_NUMBER}))*|(?:{either(CAPTIONS)})(?: {CAPTION_VALUE})*)$"
+
+
+def _one_spaced(said: Column) -> Column:
+    return F.trim(F.regexp_replace(F.upper(F.coalesce(said, F.lit(""))), r"\s+", " "))
+
+
+def is_caption(said: Column) -> Column:
+    """Whether a row reads as a title block's caption: a keyword and its values, not text that begins with a keyword."""
+    return _one_spaced(said).rlike(caption_pattern())
+
+
+def is_used_on(said: Column) -> Column:
+    """Whether it is a USED ON caption, with or without its values."""
+    return is_caption(said) & _one_spaced(said).startswith("USED ON")
+
+
+def _goes_on(tokens: Column) -> Column:
+    """Whether what follows a USED ON label are captions and values only, and no prose."""
+    return F.forall(tokens, lambda w: F.upper(w).isin(*CAPTIONS) | F.upper(w).rlike(f"^(?:{CAPTION_VALUE}|{CAPTION_NUMBER})$"))
+
+
+def used_on_x(tokens: Column) -> Column:
+    """Where in a row (x and text, from the left) a USED ON label begins, in one word or two; null if it has none."""
+    said = F.transform(tokens, lambda t: F.upper(t["text"]))
+    after = lambda i, k: F.slice(said, i + k + 1, F.size(said))
+    one = lambda t, i: is_used_on(t["text"]) & _goes_on(F.concat(F.filter(F.split(F.regexp_replace(_one_spaced(t["text"]), "^USED ON ?", ""), " "), lambda w: w != ""), after(i, 1)))
+    two = lambda t, i: (F.upper(t["text"]) == "USED") & (F.get(said, i + 1) == "ON") & _goes_on(after(i, 2))
+    found = F.transform(tokens, lambda t, i: F.when(one(t, i) | F.coalesce(two(t, i), F.lit(False)), t["x"]))
+    return F.get(F.filter(found, lambda x: x.isNotNull()), F.lit(0))
+
+
+def judged_rows(words: DataFrame) -> DataFrame:
+    """stem, page, row_no, y, tokens (x and text, from the left), said, caption and title_block of every row of words.
+
+    A row is the title block's if it holds a drawing size or a USED ON label at or left of its number, or by a row above it: a
+    caption or a size within NEAR_ROWS rows and NEAR_Y, a USED ON label there or within FAR_ROWS and FAR_Y, as tall cells
+    park their value low; labels only within LABEL_SPAN left of the number, as one further off belongs to another column.
+    """
     rows = rows_by_y(words.select("stem", "page", "word_no", "x", "y", "text"))
-    numbers = rows.where(F.upper("text").rlike("^(F[0-9]{5,8}[A-Z]?|FC[0-9]{5,8}[A-Z]?)$"))
-    at = in_band(numbers, densest_band(numbers)).groupBy("stem", "page", "row_no").agg(F.min_by(F.struct(F.col("x").alias("nx"), F.upper("text").alias("ref")), "x").alias("n")).select("stem", "page", "row_no", "n.*")
-    j = rows.join(at, ["stem", "page", "row_no"])
-    left, right = F.col("x") < F.col("nx"), F.col("x") > F.col("nx")
-    g = j.groupBy("stem", "page", "row_no", "ref").agg(
-        F.max_by(F.when(left & F.col("text").rlike("^[0-9]{1,4}$"), F.col("text")), F.when(left & F.col("text").rlike("^[0-9]{1,4}$"), F.col("x"))).alias("item"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(right, F.struct("x", "text")))), lambda t: t["text"]), " ").alias("said"),
-        F.min_by(F.upper("text"), "x").alias("first"),
-    )
-    g = g.where(~F.col("first").isin(*CAPTIONS))
-    return g.select("stem", "page", F.col("item").try_cast("int").alias("item"), "ref", F.nullif("said", F.lit("")).alias("description"))
+    token = F.struct("x", "text", "word_no")
+    t = rows.groupBy("stem", "page", "row_no").agg(F.min_by("y", "word_no").alias("y"), F.array_sort(F.collect_list(token)).alias("tokens"))
+    said = F.array_join(F.transform("tokens", lambda w: w["text"]), " ")
+    sizes = F.transform(F.filter("tokens", lambda w: w["text"].rlike(SIZE)), lambda w: w["x"])
+    number_x = F.get(F.transform(F.filter("tokens", lambda w: w["text"].rlike(ANY_NUMBER)), lambda w: w["x"]), F.lit(0))
+    t = t.withColumns({"said": said, "sizes": sizes, "label": used_on_x(F.col("tokens")), "anchor": F.coalesce(number_x, F.get("tokens", F.size("tokens") - 1)["x"])})
+    t = t.withColumns({"caption": is_caption(F.col("said")), "used_on": is_used_on(F.col("said"))})
+    above = W.partitionBy("stem", "page").orderBy("y").rowsBetween(-FAR_ROWS, -1)
+    t = t.withColumn("above", F.collect_list(F.struct("y", (F.col("caption") & ~F.col("used_on")).alias("caption"), "label", "sizes")).over(above))
+    beside = lambda x: F.coalesce((x <= F.col("anchor")) & (x >= F.col("anchor") - LABEL_SPAN), F.lit(False))
+    up = F.reverse("above")  # the nearest row first
+    near = F.filter(F.slice(up, 1, NEAR_ROWS), lambda r: r["y"] >= F.col("y") - NEAR_Y)
+    far = F.filter(F.slice(up, NEAR_ROWS + 1, FAR_ROWS), lambda r: r["y"] >= F.col("y") - FAR_Y)
+    block = (F.size("sizes") > 0) | beside(F.col("label"))
+    block = block | F.exists(near, lambda r: r["caption"] | beside(r["label"]) | (F.size(r["sizes"]) > 0))
+    block = block | F.exists(far, lambda r: beside(r["label"]) | F.exists(r["sizes"], beside))
+    return t.select("stem", "page", "row_no", "y", "tokens", "said", "caption", block.alias("title_block"))
+
+
+def list_band(words: DataFrame) -> DataFrame:
+    """stem, page, low and high of each page's number column: below or above its header, else the densest run of numbers."""
+    head = list_anchor(words).select("stem", "page", (F.col("x") - LIST_SIDES[0]).alias("low"), (F.col("x1") + LIST_SIDES[1]).alias("high"))
+    dense = densest_band(words.where(F.col("text").rlike(LONE))).select("stem", "page", "low", "high")
+    return head.unionByName(dense.join(head, ["stem", "page"], "left_anti"))
+
+
+def positional_entries(words: DataFrame) -> DataFrame:
+    """stem, page, row_no, item, ref and description from word positions (words: word_no, x, y, x1, y1, text).
+
+    A row of the list has a number in the page's number column and an item left of it; what stands right of it describes it.
+    Rows that read as captions, and the title block's (judged_rows), are none.
+    """
+    bands = list_band(words)
+    t = judged_rows(words).where(~F.col("caption") & ~F.col("title_block")).join(bands, ["stem", "page"])
+    t = t.withColumn("n", F.explode(F.filter("tokens", lambda w: w["text"].rlike(LONE) & w["x"].between(F.col("low"), F.col("high")))))
+    items = F.filter("tokens", lambda w: (w["x"] < F.col("n.x")) & w["text"].rlike(ITEM))
+    told = F.array_join(F.transform(F.filter("tokens", lambda w: w["x"] > F.col("n.x")), lambda w: w["text"]), " ")
+    t = t.where(F.size(items) > 0)
+    return t.select("stem", "page", "row_no", F.element_at(items, -1)["text"].cast("int").alias("item"), text.normalize(F.col("n.text")).alias("ref"), F.nullif(told, F.lit("")).alias("description"))
+
+
+def document_entries(cells: DataFrame, lines: DataFrame, words: DataFrame) -> DataFrame:
+    """stem, ref, page, method and description of a document's parts list from all that its pages tell: tables, then lines,
+    then positions; the first of these that has a number tells its page, and the first description stays."""
+    none = F.lit(None).cast("string")
+    every = table_entries(cells).select("stem", "page", "ref", F.lit("table").alias("method"), F.lit(1).alias("rank"), none.alias("description"))
+    every = every.unionByName(page_entries(lines).select("stem", "page", "ref", F.lit("text-fallback").alias("method"), F.lit(2).alias("rank"), "description"))
+    every = every.unionByName(positional_entries(words).select("stem", "page", "ref", F.lit("positional").alias("method"), F.lit(3).alias("rank"), "description"))
+    first = F.min_by(F.struct("method", "page"), F.struct("rank", "page"))
+    told = F.min_by("description", F.when(F.col("description").isNotNull(), F.struct("rank", "page", "description")))
+    return every.groupBy("stem", "ref").agg(first.alias("m"), told.alias("description")).select("stem", "ref", "m.page", "m.method", "description")

@@ -34,15 +34,13 @@ def deepest(files: DataFrame) -> DataFrame:
     return with_ancestors(files).groupBy("at").agg(F.max(text.path_units(F.col("path")) - text.path_units(F.col("at")) - 1).alias("longest"))
 
 
-def followed(files: DataFrame, moves: DataFrame, column: str = "folder", key: str = "path") -> DataFrame:
-    """files with their folders after moves (old, new): each follows the nearest of its folders that moves."""
-    at = files.withColumn("_row", F.monotonically_increasing_id())
-    at = stored(at, "followed")
-    up = at.select("_row", F.explode(prefixes(F.col(column))).alias("old")).join(moves.select("old", "new"), "old")
-    nearest = up.groupBy("_row").agg(F.max_by(F.struct("old", "new"), F.length("old")).alias("m"))
-    t = at.join(nearest, "_row", "left")
+def followed(files: DataFrame, moves: DataFrame, keys: list[str], column: str = "folder") -> DataFrame:
+    """files, told apart by keys, with their folders after moves (old, new): each follows the nearest of its folders that moves."""
+    up = files.select(*keys, F.explode(prefixes(F.col(column))).alias("old")).distinct().join(moves.select("old", "new"), "old")
+    nearest = up.groupBy(*keys).agg(F.max_by(F.struct("old", "new"), F.length("old")).alias("m"))
+    t = files.join(nearest, keys, "left")
     now = F.when(F.col("m").isNotNull(), F.concat(F.col("m.new"), F.substr(F.col(column), F.length("m.old") + 1))).otherwise(F.col(column))
-    return t.withColumn(column, now).drop("_row", "m")
+    return t.withColumn(column, now).drop("m").select(*files.columns)
 
 
 def _next_level(here: DataFrame, planned: DataFrame, done: int) -> int | None:
@@ -105,14 +103,12 @@ def _level(now: DataFrame, here: DataFrame, plan: DataFrame, level: int, base: C
     verdict = F.when(long, "too-long").when(leads & (F.col("of_target.folder") == F.col("folder")), "move").when(same, "carried").otherwise("taken")
     pairs = stored(pairs.select("stem", "folder", "target", verdict.alias("verdict")), "pairs")
     moves = pairs.where("verdict = 'move'").select(F.col("folder").alias("old"), F.col("target").alias("new"))
-    moved = followed(now, moves).withColumn("path", F.concat_ws("/", "folder", "name"))
-    moved = stored(moved, "moved")
+    moved = stored(followed(now, moves, ["path"]).withColumn("path", F.concat_ws("/", "folder", "name")), "moved")
     # What is left over, wherever it lies now.
     kept = keep.select("stem").unionByName(pairs.where("verdict in ('move', 'carried')").select("stem")).distinct().withColumn("kept", F.lit(True))
-    rest = followed(extra.select("stem", "folder").join(pairs.select("stem", "folder"), ["stem", "folder"], "left_anti").withColumn("was", F.col("folder")), moves).join(kept, "stem", "left")
-    rest = stored(rest, "rest")
+    rest = followed(extra.select("stem", "folder").join(pairs.select("stem", "folder"), ["stem", "folder"], "left_anti").withColumn("was", F.col("folder")), moves, ["stem", "was"]).join(kept, "stem", "left")
     candidates = rest.where("kept").select("folder").distinct()
-    inside = stored(with_ancestors(moved).join(candidates.withColumnRenamed("folder", "at"), "at", "left_semi").select("at", "path", "name", "stem", "content"), "inside")
+    inside = with_ancestors(moved).join(candidates.withColumnRenamed("folder", "at"), "at", "left_semi").select("at", "path", "name", "stem", "content")
     twins = moved.join(plan.select("stem", "folder"), ["stem", "folder"], "left_semi").where("content is not null")
     twins = twins.join(inside.select("path").distinct(), "path", "left_anti").select("stem", "name", "content").distinct().withColumn("twin", F.lit(True))
     safe = inside.join(twins, ["stem", "name", "content"], "left").groupBy("at").agg(F.max(F.col("twin").isNull()).alias("alone")).where("not alone").select(F.col("at").alias("folder"), F.lit(True).alias("safe"))
@@ -137,7 +133,7 @@ def _level(now: DataFrame, here: DataFrame, plan: DataFrame, level: int, base: C
     removed = rest.where(gone).select(F.col("folder").alias("at")).distinct()
     lost = with_ancestors(moved).join(removed, "at", "left_semi").select("path").distinct()
     added = missing.where("fits").select(F.concat_ws("/", "folder", "name").alias("path"), "folder", "name", "stem", "content")
-    return stored(told, "actions"), stored(moved.select("path", "folder", "name", "stem", "content").join(lost, "path", "left_anti").unionByName(added), "files")
+    return told, stored(moved.select("path", "folder", "name", "stem", "content").join(lost, "path", "left_anti").unionByName(added), "files")
 
 
 def counted(actions: DataFrame) -> DataFrame:

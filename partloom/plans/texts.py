@@ -197,3 +197,58 @@ def list_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.coalesce(*[F.when(F.col("p") % len(kinds) == k, F.array(*words)) for k, words in enumerate(kinds)])
     words = a.select("stem", F.lit(1).alias("page"), F.explode(own).alias("w")).select("stem", "page", "w.*")
     return extract.list_anchor(words).select("stem", "page", "score", "item_x", "x", "side")
+
+
+def _word_layout() -> str:
+    """The same words as a table for SQL."""
+    rows, no = [], 0
+    for shape, page in enumerate(pages.WORD_PAGES):
+        for y, *words in page:
+            for x, said in words:
+                rows.append(f"({shape}, {no}, {x}, {y}, '{said}')")
+                no += 1
+    return ", ".join(rows)
+
+
+_CAPTION = extract.caption_pattern().replace("'", "''")
+_VALUES = f"(?:{extract.CAPTION_VALUE}|{extract.CAPTION_NUMBER})"
+_KEYWORDS = ", ".join(f"'{c}'" for c in extract.CAPTIONS)
+_ROWS = rf"""layout(shape, no, lx, ly, said) AS (VALUES {_word_layout()}),
+ww AS (SELECT stem, no AS word_no, lx + p % 7 AS x, ly + (p % 5) * 0.5 AS y, lx + p % 7 + 20 AS x1, ly + (p % 5) * 0.5 + 3 AS y1, CASE WHEN starts_with(said, '#') THEN 'F' || (10000000 + 2 * p + CAST(substr(said, 2) AS INTEGER)) ELSE said END AS text FROM act JOIN layout ON p % {len(pages.WORD_PAGES)} = shape WHERE (p + no) % 13 <> 0),
+tk AS (SELECT *, row_number() OVER (PARTITION BY stem, y ORDER BY x) AS i, lead(text) OVER (PARTITION BY stem, y ORDER BY x) AS nxt FROM ww),
+rw AS (SELECT stem, y, string_agg(text, ' ' ORDER BY x) AS said, list(text ORDER BY x) AS ts, min(x) FILTER (regexp_matches(text, '\b(?:F[0-9]{{1,8}}[A-Za-z]?|FC[0-9]{{1,8}}[A-Za-z]?)\b')) AS nx, max(x) AS mx, list(x) FILTER (regexp_full_match(text, '(?i)A[0-9]')) AS sizes FROM tk GROUP BY stem, y),
+lb AS (SELECT t.stem, t.y, min(t.x) AS label FROM tk t JOIN rw r ON r.stem = t.stem AND r.y = t.y WHERE upper(t.text) = 'USED' AND upper(t.nxt) = 'ON' AND len(list_filter(r.ts[t.i + 2:], lambda z: NOT (upper(z) IN ({_KEYWORDS}) OR regexp_full_match(upper(z), '{_VALUES}')))) = 0 GROUP BY t.stem, t.y),
+rr AS (SELECT rw.*, coalesce(nx, mx) AS anchor, label, regexp_matches(upper(said), '{_CAPTION}') AS caption, regexp_matches(upper(said), '{_CAPTION}') AND starts_with(upper(said), 'USED ON') AS used_on, coalesce(len(sizes), 0) > 0 AS sized, row_number() OVER (PARTITION BY rw.stem ORDER BY rw.y) AS rk FROM rw LEFT JOIN lb ON lb.stem = rw.stem AND lb.y = rw.y),
+jr AS (SELECT r.stem, r.y, r.said, r.caption, r.sized OR coalesce(r.label BETWEEN r.anchor - 180 AND r.anchor, FALSE) OR EXISTS (SELECT 1 FROM rr q WHERE q.stem = r.stem AND (
+         r.rk - q.rk BETWEEN 1 AND 3 AND q.y >= r.y - 30 AND (q.caption AND NOT q.used_on OR q.sized OR coalesce(q.label BETWEEN r.anchor - 180 AND r.anchor, FALSE))
+         OR r.rk - q.rk BETWEEN 4 AND 8 AND q.y >= r.y - 100 AND (coalesce(q.label BETWEEN r.anchor - 180 AND r.anchor, FALSE) OR coalesce(len(list_filter(q.sizes, lambda z: z BETWEEN r.anchor - 180 AND r.anchor)), 0) > 0))) AS block FROM rr r)"""
+_COLUMN = rf"""num AS (SELECT * FROM ww WHERE regexp_full_match(text, 'F[0-9]{{1,8}}[A-Za-z]?|FC[0-9]{{1,8}}[A-Za-z]?')),
+hd AS (SELECT l.stem, l.word_no, l.x, l.x1, greatest(count(n.x) FILTER (n.y < l.y - 4), count(n.x) FILTER (n.y > l.y1)) AS most, EXISTS (SELECT 1 FROM ww t WHERE t.stem = l.stem AND contains(upper(t.text), 'ITEM') AND abs(t.y - l.y) < 5 AND l.x - t.x1 > 0 AND l.x - t.x1 < 90) AS item
+       FROM ww l LEFT JOIN num n ON n.stem = l.stem AND n.x BETWEEN l.x - 15 AND l.x + 90 WHERE translate(regexp_replace(upper(l.text), '[^A-Z0-9]', '', 'g'), '1L', 'II') = translate('{extract.OWNER}', '1L', 'II') GROUP BY l.stem, l.word_no, l.x, l.x1, l.y, l.y1),
+hb AS (SELECT stem, x - 18 AS low, x1 + 135 AS high FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY most + CASE WHEN item THEN 2 ELSE 0 END DESC, word_no) AS r FROM hd WHERE item OR most >= 2) WHERE r = 1),
+isl AS (SELECT stem, x, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY stem ORDER BY x, word_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM (SELECT *, coalesce(x - lag(x) OVER (PARTITION BY stem ORDER BY x, word_no) > 15, FALSE) AS gap FROM num)),
+db AS (SELECT stem, low - 10 AS low, high + 10 AS high FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY n DESC, low) AS r FROM (SELECT stem, island, count(*) AS n, min(x) AS low, max(x) AS high FROM isl GROUP BY stem, island)) WHERE r = 1 AND n >= 2),
+bands AS (SELECT * FROM hb UNION ALL SELECT * FROM db WHERE stem NOT IN (SELECT stem FROM hb))"""
+
+
+@query(over("SELECT stem, CAST(y AS DOUBLE) AS y, said, caption, block AS title_block FROM jr", _ROWS, graph=False))
+def judged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of words, which of them read as captions, and which belong to the title block by what stands above them."""
+    return extract.judged_rows(pages.list_words(views(spark, sf_dir))).select("stem", "y", "said", "caption", "title_block")
+
+
+@query(over("SELECT stem, low, high FROM bands", _ROWS, _COLUMN, graph=False))
+def list_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number column of each page: by its header, or where numbers stand most."""
+    return extract.list_band(pages.list_words(views(spark, sf_dir))).select("stem", "low", "high")
+
+
+@query(
+    over(
+        "SELECT n.stem, CAST(last(i.text ORDER BY i.x) AS INTEGER) AS item, n.text AS ref, (SELECT string_agg(d.text, ' ' ORDER BY d.x) FROM ww d WHERE d.stem = n.stem AND d.y = n.y AND d.x > n.x) AS description FROM num n JOIN jr r ON r.stem = n.stem AND r.y = n.y AND NOT r.caption AND NOT r.block JOIN bands b ON b.stem = n.stem AND n.x BETWEEN b.low AND b.high JOIN ww i ON i.stem = n.stem AND i.y = n.y AND i.x < n.x AND regexp_full_match(i.text, '[0-9]{1,3}') GROUP BY n.stem, n.y, n.x, n.text",
+        _ROWS, _COLUMN, graph=False,
+    )
+)
+def positional_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of parts lists from word positions alone."""
+    return extract.positional_entries(pages.list_words(views(spark, sf_dir))).select("stem", "item", "ref", "description")

@@ -69,3 +69,30 @@ def list_lines(c: Catalogue) -> DataFrame:
     shapes = F.array(*[F.array(*map(F.lit, lines)) for lines in LIST_PAGES])
     own = F.get(shapes, (F.col("p") % len(LIST_PAGES)).cast("int"))
     return c.active.select("stem", F.lit(1).alias("page"), F.posexplode(own).alias("line_no", "text"))
+
+
+#: Rows of words of parts lists and title blocks, by shape: y, then x and text of each word; `#k` is the number of part 2p + k.
+WORD_PAGES = (
+    ((100, (10, "ITEM"), (50, "SITE#"), (150, "NAME")), (110, (10, "1"), (50, "#1"), (150, "PUMP"), (190, "RED")), (120, (10, "2"), (52, "#2"), (150, "PLATE")), (130, (54, "#3"), (150, "NOITEM"))),
+    ((100, (10, "ITEM"), (50, "SITE#")), (110, (10, "SHEET"), (40, "METAL"), (90, "BRACKET")), (120, (10, "3"), (50, "#1"), (150, "USED"), (180, "ON"), (210, "ASSY")), (130, (10, "4"), (50, "#2"))),
+    ((60, (40, "USED"), (70, "ON"), (100, "NAME")), (72, (300, "note")), (84, (300, "more")), (96, (300, "text")), (108, (30, "12"), (60, "#1")), (200, (10, "5"), (50, "#2")), (210, (10, "6"), (50, "#3"))),
+    ((100, (10, "SCALE"), (50, "1:1")), (110, (10, "7"), (50, "#1")), (150, (10, "8"), (50, "#2"), (150, "BOLT")), (160, (10, "DRAWING"), (60, "NUMBER"), (120, "#3"))),
+    ((100, (10, "ITEM"), (50, "SITE")), (110, (10, "9"), (50, "#1")), (120, (10, "10"), (51, "#2")), (130, (300, "11"), (400, "#3")), (140, (10, "A3"), (50, "#1")), (180, (10, "12"), (50, "#3"), (150, "W/"))),
+    ((100, (400, "USED"), (430, "ON")), (110, (10, "1"), (50, "#1"), (150, "NUT")), (118, (10, "BRACKET"), (60, "USED"), (90, "ON"), (120, "ASSY")), (126, (10, "2"), (50, "#2")), (134, (10, "NUMBER"), (80, "#3"))),
+)
+
+
+def list_words(c: Catalogue) -> DataFrame:
+    """stem, page, word_no, x, y, x1, y1, text: one of WORD_PAGES for each drawing, moved a little, each without some words."""
+    rows, no = [], 0
+    for shape, page in enumerate(WORD_PAGES):
+        for y, *words in page:
+            for x, said in words:
+                rows.append((shape, no, float(x), float(y), said))
+                no += 1
+    layout = c.spark.createDataFrame(rows, "shape int, word_no int, lx double, ly double, said string")
+    p = F.col("p")
+    t = c.active.withColumn("shape", (p % len(WORD_PAGES)).cast("int")).join(layout, "shape").where((p + F.col("word_no")) % 13 != 0)
+    own = F.concat(F.lit("F"), (10_000_000 + 2 * p + F.substring("said", 2, 1).try_cast("int")).cast("string"))
+    x, y = F.col("lx") + p % 7, F.col("ly") + p % 5 / 2
+    return t.select("stem", F.lit(1).alias("page"), "word_no", x.alias("x"), y.alias("y"), (x + 20).alias("x1"), (y + 3).alias("y1"), F.when(F.col("said").startswith("#"), own).otherwise(F.col("said")).alias("text"))

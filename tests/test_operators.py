@@ -224,12 +224,11 @@ def test_modes_agree(spark, data):
 
 def test_repair_converges(spark, data):
     v = views(spark, data)
-    run = runs.repair_run(inputs(v), v.organized.select("stem"), v.archive.select("stem"), v.active.select("stem", F.lit("x").alias("folder"), F.lit("c").alias("content")))
-    plan = run["repair"].collect()
-    assert {r["action"] for r in plan} == {"move", "copy"}
-    after = spark.createDataFrame([(r["stem"], r["target"] or r["folder"], "c") for r in plan if r["action"] in ("keep", "move", "copy")], "stem string, folder string, content string")
-    again = runs.repair_run(inputs(v), run["live"].select("stem"), v.archive.select("stem").limit(0), after)["repair"]
-    assert {r["action"] for r in again.collect()} == {"keep"}
+    actual = v.active.where("p % 4 = 0").select(F.concat(F.lit("x/"), "stem", F.lit("/"), "stem", F.lit(".pdf")).alias("path"), "stem", F.lit("c").alias("content"))
+    run = runs.repair_run(inputs(v), v.organized.select("stem"), v.archive.select("stem"), actual)
+    assert {r["action"] for r in run["repair"].collect()} >= {"move"}
+    again = runs.repair_run(inputs(v), run["live"].select("stem"), v.archive.select("stem").limit(0), run["tree"].select("path", "stem", "content"))
+    assert {r["action"] for r in again["repair"].collect()} <= {"keep", "review", "skip"} and {r["path"] for r in again["tree"].collect()} == {r["path"] for r in run["tree"].collect()}
 
 
 def test_ranking_ignores_order_and_repeats(spark):
@@ -253,5 +252,31 @@ def test_positions(spark):
     anchor = extract.list_anchor(df.withColumns({"x1": F.col("x") + 30, "y1": F.col("y") + 3})).first()
     assert (anchor["x"], anchor["y"], anchor["score"], anchor["item_x"], anchor["side"]) == (50.0, 5.5, 5, 10.0, "below")
     assert [one(spark, w, extract.is_list_label) for w in (f"_{extract.OWNER}#", extract.OWNER.lower().replace("i", "1"), "ITEM", extract.OWNER + "X")] == [True, True, False, False]
-    got = {(r["item"], r["ref"], r["description"]) for r in extract.positional_entries(df).collect()}
-    assert got == {(1, "F10126106", "PUMP RED"), (None, "F10126107", None)}
+    got = {(r["item"], r["ref"], r["description"]) for r in extract.positional_entries(df.withColumns({"x1": F.col("x") + 30, "y1": F.col("y") + 3})).collect()}
+    assert got == {(1, "F10126106", "PUMP RED")}  # the second number has no item
+
+
+def test_captions(spark):
+    yes = ["USED ON", "used  on F10126107", "USED ON 2 A", "SCALE 1:1", "SHEET 1 OF 2", "REV", "SIZE A3", "DRAWING NUMBER F10126107", "NUMBER F10126107a", "NEXT ASSY FC1234567", "REV B"]
+    no = ["ITEM 1 F10126107", "SHEET METAL BRACKET", "BRACKET USED ON ASSY", "", "USED", "SCALE TO FIT", "F10126107", "USED ON ASSY"]
+    assert all(one(spark, w, extract.is_caption) for w in yes) and not any(one(spark, w, extract.is_caption) for w in no)
+    assert [one(spark, w, extract.is_used_on) for w in ("USED ON F1", "SCALE 1:1", "USED ON", "BRACKET USED ON")] == [True, False, True, False]
+
+
+def test_used_on_labels_in_rows(spark):
+    rows = {
+        ("USED ON", "NAME"): 0.0, ("BREAK EDGES", "USED ON", "NAME"): 10.0, ("2", "USED", "ON", "F10126107"): 10.0, ("BRACKET", "USED", "ON", "ASSY"): None,
+        ("USED", "FOR"): None, ("USED ON F10126107", "WASHER"): None, ("used", "on"): 0.0, ("USED",): None,
+    }
+    df = spark.createDataFrame([(k, [(10.0 * i, w) for i, w in enumerate(row)]) for k, row in enumerate(rows)], "k int, tokens array<struct<x:double,text:string>>")
+    got = {r["k"]: r["x"] for r in df.select("k", extract.used_on_x(F.col("tokens")).alias("x")).collect()}
+    assert got == dict(enumerate(rows.values()))
+
+
+def test_entries_of_a_whole_document(spark):
+    cells = spark.createDataFrame([("s", 2, 0, 0, ["ITEM", extract.OWNER + "#"]), ("s", 2, 0, 1, ["1", "F10126101"])], "stem string, page int, table_no int, row_no int, cells array<string>")
+    lines = spark.createDataFrame([("s", 1, k, t) for k, t in enumerate(["PARTS LIST", "1", "F10126101", "PUMP", "2", "F10126102", "PLATE"])], "stem string, page int, line_no int, text string")
+    at = [(0, 10.0, 10.0, "ITEM"), (1, 50.0, 10.0, extract.OWNER), (2, 10.0, 80.0, "3"), (3, 50.0, 80.0, "F10126103"), (4, 90.0, 80.0, "BOLT"), (5, 10.0, 90.0, "1"), (6, 50.0, 90.0, "F10126101")]
+    words = spark.createDataFrame([("s", 1, n, x, y, x + 30, y + 3, t) for n, x, y, t in at], "stem string, page int, word_no int, x double, y double, x1 double, y1 double, text string")
+    got = {(r["ref"], r["page"], r["method"], r["description"]) for r in extract.document_entries(cells, lines, words).collect()}
+    assert got == {("F10126101", 2, "table", "PUMP"), ("F10126102", 1, "text-fallback", "PLATE"), ("F10126103", 1, "positional", "BOLT")}
