@@ -48,7 +48,7 @@ def titleblock_mismatches(blocks: DataFrame) -> DataFrame:
     shown = F.when(token == "", "-").otherwise(token)
     found = F.array(
         row("number", off & ~misread, own, F.col("number")),
-        row("revision", ~off & F.col("rev").isNotNull() & (printed != token), shown, F.col("rev")),
+        row("revision", ~off & F.col("rev").isNotNull() & (printed != token), shown, F.when(F.col("rev") == "", "-").otherwise(F.col("rev"))),
         row("name", (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b), title, F.col("name")),
     )
     return blocks.select("stem", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("stem", "x.*")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partloom.operators import checks, extract, graph, incremental, naming, placement, ranking, repair, resolve
+from partloom.operators import adoption, checks, extract, graph, incremental, naming, placement, ranking, repair, resolve
 from partloom.sources.storage import stored
 
 
@@ -82,18 +82,43 @@ def full_run(data: Inputs, cap: int = graph.COPY_CAP) -> dict[str, DataFrame]:
     return _decisions(live, data, cap) | {"live": live, "superseded": ranking.superseded(data.drawings.select("stem")).select("stem")}
 
 
-def incremental_run(data: Inputs, organized: DataFrame, archive: DataFrame, parked: DataFrame, cap: int = graph.COPY_CAP) -> dict[str, DataFrame]:
-    """A batch on top of what is organized; the merged catalogue is decided as a full run would."""
+def _placed_batch(fresh: DataFrame, organized: DataFrame, bom: DataFrame, dag: DataFrame, cap: int) -> dict[str, DataFrame]:
+    """Where the subtrees of a batch's drawings go: the roots that count are cut to the cap, with their further claimants'
+    copies, and the others go under every organized parent of theirs."""
+    held = stored(organized.select("stem").distinct().join(fresh, "stem", "left_anti"), "held")
+    ends = lambda df, c: df.select(F.col("stem").alias(c))
+    side = lambda up, down: dag.join(ends(up, "parent"), "parent", "left_semi").join(ends(down, "child"), "child", "left_semi").select("parent", "child")
+    inner, under, above = (stored(side(a, b), n) for a, b, n in ((fresh, fresh, "inner"), (held, fresh, "under"), (fresh, held, "above")))
+    tops = fresh.join(inner.select(F.col("child").alias("stem")).distinct(), "stem", "left_anti")
+    related = inner.unionByName(under).unionByName(above)
+    counted = stored(graph.path_counts(inner, fresh).join(incremental.placeable(tops, bom, related, held), "stem"), "counted")
+    first = adoption.claimant_placements(fresh, inner, under, above, bom)
+    fit = stored(graph.fit_roots(counted, cap, adoption.claimant_weights(first, counted)), "fit")
+    skipped = fit.where("not kept")
+    return {"claimants": adoption.claimant_placements(fresh, inner, under, above, bom, skipped), "batch_skipped": skipped.select("stem", "copies"), "inner": inner, "above": above}
+
+
+def incremental_run(data: Inputs, organized: DataFrame, archive: DataFrame, parked: DataFrame, cap: int = graph.COPY_CAP, tree: DataFrame | None = None, target: str = "", limit: int = naming.MAX_PATH) -> dict[str, DataFrame]:
+    """A batch on top of what is organized; the merged catalogue is decided as a full run would.
+
+    tree: path and stem of the organized files, where what new parents adopt of them is asked for too (`adoptions`). A batch
+    that brings nothing decides nothing: all its tables are there, and empty, and what is organized stays as it is.
+    """
     new = stored(incremental.candidates(data.drawings, organized, archive, parked), "new")
     decisions = incremental.supersede_decisions(new, organized)
-    if new.isEmpty():  # nothing is decided, and what is organized stays as it is
-        none = new.select("stem", F.col("source").alias("decision"))
-        return {"live": organized.select("stem"), "candidates": new, "supersede": decisions, "placements": none}
-    live = stored(incremental.merged_stems(new, organized), "live")
+    idle = new.isEmpty()
+    live = stored(incremental.merged_stems(new, organized).limit(0) if idle else incremental.merged_stems(new, organized), "live")
     out = _decisions(live, data, cap)
-    fresh = live.select("stem").join(new.select("stem"), "stem", "left_semi")
+    fresh = stored(live.select("stem").join(new.select("stem"), "stem", "left_semi"), "fresh")
     placed = incremental.placement_decisions(fresh, out["dag"], organized, data.bom_entries)
-    return out | {"live": live, "candidates": new, "supersede": decisions, "placements": placed}
+    out |= {"live": organized.select("stem") if idle else live, "candidates": new, "supersede": decisions, "placements": placed}
+    out |= _placed_batch(fresh, organized, data.bom_entries, out["dag"], cap)
+    if tree is not None:
+        folders = naming.folder_names(live, out["names"])
+        made = stored(adoption.new_folders(out["claimants"], out["inner"], folders, tree), "made")
+        claims = made.join(out["above"], made["stem"] == out["above"]["parent"]).select(F.col("stem").alias("claimant"), "dir", "child")
+        out["adoptions"] = adoption.adoptions(claims, tree, folders, target, limit)
+    return out
 
 
 def named_tree(out: dict[str, DataFrame], live: DataFrame, target: str, limit: int = naming.MAX_PATH) -> tuple[DataFrame, DataFrame]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.operators import extract
+from partloom.operators import extract, scans
 from partloom.plans.oracles import over
 from partloom.plans.registry import query
 from partloom.plans.views import views
@@ -252,3 +252,55 @@ def list_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positional_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of parts lists from word positions alone."""
     return extract.positional_entries(pages.list_words(views(spark, sf_dir))).select("stem", "item", "ref", "description")
+
+
+#: The words of scans and what reading them repairs, for SQL.
+_SCAN = rf"""{_ROWS[: _ROWS.index("tk AS")]}
+sw0 AS (SELECT *, regexp_full_match(text, 'F[0-9]{{8}}') AND (word_no + length(stem)) % 3 = 0 AS split, CASE WHEN word_no % 4 = 0 AND regexp_matches(text, '^F[0-9]') THEN translate(text, '01', 'OI') ELSE text END AS blurred FROM ww),
+sp AS (SELECT stem, p, 500.0::DOUBLE AS x0, p % 4 AS dy, p_name, 10000000 + p AS n FROM act),
+sw1 AS (SELECT stem, word_no * 2 AS word_no, x, y, blurred AS text FROM sw0 WHERE NOT split UNION ALL SELECT stem, word_no * 2, x - 22, y, 'F' FROM sw0 WHERE split UNION ALL SELECT stem, word_no * 2 + 1, x + 5, y + 1, substr(text, 2, 8) FROM sw0 WHERE split
+  UNION ALL SELECT stem, 900, 500, 400 + dy, 'USED' FROM sp WHERE p % 5 <> 0 UNION ALL SELECT stem, 901, 525, 402 + dy, CASE WHEN p % 7 = 0 THEN 'OFF' ELSE 'ON:' END FROM sp
+  UNION ALL SELECT stem, 902, 505, 430 + dy, 'F' || (n + 1) FROM sp UNION ALL SELECT stem, 903, 560, 445 + dy, replace('F' || (n + 2), '0', 'O') FROM sp WHERE p % 3 = 0 UNION ALL SELECT stem, 904, 505, 500 + dy, 'F' || (n + 3) FROM sp
+  UNION ALL SELECT stem, 905, 500, 600 + dy, CASE WHEN p % 11 = 0 THEN 'TITLE' ELSE 'NAME:' END FROM sp UNION ALL SELECT stem, 906, 470, 601 + dy, 'PARTS' FROM sp WHERE p % 13 = 0
+  UNION ALL SELECT stem, 907, 500, 612 + dy, split_part(p_name, ' ', 1) FROM sp WHERE p % 6 <> 0 UNION ALL SELECT stem, 908, 560, 614 + dy, split_part(p_name, ' ', -1) FROM sp UNION ALL SELECT stem, 909, 500, 628 + dy, 'SCALE' FROM sp
+  UNION ALL SELECT stem, 910, 600, 613 + dy, 'ENERGY,' FROM sp UNION ALL SELECT stem, 911, 505, 598 + dy, 'TALL' FROM sp WHERE p % 6 = 0),
+s2 AS (SELECT *, x + 20 AS x1, y + 3 AS y1 FROM sw1),
+pr AS (SELECT f.stem, f.word_no AS a, d.word_no AS b, f.x, least(f.y, d.y) AS y, d.x1, greatest(f.y1, d.y1) AS y1, f.text || d.text AS text, row_number() OVER (PARTITION BY f.stem, f.word_no ORDER BY d.word_no) AS k FROM s2 f JOIN s2 d ON d.stem = f.stem AND regexp_full_match(upper(f.text), 'FC?') AND regexp_full_match(d.text, '[0-9]{{5,8}}') AND d.x - f.x1 BETWEEN 0 AND {scans.JOIN_GAP} AND abs(d.y - f.y) <= {scans.JOIN_DRIFT}),
+p1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stem, b ORDER BY a) AS q FROM pr WHERE k = 1) WHERE q = 1),
+s3 AS (SELECT stem, word_no, x, y, x1, y1, text FROM s2 WHERE (stem, word_no) NOT IN (SELECT stem, a FROM p1 UNION ALL SELECT stem, b FROM p1) UNION ALL SELECT stem, a, x, y, x1, y1, text FROM p1),
+sn AS (SELECT *, CASE WHEN regexp_full_match(translate(upper(text), 'OLISB|', '011581'), 'F[0-9]{{5,8}}') THEN translate(upper(text), 'OLISB|', '011581') END AS v FROM s3)"""
+_USED = f"""ua AS (SELECT stem, x, y FROM (SELECT u.*, row_number() OVER (PARTITION BY u.stem ORDER BY u.word_no) AS k FROM s2 u JOIN s2 o ON o.stem = u.stem AND regexp_replace(upper(u.text), '[^A-Z]', '', 'g') = 'USED' AND length(o.text) <= 4 AND regexp_replace(upper(o.text), '[^A-Z]', '', 'g') = 'ON' AND o.x - u.x1 >= 0 AND o.x - u.x1 < {scans.LABEL_GAP} AND abs(o.y - u.y) < {scans.ROW_DRIFT}) WHERE k = 1),
+uv AS (SELECT n.stem, n.v, min(n.word_no) AS o FROM sn n JOIN ua a ON a.stem = n.stem AND n.v IS NOT NULL AND n.x BETWEEN a.x - {scans.USED_LEFT} AND a.x + {scans.USED_RIGHT} AND n.y BETWEEN a.y - {scans.USED_UP} AND a.y + {scans.USED_DOWN} GROUP BY n.stem, n.v)"""
+_NAMED = f"""na AS (SELECT stem, max(word_no) AS no, arg_max(x, word_no) AS x, arg_max(y1, word_no) AS y1 FROM s3 n WHERE regexp_replace(upper(text), '[^A-Z]', '', 'g') = 'NAME' AND NOT EXISTS (SELECT 1 FROM s3 p WHERE p.stem = n.stem AND starts_with(upper(p.text), 'PART') AND n.x - p.x1 BETWEEN 0 AND {scans.HEADER_GAP} AND abs(p.y - n.y) < {scans.ROW_DRIFT}) GROUP BY stem),
+nc AS (SELECT n.*, (n.y + n.y1) / 2 AS m, n.y BETWEEN a.y1 - {scans.NAME_UP} AND a.y1 + {scans.NAME_DOWN} AS strict FROM sn n JOIN na a ON a.stem = n.stem AND n.word_no <> a.no AND n.x BETWEEN a.x - {scans.NAME_LEFT} AND a.x + {scans.NAME_RIGHT} AND length(regexp_replace(n.text, '[^A-Za-z]', '', 'g')) >= 2 AND n.v IS NULL AND trim(upper(n.text), ',:;') NOT IN ({", ".join(f"'{w}'" for w in scans.NO_NAME)}) AND n.y <= a.y1 + {scans.NAME_DOWN} AND n.y1 >= a.y1 - {scans.NAME_UP}),
+nd AS (SELECT *, bool_or(abs(m - m0) >= {scans.NAME_LINE}) OVER (PARTITION BY stem ORDER BY y, x, word_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ended FROM (SELECT *, first(m) OVER (PARTITION BY stem ORDER BY y, x, word_no) AS m0 FROM nc WHERE strict OR stem NOT IN (SELECT stem FROM nc WHERE strict)))"""
+
+
+@query(over("SELECT stem, string_agg(v, ',' ORDER BY o) AS refs FROM uv GROUP BY stem", _SCAN, _USED, graph=False))
+def scan_used_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """USED ON values of scans, around the label's box."""
+    return scans.used_on_boxes(pages.scan_words(views(spark, sf_dir))).select("stem", F.array_join("refs", ",").alias("refs"))
+
+
+@query(over("SELECT stem, string_agg(text, ' ' ORDER BY x, word_no) AS name FROM nd WHERE NOT ended GROUP BY stem", _SCAN, _NAMED, graph=False))
+def scan_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of scans, below the label's box."""
+    return scans.name_boxes(pages.scan_words(views(spark, sf_dir))).select("stem", "name")
+
+
+_THIN = f"""sh AS (SELECT l.stem, l.word_no, l.x, l.x1, l.y, count(n.x) FILTER (n.y < l.y - 4) AS hi, count(n.x) FILTER (n.y > l.y1) AS lo, (SELECT arg_min(t.x, t.word_no) FROM s3 t WHERE t.stem = l.stem AND contains(upper(t.text), 'ITEM') AND abs(t.y - l.y) < 5 AND l.x - t.x1 > 0 AND l.x - t.x1 < 90) AS ix
+       FROM s3 l LEFT JOIN sn n ON n.stem = l.stem AND n.v IS NOT NULL AND n.x BETWEEN l.x - 15 AND l.x + 90 WHERE translate(regexp_replace(upper(l.text), '[^A-Z0-9]', '', 'g'), '1L', 'II') = translate('{extract.OWNER}', '1L', 'II') GROUP BY l.stem, l.word_no, l.x, l.x1, l.y, l.y1),
+sb AS (SELECT stem, x, x1, y, coalesce(ix, x - 60) AS ix, hi >= lo AS up FROM (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY greatest(hi, lo) + CASE WHEN ix IS NOT NULL THEN 2 ELSE 0 END DESC, word_no) AS r FROM sh WHERE ix IS NOT NULL OR greatest(hi, lo) >= 2) WHERE r = 1),
+sj AS (SELECT n.*, b.up, regexp_full_match(n.text, '[0-9]{{1,3}}\\|?') AND n.x >= b.ix - {scans.ITEM_LEFT} AND n.x < b.x - {scans.ITEM_GAP} AS item, (n.v IS NOT NULL OR regexp_full_match(upper(n.text), 'F\\|?')) AND n.x BETWEEN b.x - 18 AND b.x1 + 135 AS col, CASE WHEN b.up THEN n.y < b.y - 4 ELSE n.y > b.y + 4 END AS on_side FROM sn n JOIN sb b ON b.stem = n.stem),
+sc AS (SELECT stem, y, v, row_number() OVER (PARTITION BY stem ORDER BY y, x, word_no) AS k FROM sj a WHERE on_side AND NOT contains(upper(text), 'RCD') AND (item OR col) AND (up OR item OR EXISTS (SELECT 1 FROM sj i WHERE i.stem = a.stem AND i.item AND abs(i.y - a.y) < {scans.ITEM_DRIFT}))),
+thin AS (SELECT stem, k, y, v FROM sc WHERE k = 1 UNION ALL SELECT stem, k, y, v FROM (SELECT c.*, row_number() OVER (PARTITION BY c.stem, t.k ORDER BY c.k) AS r FROM thin t JOIN sc c ON c.stem = t.stem AND c.y >= t.y + {scans.ROW_THIN}) WHERE r = 1)"""
+
+
+@query(over("SELECT stem, y, ref FROM (SELECT stem, y, ref, row_number() OVER (PARTITION BY stem, ref ORDER BY y) AS r FROM (SELECT stem, CAST(y AS DOUBLE) AS y, coalesce(v, CASE WHEN length(stem) % 2 = 0 THEN 'F' || CAST(CAST(20000000 + 2 * y AS INTEGER) AS VARCHAR) END) AS ref FROM thin) WHERE ref IS NOT NULL AND (stem, ref) NOT IN (SELECT stem, v FROM uv)) WHERE r = 1", _SCAN, _USED, _THIN, graph=False, recursive=True))
+def scan_list_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts lists of scans: rows thinned from the top, those that read no number read again as strips, without the parents."""
+    words = pages.scan_words(views(spark, sf_dir))
+    reading = F.when(F.length("stem") % 2 == 0, F.array(F.concat(F.lit("F"), (20_000_000 + 2 * F.col("y")).cast("int").cast("string")))).otherwise(F.array().cast("array<string>"))
+    strips = words.select("stem", "page", "y").distinct().select("stem", "page", "y", F.lit(1).alias("pass_no"), reading.alias("values"))
+    parents = scans.used_on_boxes(words).select("stem", F.explode("refs").alias("ref"))
+    return scans.list_values(words, strips, parents).select("stem", "y", "ref")

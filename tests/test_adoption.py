@@ -3,6 +3,7 @@
 import pytest
 
 from partloom.operators import adoption, graph
+from partloom.plans import runs
 
 
 @pytest.fixture
@@ -67,3 +68,36 @@ def test_what_keeps_a_folder_where_it_is(made):
 
 def test_nothing_to_adopt(made):
     assert adopted(made, [], [("A/A.pdf", "A")], {"A": "A"}) == {} and adopted(made, [("N", "N", "A")], [], {"A": "A"}) == {}
+
+
+def data(made, stems, entries):
+    return runs.Inputs(
+        made([(s,) for s in stems], "stem string"),
+        made([(a, b, 1, "table", None) for a, b in entries], "stem string, ref string, page int, method string, description string"),
+        made([], "stem string, ref string"),
+        made([(s, s, s, "-", f"PART {s[-1]}", False) for s in stems], "stem string, file_name string, number string, rev string, name string, scanned boolean"),
+        made([], "stem string, page int, line_no int, text string"),
+    )
+
+
+def test_a_batch_is_placed_and_adopts(made):
+    stems = ["F10000001", "F10000002", "F10000003", "F10000004"]
+    org = made([("F10000001",), ("F10000002",)], "stem string")
+    none = org.limit(0)
+    # 1 lists the new 3, and the new 4 lists 2, which stands at the top.
+    tree = made([("F10000001 PART 1/F10000001.pdf", "F10000001"), ("F10000002 PART 2/F10000002.pdf", "F10000002")], "path string, stem string")
+    d = data(made, stems, [("F10000001", "F10000003"), ("F10000004", "F10000002")])
+    out = runs.incremental_run(d, org, none, none, tree=tree)
+    assert {tuple(r) for r in out["claimants"].collect()} == {("F10000003", "F10000001", "root"), ("F10000004", None, "top")}
+    assert [(r["child"], r["action"], r["target"]) for r in out["adoptions"].collect()] == [("F10000002", "move", "F10000004 PART 4/F10000002 PART 2")]
+
+
+def test_a_batch_of_nothing_has_every_table(made):
+    org = made([("F10000001",), ("F10000002",)], "stem string")
+    d = data(made, ["F10000001", "F10000002"], [("F10000001", "F10000002")])
+    tree = made([], "path string, stem string")
+    idle = runs.incremental_run(d, org, org.limit(0), org.limit(0), tree=tree)
+    busy = runs.incremental_run(d, org.limit(0), org.limit(0), org.limit(0), tree=tree)
+    assert set(idle) == set(busy) and all(idle[k].columns == busy[k].columns for k in idle if k != "live")
+    kept = {"live", "counters", "placement_refused"}
+    assert all(idle[k].isEmpty() for k in set(idle) - kept) and idle["live"].count() == 2 and sum(idle["counters"].first()) == 0
