@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partloom.operators import extract, scans
+from partloom.operators import events, extract, scans
 from partloom.plans.oracles import over
 from partloom.plans.registry import query
-from partloom.plans.views import views
+from partloom.plans.views import Views, views
 from partloom.sources import pages
 
 _LINES = """numbered AS (SELECT stem, ref, description, row_number() OVER (PARTITION BY stem ORDER BY ref, description NULLS LAST) AS n FROM (SELECT DISTINCT stem, ref, description FROM entries WHERE method <> 'positional')),
@@ -304,3 +304,40 @@ def scan_list_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     strips = words.select("stem", "page", "y").distinct().select("stem", "page", "y", F.lit(1).alias("pass_no"), reading.alias("values"))
     parents = scans.used_on_boxes(words).select("stem", F.explode("refs").alias("ref"))
     return scans.list_values(words, strips, parents).select("stem", "y", "ref")
+
+
+_EVENTS = """ev AS (SELECT stem, k AS seq, CASE WHEN k = 4 THEN 1 ELSE k END AS page, CASE WHEN (p + k) % 3 = 0 THEN ['F' || (p + k), 'F' || p] ELSE [] END AS used_on, CASE WHEN (p + k) % 4 = 0 THEN p_name || ' ' || k END AS name,
+  CASE WHEN k % 2 = 1 THEN ['F' || (p + k % 3), 'F' || (p + 2)] ELSE ['F' || (p + k), 'F' || (p + 1)] END AS bom, CAST(k AS DOUBLE) / 8 AS seconds FROM act, (VALUES (1), (2), (3), (4)) t(k) WHERE p_size % 6 = 0 AND k <= 1 + p % 4),
+eb AS (SELECT stem, v, min([seq, pos]) AS o FROM (SELECT stem, seq, unnest(bom) AS v, generate_subscripts(bom, 1) AS pos FROM ev) GROUP BY stem, v)"""
+
+
+def _ocr_events(v: Views) -> DataFrame:
+    p, k = F.col("p"), F.col("k")
+    t = v.active.where("p_size % 6 = 0").withColumn("k", F.explode(F.sequence(F.lit(1), (1 + p % 4).cast("int"))))
+    f = lambda x: F.concat(F.lit("F"), x.cast("string"))
+    used = F.when((p + k) % 3 == 0, F.array(f(p + k), f(p))).otherwise(F.array().cast("array<string>"))
+    bom = F.when(k % 2 == 1, F.array(f(p + k % 3), f(p + 2))).otherwise(F.array(f(p + k), f(p + 1)))
+    name = F.when((p + k) % 4 == 0, F.concat_ws(" ", "p_name", k.cast("string")))
+    return t.select("stem", k.alias("seq"), F.when(k == 4, 1).otherwise(k).alias("page"), used.alias("used_on"), name.alias("name"), bom.alias("bom"), (k / 8.0).alias("seconds"))
+
+
+@query(
+    over(
+        "SELECT e.stem, string_agg(DISTINCT CAST(page AS VARCHAR), ',' ORDER BY CAST(page AS VARCHAR)) AS pages, coalesce(array_to_string(arg_min(used_on, seq) FILTER (len(used_on) > 0), ','), '') AS used_on, arg_min(name, seq) FILTER (name IS NOT NULL) AS name, (SELECT string_agg(v, ',' ORDER BY o) FROM eb WHERE eb.stem = e.stem) AS bom, CAST(sum(seconds) AS DOUBLE) AS seconds FROM ev e GROUP BY e.stem",
+        _EVENTS, graph=False,
+    )
+)
+def ocr_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What scans gave, merged from states of two parts of the events."""
+    e = _ocr_events(views(spark, sf_dir))
+    halves = [events.merged(events.states(e.where(f"seq % 2 = {k}"))) for k in (0, 1)]
+    t = events.read(events.merged(halves[0].unionByName(halves[1])))
+    join = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return t.select("stem", join("pages"), join("used_on"), "name", join("bom"), F.col("seconds").cast("double").alias("seconds"))
+
+
+@query(over("SELECT stem, CAST(count(DISTINCT stem) AS BIGINT) AS files, CAST(sum(n) AS BIGINT) AS pages, CAST(sum(s) AS DOUBLE) AS seconds FROM (SELECT stem, count(DISTINCT page) AS n, sum(seconds) AS s FROM ev GROUP BY stem) GROUP BY stem UNION ALL SELECT NULL, CAST(count(DISTINCT stem) AS BIGINT), CAST(sum(n) AS BIGINT), CAST(sum(s) AS DOUBLE) FROM (SELECT stem, count(DISTINCT page) AS n, sum(seconds) AS s FROM ev GROUP BY stem)", _EVENTS, graph=False))
+def ocr_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and seconds of every scan and of all of them."""
+    t = events.totals(events.merged(events.states(_ocr_events(views(spark, sf_dir)))))
+    return t.withColumn("seconds", F.col("seconds").cast("double"))
