@@ -1,11 +1,13 @@
 """Exact top-k by inner product with a KD-tree in each shard.
 
-Vectors are dealt into shards by a hash of the id. In each shard a tree halves the points at the median of the widest side
-of their tight bounding box. A query goes through the nodes in the order of the largest inner product that their boxes
-allow and stops when that is below its k-th best so far. Shards are met in waves: each query first meets its own shard, then
-a part of the others, then the rest, and takes the k-th best score of all waves before along. A task reads a shard's points,
-builds its trees once and lets the queries pass by in batches, so it holds one shard and one batch however many queries
-there are, and a shard's points move once a wave.
+Vectors are dealt into shards by a tree of median splits, fitted on a bounded sample, so that a shard is a region with a tight
+box of its own; the driver holds a box for each shard, MOST_SHARDS at most. In each shard a tree halves the points at the
+median of the widest side of their bounding box. A query goes through the nodes in the order of the largest inner product that
+their boxes allow and stops when that is below its k-th best so far. Shards are met in waves, in the order of what their boxes
+allow: each query first meets the best one, then the next few, then the rest, takes the k-th best score of all waves before
+along, and isn't sent to a shard whose box can't reach it. A task reads a shard's points, builds its trees once and lets the
+queries pass by in batches, so it holds one shard and one batch however many queries there are, and a shard's points move once
+a wave.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part, nor do those with a null id;
 vectors of other lengths than the query's are no candidates; rows with the query's own id are none either; ties go to the
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 
 from partloom.llm.common import stored
 
-SHARD_ROWS, LEAF = 8_192, 128
-#: The second wave meets one in so many shards, the third the others.
+SHARD_ROWS, LEAF, MOST_SHARDS = 8_192, 128, 16_384
+#: Vectors that the splits are fitted on, about so many a shard and at most so many in all.
+SAMPLE, MOST_SAMPLE = 64, 65_536
+#: The second wave meets one in so many of a query's shards, the third the others.
 PART = 4
 
 
@@ -147,33 +151,129 @@ def _search(trees: dict[int, KDTree], rows: pa.RecordBatch, k: int) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FOUND)], schema=FOUND)
 
 
+class Splits:
+    """Median splits of the widest sides of a sample, as deep as there are shards to make; a leaf is a shard."""
+
+    def __init__(self, sample: np.ndarray, shards: int):
+        self.axis, self.cut, self.child = [], [], []
+        self.leaves = 0
+        self._grow(sample, shards)
+
+    def _grow(self, x: np.ndarray, shards: int) -> int:
+        at = len(self.axis)
+        self.axis.append(-1)
+        self.cut.append(0.0)
+        self.child.append((self.leaves, -1))
+        side = int(np.argmax(x.max(0) - x.min(0))) if len(x) > 1 and shards > 1 else -1
+        below = x[:, side] < np.median(x[:, side]) if side >= 0 else np.zeros(0, bool)
+        if side < 0 or not below.any():
+            self.leaves += 1
+            return at
+        self.axis[at], self.cut[at] = side, float(x[~below, side].min())
+        self.child[at] = (self._grow(x[below], shards // 2), self._grow(x[~below], shards - shards // 2))
+        return at
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The shard of every vector."""
+        out = np.zeros(len(x), np.int64)
+        todo = [(0, np.arange(len(x)))]
+        while todo:
+            at, rows = todo.pop()
+            if self.axis[at] < 0:
+                out[rows] = self.child[at][0]
+                continue
+            low = x[rows, self.axis[at]] < self.cut[at]
+            todo += [(self.child[at][0], rows[low]), (self.child[at][1], rows[~low])]
+        return out
+
+
+def _fitted(vectors: DataFrame, total: int, shards: int) -> dict[int, Splits]:
+    """Splits for each length of vectors that the sample holds."""
+    share = min(1.0, min(MOST_SAMPLE, SAMPLE * shards) / max(1, total))
+    rows = [r["v"] for r in vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30)).select("v").limit(4 * MOST_SAMPLE).collect()] if shards > 1 else []
+    sizes = {len(v) for v in rows if v}
+    return {d: Splits(np.array([v for v in rows if len(v) == d]), shards) for d in sizes}
+
+
+POINT = "vec_id bigint, v array<double>, shard bigint"
+
+
+def sharded(vectors: DataFrame, shards: int, total: int) -> DataFrame:
+    """vec_id, v and shard: the splits' where there are some for the vector's length, else one by a hash of the id; shards of one
+    number may hold several lengths."""
+    splits = _fitted(vectors, total, shards)
+
+    def run(batches):
+        for b in batches:
+            shard = b.column("h").to_numpy().copy()
+            for dim, (at, x) in _by_length(b.column("v")).items():
+                if dim in splits:
+                    shard[at] = splits[dim].of(x)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(shard)], names=["vec_id", "v", "shard"])
+
+    return vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("h")).mapInArrow(run, POINT)
+
+
+def boxes(points: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each length of vectors: the shards that hold some, and the low and high corners of their boxes."""
+    sides = points.select("shard", F.size("v").alias("dim"), F.posexplode("v").alias("i", "x")).groupBy("shard", "dim", "i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    one = sides.groupBy("dim", "shard").agg(F.array_sort(F.collect_list(F.struct("i", "low", "high"))).alias("box"))
+    got: dict[int, list] = {}
+    for r in one.select("dim", "shard", F.transform("box", lambda t: t["low"]).alias("low"), F.transform("box", lambda t: t["high"]).alias("high")).collect():
+        got.setdefault(r["dim"], []).append((r["shard"], r["low"], r["high"]))
+    return {d: (np.array([s for s, _, _ in rows]), np.array([x for _, x, _ in rows]), np.array([x for _, _, x in rows])) for d, rows in got.items()}
+
+
+def routed(asked: DataFrame, of: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], wave: int) -> DataFrame:
+    """asked (vec_id, v, copy, floor) for each shard that a wave sends a query to: of the shards in order of what their boxes
+    allow, the first one, then one in PART, then the rest, without those that can't reach the floor."""
+
+    def run(batches):
+        for b in batches:
+            floor = b.column("floor").to_numpy()
+            for dim, (at, q) in _by_length(b.column("v")).items():
+                if dim not in of:
+                    continue
+                shard, low, high = of[dim]
+                cut = 1 + -(-len(shard) // PART)
+                begin, end = ((0, 1), (1, cut), (cut, len(shard)))[wave]
+                for lo in range(0, len(at), 256):
+                    some = at[lo : lo + 256]
+                    bound = np.maximum(q[lo : lo + 256], 0) @ high.T + np.minimum(q[lo : lo + 256], 0) @ low.T
+                    order = np.lexsort((np.broadcast_to(shard, bound.shape), -bound), axis=1)[:, begin:end]
+                    r, k = np.nonzero(np.take_along_axis(bound, order, 1) >= floor[some][:, None])
+                    out = b.take(pa.array(some[r]))
+                    yield pa.RecordBatch.from_arrays([pa.array(shard[order[r, k]]), *(out.column(c) for c in ("vec_id", "v", "copy", "floor"))], names=["shard", "vec_id", "v", "copy", "floor"])
+
+    return asked.select("vec_id", "v", "copy", "floor").mapInArrow(run, "shard bigint, vec_id bigint, v array<double>, copy bigint, floor double")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id and score of each query's k best among all other rows of vec_id and v."""
-    shards = max(1, -(-vectors.count() // shard_rows))
-    points = stored(vectors.select("vec_id", "v").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")), "vectors")
-    queries = stored(points.where(is_query).withColumn("copy", F.monotonically_increasing_id()).withColumnRenamed("shard", "home"), "queries")
+    total = vectors.count()
+    shards = min(MOST_SHARDS, max(1, -(-total // shard_rows)))
+    points = stored(sharded(vectors.select("vec_id", "v"), shards, total), "vectors")
+    of = boxes(points)
+    queries = stored(points.where(is_query).drop("shard").withColumn("copy", F.monotonically_increasing_id()), "queries")
     best = W.partitionBy("query_id", "copy").orderBy(F.desc("score"), "vec_id")
     unknown = F.lit(float("-inf"))
 
-    def against(asked: DataFrame, some: Column) -> DataFrame:
-        """asked: queries with the shards they are to meet and their floor; some: which shards these are."""
+    def against(asked: DataFrame, wave: int) -> DataFrame:
+        """What the queries (with their floor) find in the shards that they are sent to."""
         nothing = F.lit(0).cast("long").alias("copy"), unknown.alias("floor")
-        rows = points.where(some).select("shard", F.lit(0).alias("kind"), "vec_id", "v", *nothing)
-        rows = rows.unionByName(asked.select("shard", F.lit(1).alias("kind"), "vec_id", "v", "copy", "floor"))
+        rows = points.select("shard", F.lit(0).alias("kind"), "vec_id", "v", *nothing)
+        rows = rows.unionByName(routed(asked, of, wave).select("shard", F.lit(1).alias("kind"), "vec_id", "v", "copy", "floor"))
         return rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_passing(k), "query_id bigint, copy bigint, vec_id bigint, score double")
 
     def ranked(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
-    found = against(queries.select(F.col("home").alias("shard"), "vec_id", "v", "copy", unknown.alias("floor")), F.lit(True))
-    cut = -(-shards // PART)
-    for begin, end in ((0, cut), (cut, shards)) if shards > 1 else ():
+    found = against(queries.withColumn("floor", unknown), 0)
+    for wave in (1, 2) if max((len(x) for x, _, _ in of.values()), default=0) > 1 else ():
         found = stored(ranked(found), "best")
         floor = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), "copy", F.col("score").alias("kth"))
         rest = queries.join(floor, ["vec_id", "copy"], "left").withColumn("floor", F.coalesce("kth", unknown))
-        rest = rest.withColumn("shard", F.explode(F.sequence(F.lit(begin), F.lit(end - 1)))).where("shard <> home")
-        more = against(rest, F.col("shard").between(begin, end - 1))
-        found = found.drop("rank").unionByName(more)
+        found = found.drop("rank").unionByName(against(rest, wave))
     return ranked(found).select("query_id", "rank", "vec_id", F.col("score").cast("long").alias("score"))
 
 

@@ -5,8 +5,9 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from partloom.llm import langid, toxicity
+from partloom.llm import langid, topk, toxicity
 
 
 def voices(seed, n=4):
@@ -59,3 +60,22 @@ def test_many_exceptions_in_one_text():
     assert lexicon.density("trash can stupid " * 100_000) == pytest.approx(2.0 / 3, rel=1e-4)
     assert time.time() - began < 5
     assert lexicon.density("trash can stupid thing stupid") == lexicon.density("a b c d stupid") > 0
+
+
+def test_queries_go_only_to_shards_that_can_reach_them(spark):
+    """Sixteen far clouds at the corners of a cube of four sides: a query's best stand in its own."""
+    rng = np.random.default_rng(4)
+    corner = 80 * (np.arange(3200)[:, None] >> np.arange(4) & 1) - 40
+    x = np.floor(256 * (np.hstack([corner, np.zeros((3200, 4))]) + rng.normal(size=(3200, 8))))
+    df = spark.createDataFrame([(k, [float(e) for e in v]) for k, v in enumerate(x)], "vec_id long, v array<double>")
+    points = topk.sharded(df, 32, 3200).cache()
+    of = topk.boxes(points)
+    shards = len(of[8][0])
+    assert shards > 8 and points.groupBy("shard").count().agg({"count": "max"}).first()[0] < 3200 / 4
+    asked = df.where("vec_id % 50 = 0")
+    best = topk.top_k(df, F.col("vec_id") % 50 == 0, 5, 100)
+    floors = best.where("rank = 5").selectExpr("query_id as vec_id", "cast(score as double) as floor")
+    met = sum(topk.routed(asked.withColumn("copy", F.col("vec_id")).join(floors, "vec_id"), of, wave).count() for wave in (0, 1, 2))
+    assert met < 0.25 * 64 * shards
+    want = {(q, r + 1): (i, s) for q in range(0, 3200, 50) for r, (s, i) in enumerate(sorted(((-int(x[q] @ x[i]), i) for i in range(3200) if i != q))[:5])}
+    assert {(r["query_id"], r["rank"]): (r["vec_id"], -r["score"]) for r in best.collect()} == want
