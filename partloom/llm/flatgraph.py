@@ -417,3 +417,17 @@ def digest(embeddings: DataFrame) -> DataFrame:
     t = rows.join(named, "v", "left")
     component: Column = F.coalesce("component_id", "vec_id")
     return t.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.lit(recall).alias("audited_recall"))
+
+
+#: Brute force over all pairs, whose recall is 1; for tables whose ids are unique.
+ORACLE = r"""
+WITH RECURSIVE e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS size FROM e),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_dot_product(a.v, b.v) / (a.size * b.size) >= 0.95),
+r AS (SELECT DISTINCT a AS node, a AS reach FROM l UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach),
+c AS (SELECT node, min(reach) AS component FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT CAST(x.vec_id AS BIGINT) AS vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, CAST(coalesce(c.component, x.vec_id) AS BIGINT) AS component_id, coalesce(x.vec_id = coalesce(c.component, x.vec_id), TRUE) AS kept, CAST(1 AS DOUBLE) AS audited_recall
+FROM embeddings x LEFT JOIN n ON n.a = x.vec_id LEFT JOIN c ON c.node = x.vec_id
+"""

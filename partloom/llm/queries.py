@@ -99,6 +99,9 @@ def op13_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatgraph.digest(table(spark, sf_dir, "embeddings"))
 
 
+ORACLES["op13_flat_graph"] = flatgraph.ORACLE
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
