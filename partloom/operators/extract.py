@@ -5,11 +5,13 @@ Set PARTLOOM_OWNER to the organisation's name that heads the number column of it
 
 from __future__ import annotations
 
+import math
 import os
 import re
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -173,22 +175,27 @@ def title_block(words: DataFrame, sheets: DataFrame) -> DataFrame:
 def rows_by_y(words: DataFrame, tolerance: float = Y_TOLERANCE) -> DataFrame:
     """words with the row they belong to: in order of word_no each joins the first row within tolerance, else opens one.
 
-    The rule depends on the order of words, so each page is gone through in turn; a page is one group.
+    The rule depends on the order of words, so each page is gone through in turn. Pages stream past in order, many in a batch;
+    only the rows of the page at hand are held.
     """
-
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("word_no")
-        tops: list[float] = []
-        out = []
-        for y in pdf["y"]:
-            i = next((k for k, t in enumerate(tops) if abs(t - y) <= tolerance), len(tops))
-            if i == len(tops):
-                tops.append(y)
-            out.append(i)
-        return pdf.assign(row_no=pd.Series(out, index=pdf.index, dtype="int32"))
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in words.schema.fields) + ", row_no int"
-    return words.groupBy("stem", "page").applyInPandas(rows, schema)
+    stem_at, page_at, y_at = (words.columns.index(c) for c in ("stem", "page", "y"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, tops = None, []
+        for batch in batches:
+            out = []
+            for *key, y in zip(*(batch.column(i).to_pylist() for i in (stem_at, page_at, y_at))):
+                if key != at:
+                    at, tops = key, []
+                y = math.nan if y is None else y  # near nothing, so it opens a row
+                i = next((k for k, t in enumerate(tops) if abs(t - y) <= tolerance), len(tops))
+                if i == len(tops):
+                    tops.append(y)
+                out.append(i)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, "row_no"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema.fields) + ", row_no int"
+    return words.repartition("stem", "page").sortWithinPartitions("stem", "page", F.col("word_no").asc_nulls_last()).mapInArrow(rows, schema)
 
 
 def join_split_numbers(lines: DataFrame) -> DataFrame:

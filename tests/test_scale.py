@@ -1,7 +1,10 @@
-"""What keeps large tables within bounds: joins planned by what rows take in memory."""
+"""What keeps large tables within bounds: joins planned by what rows take in memory, pages that stream past."""
+
+import math
 
 from pyspark.sql import functions as F
 
+from partloom.operators import extract
 from partloom.plans.views import forget, views
 
 
@@ -23,3 +26,25 @@ def test_packed_tables_are_not_broadcast(spark, tmp_path):
     finally:
         forget()
         spark.conf.set("spark.sql.sources.fileCompressionFactor", kept)
+
+
+def test_rows_go_on_from_batch_to_batch(spark):
+    """Pages have no call of their own: batches hold many pages, and a page may reach over several."""
+    words = [(f"F{s}", page, n, [10.0, 14.0, 12.0, None, 10.5, None, 30.0][(n + s) % 7]) for s in range(5) for page in (1, 2) for n in range(11)]
+    words += [(None, 1, n, float(n)) for n in range(12)] + [("F0", None, n, 7.0) for n in range(3)]
+    want = {}
+    for key in {w[:2] for w in words}:
+        tops = []
+        for _, _, n, y in sorted((w for w in words if w[:2] == key), key=lambda w: w[2]):
+            y = math.nan if y is None else y
+            i = next((k for k, t in enumerate(tops) if abs(t - y) <= extract.Y_TOLERANCE), len(tops))
+            tops += [y] * (i == len(tops))
+            want[(*key, n)] = i
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+        found = extract.rows_by_y(spark.createDataFrame(words, "stem string, page int, word_no int, y double"))
+        assert "FlatMapGroups" not in _plan(found)
+        assert {(r["stem"], r["page"], r["word_no"]): r["row_no"] for r in found.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
