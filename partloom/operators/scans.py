@@ -32,18 +32,25 @@ def _renamed(df: DataFrame, prefix: str, *columns: str) -> DataFrame:
 
 def joined_numbers(words: DataFrame) -> DataFrame:
     """words with a lone F (or FC) and the digits right of it as one; each F takes the first digits by word_no, and digits go
-    to the first F."""
-    w = words.select("stem", "page", *BOX)
-    heads = _renamed(w.where(F.upper(text.stripped(F.col("text"))).rlike("^FC?$")), "f_", *BOX)
-    tails = _renamed(w.where(text.stripped(F.col("text")).rlike("^[0-9]{5,8}$")), "d_", *BOX)
-    near = (F.col("d_x") - F.col("f_x1")).between(0, JOIN_GAP) & (F.abs(F.col("d_y") - F.col("f_y")) <= JOIN_DRIFT)
-    j = heads.join(tails, ["stem", "page"]).where(near)
-    j = j.withColumn("k", F.row_number().over(W.partitionBy("stem", "page", "f_word_no").orderBy("d_word_no"))).where("k = 1")
-    j = j.withColumn("k", F.row_number().over(W.partitionBy("stem", "page", "d_word_no").orderBy("f_word_no"))).where("k = 1")
-    whole = F.concat(text.stripped(F.col("f_text")), text.stripped(F.col("d_text")))
-    made = j.select("stem", "page", F.col("f_word_no").alias("word_no"), F.col("f_x").alias("x"), F.least("f_y", "d_y").alias("y"), F.col("d_x1").alias("x1"), F.greatest("f_y1", "d_y1").alias("y1"), whole.alias("text"))
-    used = j.select("stem", "page", F.explode(F.array("f_word_no", "d_word_no")).alias("word_no"))
-    return w.join(used, ["stem", "page", "word_no"], "left_anti").select("stem", "page", *BOX).unionByName(made)
+    to the first F.
+
+    Words are shuffled once, to their page, which is an array; only its Fs meet its digits.
+    """
+    t = words.groupBy("stem", "page").agg(F.array_sort(F.collect_list(F.struct(*BOX))).alias("words"))
+    known = F.col("stem").isNotNull() & F.col("page").isNotNull()
+    like = lambda said, pattern: F.filter("words", lambda w: known & said(w["text"]).rlike(pattern))
+    t = t.withColumns({"heads": like(lambda c: F.upper(text.stripped(c)), "^FC?$"), "tails": like(text.stripped, "^[0-9]{5,8}$")})
+    near = lambda f, d: (d["x"] - f["x1"]).between(0, JOIN_GAP) & (F.abs(d["y"] - f["y"]) <= JOIN_DRIFT)
+    picks = F.transform("heads", lambda f: F.struct(f.alias("f"), F.get(F.filter("tails", lambda d: near(f, d)), F.lit(0)).alias("d")))
+    t = t.withColumn("picks", F.filter(picks, lambda p: p["d"].isNotNull())).drop("heads", "tails")
+    first = lambda p, i: ~F.exists(F.slice("picks", F.lit(1), i), lambda q: q["d"]["word_no"] == p["d"]["word_no"])
+    t = t.withColumn("picks", F.filter("picks", first))
+    whole = lambda f, d: F.concat(text.stripped(f["text"]), text.stripped(d["text"]))
+    one = lambda f, d: F.struct(f["word_no"].alias("word_no"), f["x"].alias("x"), F.least(f["y"], d["y"]).alias("y"), d["x1"].alias("x1"), F.greatest(f["y1"], d["y1"]).alias("y1"), whole(f, d).alias("text"))
+    made = F.transform("picks", lambda p: one(p["f"], p["d"]))
+    t = t.withColumn("used", F.flatten(F.transform("picks", lambda p: F.array(p["f"]["word_no"], p["d"]["word_no"]))))
+    left = F.filter("words", lambda w: ~F.coalesce(F.array_contains("used", w["word_no"]), F.lit(False)))
+    return t.select("stem", "page", F.explode(F.concat(left, made)).alias("w")).select("stem", "page", "w.*")
 
 
 def used_on_anchor(words: DataFrame) -> DataFrame:

@@ -102,15 +102,15 @@ def scan_words(c: Catalogue) -> DataFrame:
     """The same words as a scan may give them, with a title block below: split numbers, look-alike letters, labels in two words."""
     t = list_words(c).withColumn("split", F.col("text").rlike("^F[0-9]{8}$") & ((F.col("word_no") + F.length("stem")) % 3 == 0))
     blurred = F.when((F.col("word_no") % 4 == 0) & F.col("text").rlike("^F[0-9]"), F.translate("text", "01", "OI")).otherwise(F.col("text"))
-    box = lambda df, no, x, y, said: df.select("stem", "page", no.alias("word_no"), x.alias("x"), y.alias("y"), (x + 20).alias("x1"), (y + 3).alias("y1"), said.alias("text"))
+    box = lambda no, x, y, said: F.struct(no.alias("word_no"), x.alias("x"), y.alias("y"), (x + 20).alias("x1"), (y + 3).alias("y1"), said.alias("text"))
+    boxes = lambda df, found: df.select("stem", F.lit(1).alias("page"), F.explode(found).alias("b")).select("stem", "page", "b.*")
     x, y, no = F.col("x"), F.col("y"), F.col("word_no") * 2
-    out = box(t.where("not split"), no, x, y, blurred)
-    out = out.unionByName(box(t.where("split"), no, x - 22, y, F.lit("F"))).unionByName(box(t.where("split"), no + 1, x + 5, y + 1, F.substring("text", 2, 8)))
+    parted = F.array(box(no, x - 22, y, F.lit("F")), box(no + 1, x + 5, y + 1, F.substring("text", 2, 8)))
+    out = boxes(t, F.when(F.col("split"), parted).otherwise(F.array(box(no, x, y, blurred))))
     p = F.col("p")
-    a = c.active.select("stem", F.lit(1).alias("page"), "p", "p_name")
-    more = lambda n, x, y, said, when="true": box(a.where(when), F.lit(n), F.lit(float(x)), F.lit(float(y)) + p % 4, said)
+    more = lambda n, x, y, said, when="true": F.when(F.expr(when), box(F.lit(n), F.lit(float(x)), F.lit(float(y)) + p % 4, said))
     number = lambda k: F.concat(F.lit("F"), (10_000_000 + p + k).cast("string"))
-    for part in (
+    block = (
         more(900, 500, 400, F.lit("USED"), "p % 5 <> 0"),
         more(901, 525, 402, F.when(p % 7 == 0, "OFF").otherwise("ON:")),
         more(902, 505, 430, number(1)),
@@ -123,6 +123,5 @@ def scan_words(c: Catalogue) -> DataFrame:
         more(909, 500, 628, F.lit("SCALE")),
         more(910, 600, 613, F.lit("ENERGY,")),
         more(911, 505, 598, F.lit("TALL"), "p % 6 = 0"),
-    ):
-        out = out.unionByName(part)
-    return out
+    )
+    return out.unionByName(boxes(c.active, F.filter(F.array(*block), lambda b: b.isNotNull())))

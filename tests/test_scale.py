@@ -1,10 +1,10 @@
-"""What keeps large tables within bounds: joins planned by what rows take in memory, pages that stream past."""
+"""What keeps large tables within bounds: joins planned by what rows take in memory, pages that stream past or meet in an array."""
 
 import math
 
 from pyspark.sql import functions as F
 
-from partloom.operators import extract
+from partloom.operators import extract, scans
 from partloom.plans.views import forget, views
 
 
@@ -48,3 +48,16 @@ def test_rows_go_on_from_batch_to_batch(spark):
         assert {(r["stem"], r["page"], r["word_no"]): r["row_no"] for r in found.collect()} == want
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
+def test_split_numbers_meet_in_their_page(spark):
+    """No join: an F takes the first digits near it, digits go to the first F that takes them, and an F that loses them takes none."""
+    box = lambda stem, no, x, said, y=5.0: (stem, 1, no, x, y, x + 20, y + 3, said)
+    words = [box("A", 1, 0.0, "F"), box("A", 2, 2.0, "f"), box("A", 4, 25.0, "22222"), box("A", 3, 30.0, "11111"), box("A", 5, 90.0, "w")]
+    words += [box("B", 1, 0.0, "F"), box("B", 2, 25.0, "33333", y=10.0), box("C", 1, 0.0, " FC "), box("C", 2, 20.0, "4444444", y=4.0), box(None, 1, 0.0, "F"), box(None, 2, 25.0, "55555")]
+    found = scans.joined_numbers(spark.createDataFrame(words, "stem string, page int, word_no int, x double, y double, x1 double, y1 double, text string"))
+    assert "Join" not in _plan(found)
+    got = {(r["stem"], r["word_no"]): (r["x"], r["y"], r["x1"], r["y1"], r["text"]) for r in found.collect()}
+    whole = {("A", 1): (0.0, 5.0, 50.0, 8.0, "F11111"), ("C", 1): (0.0, 4.0, 40.0, 8.0, "FC4444444")}
+    alone = {(w[0], w[2]): (*w[3:7], w[7]) for w in words if (w[0], w[2]) not in {("A", 1), ("A", 3), ("C", 1), ("C", 2)}}
+    assert got == whole | alone
