@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from partloom.operators import extract, scans
 from partloom.plans.views import forget, views
+from partloom.sources.catalogue import TASK_PARTS
 
 
 def _plan(df):
@@ -61,3 +62,18 @@ def test_split_numbers_meet_in_their_page(spark):
     whole = {("A", 1): (0.0, 5.0, 50.0, 8.0, "F11111"), ("C", 1): (0.0, 4.0, 40.0, 8.0, "FC4444444")}
     alone = {(w[0], w[2]): (*w[3:7], w[7]) for w in words if (w[0], w[2]) not in {("A", 1), ("A", 3), ("C", 1), ("C", 2)}}
     assert got == whole | alone
+
+
+def test_drawings_are_derived_by_tasks_of_bounded_rows(spark, tmp_path):
+    """One small file holds every part; one task would keep the drawings of all of them apart in memory."""
+    kept = spark.conf.get("spark.sql.sources.fileCompressionFactor")
+    n = 2 * TASK_PARTS + 1
+    part = spark.range(n).select(F.col("id").alias("p_partkey"), F.lit("steel part").alias("p_name"), F.lit("tin").alias("p_type"), (F.col("id") % 50).cast("int").alias("p_size"))
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    try:
+        forget()
+        rows = views(spark, str(tmp_path)).stems.where("v = 0 and s = 0").groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert sum(r["count"] for r in rows) == n and max(r["count"] for r in rows) < TASK_PARTS
+    finally:
+        forget()
+        spark.conf.set("spark.sql.sources.fileCompressionFactor", kept)
