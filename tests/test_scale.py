@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from partloom.operators import extract, scans
 from partloom.plans.views import forget, views
 from partloom.sources.catalogue import TASK_PARTS
+from partloom.sources.storage import TASK_BYTES, unpacked
 
 
 def _plan(df):
@@ -77,3 +78,18 @@ def test_drawings_are_derived_by_tasks_of_bounded_rows(spark, tmp_path):
     finally:
         forget()
         spark.conf.set("spark.sql.sources.fileCompressionFactor", kept)
+
+
+def test_tasks_take_few_packed_bytes(spark):
+    """Small partitions are put together, and files split, by packed bytes: what a session allows beyond the bounds is cut to them, less stays."""
+    names = ["spark.sql.sources.fileCompressionFactor", *TASK_BYTES]
+    kept = {name: spark.conf.get(name) for name in names}
+    try:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+        unpacked(spark)
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == f"{2 << 20}b"
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "1m"
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
