@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from partloom.operators import extract, scans
+from partloom.operators import extract, resolve, scans
 from partloom.plans.views import forget, views
 from partloom.sources.catalogue import TASK_PARTS
 from partloom.sources.storage import TASK_BYTES, unpacked
@@ -30,6 +30,15 @@ def test_packed_tables_are_not_broadcast(spark, tmp_path):
         spark.conf.set("spark.sql.sources.fileCompressionFactor", kept)
 
 
+def test_neighbourhoods_are_not_broadcast(spark):
+    """References measured as small have neighbourhoods that are not: a broadcast of these grows with the table."""
+    refs = spark.range(2000).select(F.lit("P").alias("stem"), F.concat(F.lit("F"), (F.col("id") + 1_000_000).cast("string")).alias("ref"))
+    bases = spark.range(3).select(F.concat(F.lit("F"), (F.col("id") * 11_111_111 + 10_000_000).cast("string")).alias("stem"))
+    found = resolve.snap_refs(refs, bases)
+    assert {(r["ref"], r["snapped"]) for r in found.collect()} == {("F1000000", "F10000000")}
+    assert "BroadcastHashJoin [key" not in _plan(found) and "SortMergeJoin [key" in _plan(found)
+
+
 def test_rows_go_on_from_batch_to_batch(spark):
     """Pages have no call of their own: batches hold many pages, and a page may reach over several."""
     words = [(f"F{s}", page, n, [10.0, 14.0, 12.0, None, 10.5, None, 30.0][(n + s) % 7]) for s in range(5) for page in (1, 2) for n in range(11)]
