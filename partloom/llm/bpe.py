@@ -5,8 +5,8 @@ pre-tokenizer must not see the cut either: it goes on from any place without loo
 space and after an apostrophe. So a cut between two characters is certain if their bytes are such a pair, the left one is
 no white space, and no apostrophe that could begin a contraction is set free or torn from it. A text is cut at every such
 place, the fragments are encoded independently by the tokenizers library, and their ids are concatenated. Most fragments
-come again and again: a slice of texts is cut, hashed and numbered in arrays, and only fragments that the worker hasn't met
-go to the library. A 64-bit hash stands for a fragment of up to LONGEST bytes; longer ones are encoded where they stand.
+come again and again: a slice of texts is cut, hashed and numbered in arrays, those met lately by one lookup in a table of
+hashes, and only fragments that the worker hasn't met go to the library. A 64-bit hash stands for a fragment of up to LONGEST bytes; longer ones are encoded where they stand.
 
 Defined cases: null text is empty and has no ids; special tokens' strings become their ids, as in the library; repeated
 rows each get their row, and a null doc_id keeps its row; texts of any length are encoded whole, in pieces that end at
@@ -31,6 +31,8 @@ from partloom.llm.shingles import hashed
 VOCAB = "byte_bpe_50k.json"
 #: Fragments a worker keeps, and the most bytes of one; beyond CACHE it starts anew.
 CACHE, LONGEST = 500_000, 64
+#: Places, by a hash's lower bits, of the fragments that an array lookup finds; those that share one are looked up singly.
+PLACES = 1 << 20
 #: Bytes that are cut and numbered together.
 PIECE = 1 << 20
 # Letters with which the pre-tokenizer's contractions go on after the apostrophe ('s 't 're 've 'm 'll 'd).
@@ -98,6 +100,7 @@ class ForcedCutBPE:
 
     def _forget(self) -> None:
         self.number: dict[int, int] = {}
+        self.lately, self.place = np.zeros(PLACES, np.uint64), np.full(PLACES, -1, np.int32)
         self.begin, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.ids, self.used = np.zeros(1 << 14, np.uint32), 0
 
@@ -107,11 +110,11 @@ class ForcedCutBPE:
         cut[1:-1] = self.certain[(data[:-1].astype(np.uint16) << 8) | data[1:]]
         if len(data) and data.max() >= 0x80:
             for lead, last in WIDE_SPACES:
-                at = np.flatnonzero(np.isin(data, last))
-                at = at[at >= len(lead)]
+                at = np.flatnonzero(data[: -len(lead)] == lead[0])
                 for k, b in enumerate(lead):
-                    at = at[data[at - len(lead) + k] == b]
-                cut[at + 1] = False
+                    at = at[data[at + k] == b]
+                at += len(lead)
+                cut[at[np.isin(data[at], last)] + 1] = False
         if self.special is not None:
             for m in self.special.finditer(data.tobytes()):
                 cut[m.start() + 1 : m.end()] = False
@@ -166,8 +169,6 @@ class ForcedCutBPE:
 
     def _kept(self, raw: bytes, h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The numbers under which fragments are kept; those not met before are learned."""
-        if len(self.number) + len(h) > CACHE:
-            self._forget()
         keys = h.tolist()
         get = self.number.get
         at = np.array([get(k, -1) for k in keys], np.int64)
@@ -217,10 +218,20 @@ class ForcedCutBPE:
         starts, ends = places[:-1], places[1:]
         h = hashed(data, starts, ends)
         long = np.flatnonzero(ends - starts > LONGEST)
-        number = np.zeros(len(starts), np.int64)
-        brief = np.flatnonzero(ends - starts <= LONGEST)
-        own, first, inverse = np.unique(h[brief], return_index=True, return_inverse=True)
-        number[brief] = self._kept(raw, own, starts[brief[first]], ends[brief[first]])[inverse]
+        at = (h & np.uint64(PLACES - 1)).astype(np.int64)
+        number = self.place.take(at)
+        number[self.lately.take(at) != h] = -1
+        number[long] = 0
+        left = np.flatnonzero(number < 0)
+        own, first, inverse = np.unique(h[left], return_index=True, return_inverse=True)
+        if len(self.number) + len(own) > CACHE:
+            self._forget()
+            left = np.flatnonzero(ends - starts <= LONGEST)
+            own, first, inverse = np.unique(h[left], return_index=True, return_inverse=True)
+        if len(own):
+            got = self._kept(raw, own, starts[left[first]], ends[left[first]])
+            number[left] = got[inverse]
+            self.lately[at[left[first]]], self.place[at[left[first]]] = own, got
         begin, size, store = self.begin[number], self.size[number], self.ids
         if len(long):
             ids, count = self._learn(raw, starts[long], ends[long])

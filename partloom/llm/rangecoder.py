@@ -1,19 +1,19 @@
-"""An adaptive context-mixing range coder for token ids, over many blocks side by side.
+"""A context-mixing range coder for token ids, over many blocks side by side.
 
-A sequence of ids is cut into blocks of BLOCK ids; each starts from a fresh model and has its own code and checksums. Block k
-is lane k of the arrays below, and all lanes take a step together, so one array operation serves them all.
+A sequence of ids is cut into blocks of BLOCK ids, each with its own code and checksums. Block k is lane k of the arrays below,
+and all lanes take a step together, so one array operation serves them all.
 
-Model of a lane. The id that followed the last two ids (order 2) and the one that followed the last id (order 1) are two
-predictions, each with a confidence. One decision of three ways tells whether the first holds, the second, or neither. Its
-chances mix an estimate by both confidences and whether the predictions agree with one by the last id, and the mix's weight
-moves toward whichever was nearer. Where neither holds, the id is coded by its order-0 distribution, which covers every id:
-its upper 5 bits, the next 6 given these, and the last 5 given a hash of the others, each by cumulative frequencies that
-move toward what was seen. Every id goes through the arithmetic coder; none is stored beside it.
+Model. The frame's head has what its ids have in common: the frequencies of its frequent ids (order 0), the likeliest next id
+after each of them (order 1) and after pairs of them, by a hash (order 2, where it pays), each with a level of how often it
+held. Two ids are thus foreseen, one by the longest context known and one by order 1 where it differs. One decision of three
+ways tells whether the first holds, the second, or neither. Its chances mix what the head tells of a level with what the lane
+has seen of it; what was seen, and the mix's weight, which moves toward whichever was nearer, change after every CHUNK ids.
+Where neither holds, the id is coded by its order-0 frequency. Rare ids share one symbol and follow at the end of their block,
+with equal chances. Every id goes through the arithmetic coder; none is stored beside it.
 
-The coder narrows an interval of 48 bits. When it is shorter than 2^32 its upper 16 bits are written; where they still
-differ between its ends, it is first cut at the next multiple of 2^32, so no carry ever reaches what is written. All of it
-is integer arithmetic (a quotient is taken in floats whose precision gives the integer one), so that any machine decodes
-what another one encoded.
+The coder narrows an interval of 48 bits; when it is no longer than 2^32 the upper 16 bits of its begin are written, and what
+is added to it later may carry into them. All of it is integer arithmetic (a quotient is taken in floats whose precision
+gives the integer one), so that any machine decodes what another one encoded.
 
 Defined cases: no ids make a frame without blocks; ids below 0 or from 2^29 on raise ValueError, as do damaged frames.
 """
@@ -25,253 +25,344 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TKB2"
+MAGIC = b"TKB3"
 BLOCK = 2048
-#: Blocks that are coded side by side; bounds the memory of the tables (about 25 kB a block).
+#: Blocks that are coded side by side; bounds the memory of the arrays (about 10 kB a block).
 LANES = 4096
-#: Predictions kept for each order; contexts of the chances by the last id; rows of the last level's frequencies.
-SLOTS, RECENT, ROWS = 512, 256, 256
-#: Frequencies add up to 2^BITS; those of a symbol move by 2^-RATE of the way and are 2^RATE / 2^BITS at least.
-BITS, RATE = 15, 4
-ONE = 1 << BITS
-#: Symbols of the three levels of an id; ESCAPE stands for ids beyond the first level, whose bits follow as they are.
-FIRST, SECOND, THIRD = 32, 64, 32
-ESCAPE, LIMIT = FIRST - 1, 1 << 29
-M32, M48 = (1 << 32) - 1, (1 << 48) - 1
+#: Ids of a lane after which its mix changes, and those of all lanes that are prepared together.
+CHUNK, TOGETHER = 128, 1 << 14
+#: Chances of a decision add up to 2^WAYS, frequencies of symbols to 2^BITS.
+WAYS, BITS = 15, 16
+ONE = 1 << WAYS
+#: Bounds of a chance; within them an interval keeps room for a symbol after both decisions.
+LEAST, MOST = ONE >> 7, ONE - (ONE >> 6)
+#: Bits of a symbol and of the hash of two; an id has a symbol if it came OFTEN times at least, and so often that all have room.
+SYMBOL, PAIR, OFTEN = 15, 17, 4
+#: Bits of a level; level k stands for the chances from (k / LEVELS)^2 on.
+LEVEL = 3
+LEVELS = 1 << LEVEL
+TOLD = np.clip((2 * np.arange(LEVELS) + 1) ** 2 * ONE >> 2 * LEVEL + 2, LEAST, MOST)
+#: What a lane sees apart: the first id by its level where both are the same and where not, the second by its level.
+KINDS = 3 * LEVELS
+MARK = 1 << SYMBOL + LEVEL
+LIMIT = 1 << 29
+HEAD = struct.Struct("<QIII")
+M32 = (1 << 32) - 1
 I = np.int64
 
 
-def _targets(n: int) -> np.ndarray:
-    """The cumulative frequencies that symbol s of n moves toward, by s."""
-    i = np.arange(n)
-    return np.where(i[None, :] <= i[:, None], i << RATE, ONE - ((n - i) << RATE)).astype(np.int16)
+def _at(table: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The table's values at places, which are inside it (those of wrong codes may not be); numpy looks up faster unchecked."""
+    return table.take(places, mode="clip")
 
 
-TARGETS = {n: _targets(n) for n in (FIRST, SECOND)}
-
-
-def _part(rows: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where symbol s of each row begins, and its frequency."""
-    n = rows.shape[1]
-    at = np.arange(0, n * len(s), n) + s
-    flat, more = rows.ravel(), s + 1 < n
-    start = flat.take(at).astype(I)
-    end = flat.take(at + more).astype(I)
-    return start, np.where(more, end, ONE) - start
+class _Interval:
+    """The lanes' intervals, as how long they are, and where the next word of each is in `words`."""
 
+    def __init__(self, words: np.ndarray):
+        self.range, self.words = np.full(len(words), 1 << 48, I), words.ravel()
+        self.begin = np.arange(len(words)) * words.shape[1]
+        self.next = self.begin.copy()
 
-def _true(marks: np.ndarray) -> np.ndarray:
-    """How many of each row's marks are set; the rows hold a multiple of 8, at most 255."""
-    eight = marks.view(np.uint64)
-    total = eight[:, 0].copy()
-    for k in range(1, eight.shape[1]):
-        total += eight[:, k]
-    return ((total * np.uint64(0x0101010101010101)) >> np.uint64(56)).astype(I)
+    @staticmethod
+    def ends(y: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the first two of three ways end, by the chance of the first and that of the second where the first fails."""
+        first = y >> WAYS
+        first *= a
+        second = y - first
+        second >>= WAYS
+        second *= b
+        second += first
+        return first, second
 
+    @staticmethod
+    def bounds(y: np.ndarray, first: np.ndarray, second: np.ndarray, missed: np.ndarray, neither: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the way taken begins, and how long it is."""
+        begin, end = second * missed, np.where(missed, y, first)
+        other = np.flatnonzero(missed ^ neither)
+        begin[other], end[other] = _at(first, other), _at(second, other)
+        end -= begin
+        return begin, end
 
-class _Interval:
-    """The lanes' intervals. Subclasses take symbols from the caller or from the code."""
 
+class _Writer(_Interval):
     def __init__(self, lanes: int):
-        self.low, self.range = np.zeros(lanes, I), np.full(lanes, 1 << 48, I)
-        self.size = np.zeros(lanes, I)
-
-    def some(self, lanes: np.ndarray) -> None:
-        """The lanes of the following decisions, until done()."""
-        self.lanes, self.x, self.y = lanes, self.low[lanes], self.range[lanes]
-
-    def done(self) -> None:
-        self.low[self.lanes], self.range[self.lanes] = self.x, self.y
-
-    def narrow(self, start: np.ndarray, width: np.ndarray) -> None:
-        """To the part of the interval that begins at start and is width long, in shares of what self.r is one of."""
-        step = self.r * start
-        self.x += step
-        self.y = self.r * width
-        self.skip(step)
-        out = np.flatnonzero(self.y <= M32)
+        # Carries stay above a word's 16 bits until the end.
+        super().__init__(np.zeros((lanes, BLOCK), np.uint32))
+        self.low = np.zeros(lanes, I)
+
+    def room(self, words: int) -> None:
+        """For so many more words of every lane."""
+        lanes = len(self.begin)
+        width, size = len(self.words) // lanes, self.next - self.begin
+        if size.max() + words > width:
+            self.words = np.concatenate([self.words.reshape(lanes, width), np.zeros((lanes, max(width, words)), np.uint32)], 1).ravel()
+            self.begin = np.arange(lanes) * (len(self.words) // lanes)
+            self.next = self.begin + size
+
+    def put(self, n: int, a: np.ndarray, b: np.ndarray, missed: np.ndarray, neither: np.ndarray, start: np.ndarray, width: np.ndarray) -> None:
+        """The ways taken by the first n lanes, and parts of the symbols' share."""
+        x, y = self.low[:n], self.range[:n]
+        begin, length = self.bounds(y, *self.ends(y, a[:n], b[:n]), missed[:n], neither[:n])
+        x += begin
+        length >>= BITS
+        x += length * start[:n]
+        np.multiply(length, width[:n], out=y)
+        out = np.flatnonzero(y <= M32)
         while len(out):
-            low, length = self.x[out], self.y[out]
-            apart = (low ^ (low + length - 1)) > M32
-            length = np.where(apart, -low & M32, length) << 16
-            self.shift(out, low >> 32)
-            self.x[out], self.y[out] = (low << 16) & M48, length
-            out = out[length <= M32]
-
+            out = self._shift(out)
+
+    def flat(self, lanes: np.ndarray, bits: int, value: np.ndarray) -> None:
+        self.room(4)
+        step = self.range[lanes] >> bits
+        self.low[lanes] += step * value
+        self.range[lanes] = step
+        out = lanes[step <= M32]
+        while len(out):
+            out = self._shift(out)
 
-class _Writer(_Interval):
-    def __init__(self, lanes: int):
-        super().__init__(lanes)
-        self.words = np.zeros((lanes, BLOCK + 8), np.uint16)
-
-    def skip(self, step: np.ndarray) -> None:
-        pass
-
-    def shift(self, at: np.ndarray, word: np.ndarray) -> None:
-        lanes = self.lanes[at]
-        size = self.size[lanes]
-        if size.max() >= self.words.shape[1]:
-            self.words = np.concatenate([self.words, np.zeros_like(self.words)], 1)
-        self.words[lanes, size] = word
-        self.size[lanes] = size + 1
-
-    def ways(self, a: np.ndarray, b: np.ndarray, way: np.ndarray) -> np.ndarray:
-        self.r = self.y >> BITS
-        self.narrow(np.where(way == 0, 0, np.where(way == 1, a, a + b)), np.where(way == 0, a, np.where(way == 1, b, ONE - a - b)))
-        return way
-
-    def symbol(self, rows: np.ndarray, s: np.ndarray) -> np.ndarray:
-        self.r = self.y >> BITS
-        self.narrow(*_part(rows, s))
-        return s
-
-    def flat(self, bits: int, value: np.ndarray) -> np.ndarray:
-        self.r = self.y >> bits
-        self.narrow(value, np.ones_like(value))
-        return value
+    def _shift(self, lanes: np.ndarray) -> np.ndarray:
+        """Writes a word of each of the lanes, and tells which need another one."""
+        low, length, at = _at(self.low, lanes), _at(self.range, lanes) << 16, _at(self.next, lanes)
+        self.words[at] = low >> 32
+        self.next[lanes] = at + 1
+        self.low[lanes], self.range[lanes] = (low & M32) << 16, length
+        return lanes[length <= M32]
 
     def codes(self) -> list[bytes]:
         """Each lane's code: the words written, and the three that hold where its interval begins."""
-        self.some(np.arange(len(self.low)))
-        for k in (32, 16, 0):
-            self.shift(self.lanes, (self.low >> k) & 0xFFFF)
-        return [w[:n].astype("<u2").tobytes() for w, n in zip(self.words, self.size)]
+        self.room(3)
+        for low in (self.low >> 32, self.low >> 16 & 0xFFFF, self.low & 0xFFFF):
+            self.words[self.next] = low
+            self.next += 1
+        size = self.next - self.begin
+        words = self.words.reshape(len(size), -1)[:, : size.max()]
+        while (over := words >> np.uint32(16)).any():
+            words &= np.uint32(0xFFFF)
+            words[:, :-1] += over[:, 1:]
+        return [w[:n].astype("<u2").tobytes() for w, n in zip(words, size.tolist())]
 
 
 class _Reader(_Interval):
     def __init__(self, codes: list[bytes]):
-        super().__init__(len(codes))
-        self.words = np.zeros((len(codes), max(map(len, codes)) // 2 + 4), np.uint16)
-        for row, c in zip(self.words, codes):
-            row[: len(c) // 2] = np.frombuffer(c, "<u2")
-        self.size[:] = 3
-        self.offset = (self.words[:, :3].astype(I) << np.array([32, 16, 0])).sum(1)
-
-    def some(self, lanes: np.ndarray) -> None:
-        super().some(lanes)
-        self.z = self.offset[lanes]
-
-    def done(self) -> None:
-        super().done()
-        self.offset[self.lanes] = self.z
-
-    def skip(self, step: np.ndarray) -> None:
-        self.z -= step
-
-    def shift(self, at: np.ndarray, word: np.ndarray) -> None:
-        lanes = self.lanes[at]
-        size = self.size[lanes]
-        self.z[at] = (self.z[at] << 16) | self.words[lanes, np.minimum(size, self.words.shape[1] - 1)]
-        self.size[lanes] = size + 1
-
-    def _place(self, bits: int) -> np.ndarray:
-        """Where the code stands in the interval, in shares; damaged codes may stand beyond it."""
-        self.r = self.y >> bits
-        return np.clip((self.z / self.r).astype(I), 0, (1 << bits) - 1)
-
-    def ways(self, a: np.ndarray, b: np.ndarray, way: None) -> np.ndarray:
-        at = self._place(BITS)
-        way = (at >= a).astype(I) + (at >= a + b)
-        self.narrow(np.where(way == 0, 0, np.where(way == 1, a, a + b)), np.where(way == 0, a, np.where(way == 1, b, ONE - a - b)))
-        return way
-
-    def symbol(self, rows: np.ndarray, s: None) -> np.ndarray:
-        at = self._place(BITS).astype(np.int16)
-        s = _true(rows <= at[:, None]) - 1
-        self.narrow(*_part(rows, s))
-        return s
-
-    def flat(self, bits: int, value: None) -> np.ndarray:
-        value = self._place(bits)
-        self.narrow(value, np.ones_like(value))
+        words = np.zeros((len(codes), max(map(len, codes)) // 2 + 4), np.uint16)
+        for row, c in zip(words, codes):
+            row[: len(c) // 2] = np.frombuffer(c, "<u2", len(c) // 2)
+        super().__init__(words)
+        self.next += 3
+        self.offset = (words[:, :3].astype(I) << np.array([32, 16, 0])).sum(1)
+
+    def get(self, n: int, a: np.ndarray, b: np.ndarray, model: _Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ways taken by the first n lanes, and their symbols."""
+        y, z = self.range[:n], self.offset[:n]
+        first, second = self.ends(y, a, b)
+        missed, neither = z >= first, z >= second
+        begin, length = self.bounds(y, first, second, missed, neither)
+        z -= begin
+        length >>= BITS
+        place = (z / length).astype(I)
+        s = _at(model.at, place)
+        share = np.where(neither, s, model.foreseen)
+        z -= length * _at(model.start, share)
+        np.multiply(length, _at(model.width, share), out=y)
+        out = np.flatnonzero(y <= M32)
+        while len(out):
+            out = self._shift(out)
+        return missed, neither, s
+
+    def flat(self, lanes: np.ndarray, bits: int) -> np.ndarray:
+        step = self.range[lanes] >> bits
+        value = np.minimum((self.offset[lanes] / step).astype(I), (1 << bits) - 1)
+        self.offset[lanes] -= step * value
+        self.range[lanes] = step
+        out = lanes[step <= M32]
+        while len(out):
+            out = self._shift(out)
         return value
 
+    def _shift(self, lanes: np.ndarray) -> np.ndarray:
+        length, at = _at(self.range, lanes) << 16, _at(self.next, lanes)
+        self.range[lanes], self.next[lanes] = length, at + 1
+        self.offset[lanes] = _at(self.offset, lanes) << 16 | _at(self.words, at)
+        return lanes[length <= M32]
 
-def _toward(p: np.ndarray, hit: np.ndarray) -> np.ndarray:
-    """Chances that have moved toward what happened; they stay within 32 and ONE - 64."""
-    return p + (((ONE - 79) * hit + 47 - p) >> RATE)
 
+def _likeliest(contexts: np.ndarray, symbols: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By context, of n: the symbol that followed it most often, how often it did, and how often any did."""
+    runs = contexts << np.uint32(SYMBOL)
+    runs |= symbols
+    runs.sort()
+    at = np.flatnonzero(runs[1:] != runs[:-1]) + 1
+    at = np.concatenate([[0], at])
+    count, pair = np.diff(at, append=len(runs)), runs[at].astype(I)
+    context = pair >> SYMBOL
+    at = np.concatenate([[0], np.flatnonzero(context[1:] != context[:-1]) + 1])
+    likeliest, held, every = (np.zeros(n, I) for _ in range(3))
+    best = np.maximum.reduceat(count << SYMBOL | pair & ((1 << SYMBOL) - 1), at)
+    likeliest[context[at]], held[context[at]], every[context[at]] = best & ((1 << SYMBOL) - 1), best >> SYMBOL, np.add.reduceat(count, at)
+    return likeliest, held, every
 
-class _Model:
-    def __init__(self, lanes: int):
-        self.two, self.one = (np.zeros(lanes * SLOTS, np.int32) for _ in range(2))  # id << 2 | confidence
-        self.by_sure, self.by_last = (np.full((2, lanes * n), ONE // 2, np.int16) for n in (32, RECENT))
-        self.weight = np.full(lanes, 32, I)
-        level = lambda rows, n: np.tile((np.arange(n) * (ONE // n)).astype(np.int16), (rows, 1))
-        self.first, self.second, self.third = level(lanes, FIRST), level(lanes * FIRST, SECOND), level(lanes * ROWS, THIRD)
-        self.last, self.before = np.zeros(lanes, I), np.zeros(lanes, I)
 
-    @staticmethod
-    def _symbol(coder: _Interval, table: np.ndarray, at: np.ndarray, s: np.ndarray | None) -> np.ndarray:
-        rows = table.take(at, axis=0)
-        s = coder.symbol(rows, s)
-        move = TARGETS[rows.shape[1]].take(s, axis=0)
-        move -= rows
-        move >>= RATE
-        rows += move
-        table[at] = rows
-        return s
-
-    def _unforeseen(self, coder: _Interval, lanes: np.ndarray, ids: np.ndarray | None) -> np.ndarray:
-        """Ids by their order-0 distribution."""
-        of = lambda k, m, top: None if ids is None else np.minimum((ids >> k) & m, top)
-        coder.some(lanes)
-        a = self._symbol(coder, self.first, lanes, None if ids is None else np.minimum(ids >> 11, ESCAPE))
-        b = self._symbol(coder, self.second, lanes * FIRST + a, of(5, SECOND - 1, SECOND))
-        head = (a << 6) | b
-        c = self._symbol(coder, self.third, lanes * ROWS + (((head * 40503) >> 6) & (ROWS - 1)), of(0, THIRD - 1, THIRD))
-        got = (head << 5) | c
-        coder.done()
-        far = np.flatnonzero(a == ESCAPE)
-        if len(far):  # the lower 11 bits are coded; the others follow
-            coder.some(lanes[far])
-            rest = coder.flat(15, None if ids is None else ids[far] >> 11 & 0x7FFF)
-            rest |= coder.flat(3, None if ids is None else ids[far] >> 26) << 15
-            coder.done()
-            got[far] = (got[far] & 0x7FF) | rest << 11
-        return got
-
-    def step(self, coder: _Interval, count: int, ids: np.ndarray | None) -> np.ndarray:
-        """Codes the next id of each of the first `count` lanes, or decodes it where ids is None."""
-        lanes = np.arange(count)
-        last, before = self.last[:count], self.before[:count]
-        key = last * 40503
-        two = lanes * SLOTS + (((key + before * 30011) >> 4) & (SLOTS - 1))
-        one = lanes * SLOTS + ((key >> 3) & (SLOTS - 1))
-        t2, t1 = self.two.take(two), self.one.take(one)
-        p2, p1, s2, s1 = t2 >> 2, t1 >> 2, t2 & 3, t1 & 3
-        differ = p1 != p2
-        sure = lanes * 32 + (s2 + 4 * s1 + 16 * differ)
-        recent = lanes * RECENT + ((key >> 5) & (RECENT - 1))
-        weight = self.weight[:count]
-        a1, b1 = self.by_sure[0].take(sure).astype(I), self.by_sure[1].take(sure).astype(I)
-        a2, b2 = self.by_last[0].take(recent).astype(I), self.by_last[1].take(recent).astype(I)
-        other = 64 - weight
-        a = (a1 * weight + a2 * other) >> 6
-        # Where both orders predict the same id, the second way is none.
-        b = np.maximum(((ONE - a) * ((b1 * weight + b2 * other) >> 6)) >> BITS, 1) * differ
-        way = None if ids is None else np.where(ids == p2, 0, np.where(differ & (ids == p1), 1, 2))
-        coder.some(lanes)
-        way = coder.ways(a, b, way)
-        coder.done()
-        hit, second = way == 0, way == 1
-        got = np.where(hit, p2, p1).astype(I)
-        rest = np.flatnonzero(way == 2)
-        if len(rest):
-            got[rest] = self._unforeseen(coder, rest, None if ids is None else ids[rest])
-
-        target = hit * ONE
-        weight += np.where(np.abs(target - a1) <= np.abs(target - a2), 1, -1)
-        np.clip(weight, 4, 60, out=weight)
-        self.by_sure[0][sure], self.by_last[0][recent] = _toward(a1, hit), _toward(a2, hit)
-        asked = np.flatnonzero(differ & ~hit)
-        u, v, w = sure[asked], recent[asked], second[asked]
-        self.by_sure[1][u], self.by_last[1][v] = _toward(b1[asked], w), _toward(b2[asked], w)
-        for table, at, old, p, s in ((self.two, two, t2, p2, s2), (self.one, one, t1, p1, s1)):
-            # A prediction that fails loses its confidence first and its place next.
-            table[at] = np.where(got == p, old + (s < 3), np.where(s > 0, old - 1, got << 2))
-        self.before[:count], self.last[:count] = last.copy(), got
-        return got
+def _level(held: np.ndarray, every: np.ndarray) -> np.ndarray:
+    """The level of a chance, as held of every."""
+    return np.searchsorted(np.arange(1, LEVELS) ** 2, (held << 2 * LEVEL) // np.maximum(every, 1), side="right")
+
+
+def _hashed(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    kind = last.dtype.type
+    return before * kind(30011) + last * kind(40503) & kind((1 << PAIR) - 1)
+
+
+class _Model:
+    """What the ids of a frame have in common.
+
+    The symbol of the rare ids follows those of the frequent ones, and stands for what is before a block, too; the next one
+    stands for an id that was foreseen. Foreseen symbols are kept with the level of their chance, as symbol << LEVEL | level.
+    """
+
+    def __init__(self, often: np.ndarray, freq: np.ndarray, one: np.ndarray, pairs: np.ndarray, two: np.ndarray, bits: int):
+        self.often, self.bits, self.rare, self.foreseen = often, bits, len(often), np.int32(len(often) + 1)
+        self.head, self.one = (often, freq, one, pairs, two), one.astype(np.int32)
+        # Marked, so that the greater of both is that of order 2 where there is one.
+        self.two = np.zeros(1 << PAIR, np.int32)
+        self.two[pairs] = two + MARK
+        self.start = np.append(np.cumsum(freq, dtype=I) - freq, 0)
+        self.width = np.append(freq.astype(I), 1 << BITS)
+        self.at = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
+
+    @classmethod
+    def learned(cls, ids: np.ndarray) -> tuple[_Model, np.ndarray]:
+        """The model of ids, and their symbols."""
+        top, enough = int(ids.max()), max(OFTEN, len(ids) // ((1 << SYMBOL) - 2) + 1)
+        if top < 1 << 17:
+            count = np.bincount(ids)
+            often = np.flatnonzero(count >= enough)
+            number = np.full(top + 1, len(often), np.uint32)
+            number[often] = np.arange(len(often))
+            symbols, count = number.take(ids), count[often]
+        else:
+            own, place, count = np.unique(ids, return_inverse=True, return_counts=True)
+            kept = count >= enough
+            symbols = np.where(kept, np.cumsum(kept) - 1, kept.sum()).astype(np.uint32)[place]
+            often, count = own[kept].astype(I), count[kept]
+        rare = len(often)
+        count = np.append(count, len(ids) - count.sum())
+        known = np.concatenate([np.full(2, rare, np.uint32), symbols])
+        next_one, held, every = _likeliest(known[1:-1], symbols, rare + 1)
+        one = next_one << LEVEL | _level(held, every)
+        next_two, held, every = _likeliest(_hashed(known[:-2], known[1:-1]), symbols, 1 << PAIR)
+        pairs = np.flatnonzero((held >= 2 * OFTEN) & (held * 10 >= every))
+        next_two, held, every = next_two[pairs], held[pairs], every[pairs]
+        # What order 2 foresees needs no order-0 frequency; every symbol keeps the least one, as blocks begin without context.
+        count = np.maximum(count - np.bincount(next_two, held, rare + 1).astype(I), 0)
+        freq = 1 + count * ((1 << BITS) - len(count)) // max(int(count.sum()), 1)
+        freq[np.argmax(freq)] += (1 << BITS) - freq.sum()
+        return cls(often, freq, one, pairs, next_two << LEVEL | _level(held, every), top.bit_length()), symbols
+
+    def packed(self) -> bytes:
+        often, freq, one, pairs, two = self.head
+        columns = (np.diff(often, prepend=0), "<u4"), (freq - 1, "<u2"), (one, "<u4"), (np.diff(pairs, prepend=0), "<u4"), (two, "<u4")
+        planes = (c.astype(t).view("u1").reshape(len(c), int(t[2])).T.tobytes() for c, t in columns)
+        return struct.pack("<III", len(often), len(pairs), self.bits) + zlib.compress(b"".join(planes))
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> _Model:
+        n, m, bits = struct.unpack_from("<III", data)
+        raw, at, columns = np.frombuffer(zlib.decompress(data[12:]), "u1"), 0, []
+        for size, kind, width in ((n, "<u4", 4), (n + 1, "<u2", 2), (n + 1, "<u4", 4), (m, "<u4", 4), (m, "<u4", 4)):
+            planes = np.ascontiguousarray(raw[at : at + size * width].reshape(width, size).T)
+            columns.append(planes.view(kind).ravel().astype(I))
+            at += size * width
+        often, freq, one, pairs, two = columns
+        return cls(np.cumsum(often), freq + 1, one, np.cumsum(pairs), two, bits)
+
+
+class _Mix:
+    """The chances of each lane."""
+
+    def __init__(self, model: _Model, lanes: int):
+        self.model, self.at = model, np.arange(0, lanes * KINDS, KINDS, np.int32)
+        self.told = np.tile(TOLD, 3)
+        self.seen, self.weight = np.tile(self.told, (lanes, 1)), np.full((lanes, 1), 32, I)
+        self.mixed = self.seen.ravel()
+
+    def foresee(self, before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Both symbols foreseen after two others, whether they differ, and which chances of the lane are theirs."""
+        one, two = _at(self.model.one, last), _at(self.model.two, _hashed(before, last))
+        np.maximum(one, two, out=two)
+        two &= MARK - 1
+        p, p1 = two >> LEVEL, one >> LEVEL
+        differ = p != p1
+        two &= LEVELS - 1
+        two += self.at[: last.shape[-1]]
+        two += differ * np.int32(LEVELS)
+        one &= LEVELS - 1
+        one += self.at[: last.shape[-1]] + np.int32(2 * LEVELS)
+        return p, p1, differ, two, one
+
+    def chances(self, differ: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where both foresee the same id, the second way is none."""
+        return _at(self.mixed, first), _at(self.mixed, second) * differ
+
+    def learn(self, differ: np.ndarray, first: np.ndarray, second: np.ndarray, missed: np.ndarray, neither: np.ndarray) -> None:
+        """Takes in what came of the decisions."""
+        asked = differ & missed
+        n = np.bincount((first << 1 | missed).ravel(), minlength=2 * self.seen.size)
+        n += np.bincount(second[asked] << 1 | neither[asked], minlength=2 * self.seen.size)
+        held, failed = n[0::2].reshape(self.seen.shape), n[1::2].reshape(self.seen.shape)
+        # How much farther from what came the told chances were than the seen ones; a chance is as far as the odds it gave to the other end.
+        farther = ((failed - held) * (self.told - self.seen)).sum(1, keepdims=True)
+        self.weight = np.clip(self.weight - 4 * np.sign(farther), 4, 60)
+        self.seen = np.clip((self.seen * 16 + held * ONE) // (held + failed + 16), LEAST, MOST)
+        self.mixed = (self.seen + ((self.told - self.seen) * self.weight >> 6)).ravel()
+
+
+def _write(model: _Model, coder: _Writer, steps: np.ndarray, counts: list[int]) -> None:
+    """Codes the symbols of each step, below two rows of what was before."""
+    mix, rows = _Mix(model, steps.shape[1]), max(1, TOGETHER // steps.shape[1])
+    for lo in range(0, len(counts), CHUNK):
+        coder.room(4 * CHUNK)  # an id never takes more than 4
+        seen = []
+        for at in range(lo, min(lo + CHUNK, len(counts)), rows):
+            to = min(at + rows, lo + CHUNK, len(counts))
+            own = steps[at + 2 : to + 2]
+            p, p1, differ, first, second = mix.foresee(steps[at:to], steps[at + 1 : to + 1])
+            missed = own != p
+            neither = missed & (own != p1)
+            s = np.where(neither, own, model.foreseen)
+            for n, *step in zip(counts[at:to], *mix.chances(differ, first, second), missed, neither, _at(model.start, s), _at(model.width, s)):
+                coder.put(n, *step)
+            seen.append((differ, first, second, missed, neither))
+        mix.learn(*map(np.concatenate, zip(*seen)))
+
+
+def _read(model: _Model, coder: _Reader, lanes: int, counts: list[int]) -> np.ndarray:
+    """The symbols of each step."""
+    mix, steps = _Mix(model, lanes), np.full((len(counts) + 2, lanes), model.rare, np.int32)
+    first, second = (np.tile(mix.at, (CHUNK, 1)) for _ in range(2))  # a lane that has ended learns for itself alone
+    differ, missed, neither = (np.zeros((CHUNK, lanes), bool) for _ in range(3))
+    for t, n in enumerate(counts):
+        k = t % CHUNK
+        p, p1, differ[k, :n], first[k, :n], second[k, :n] = mix.foresee(steps[t, :n], steps[t + 1, :n])
+        missed[k, :n], neither[k, :n], s = coder.get(n, *mix.chances(differ[k, :n], first[k, :n], second[k, :n]), model)
+        steps[t + 2, :n] = np.where(neither[k, :n], s, np.where(missed[k, :n], p1, p))
+        if k == CHUNK - 1:
+            mix.learn(differ, first, second, missed, neither)
+    return steps[2:]
+
+
+def _rare(model: _Model, symbols: np.ndarray, sizes: np.ndarray):
+    """The rare ids of the lanes' rows: the first one of each lane that has any, then the second ones, and so on: lanes, places."""
+    found = symbols == model.rare
+    found[-1, sizes[-1] :] = False  # only the last block can be short
+    lane, place = np.divmod(np.flatnonzero(found), found.shape[1])
+    nth = np.arange(len(lane)) - np.searchsorted(lane, lane)
+    order = np.argsort(nth, kind="stable")
+    return [(lane[own], place[own]) for own in np.split(order, np.cumsum(np.bincount(nth))[:-1])] if len(lane) else []
+
+
+def _digits(model: _Model) -> list[tuple[int, int]]:
+    return [(low, min(15, model.bits - low)) for low in range(0, model.bits, 15)]
 
 
 def _sizes(n: int) -> np.ndarray:
@@ -285,53 +376,66 @@ def _groups(blocks: int):
     return zip(cuts, cuts[1:])
 
 
+def _counts(sizes: np.ndarray) -> list[int]:
+    """How many lanes have an id, by step; only the last block can be short."""
+    return [len(sizes) if t < sizes[-1] else len(sizes) - 1 for t in range(int(sizes.max()))]
+
+
 def encode(ids: np.ndarray) -> bytes:
-    """A frame: magic, number of ids, then for each block the size and crc32 of its code and of its ids, then the codes."""
+    """A frame: magic, number of ids, size of a block, size and crc32 of the model, the model, then for each block the size and
+    crc32 of its code and the crc32 of its ids, then the codes."""
     ids = np.asarray(ids)
     if len(ids) and (ids.min() < 0 or ids.max() >= LIMIT):
         raise ValueError("ids must fit in 29 bits")
-    raw, sizes, codes = ids.astype("<u4"), _sizes(len(ids)), []
+    raw, sizes, codes, head = ids.astype("<u4"), _sizes(len(ids)), [], b""
+    if len(ids):
+        model, symbols = _Model.learned(raw)
+        head = model.packed()
     for lo, hi in _groups(len(sizes)):
-        size = sizes[lo:hi]
-        own = np.zeros((hi - lo) * BLOCK, I)
-        part = raw[lo * BLOCK : hi * BLOCK]
-        own[: len(part)] = part
-        steps = np.ascontiguousarray(own.reshape(-1, BLOCK).T)
-        model, coder = _Model(len(size)), _Writer(len(size))
-        for t in range(int(size.max())):
-            count = len(size) if t < size[-1] else len(size) - 1  # only the last block can be short
-            model.step(coder, count, steps[t, :count])
+        size, own = sizes[lo:hi], np.zeros((hi - lo) * BLOCK, np.int32)
+        own[: size.sum()] = symbols[lo * BLOCK : hi * BLOCK]
+        own, coder = own.reshape(-1, BLOCK), _Writer(len(size))
+        _write(model, coder, np.concatenate([np.full((2, len(size)), model.rare, np.int32), own.T]), _counts(size))
+        for lane, place in _rare(model, own, size):
+            for low, bits in _digits(model):
+                coder.flat(lane, bits, raw[(lo + lane) * BLOCK + place].astype(I) >> low & ((1 << bits) - 1))
         codes += coder.codes()
     heads = [struct.pack("<III", len(c), zlib.crc32(c), zlib.crc32(raw[k * BLOCK : (k + 1) * BLOCK].tobytes())) for k, c in enumerate(codes)]
-    return MAGIC + struct.pack("<QI", len(ids), BLOCK) + b"".join(heads) + b"".join(codes)
+    return MAGIC + HEAD.pack(len(ids), BLOCK, len(head), zlib.crc32(head)) + head + b"".join(heads) + b"".join(codes)
 
 
 def decode(frame: bytes) -> np.ndarray:
     """The ids of a frame; a block whose code or ids don't have their checksum raises ValueError."""
-    if frame[:4] != MAGIC or len(frame) < 16:
+    if frame[:4] != MAGIC or len(frame) < 4 + HEAD.size:
         raise ValueError("not a frame of token ids")
-    n, block = struct.unpack_from("<QI", frame, 4)
+    n, block, size, crc = HEAD.unpack_from(frame, 4)
     if block != BLOCK:
         raise ValueError(f"blocks of {block} ids")
-    if len(frame) < 16 + 12 * -(-n // BLOCK):
+    begin = 4 + HEAD.size + size
+    if len(frame) < begin + 12 * -(-n // BLOCK):
         raise ValueError("the frame is cut short")
+    head = frame[4 + HEAD.size : begin]
+    if zlib.crc32(head) != crc:
+        raise ValueError("the model is damaged")
     sizes = _sizes(n)
-    heads = [struct.unpack_from("<III", frame, 16 + 12 * k) for k in range(len(sizes))]
-    at, codes = 16 + 12 * len(sizes), []
+    heads = [struct.unpack_from("<III", frame, begin + 12 * k) for k in range(len(sizes))]
+    at, codes = begin + 12 * len(sizes), []
     for size, crc, _ in heads:
         codes.append(frame[at : at + size])
         at += size
         if zlib.crc32(codes[-1]) != crc or len(codes[-1]) != size:
             raise ValueError(f"block {len(codes) - 1} is damaged")
     out = np.zeros(len(sizes) * BLOCK, "<u4")
+    model = _Model.unpacked(head) if n else None
     for lo, hi in _groups(len(sizes)):
-        size = sizes[lo:hi]
-        model, coder = _Model(len(size)), _Reader(codes[lo:hi])
-        rows = np.zeros((BLOCK, len(size)), "<u4")
-        for t in range(int(size.max())):
-            count = len(size) if t < size[-1] else len(size) - 1
-            rows[t, :count] = model.step(coder, count, None)
-        out[lo * BLOCK : hi * BLOCK] = rows.T.ravel()
+        size, coder = sizes[lo:hi], _Reader(codes[lo:hi])
+        symbols = np.ascontiguousarray(_read(model, coder, len(size), _counts(size)).T)
+        own = np.zeros((len(size), BLOCK), "<u4")
+        own[:, : symbols.shape[1]] = _at(np.append(model.often, 0).astype("<u4"), symbols)
+        for lane, place in _rare(model, symbols, size):
+            for low, bits in _digits(model):
+                own[lane, place] |= (coder.flat(lane, bits) << low).astype("<u4")
+        out[lo * BLOCK : hi * BLOCK] = own.ravel()
     ids = out[:n]
     for k, (_, _, crc) in enumerate(heads):
         if zlib.crc32(ids[k * BLOCK : (k + 1) * BLOCK].tobytes()) != crc:

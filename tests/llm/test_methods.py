@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -339,6 +340,73 @@ def test_range_coder_round_trips():
             rangecoder.encode(np.array([bad]))
 
 
+def test_range_coder_is_fast_and_near_the_entropy():
+    draw, lanes = np.random.default_rng(4), 1024
+    odds = 1 / np.arange(1, 3001)
+    odds /= odds.sum()
+    ids = draw.choice(3000, lanes * rangecoder.BLOCK, p=odds)
+    few = np.arange(lanes)
+
+    def seconds(f):
+        begin = time.process_time()
+        f()
+        return time.process_time() - begin
+
+    def yardstick():
+        for _ in range(100 * rangecoder.BLOCK):
+            few + few
+
+    frame = rangecoder.encode(ids)
+    assert 8 * len(frame) / len(ids) < 0.3 - (odds * np.log2(odds)).sum()
+    # Both ways together take about 430 array operations an id; more than 2,000 were too many.
+    assert min(seconds(lambda: rangecoder.decode(rangecoder.encode(ids))) / seconds(yardstick) for _ in range(3)) < 12
+
+
+@pytest.mark.parametrize("n", [1, 300, 2047, 2049, 2 * 2048, 3 * 2048 + 700])
+def test_range_coder_keeps_rare_and_foreseen_ids(n):
+    draw = np.random.default_rng(n)
+    ids = np.where(draw.random(n) < 0.02, draw.integers(0, 1 << 29, n), np.arange(n) % 7)
+    skewed = np.minimum(draw.geometric(0.02, n), 400)
+    every = np.arange(n) + (1 << 20)
+    for own in (ids, skewed, every, np.full(n, (1 << 29) - 1), np.repeat(np.arange(n), 9)[:n]):
+        assert (rangecoder.decode(rangecoder.encode(own)) == own).all()
+
+
+def test_carries_pass_through_full_words():
+    coder = rangecoder._Writer(2)
+    coder.words[:3], coder.next[:] = [1, 0xFFFF, 0xFFFF], coder.begin + 3
+    coder.words[coder.begin[1] : coder.begin[1] + 3] = [1, 2, 3]
+    coder.low[:] = [1 << 48, 5]
+    words = [np.frombuffer(c, "<u2").tolist() for c in coder.codes()]
+    assert words == [[2, 0, 0, 0, 0, 0], [1, 2, 3, 0, 0, 5]]
+
+
+def test_known_fragments_are_found_in_arrays(rows, library, monkeypatch):
+    texts = [r["text"] for r in rows.values()]
+    coder = bpe.ForcedCutBPE(bpe.public_tokenizers.path(bpe.VOCAB))
+    first, counts = coder.encode_many(texts)
+
+    class Counted(dict):
+        gets = 0
+
+        def get(self, *k):
+            self.gets += 1
+            return super().get(*k)
+
+    coder.number = Counted(coder.number)
+    again, _ = coder.encode_many(texts)
+    assert (again == first).all() and coder.number.gets < 0.2 * len(coder.number)
+    monkeypatch.setattr(bpe, "PLACES", 4)  # nearly all share a place
+    monkeypatch.setattr(bpe, "CACHE", 300)  # and are forgotten again and again
+    small = bpe.ForcedCutBPE(bpe.public_tokenizers.path(bpe.VOCAB))
+    for _ in range(2):
+        for k in range(0, len(texts), 7):
+            own, n = small.encode_many(texts[k : k + 7])
+            at = counts[:k].sum()
+            assert (n == counts[k : k + 7]).all() and (own == first[at : at + n.sum()]).all()
+    assert first.tolist() == [i for t in texts for i in library.encode(t or "", add_special_tokens=False).ids]
+
+
 def test_ids_take_less_than_raw_words(rows, monkeypatch):
     ids, _ = bpe.encoder().encode_many([r["text"] for r in rows.values()])
     frame = rangecoder.encode(ids)
