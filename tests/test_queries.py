@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from partloom.operators import graph
@@ -38,6 +39,24 @@ def test_query_equals_sql(spark, data, sql, name):
     assert canonical(df.columns, [tuple(r) for r in df.collect()]) == want
 
 
+def test_reconcile_plan_has_every_placement(spark, tmp_path):
+    """More copies below one root than the caps on placing them (10,000 copies, 80,000 paths) let through."""
+    c = duckdb.connect()
+    c.execute("CREATE TABLE part AS SELECT i AS p_partkey, 'bolt ' || i AS p_name, 'STEEL' AS p_type, CAST(1 + i % 5 AS INTEGER) AS p_size FROM range(1100) t(i)")
+    c.execute(f"COPY part TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    got = registry.QUERIES["reconcile_plan"](spark, str(tmp_path))
+    want = c.execute(registry.ORACLES["reconcile_plan"])
+    names, rows = canonical([d[0] for d in want.description], want.fetchall())
+    assert canonical(got.columns, [tuple(r) for r in got.collect()]) == (names, rows)
+    v = views(spark, str(tmp_path))
+    planned = v.counted_roots.agg(F.sum("copies").cast("long").alias("n")).first()["n"]
+    assert planned > graph.PATH_CAP and len(rows) > graph.PATH_CAP
+    action, target = names.index("action"), names.index("target")
+    assert {r[action] for r in rows} == {"keep", "move", "copy", "delete", "review"}
+    in_place = sum(r[action] == "keep" or r[target] != "~" for r in rows)
+    assert planned - in_place == v.every_placement.join(got.select("stem").distinct(), "stem", "left_anti").count()
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).columns == ["root", "n_children"]
     assert set(registry.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
